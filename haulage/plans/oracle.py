@@ -129,7 +129,7 @@ def _captioned(body: str, captions: dict[str, str]) -> str:
     return f"SELECT {cols} FROM ({body}) x"
 
 
-def build() -> dict[str, str]:
+def reports() -> dict[str, str]:
     from haulage.operators.reports import SALARY_CAPTIONS, SUMMARY_CAPTIONS
 
     q: dict[str, str] = {}
@@ -140,3 +140,135 @@ def build() -> dict[str, str]:
     q["transportation_summary_captioned"] = with_tables(
         _captioned(SUMMARY_BODY, SUMMARY_CAPTIONS), [("crew_totals", CREW_TOTALS)])
     return q
+
+
+# --- scans and lookups ------------------------------------------------------
+
+USER_COLS = "CAST(coalesce(id_user, 0) AS BIGINT) AS id_user, coalesce(login, '') AS login, coalesce(password, '') AS password"
+ROLE_COLS = "CAST(coalesce(id_role, 0) AS BIGINT) AS id_role, coalesce(role_name, '') AS role_name"
+DRIVER_COLS = ("CAST(coalesce(id_driver, 0) AS BIGINT) AS id_driver, CAST(coalesce(id_user, 0) AS BIGINT) AS id_user, "
+               "coalesce(last_name, '') AS last_name, coalesce(first_name, '') AS first_name, "
+               "coalesce(middle_name, '') AS middle_name, CAST(coalesce(experience, 0) AS INTEGER) AS experience")
+ROUTE_COLS = ("CAST(coalesce(id_route, 0) AS BIGINT) AS id_route, coalesce(route_name, '') AS route_name, "
+              "coalesce(CAST(distance AS DOUBLE), 0.0) AS distance, coalesce(CAST(base_payment AS DOUBLE), 0.0) AS base_payment")
+TRIP_COLS = ("CAST(coalesce(id_transportation, 0) AS BIGINT) AS id_transportation, "
+             "CAST(coalesce(id_route, 0) AS BIGINT) AS id_route, departure_date, arrival_date")
+ASSIGNMENT_COLS = ("CAST(coalesce(id_driver, 0) AS BIGINT) AS id_driver, "
+                   "CAST(coalesce(id_transportation, 0) AS BIGINT) AS id_transportation, "
+                   "CAST(coalesce(payment, 0) AS DOUBLE) AS payment, CAST(coalesce(bonus_amount, 0) AS DOUBLE) AS bonus_amount, "
+                   "coalesce(bonus_reason, '') AS bonus_reason")
+
+
+def _lookup(keys_sql: str, table: str, key: str, cols: str) -> str:
+    return with_tables(f"""
+        SELECT k.key, {cols}
+        FROM (SELECT DISTINCT {keys_sql}) k LEFT JOIN {table} x ON k.key = x.{key}""")
+
+
+def lookups() -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["scan_users"] = with_tables(f"SELECT {USER_COLS} FROM users")
+    q["scan_roles"] = with_tables(f"SELECT {ROLE_COLS} FROM roles")
+    q["scan_drivers"] = with_tables(f"SELECT {DRIVER_COLS} FROM drivers")
+    q["scan_routes"] = with_tables(f"SELECT {ROUTE_COLS} FROM routes")
+    q["scan_transportations"] = with_tables(f"SELECT {TRIP_COLS} FROM transportations")
+    q["lookup_drivers_by_id"] = _lookup("id_driver AS key FROM assignments", "drivers", "id_driver", DRIVER_COLS)
+    q["lookup_drivers_by_user"] = with_tables(f"""
+        SELECT k.key, {DRIVER_COLS}
+        FROM (SELECT DISTINCT id_user AS key FROM users) k
+        LEFT JOIN (SELECT * FROM drivers WHERE id_user IS NOT NULL
+                   QUALIFY row_number() OVER (PARTITION BY id_user ORDER BY id_driver) = 1) x
+          ON k.key = x.id_user""")
+    q["lookup_routes_by_id"] = _lookup("id_route AS key FROM transportations", "routes", "id_route", ROUTE_COLS)
+    q["lookup_transportations_by_id"] = _lookup(
+        "id_transportation AS key FROM assignments", "transportations", "id_transportation", TRIP_COLS)
+    q["assignments_for_trips"] = with_tables(f"""
+        SELECT {ASSIGNMENT_COLS} FROM assignments
+        WHERE id_transportation IN (SELECT id_transportation FROM transportations WHERE arrival_date IS NULL)""")
+    q["assignments_for_drivers"] = with_tables(f"""
+        SELECT {ASSIGNMENT_COLS} FROM assignments
+        WHERE id_driver IN (SELECT id_driver FROM drivers WHERE id_user IS NOT NULL)""")
+    return q
+
+
+# --- boards -----------------------------------------------------------------
+
+def _available(current_id: int) -> str:
+    # The reference's own statement: NOT IN with a NULL guard, OR the current id.
+    return with_tables(f"""
+        SELECT DISTINCT u.id_user, u.login FROM users u
+        JOIN user_roles ur ON u.id_user = ur.id_user
+        JOIN roles r ON ur.id_role = r.id_role
+        WHERE r.role_name = 'Водитель' AND
+              (u.id_user NOT IN (SELECT id_user FROM drivers WHERE id_user IS NOT NULL) OR u.id_user = {current_id})""")
+
+
+def boards() -> dict[str, str]:
+    fn = full_name()
+    q: dict[str, str] = {}
+    q["user_role_pairs"] = with_tables(
+        "SELECT ur.id_user, r.role_name FROM user_roles ur JOIN roles r ON ur.id_role = r.id_role")
+    q["user_roles_list"] = with_tables("""
+        SELECT u.id_user, u.login, coalesce(l.roles, '') AS roles FROM users u
+        LEFT JOIN (SELECT ur.id_user, string_agg(r.role_name, ', ' ORDER BY r.role_name) AS roles
+                   FROM user_roles ur JOIN roles r ON ur.id_role = r.id_role GROUP BY ur.id_user) l
+          ON u.id_user = l.id_user""")
+    q["users_without_roles"] = with_tables("""
+        SELECT u.id_user, u.login FROM users u
+        WHERE NOT EXISTS (SELECT 1 FROM user_roles ur WHERE ur.id_user = u.id_user)""")
+    q["available_driver_users"] = _available(0)
+    q["available_driver_users_current"] = _available(7)
+    q["driver_roster"] = with_tables(f"""
+        SELECT d.id_driver, {full_name('d')} AS full_name, d.experience,
+               CASE WHEN d.id_user > 0 THEN CAST(d.id_user AS VARCHAR) ELSE 'Нет' END AS account_id,
+               CASE WHEN d.id_user > 0 THEN coalesce(u.login, 'Нет') ELSE 'Нет' END AS account_login
+        FROM drivers d LEFT JOIN users u ON d.id_user = u.id_user AND d.id_user > 0""")
+    q["trip_board"] = with_tables(f"""
+        SELECT t.id_transportation, coalesce(r.route_name, '') AS route_name,
+               coalesce({date_text('t.departure_date')}, '') AS departure,
+               {arrival_text('t.arrival_date')} AS arrival
+        FROM transportations t LEFT JOIN routes r ON t.id_route = r.id_route""")
+    q["route_list"] = with_tables(f"""
+        SELECT id_route, coalesce(route_name, '') AS route_name,
+               {money_text('distance')} AS distance, {money_text('base_payment')} AS base_payment
+        FROM routes""")
+    q["driver_trips"] = with_tables(f"""
+        SELECT a.id_driver, a.id_transportation, coalesce(r.route_name, '') AS route_name,
+               coalesce({date_text('t.departure_date')}, '') AS departure,
+               {arrival_text('t.arrival_date')} AS arrival,
+               {money_text('a.payment')} AS payment, {money_text('a.bonus_amount')} AS bonus_amount,
+               coalesce(a.bonus_reason, '') AS bonus_reason
+        FROM assignments a
+        LEFT JOIN transportations t ON a.id_transportation = t.id_transportation
+        LEFT JOIN routes r ON t.id_route = r.id_route""")
+    q["trips_in_progress"] = with_tables(f"""
+        SELECT t.id_transportation, coalesce(r.route_name, '') AS route_name,
+               {date_text('t.departure_date')} AS departure,
+               coalesce(c.drivers, 'Не назначены') AS drivers
+        FROM transportations t
+        LEFT JOIN routes r ON t.id_route = r.id_route
+        LEFT JOIN (SELECT a.id_transportation,
+                          string_agg(coalesce({full_name('d')}, ''), ', ' ORDER BY coalesce({full_name('d')}, '')) AS drivers
+                   FROM assignments a LEFT JOIN drivers d ON a.id_driver = d.id_driver
+                   GROUP BY a.id_transportation) c ON t.id_transportation = c.id_transportation
+        WHERE t.arrival_date IS NULL""")
+    q["crew_roster"] = with_tables(f"""
+        SELECT a.id_driver, coalesce({full_name('d')}, '') AS full_name, a.id_transportation,
+               {money_text('a.payment')} AS payment,
+               {money_text('a.bonus_amount')} || ' (' || coalesce(a.bonus_reason, '') || ')' AS bonus
+        FROM assignments a LEFT JOIN drivers d ON a.id_driver = d.id_driver
+        WHERE a.id_transportation IN (SELECT id_transportation FROM transportations)""")
+    q["driver_labels"] = with_tables(f"""
+        SELECT id_driver, {fn} || ' (стаж ' || CAST(coalesce(experience, 0) AS VARCHAR) || ' лет)' AS label
+        FROM drivers""")
+    q["trip_labels"] = with_tables("""
+        SELECT t.id_transportation, 'Рейс ' || CAST(t.id_transportation AS VARCHAR) || ': ' || coalesce(r.route_name, '') AS label
+        FROM transportations t LEFT JOIN routes r ON t.id_route = r.id_route""")
+    return q
+
+
+def build() -> dict[str, str]:
+    q: dict[str, str] = {}
+    for part in (reports, lookups, boards):
+        q.update(part())
+    return q

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haulage.operators import reports
+from haulage.operators import boards, lookups, reports
 from haulage.sources.testdata import load_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,4 +29,17 @@ def build() -> dict[str, Query]:
     q["transportation_summary"] = _on_tables(reports.transportation_summary)
     q["salary_statement_captioned"] = _on_tables(reports.salary_statement_captioned)
     q["transportation_summary_captioned"] = _on_tables(reports.transportation_summary_captioned)
+    # scans and keyed selection
+    for name in ("scan_users", "scan_roles", "scan_drivers", "scan_routes", "scan_transportations"):
+        q[name] = _on_tables(getattr(lookups, name))
+    for name in ("lookup_drivers_by_id", "lookup_drivers_by_user", "lookup_routes_by_id",
+                 "lookup_transportations_by_id", "assignments_for_trips", "assignments_for_drivers"):
+        q[name] = _on_tables(getattr(lookups, name + "_q"))
+    # boards
+    for name in ("user_role_pairs", "user_roles_list", "users_without_roles", "driver_roster",
+                 "trip_board", "route_list", "driver_trips", "trips_in_progress", "crew_roster",
+                 "driver_labels", "trip_labels"):
+        q[name] = _on_tables(getattr(boards, name))
+    q["available_driver_users"] = _on_tables(lambda t: boards.available_driver_users(t, 0))
+    q["available_driver_users_current"] = _on_tables(lambda t: boards.available_driver_users(t, 7))
     return q
