@@ -267,8 +267,47 @@ def boards() -> dict[str, str]:
     return q
 
 
+# --- pay and crew -----------------------------------------------------------
+
+def multiplier_sql(exp: str) -> str:
+    # Our default bands: <5 -> 1.00, 5..9 -> 1.10, >=10 -> 1.20.
+    return (f"CAST(CASE WHEN {exp} < 5 THEN 1.00 WHEN {exp} >= 5 AND {exp} < 10 THEN 1.10 "
+            f"WHEN {exp} >= 10 THEN 1.20 END AS DECIMAL(6,2))")
+
+
+PRICED = f"""
+    SELECT a.id_driver, a.id_transportation,
+           CASE WHEN a.payment IS NULL OR a.payment < 0
+                THEN CAST(round(CAST(r.base_payment AS DECIMAL(18,2)) * {multiplier_sql('d.experience')}, 2) AS DECIMAL(18,2))
+                ELSE a.payment END AS payment,
+           a.bonus_amount, a.bonus_reason, a.seq
+    FROM assignments a
+    LEFT JOIN transportations t ON a.id_transportation = t.id_transportation
+    LEFT JOIN routes r ON t.id_route = r.id_route
+    LEFT JOIN drivers d ON a.id_driver = d.id_driver"""
+
+CREW_RANK = """
+    SELECT *, row_number() OVER (PARTITION BY id_transportation
+                                 ORDER BY seq ASC NULLS LAST, id_driver ASC NULLS LAST) AS rn
+    FROM assignments"""
+
+
+def pay() -> dict[str, str]:
+    cols = "id_driver, id_transportation, payment, bonus_amount, bonus_reason, seq"
+    q: dict[str, str] = {}
+    q["price_assignments"] = with_tables(PRICED)
+    q["pay_bands_by_driver"] = with_tables(
+        f"SELECT id_driver, experience, {multiplier_sql('experience')} AS multiplier FROM drivers")
+    q["crew_limit_accept"] = with_tables(f"SELECT {cols} FROM ({CREW_RANK}) x WHERE rn <= 2")
+    q["crew_limit_reject"] = with_tables(f"SELECT {cols} FROM ({CREW_RANK}) x WHERE rn > 2")
+    q["crew_limit_overflow"] = with_tables("""
+        SELECT id_transportation, count(*) AS crew_size FROM assignments
+        GROUP BY id_transportation HAVING count(*) > 2""")
+    return q
+
+
 def build() -> dict[str, str]:
     q: dict[str, str] = {}
-    for part in (reports, lookups, boards):
+    for part in (reports, lookups, boards, pay):
         q.update(part())
     return q

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haulage.operators import boards, lookups, reports
+from haulage.operators import boards, lookups, pay, reports
 from haulage.sources.testdata import load_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,4 +42,10 @@ def build() -> dict[str, Query]:
         q[name] = _on_tables(getattr(boards, name))
     q["available_driver_users"] = _on_tables(lambda t: boards.available_driver_users(t, 0))
     q["available_driver_users_current"] = _on_tables(lambda t: boards.available_driver_users(t, 7))
+    # pay and crew rules
+    q["price_assignments"] = _on_tables(pay.price_assignments)
+    q["pay_bands_by_driver"] = _on_tables(pay.pay_bands_by_driver)
+    q["crew_limit_accept"] = _on_tables(lambda t: pay.crew_limit_accept(t.assignments))
+    q["crew_limit_reject"] = _on_tables(lambda t: pay.crew_limit_reject(t.assignments))
+    q["crew_limit_overflow"] = _on_tables(lambda t: pay.crew_limit_overflow(t.assignments))
     return q
