@@ -306,8 +306,141 @@ def pay() -> dict[str, str]:
     return q
 
 
+# --- derived inputs and quality ---------------------------------------------
+
+def blank(x: str) -> str:
+    return rf"(regexp_replace(coalesce({x}, ''), '^\s+|\s+$', '', 'g') = '')"
+
+
+DERIVED: dict[str, str] = {
+    "dirty_routes": """
+        SELECT id_route,
+               CASE WHEN id_route % 50 = 0 THEN '' ELSE route_name END AS route_name,
+               CASE WHEN id_route % 70 = 0 THEN CAST(0.5 AS DECIMAL(18,2)) ELSE distance END AS distance,
+               CASE WHEN id_route % 90 = 0 THEN CAST(-1 AS DECIMAL(18,2)) ELSE base_payment END AS base_payment
+        FROM routes""",
+    "dirty_drivers": """
+        SELECT id_driver, id_user,
+               CASE WHEN id_driver % 10 = 0 THEN '' ELSE last_name END AS last_name,
+               first_name, middle_name,
+               CAST(CASE WHEN id_driver % 15 = 0 THEN 90 ELSE experience END AS INTEGER) AS experience
+        FROM drivers""",
+    "bonus_awards": """
+        SELECT id_driver, id_transportation,
+               CASE WHEN id_driver % 40 = 0 THEN CAST(600000 AS DECIMAL(18,2)) ELSE bonus_amount END AS bonus_amount,
+               CASE WHEN id_transportation % 25 = 0 THEN '' ELSE bonus_reason END AS bonus_reason
+        FROM assignments WHERE bonus_amount IS NOT NULL""",
+    "registrations": """
+        SELECT u.id_user, CASE WHEN u.id_user % 50 = 0 THEN '' ELSE u.login END AS login, u.password,
+               coalesce(r.roles, CAST([] AS VARCHAR[])) AS roles,
+               d.last_name, d.first_name, d.middle_name, d.experience
+        FROM users u
+        LEFT JOIN (SELECT ur.id_user, list(ro.role_name ORDER BY ro.role_name) AS roles
+                   FROM user_roles ur JOIN roles ro ON ur.id_role = ro.id_role GROUP BY ur.id_user) r
+          ON u.id_user = r.id_user
+        LEFT JOIN (SELECT * FROM drivers WHERE id_user IS NOT NULL
+                   QUALIFY row_number() OVER (PARTITION BY id_user ORDER BY id_driver) = 1) d
+          ON u.id_user = d.id_user""",
+    "o_users": "SELECT * FROM users WHERE id_user % 9 <> 0",
+    "o_transportations": "SELECT * FROM transportations WHERE id_transportation % 100 <> 0",
+    "raw_assignments": """
+        SELECT l_suppkey + 1 AS id_driver, l_orderkey + 1 AS id_transportation,
+               CAST(l_extendedprice AS DECIMAL(18,2)) AS payment, CAST(l_linenumber AS INTEGER) AS seq
+        FROM lineitem""",
+}
+
+
+def derived(*names: str) -> list[tuple[str, str]]:
+    return [(n, DERIVED[n]) for n in names]
+
+
+def password_outcome(p: str) -> str:
+    x = f"coalesce({p}, '')"
+    return (f"CASE WHEN length({x}) < 8 THEN 'too_short' "
+            f"WHEN NOT regexp_matches({x}, '[0-9]') THEN 'no_digit' "
+            f"WHEN NOT regexp_matches({x}, '[A-ZА-Я]') THEN 'no_upper' "
+            rf"WHEN NOT regexp_matches({x}, '[^a-zA-Z0-9а-яА-Я\s]') THEN 'no_special' ELSE 'ok' END")
+
+
+def _rules(table: str, keys: str, rules: list[tuple[str, str]]) -> str:
+    return "\nUNION ALL\n".join(f"SELECT {keys}, '{name}' AS rule FROM {table} WHERE {cond}"
+                                for name, cond in rules)
+
+
+def _orphan(child: str, parent: str, fk: str, key_sql: str, col: str) -> str:
+    return (f"SELECT '{fk}' AS fk, {key_sql} AS row_key, CAST(c.{col} AS BIGINT) AS missing_id FROM {child} c "
+            f"WHERE c.{col} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.{col} = c.{col})")
+
+
+def _dups(table: str, name: str, keys: list[str]) -> str:
+    key = " || '/' || ".join(f"CAST({k} AS VARCHAR)" for k in keys)
+    group = ", ".join(keys)
+    return (f"SELECT '{name}' AS table_name, {key} AS key, count(*) AS copies FROM {table} "
+            f"GROUP BY {group} HAVING count(*) > 1")
+
+
+def quality() -> dict[str, str]:
+    q: dict[str, str] = {}
+    audit = f"SELECT id_user, {password_outcome('password')} AS outcome FROM users"
+    q["password_policy_audit"] = with_tables(audit)
+    q["password_policy_summary"] = with_tables(f"SELECT outcome, count(*) AS users FROM ({audit}) a GROUP BY outcome")
+    q["validate_drivers"] = with_tables(_rules("dirty_drivers", "id_driver", [
+        ("last_name_empty", blank("last_name")),
+        ("first_name_empty", blank("first_name")),
+        ("experience_range", "(experience IS NULL OR experience < 0 OR experience > 80)"),
+        ("no_account", "(id_user IS NULL OR id_user <= 0)"),
+    ]), derived("dirty_drivers"))
+    q["validate_routes"] = with_tables(_rules("dirty_routes", "id_route", [
+        ("name_empty", blank("route_name")),
+        ("distance_range", "(distance IS NULL OR distance < 1 OR distance > 20000)"),
+        ("base_payment_range", "(base_payment IS NULL OR base_payment < 0 OR base_payment > 1000000)"),
+    ]), derived("dirty_routes"))
+    q["validate_bonuses"] = with_tables(_rules("bonus_awards", "id_driver, id_transportation", [
+        ("bonus_range", "(bonus_amount IS NULL OR bonus_amount <= 0 OR bonus_amount > 500000)"),
+        ("reason_empty", blank("bonus_reason")),
+    ]), derived("bonus_awards"))
+    has_pw = "(password IS NOT NULL AND password <> '')"
+    q["validate_registrations"] = with_tables(_rules("registrations", "id_user", [
+        ("login_empty", blank("login")),
+        ("password_empty", f"NOT {has_pw}"),
+        ("no_role", "len(roles) = 0"),
+        ("driver_last_name_empty", f"list_contains(roles, 'Водитель') AND {blank('last_name')}"),
+        ("driver_first_name_empty", f"list_contains(roles, 'Водитель') AND {blank('first_name')}"),
+    ]) + f"""
+        UNION ALL
+        SELECT id_user, 'password_' || {password_outcome('password')} AS rule FROM registrations
+        WHERE {has_pw} AND {password_outcome('password')} <> 'ok'""", derived("registrations"))
+    ur_key = "CAST(c.id_user AS VARCHAR) || '/' || CAST(c.id_role AS VARCHAR)"
+    pair = "CAST(c.id_driver AS VARCHAR) || '/' || CAST(c.id_transportation AS VARCHAR)"
+    q["fk_orphans"] = with_tables("\nUNION ALL\n".join([
+        _orphan("user_roles", "o_users", "user_roles.id_user", ur_key, "id_user"),
+        _orphan("user_roles", "roles", "user_roles.id_role", ur_key, "id_role"),
+        _orphan("drivers", "o_users", "drivers.id_user", "CAST(c.id_driver AS VARCHAR)", "id_user"),
+        _orphan("o_transportations", "routes", "transportations.id_route",
+                "CAST(c.id_transportation AS VARCHAR)", "id_route"),
+        _orphan("assignments", "drivers", "assignments.id_driver", pair, "id_driver"),
+        _orphan("assignments", "o_transportations", "assignments.id_transportation", pair, "id_transportation"),
+    ]), derived("o_users", "o_transportations"))
+    q["key_duplicates"] = with_tables("\nUNION ALL\n".join([
+        _dups("roles", "roles", ["id_role"]),
+        _dups("users", "users", ["id_user"]),
+        _dups("user_roles", "user_roles", ["id_user", "id_role"]),
+        _dups("drivers", "drivers", ["id_driver"]),
+        _dups("routes", "routes", ["id_route"]),
+        _dups("transportations", "transportations", ["id_transportation"]),
+        _dups("raw_assignments", "assignments", ["id_driver", "id_transportation"]),
+    ]), derived("raw_assignments"))
+    q["normalise_names"] = with_tables(r"""
+        SELECT id_driver,
+               regexp_replace(last_name, '^\s+|\s+$', '', 'g') AS last_name,
+               regexp_replace(first_name, '^\s+|\s+$', '', 'g') AS first_name,
+               regexp_replace(middle_name, '^\s+|\s+$', '', 'g') AS middle_name
+        FROM drivers""")
+    return q
+
+
 def build() -> dict[str, str]:
     q: dict[str, str] = {}
-    for part in (reports, lookups, boards, pay):
+    for part in (reports, lookups, boards, pay, quality):
         q.update(part())
     return q

@@ -10,7 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haulage.operators import boards, lookups, pay, reports
+from haulage.functions.text import unicode_trim
+from haulage.operators import boards, lookups, pay, quality, reports
+from haulage.sources import derived
 from haulage.sources.testdata import load_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,4 +50,17 @@ def build() -> dict[str, Query]:
     q["crew_limit_accept"] = _on_tables(lambda t: pay.crew_limit_accept(t.assignments))
     q["crew_limit_reject"] = _on_tables(lambda t: pay.crew_limit_reject(t.assignments))
     q["crew_limit_overflow"] = _on_tables(lambda t: pay.crew_limit_overflow(t.assignments))
+    # data quality
+    q["password_policy_audit"] = _on_tables(lambda t: quality.password_policy_audit(t.users))
+    q["password_policy_summary"] = _on_tables(lambda t: quality.password_policy_summary(t.users))
+    q["validate_drivers"] = _on_tables(lambda t: quality.validate_drivers(derived.dirty_drivers(t)))
+    q["validate_routes"] = _on_tables(lambda t: quality.validate_routes(derived.dirty_routes(t)))
+    q["validate_bonuses"] = _on_tables(lambda t: quality.validate_bonuses(derived.bonus_awards(t)))
+    q["validate_registrations"] = _on_tables(
+        lambda t: quality.validate_registrations(derived.registrations(t)))
+    q["fk_orphans"] = _on_tables(lambda t: quality.fk_orphans(derived.orphan_tables(t)))
+    q["key_duplicates"] = lambda spark, sf_dir: quality.key_duplicates(
+        load_tables(spark, sf_dir), derived.raw_assignments(spark, sf_dir))
+    q["normalise_names"] = _on_tables(lambda t: t.drivers.select(
+        "id_driver", *[unicode_trim(c).alias(c) for c in ("last_name", "first_name", "middle_name")]))
     return q
