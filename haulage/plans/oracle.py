@@ -439,8 +439,210 @@ def quality() -> dict[str, str]:
     return q
 
 
+# --- change batches ---------------------------------------------------------
+
+DERIVED.update({
+    "driver_changes": """
+        SELECT id_driver, CASE WHEN id_driver % 20 = 0 THEN CAST(0 AS BIGINT) ELSE id_user END AS id_user,
+               last_name, first_name, middle_name, CAST(experience + 1 AS INTEGER) AS experience,
+               id_driver AS seq
+        FROM drivers WHERE id_driver % 10 = 0""",
+    "route_changes": """
+        SELECT id_route, upper(route_name) AS route_name, distance,
+               CAST(round(base_payment * CAST(1.10 AS DECIMAL(4,2)), 2) AS DECIMAL(18,2)) AS base_payment,
+               id_route * 2 AS seq
+        FROM routes WHERE id_route % 10 = 0
+        UNION ALL
+        SELECT CAST(NULL AS BIGINT), route_name || ' 2', distance, base_payment, id_route * 2 + 1
+        FROM routes WHERE id_route % 2 = 0""",
+    "trip_changes": """
+        SELECT id_transportation, id_route, departure_date, departure_date + to_days(2) AS arrival_date,
+               true AS completed, id_transportation AS seq
+        FROM transportations WHERE arrival_date IS NULL AND id_transportation % 3 = 0""",
+    "password_changes": """
+        SELECT id_user, 'Tmp#0000' AS password, id_user * 2 AS seq FROM users WHERE id_user % 10 = 0
+        UNION ALL
+        SELECT id_user, 'Pw#9' || login, id_user * 2 + 1 FROM users WHERE id_user % 10 = 0""",
+    "bonus_changes": """
+        SELECT id_driver, id_transportation, CAST(1000 AS DECIMAL(18,2)) AS bonus_amount, 'рейс' AS bonus_reason,
+               CAST(seq AS BIGINT) AS seq
+        FROM assignments WHERE id_transportation % 10 = 0
+        UNION ALL
+        SELECT id_driver + 1000000, id_transportation, CAST(5 AS DECIMAL(18,2)), 'нет', CAST(seq AS BIGINT)
+        FROM assignments WHERE id_transportation % 10 = 0""",
+    "existing": "SELECT * FROM assignments WHERE id_transportation % 2 = 1",
+    "role_changes": """
+        SELECT id_user, 'Механик' AS role_name FROM users WHERE id_user % 10 = 0
+        UNION ALL SELECT id_user, 'Водитель' FROM users WHERE id_user % 20 = 0
+        UNION ALL SELECT id_user, 'Оператор' FROM users WHERE id_user % 30 = 0""",
+    "registration_batch": """
+        SELECT u.id_user AS reg_seq, 'new_' || u.login AS login, u.password,
+               CASE WHEN u.id_user % 30 = 0
+                    THEN list_concat(coalesce(r.roles, CAST([] AS VARCHAR[])), ['Оператор'])
+                    ELSE coalesce(r.roles, CAST([] AS VARCHAR[])) END AS roles,
+               'Н' || CAST(u.id_user AS VARCHAR) AS last_name, 'Иван' AS first_name,
+               CAST(NULL AS VARCHAR) AS middle_name, CAST(u.id_user % 40 AS INTEGER) AS experience
+        FROM users u
+        LEFT JOIN (SELECT ur.id_user, list(ro.role_name ORDER BY ro.role_name) AS roles
+                   FROM user_roles ur JOIN roles ro ON ur.id_role = ro.id_role GROUP BY ur.id_user) r
+          ON u.id_user = r.id_user
+        WHERE u.id_user % 10 = 0""",
+})
+
+
+def _latest(ch: str, keys: str) -> str:
+    return f"(SELECT * FROM {ch} QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY seq DESC) = 1)"
+
+
+def _upsert(table: str, ch: str, key: str, cols: list[str]) -> str:
+    upd = ", ".join(f"CASE WHEN u.{key} IS NOT NULL THEN u.{c} ELSE t.{c} END AS {c}" for c in cols)
+    plain = ", ".join(cols)
+    return f"""
+        SELECT t.{key}, {upd}
+        FROM {table} t LEFT JOIN {_latest(f"(SELECT * FROM {ch} WHERE {key} IS NOT NULL)", key)} u
+          ON t.{key} = u.{key}
+        UNION ALL
+        SELECT (SELECT coalesce(max({key}), 0) FROM {table}) + row_number() OVER (ORDER BY seq) AS {key}, {plain}
+        FROM {ch} WHERE {key} IS NULL"""
+
+
+def _priced(source: str) -> str:
+    return PRICED.replace("FROM assignments a", f"FROM {source} a")
+
+
+ASSIGN = {
+    "batch": """SELECT id_driver, id_transportation, payment, seq FROM assignments
+                QUALIFY row_number() OVER (PARTITION BY id_driver, id_transportation ORDER BY seq) = 1""",
+    "fresh": """SELECT b.* FROM batch b WHERE NOT EXISTS (
+                  SELECT 1 FROM existing e WHERE e.id_driver = b.id_driver AND e.id_transportation = b.id_transportation)""",
+    "valid": """SELECT * FROM fresh WHERE id_driver IN (SELECT id_driver FROM drivers)
+                AND id_transportation IN (SELECT id_transportation FROM transportations)""",
+    "accepted": """
+        SELECT v.id_driver, v.id_transportation, v.payment, CAST(NULL AS DECIMAL(18,2)) AS bonus_amount,
+               CAST(NULL AS VARCHAR) AS bonus_reason, CAST(v.seq AS INTEGER) AS seq
+        FROM (SELECT *, row_number() OVER (PARTITION BY id_transportation
+                                           ORDER BY seq ASC NULLS LAST, id_driver ASC NULLS LAST) AS rn
+              FROM valid) v
+        LEFT JOIN (SELECT id_transportation, count(*) AS crew FROM existing GROUP BY id_transportation) c
+          ON v.id_transportation = c.id_transportation
+        WHERE v.rn + coalesce(c.crew, 0) <= 2""",
+}
+
+REGISTER = {
+    "reg_as_user": "SELECT reg_seq AS id_user, login, password, roles, last_name, first_name, middle_name, experience FROM registration_batch",
+    "rejected": None,  # filled below from the registration rules
+    "ok_regs": "SELECT * FROM registration_batch WHERE reg_seq NOT IN (SELECT reg_seq FROM rejected)",
+    "new_users": """SELECT (SELECT max(id_user) FROM users) + row_number() OVER (ORDER BY reg_seq) AS id_user, *
+                    FROM ok_regs""",
+}
+
+
+def changes() -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["upsert_drivers"] = with_tables(_upsert(
+        "drivers", "dch", "id_driver", ["id_user", "last_name", "first_name", "middle_name", "experience"]),
+        derived("driver_changes") + [("dch", """
+            SELECT id_driver, CASE WHEN id_user > 0 THEN id_user END AS id_user, last_name, first_name,
+                   middle_name, experience, seq FROM driver_changes""")])
+    q["upsert_routes"] = with_tables(_upsert(
+        "routes", "route_changes", "id_route", ["route_name", "distance", "base_payment"]),
+        derived("route_changes"))
+    q["upsert_transportations"] = with_tables(_upsert(
+        "transportations", "tch", "id_transportation", ["id_route", "departure_date", "arrival_date"]),
+        derived("trip_changes") + [("tch", """
+            SELECT id_transportation, id_route, departure_date,
+                   CASE WHEN completed THEN arrival_date END AS arrival_date, seq FROM trip_changes""")])
+    q["update_user_passwords"] = with_tables(f"""
+        SELECT t.id_user, t.login, CASE WHEN u.id_user IS NOT NULL THEN u.password ELSE t.password END AS password
+        FROM users t LEFT JOIN {_latest('password_changes', 'id_user')} u ON t.id_user = u.id_user""",
+        derived("password_changes"))
+    q["set_bonuses"] = with_tables(f"""
+        SELECT t.id_driver, t.id_transportation, t.payment,
+               CASE WHEN u.id_driver IS NOT NULL THEN u.bonus_amount ELSE t.bonus_amount END AS bonus_amount,
+               CASE WHEN u.id_driver IS NOT NULL THEN u.bonus_reason ELSE t.bonus_reason END AS bonus_reason,
+               t.seq
+        FROM assignments t LEFT JOIN {_latest('bonus_changes', 'id_driver, id_transportation')} u
+          ON t.id_driver = u.id_driver AND t.id_transportation = u.id_transportation""",
+        derived("bonus_changes"))
+    assign_ctes = derived("existing") + list(ASSIGN.items())
+    q["assign_drivers"] = with_tables(
+        f"SELECT * FROM existing UNION ALL SELECT * FROM ({_priced('accepted')}) p", assign_ctes)
+    q["assign_drivers_rejected"] = with_tables("""
+        SELECT id_driver, id_transportation, 'duplicate' AS reason FROM batch b WHERE EXISTS (
+          SELECT 1 FROM existing e WHERE e.id_driver = b.id_driver AND e.id_transportation = b.id_transportation)
+        UNION ALL SELECT id_driver, id_transportation, 'unknown_driver' FROM fresh
+          WHERE id_driver NOT IN (SELECT id_driver FROM drivers)
+        UNION ALL SELECT id_driver, id_transportation, 'unknown_trip' FROM fresh
+          WHERE id_transportation NOT IN (SELECT id_transportation FROM transportations)
+        UNION ALL SELECT v.id_driver, v.id_transportation, 'crew_limit' FROM valid v WHERE NOT EXISTS (
+          SELECT 1 FROM accepted a WHERE a.id_driver = v.id_driver AND a.id_transportation = v.id_transportation)""",
+        assign_ctes)
+    # registration: the form rules over the batch, keyed by reg_seq
+    rules = quality()["validate_registrations"]
+    rules_body = rules[rules.index("SELECT id_user, 'login_empty'"):]
+    rejected = (f"SELECT id_user AS reg_seq, rule FROM ({rules_body.replace('FROM registrations', 'FROM reg_as_user')}) x "
+                "UNION ALL SELECT reg_seq, 'unknown_role:' || role_name FROM "
+                "(SELECT reg_seq, unnest(roles) AS role_name FROM registration_batch) r "
+                "WHERE role_name NOT IN (SELECT role_name FROM roles)")
+    reg = dict(REGISTER, rejected=rejected)
+    reg_ctes = derived("registration_batch") + list(reg.items())
+    q["register_users"] = with_tables(
+        "SELECT id_user, login, password FROM users UNION ALL SELECT id_user, login, password FROM new_users", reg_ctes)
+    q["register_users_roles"] = with_tables("""
+        SELECT id_user, id_role FROM user_roles UNION ALL
+        SELECT DISTINCT n.id_user, r.id_role FROM (SELECT id_user, unnest(roles) AS role_name FROM new_users) n
+        JOIN roles r ON n.role_name = r.role_name""", reg_ctes)
+    q["register_users_drivers"] = with_tables("""
+        SELECT * FROM drivers UNION ALL
+        SELECT (SELECT max(id_driver) FROM drivers) + row_number() OVER (ORDER BY reg_seq), id_user,
+               last_name, first_name, middle_name, CAST(coalesce(experience, 0) AS INTEGER)
+        FROM new_users WHERE list_contains(roles, 'Водитель')""", reg_ctes)
+    q["register_users_rejected"] = with_tables("SELECT reg_seq, rule FROM rejected", reg_ctes)
+    role_ctes = derived("role_changes") + [
+        ("unknown", """SELECT b.id_user, b.role_name FROM role_changes b
+                       WHERE NOT EXISTS (SELECT 1 FROM roles r WHERE r.role_name = b.role_name)"""),
+        ("good_users", "SELECT DISTINCT id_user FROM role_changes WHERE id_user NOT IN (SELECT id_user FROM unknown)"),
+        ("resolved", """SELECT DISTINCT b.id_user, r.id_role FROM role_changes b JOIN roles r ON b.role_name = r.role_name
+                        WHERE b.id_user IN (SELECT id_user FROM good_users)"""),
+    ]
+    q["replace_user_roles"] = with_tables("""
+        SELECT id_user, id_role FROM user_roles WHERE id_user NOT IN (SELECT id_user FROM good_users)
+        UNION ALL SELECT id_user, id_role FROM resolved""", role_ctes)
+    q["replace_user_roles_rejected"] = with_tables("SELECT id_user, role_name FROM unknown", role_ctes)
+    q["resolve_role_names"] = with_tables("SELECT id_user, id_role FROM resolved", role_ctes)
+    q["resolve_role_names_rejected"] = with_tables("SELECT id_user, role_name FROM unknown", role_ctes)
+    q["remove_assignments"] = with_tables("""
+        SELECT * FROM assignments a WHERE NOT EXISTS (
+          SELECT 1 FROM (SELECT id_driver, id_transportation FROM assignments WHERE id_driver % 10 = 0) r
+          WHERE r.id_driver = a.id_driver AND r.id_transportation = a.id_transportation)""")
+    gone_users = "(SELECT id_user FROM users WHERE id_user % 25 = 0)"
+    q["delete_users"] = with_tables(f"SELECT * FROM users WHERE id_user NOT IN {gone_users}")
+    q["delete_users_roles"] = with_tables(f"SELECT * FROM user_roles WHERE id_user NOT IN {gone_users}")
+    q["delete_users_drivers"] = with_tables(f"""
+        SELECT id_driver, CASE WHEN id_user IN {gone_users} THEN NULL ELSE id_user END AS id_user,
+               last_name, first_name, middle_name, experience FROM drivers""")
+    gone_trips = "(SELECT id_transportation FROM transportations WHERE id_transportation % 25 = 0)"
+    q["delete_transportations"] = with_tables(
+        f"SELECT * FROM transportations WHERE id_transportation NOT IN {gone_trips}")
+    q["delete_transportations_assignments"] = with_tables(
+        f"SELECT * FROM assignments WHERE id_transportation NOT IN {gone_trips}")
+    route_req = "(SELECT id_route FROM routes WHERE id_route % 25 = 0)"
+    route_refused = f"(SELECT id_route FROM {route_req} k WHERE id_route IN (SELECT id_route FROM transportations))"
+    q["delete_routes"] = with_tables(f"""
+        SELECT * FROM routes WHERE id_route NOT IN
+          (SELECT id_route FROM {route_req} k WHERE id_route NOT IN {route_refused})""")
+    q["delete_routes_refused"] = with_tables(f"SELECT id_route FROM {route_refused} r")
+    drv_req = "(SELECT id_driver FROM drivers WHERE id_driver % 25 = 0)"
+    drv_refused = f"(SELECT id_driver FROM {drv_req} k WHERE id_driver IN (SELECT id_driver FROM assignments))"
+    q["delete_drivers"] = with_tables(f"""
+        SELECT * FROM drivers WHERE id_driver NOT IN
+          (SELECT id_driver FROM {drv_req} k WHERE id_driver NOT IN {drv_refused})""")
+    q["delete_drivers_refused"] = with_tables(f"SELECT id_driver FROM {drv_refused} r")
+    return q
+
+
 def build() -> dict[str, str]:
     q: dict[str, str] = {}
-    for part in (reports, lookups, boards, pay, quality):
+    for part in (reports, lookups, boards, pay, quality, changes):
         q.update(part())
     return q

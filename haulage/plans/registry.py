@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from haulage.functions.text import unicode_trim
-from haulage.operators import boards, lookups, pay, quality, reports
+from haulage.operators import boards, changes, lookups, pay, quality, reports
 from haulage.sources import derived
 from haulage.sources.testdata import load_tables
 
@@ -63,4 +63,42 @@ def build() -> dict[str, Query]:
         load_tables(spark, sf_dir), derived.raw_assignments(spark, sf_dir))
     q["normalise_names"] = _on_tables(lambda t: t.drivers.select(
         "id_driver", *[unicode_trim(c).alias(c) for c in ("last_name", "first_name", "middle_name")]))
+    # change batches -> new snapshot tables
+    q["upsert_drivers"] = _on_tables(lambda t: changes.upsert_drivers(t.drivers, derived.driver_changes(t)))
+    q["upsert_routes"] = _on_tables(lambda t: changes.upsert_routes(t.routes, derived.route_changes(t)))
+    q["upsert_transportations"] = _on_tables(
+        lambda t: changes.upsert_transportations(t.transportations, derived.trip_changes(t)))
+    q["update_user_passwords"] = _on_tables(
+        lambda t: changes.update_user_passwords(t.users, derived.password_changes(t)))
+    q["set_bonuses"] = _on_tables(lambda t: changes.set_bonuses(t.assignments, derived.bonus_changes(t)))
+    q["assign_drivers"] = _on_tables(
+        lambda t: changes.assign_drivers(derived.assign_existing(t), derived.assign_batch(t)).assignments)
+    q["assign_drivers_rejected"] = _on_tables(
+        lambda t: changes.assign_drivers(derived.assign_existing(t), derived.assign_batch(t)).rejected)
+    reg = lambda t: changes.register_users(t, derived.registration_batch(t))
+    q["register_users"] = _on_tables(lambda t: reg(t).users)
+    q["register_users_roles"] = _on_tables(lambda t: reg(t).user_roles)
+    q["register_users_drivers"] = _on_tables(lambda t: reg(t).drivers)
+    q["register_users_rejected"] = _on_tables(lambda t: reg(t).rejected)
+    roles = lambda t: changes.replace_user_roles(t.user_roles, t.roles, derived.role_changes(t))
+    q["replace_user_roles"] = _on_tables(lambda t: roles(t).user_roles)
+    q["replace_user_roles_rejected"] = _on_tables(lambda t: roles(t).rejected)
+    q["resolve_role_names"] = _on_tables(lambda t: boards.resolve_role_names(derived.role_changes(t), t.roles)[0])
+    q["resolve_role_names_rejected"] = _on_tables(
+        lambda t: boards.resolve_role_names(derived.role_changes(t), t.roles)[1])
+    q["remove_assignments"] = _on_tables(
+        lambda t: changes.remove_assignments(t.assignments, derived.removal_pairs(t)))
+    du = lambda t: changes.delete_users(t, derived.ids_every(t.users, "id_user"))
+    q["delete_users"] = _on_tables(lambda t: du(t).users)
+    q["delete_users_roles"] = _on_tables(lambda t: du(t).user_roles)
+    q["delete_users_drivers"] = _on_tables(lambda t: du(t).drivers)
+    dt = lambda t: changes.delete_transportations(t, derived.ids_every(t.transportations, "id_transportation"))
+    q["delete_transportations"] = _on_tables(lambda t: dt(t).transportations)
+    q["delete_transportations_assignments"] = _on_tables(lambda t: dt(t).assignments)
+    dr = lambda t: changes.delete_routes(t, derived.ids_every(t.routes, "id_route"))
+    q["delete_routes"] = _on_tables(lambda t: dr(t).table)
+    q["delete_routes_refused"] = _on_tables(lambda t: dr(t).refused)
+    dd = lambda t: changes.delete_drivers(t, derived.ids_every(t.drivers, "id_driver"))
+    q["delete_drivers"] = _on_tables(lambda t: dd(t).table)
+    q["delete_drivers_refused"] = _on_tables(lambda t: dd(t).refused)
     return q

@@ -80,3 +80,108 @@ def raw_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
                      (F.col("l_orderkey") + 1).alias("id_transportation"),
                      F.col("l_extendedprice").cast(MONEY).alias("payment"),
                      F.col("l_linenumber").cast("int").alias("seq"))
+
+
+# --- change batches (FIXTURES.md §2.1) ---------------------------------------
+# Each batch carries ``seq``, the change order; rows with a NULL key insert.
+
+def driver_changes(t: Tables) -> DataFrame:
+    """Drivers with id % 10 = 0: one more year of experience; those with
+    id % 20 = 0 also lose their account (id 0 -> stored NULL)."""
+    k = F.col("id_driver")
+    return (t.drivers.where(k % 10 == 0)
+            .select("id_driver",
+                    F.when(k % 20 == 0, F.lit(0).cast("bigint")).otherwise(F.col("id_user")).alias("id_user"),
+                    "last_name", "first_name", "middle_name",
+                    (F.col("experience") + 1).cast("int").alias("experience"),
+                    k.alias("seq")))
+
+
+def route_changes(t: Tables) -> DataFrame:
+    """Routes with id % 10 = 0 renamed to upper case with base pay x 1.1;
+    every route with an even id is copied as a new route (NULL id)."""
+    r = t.routes
+    k = F.col("id_route")
+    upd = r.where(k % 10 == 0).select(
+        "id_route", F.upper("route_name").alias("route_name"), "distance",
+        F.round(F.col("base_payment") * F.lit("1.10").cast("decimal(4,2)"), 2).cast(MONEY).alias("base_payment"),
+        (k * 2).alias("seq"))
+    ins = r.where(k % 2 == 0).select(
+        F.lit(None).cast("bigint").alias("id_route"),
+        F.concat(F.col("route_name"), F.lit(" 2")).alias("route_name"), "distance", "base_payment",
+        (k * 2 + 1).alias("seq"))
+    return upd.unionByName(ins)
+
+
+def trip_changes(t: Tables) -> DataFrame:
+    """Unfinished trips with id % 3 = 0 arrive two days after departure."""
+    k = F.col("id_transportation")
+    return (t.transportations.where(F.col("arrival_date").isNull() & (k % 3 == 0))
+            .select("id_transportation", "id_route", "departure_date",
+                    F.timestamp_add("DAY", F.lit(2), F.col("departure_date")).alias("arrival_date"),
+                    F.lit(True).alias("completed"), k.alias("seq")))
+
+
+def password_changes(t: Tables) -> DataFrame:
+    """Users with id % 10 = 0 change their password twice; the later wins."""
+    u = t.users.where(F.col("id_user") % 10 == 0)
+    first = u.select("id_user", F.lit("Tmp#0000").alias("password"), (F.col("id_user") * 2).alias("seq"))
+    second = u.select("id_user", F.concat(F.lit("Pw#9"), F.col("login")).alias("password"),
+                      (F.col("id_user") * 2 + 1).alias("seq"))
+    return first.unionByName(second)
+
+
+def bonus_changes(t: Tables) -> DataFrame:
+    """A bonus of 1000.00 for every assignment on a trip with id % 10 = 0,
+    plus one change per such assignment for a pair that does not exist."""
+    a = t.assignments.where(F.col("id_transportation") % 10 == 0)
+    real = a.select("id_driver", "id_transportation", F.lit("1000.00").cast(MONEY).alias("bonus_amount"),
+                    F.lit("рейс").alias("bonus_reason"), F.col("seq").cast("long").alias("seq"))
+    absent = a.select((F.col("id_driver") + 1000000).alias("id_driver"), "id_transportation",
+                      F.lit("5.00").cast(MONEY).alias("bonus_amount"), F.lit("нет").alias("bonus_reason"),
+                      F.col("seq").cast("long").alias("seq"))
+    return real.unionByName(absent)
+
+
+def assign_existing(t: Tables) -> Tables:
+    """The snapshot before the assign batch: assignments of odd trips only."""
+    return t.with_(assignments=t.assignments.where(F.col("id_transportation") % 2 == 1))
+
+
+def assign_batch(t: Tables) -> DataFrame:
+    """Every assignment offered again (payment as stored: NULL is priced)."""
+    return t.assignments.select("id_driver", "id_transportation", "payment", "seq")
+
+
+def role_changes(t: Tables) -> DataFrame:
+    """Users with id % 10 = 0 become mechanics; id % 20 = 0 also drivers;
+    id % 30 = 0 also ask for an unknown role (whole user refused)."""
+    u = t.users.select("id_user")
+    k = F.col("id_user")
+    return (u.where(k % 10 == 0).select("id_user", F.lit("Механик").alias("role_name"))
+            .unionByName(u.where(k % 20 == 0).select("id_user", F.lit("Водитель").alias("role_name")))
+            .unionByName(u.where(k % 30 == 0).select("id_user", F.lit("Оператор").alias("role_name"))))
+
+
+def registration_batch(t: Tables) -> DataFrame:
+    """Users with id % 10 = 0 registered again as 'new_<login>' with their
+    password and roles (plus an unknown role if id % 30 = 0)."""
+    roles = (t.user_roles.join(t.roles, "id_role")
+             .groupBy("id_user").agg(F.array_sort(F.collect_list("role_name")).alias("roles")))
+    k = F.col("id_user")
+    base = F.coalesce(F.col("roles"), F.array().cast("array<string>"))
+    return (t.users.where(k % 10 == 0).join(roles, "id_user", "left")
+            .select(k.alias("reg_seq"), F.concat(F.lit("new_"), F.col("login")).alias("login"), "password",
+                    F.when(k % 30 == 0, F.concat(base, F.array(F.lit("Оператор")))).otherwise(base).alias("roles"),
+                    F.concat(F.lit("Н"), k.cast("string")).alias("last_name"), F.lit("Иван").alias("first_name"),
+                    F.lit(None).cast("string").alias("middle_name"), (k % 40).cast("int").alias("experience")))
+
+
+def removal_pairs(t: Tables) -> DataFrame:
+    """Assignments of drivers with id % 10 = 0 are taken off their trips."""
+    return t.assignments.where(F.col("id_driver") % 10 == 0).select("id_driver", "id_transportation")
+
+
+def ids_every(df: DataFrame, col: str, n: int = 25) -> DataFrame:
+    """Deletion requests: ids divisible by ``n``."""
+    return df.where(F.col(col) % n == 0).select(col)
