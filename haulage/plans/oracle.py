@@ -641,8 +641,29 @@ def changes() -> dict[str, str]:
     return q
 
 
+# --- streams ----------------------------------------------------------------
+
+def streams() -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["stream_price_assignments"] = with_tables(PRICED)
+    q["stream_crew_limit"] = with_tables("""
+        SELECT id_transportation, CAST(least(count(*), 2) AS BIGINT) AS accepted_drivers
+        FROM assignments GROUP BY id_transportation""")
+    bonused = f"""
+        SELECT t.id_driver, t.id_transportation, t.payment,
+               CASE WHEN u.id_driver IS NOT NULL THEN u.bonus_amount ELSE t.bonus_amount END AS bonus_amount,
+               t.seq
+        FROM assignments t LEFT JOIN {_latest('bonus_changes', 'id_driver, id_transportation')} u
+          ON t.id_driver = u.id_driver AND t.id_transportation = u.id_transportation"""
+    q["stream_refresh_reports"] = with_tables(
+        SALARY_BODY, derived("bonus_changes") + [
+            ("bonused", bonused),
+            ("driver_totals", DRIVER_TOTALS.replace("FROM assignments a", "FROM bonused a"))])
+    return q
+
+
 def build() -> dict[str, str]:
     q: dict[str, str] = {}
-    for part in (reports, lookups, boards, pay, quality, changes):
+    for part in (reports, lookups, boards, pay, quality, changes, streams):
         q.update(part())
     return q

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from haulage.functions.text import unicode_trim
 from haulage.operators import boards, changes, lookups, pay, quality, reports
 from haulage.sources import derived
+from haulage.streaming import ingest
 from haulage.sources.testdata import load_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,4 +102,9 @@ def build() -> dict[str, Query]:
     dd = lambda t: changes.delete_drivers(t, derived.ids_every(t.drivers, "id_driver"))
     q["delete_drivers"] = _on_tables(lambda t: dd(t).table)
     q["delete_drivers_refused"] = _on_tables(lambda t: dd(t).refused)
+    # streams (run to completion with availableNow; result read from the sink)
+    q["stream_price_assignments"] = _on_tables(ingest.stream_price_assignments)
+    q["stream_crew_limit"] = _on_tables(ingest.stream_crew_limit)
+    q["stream_refresh_reports"] = _on_tables(
+        lambda t: ingest.stream_refresh_reports(t, derived.bonus_changes(t)))
     return q
