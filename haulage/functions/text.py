@@ -83,12 +83,14 @@ def trip_label(id_transportation="id_transportation", route_name="route_name") -
 
 
 def sorted_list(x, sep: str = ", ") -> Column:
-    """Aggregate: the values of a group joined by ``sep`` in binary order.
+    """Aggregate: the non-NULL values of a group joined by ``sep`` in binary
+    order; NULL for a group without any.
 
-    Partial + final aggregation; the list is the output itself, so its size
-    is that of the group's distinct members (bounded by the crew rule).
+    ``collect_list`` + ``array_sort`` + ``array_join``: partial + final
+    aggregation, measured faster here than ``listagg ... WITHIN GROUP``
+    (which sorts inside the aggregation buffer). The list is the output
+    itself, so its size is that of the group (bounded by the crew rule).
     """
-    name = x if isinstance(x, str) else None
-    if name is None:
-        raise TypeError("sorted_list takes a column name")
-    return F.expr(f"listagg(`{name}`, '{sep}') WITHIN GROUP (ORDER BY `{name}`)")
+    c = F.col(x) if isinstance(x, str) else x
+    items = F.array_sort(F.collect_list(c))
+    return F.when(F.size(items) > 0, F.array_join(items, sep))

@@ -20,8 +20,26 @@ from haulage.schemas import MONEY
 from haulage.sources.tables import Tables
 
 
+# The source tables' schemas, declared so that reading them runs no
+# schema-inference job (one per read otherwise; at scale, a footer scan).
+SOURCE_SCHEMAS = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": ("p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+             "p_retailprice double"),
+    "orders": ("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+               "o_orderdate timestamp_ntz, o_orderpriority string"),
+    "lineitem": ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                 "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                 "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"),
+}
+
+
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    reader = spark.read
+    if name in SOURCE_SCHEMAS:
+        reader = reader.schema(SOURCE_SCHEMAS[name])
+    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def roles(spark: SparkSession) -> DataFrame:
@@ -85,8 +103,11 @@ def transportations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = source(spark, sf_dir, "lineitem")
+    # Pay is summed as exact integer cents of the decimal(18,2) value: the
+    # same total as a decimal sum, with a fixed-width (hash-aggregate) buffer.
+    cents = (F.col("l_extendedprice").cast(MONEY) * 100).cast("long")
     g = (li.groupBy("l_suppkey", "l_orderkey")
-         .agg(F.sum(F.col("l_extendedprice").cast(MONEY)).alias("pay"),
+         .agg((F.sum(cents).cast("decimal(20,0)") / 100).cast(MONEY).alias("pay"),
               F.max("l_discount").cast("decimal(4,2)").alias("m"),
               F.min("l_returnflag").alias("flag"),
               F.min("l_linenumber").alias("seq")))
