@@ -14,19 +14,24 @@ from haulage.functions.text import unicode_trim
 from haulage.operators import boards, changes, lookups, pay, quality, reports
 from haulage.sources import derived
 from haulage.streaming import ingest
+from haulage.sources.tables import Tables
 from haulage.sources.testdata import load_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
+Loader = Callable[[SparkSession, str], Tables]
 
 
-def _on_tables(op) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return op(load_tables(spark, sf_dir))
-    run.__name__ = getattr(op, "__name__", "query")
-    return run
+def build(loader: Loader = load_tables) -> dict[str, Query]:
+    """All registered queries. ``loader`` gives the seven tables for a
+    ``sf_dir``: the test-data adapter by default, or e.g. a stored snapshot
+    (``haulage.sources.tables.read_snapshot``)."""
 
+    def _on_tables(op) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return op(loader(spark, sf_dir))
+        run.__name__ = getattr(op, "__name__", "query")
+        return run
 
-def build() -> dict[str, Query]:
     q: dict[str, Query] = {}
     q["salary_statement"] = _on_tables(reports.salary_statement)
     q["transportation_summary"] = _on_tables(reports.transportation_summary)
@@ -61,7 +66,7 @@ def build() -> dict[str, Query]:
         lambda t: quality.validate_registrations(derived.registrations(t)))
     q["fk_orphans"] = _on_tables(lambda t: quality.fk_orphans(derived.orphan_tables(t)))
     q["key_duplicates"] = lambda spark, sf_dir: quality.key_duplicates(
-        load_tables(spark, sf_dir), derived.raw_assignments(spark, sf_dir))
+        loader(spark, sf_dir), derived.raw_assignments(spark, sf_dir))
     q["normalise_names"] = _on_tables(lambda t: t.drivers.select(
         "id_driver", *[unicode_trim(c).alias(c) for c in ("last_name", "first_name", "middle_name")]))
     # change batches -> new snapshot tables
