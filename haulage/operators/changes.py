@@ -131,7 +131,7 @@ def assign_drivers(t: Tables, batch: DataFrame, limit: int = pay.DEFAULT_CREW_LI
     over = valid.join(accepted.select(*pairs), pairs, "left_anti")
     new_rows = accepted.select(*pairs, "payment", F.lit(None).cast("decimal(18,2)").alias("bonus_amount"),
                                F.lit(None).cast("string").alias("bonus_reason"), F.col("seq").cast("int"))
-    priced = pay.price_assignments(t.with_(assignments=new_rows.select(*existing.columns)), bands)
+    priced = pay.price_assignments(t.with_(assignments=new_rows.select(*existing.columns)), bands, split=False)
     rejected = (dup.select(*pairs, F.lit("duplicate").alias("reason"))
                 .unionByName(no_driver.select(*pairs, F.lit("unknown_driver").alias("reason")))
                 .unionByName(no_trip.select(*pairs, F.lit("unknown_trip").alias("reason")))

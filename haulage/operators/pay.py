@@ -90,24 +90,35 @@ def needs_pricing(payment: Column) -> Column:
     return payment.isNull() | (payment < 0)
 
 
-def price_assignments(t: Tables, bands=DEFAULT_BANDS) -> DataFrame:
+def price_assignments(t: Tables, bands=DEFAULT_BANDS, split: bool = True) -> DataFrame:
     """Assignments with every missing payment computed (#34).
 
-    Only rows that need a price go through the three joins (trip -> route,
-    driver); the rest pass through without a shuffle. An assignment whose
+    With ``split`` (for stored tables, where re-reading is a scan), only rows
+    that need a price go through the three joins (trip -> route, driver)
+    and the rest pass through without a shuffle. Without it (for an input
+    that is itself an expensive plan, which a two-branch union would compute
+    twice), every row goes through the joins once. An assignment whose
     trip, route or driver is missing keeps a NULL payment.
     """
     a = t.assignments
-    kept = a.where(~needs_pricing(F.col("payment")) )
-    todo = a.where(needs_pricing(F.col("payment"))).drop("payment")
     trips = t.transportations.select("id_transportation", "id_route")
     routes = t.routes.select("id_route", "base_payment")
     drivers = t.drivers.select("id_driver", "experience")
-    priced = (todo.join(trips, "id_transportation", "left")
-              .join(routes, "id_route", "left")
-              .join(drivers, "id_driver", "left")
-              .withColumn("payment", computed_pay(F.col("base_payment"), F.col("experience"), bands)))
-    return kept.unionByName(priced.select(*a.columns))
+
+    def priced(rows: DataFrame) -> DataFrame:
+        return (rows.join(trips, "id_transportation", "left")
+                .join(routes, "id_route", "left")
+                .join(drivers, "id_driver", "left"))
+
+    computed = computed_pay(F.col("base_payment"), F.col("experience"), bands)
+    if not split:
+        return (priced(a)
+                .withColumn("payment", F.when(needs_pricing(F.col("payment")), computed)
+                            .otherwise(F.col("payment")))
+                .select(*a.columns))
+    kept = a.where(~needs_pricing(F.col("payment")))
+    todo = priced(a.where(needs_pricing(F.col("payment"))).drop("payment")).withColumn("payment", computed)
+    return kept.unionByName(todo.select(*a.columns))
 
 
 # --- crew limit -------------------------------------------------------------

@@ -129,7 +129,8 @@ def validate_registrations(regs: DataFrame, driver_role: str = "Водитель
 
 def _orphans(child: DataFrame, parent: DataFrame, fk: str, child_key: Column,
              col: str, parent_col: str) -> DataFrame:
-    p = parent.select(F.col(parent_col).alias(col)).distinct()
+    # An anti join needs no distinct right side: one shuffle per side.
+    p = parent.select(F.col(parent_col).alias(col))
     return (child.where(F.col(col).isNotNull())
             .join(p, col, "left_anti")
             .select(F.lit(fk).alias("fk"), child_key.cast("string").alias("row_key"),
