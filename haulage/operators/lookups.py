@@ -140,6 +140,11 @@ def under_way(trips: DataFrame) -> DataFrame:
     return trips.where(F.col("arrival_date").isNull())
 
 
+def trips_under_way(t: Tables) -> DataFrame:
+    """#13 on its own: every trip still under way (defaults as in a scan)."""
+    return under_way(t.transportations).select(*trip_cols())
+
+
 # --- bound to the reference's own call sites --------------------------------
 # Each reference loop looks up the keys held by another table; these take the
 # same key sets, whole.

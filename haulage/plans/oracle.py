@@ -182,6 +182,7 @@ def lookups() -> dict[str, str]:
     q["lookup_routes_by_id"] = _lookup("id_route AS key FROM transportations", "routes", "id_route", ROUTE_COLS)
     q["lookup_transportations_by_id"] = _lookup(
         "id_transportation AS key FROM assignments", "transportations", "id_transportation", TRIP_COLS)
+    q["trips_under_way"] = with_tables(f"SELECT {TRIP_COLS} FROM transportations WHERE arrival_date IS NULL")
     q["assignments_for_trips"] = with_tables(f"""
         SELECT {ASSIGNMENT_COLS} FROM assignments
         WHERE id_transportation IN (SELECT id_transportation FROM transportations WHERE arrival_date IS NULL)""")
@@ -547,6 +548,7 @@ def changes() -> dict[str, str]:
     q["upsert_routes"] = with_tables(_upsert(
         "routes", "route_changes", "id_route", ["route_name", "distance", "base_payment"]),
         derived("route_changes"))
+    q["snapshot_sink"] = q["upsert_routes"]
     q["upsert_transportations"] = with_tables(_upsert(
         "transportations", "tch", "id_transportation", ["id_route", "departure_date", "arrival_date"]),
         derived("trip_changes") + [("tch", """

@@ -14,13 +14,24 @@ from haulage.functions.text import unicode_trim
 from haulage.operators import boards, changes, lookups, pay, quality, reports
 from haulage.sources import derived
 from haulage.streaming import ingest
-from haulage.sources.tables import Tables
+from haulage.session import scratch_path
+from haulage.sources.tables import Tables, write_snapshot
 from haulage.sources.testdata import load_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 Loader = Callable[[SparkSession, str], Tables]
 
 
+def _snapshot_roundtrip(t: Tables) -> DataFrame:
+    """#6: upsert routes, write the new snapshot (new folder on shared
+    storage), read it back with the fixed schemas."""
+    spark = t.routes.sparkSession
+    path = scratch_path(spark, "snapshot")
+    new = t.with_(routes=changes.upsert_routes(t.routes, derived.route_changes(t)))
+    write_snapshot(new, path, only=("routes",))
+    return spark.read.schema(new.routes.schema).parquet(f"{path}/routes")
+
+
 def build(loader: Loader = load_tables) -> dict[str, Query]:
     """All registered queries. ``loader`` gives the seven tables for a
     ``sf_dir``: the test-data adapter by default, or e.g. a stored snapshot
@@ -43,6 +54,7 @@ def build(loader: Loader = load_tables) -> dict[str, Query]:
     for name in ("lookup_drivers_by_id", "lookup_drivers_by_user", "lookup_routes_by_id",
                  "lookup_transportations_by_id", "assignments_for_trips", "assignments_for_drivers"):
         q[name] = _on_tables(getattr(lookups, name + "_q"))
+    q["trips_under_way"] = _on_tables(lookups.trips_under_way)
     # boards
     for name in ("user_role_pairs", "user_roles_list", "users_without_roles", "driver_roster",
                  "trip_board", "route_list", "driver_trips", "trips_in_progress", "crew_roster",
@@ -107,6 +119,8 @@ def build(loader: Loader = load_tables) -> dict[str, Query]:
     dd = lambda t: changes.delete_drivers(t, derived.ids_every(t.drivers, "id_driver"))
     q["delete_drivers"] = _on_tables(lambda t: dd(t).table)
     q["delete_drivers_refused"] = _on_tables(lambda t: dd(t).refused)
+    # snapshot sink: a change batch published as a new snapshot and read back
+    q["snapshot_sink"] = _on_tables(_snapshot_roundtrip)
     # streams (run to completion with availableNow; result read from the sink)
     q["stream_price_assignments"] = _on_tables(ingest.stream_price_assignments)
     q["stream_crew_limit"] = _on_tables(ingest.stream_crew_limit)
