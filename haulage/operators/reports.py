@@ -52,19 +52,30 @@ SUMMARY_CAPTIONS = {
 }
 
 
-def driver_totals(assignments: DataFrame, transportations: DataFrame) -> DataFrame:
-    """Per driver: completed and under-way trip counts, pay and bonus sums."""
+def with_trip_status(assignments: DataFrame, transportations: DataFrame) -> DataFrame:
+    """Assignments with ``under_way``: their trip's arrival is NULL; NULL
+    when the trip does not exist."""
     status = transportations.select(
         "id_transportation", F.col("arrival_date").isNull().alias("under_way"))
     return (assignments.select("id_driver", "id_transportation", "payment", "bonus_amount")
-            .join(status, "id_transportation", "left")
-            .groupBy("id_driver")
+            .join(status, "id_transportation", "left"))
+
+
+def totals_by_driver(rows: DataFrame) -> DataFrame:
+    """Per driver: completed and under-way trip counts, pay and bonus sums,
+    over assignment rows carrying ``under_way``."""
+    return (rows.groupBy("id_driver")
             .agg(F.count_if(~F.col("under_way")).alias("completed_trips"),
                  F.count_if(F.col("under_way")).alias("trips_in_progress"),
                  F.sum(F.coalesce("payment", _zero())).alias("pay"),
                  F.sum(F.coalesce("bonus_amount", _zero())).alias("bonus")))
 
 
+def driver_totals(assignments: DataFrame, transportations: DataFrame) -> DataFrame:
+    """Per driver: completed and under-way trip counts, pay and bonus sums."""
+    return totals_by_driver(with_trip_status(assignments, transportations))
+
+
 def salary_statement(t: Tables) -> DataFrame:
     """One row per driver."""
     totals = driver_totals(t.assignments, t.transportations)

@@ -15,9 +15,10 @@ executor) resumes from its offsets and state:
   consumed chunk by chunk keeping only the best ``limit`` candidates, so
   neither state nor memory grows with a hot trip.
 - ``refresh_reports_stream`` (#53): assignment changes (bonus updates) are
-  logged per batch; each batch recomputes salary rows only for the drivers
-  it touches, from the base snapshot with every change so far applied; the
-  report is the initial statement overlaid by the latest row per driver.
+  logged per batch by driver bucket; each batch recomputes salary rows only
+  for the drivers it touches, reading only their buckets of the base (laid
+  out once at start) with every change so far applied; the report is the
+  initial statement overlaid by the latest row per driver.
 """
 
 from __future__ import annotations
@@ -133,24 +134,60 @@ def stream_crew_limit(t: Tables, files: int = 4) -> DataFrame:
 
 # --- #53 --------------------------------------------------------------------
 
-def refresh_reports_stream(t: Tables, feed: DataFrame, base: str) -> DataFrame:
+DRIVER_BUCKETS = 64
+
+
+def driver_bucket(buckets: int = DRIVER_BUCKETS):
+    return F.pmod(F.xxhash64("id_driver"), F.lit(buckets)).cast("int").alias("driver_bucket")
+
+
+def refresh_reports_stream(t: Tables, feed: DataFrame, base: str,
+                           buckets: int = DRIVER_BUCKETS) -> DataFrame:
     """Keep the salary statement current under a stream of bonus changes
-    (id_driver, id_transportation, bonus_amount, bonus_reason, seq)."""
+    (id_driver, id_transportation, bonus_amount, bonus_reason, seq).
+
+    At start, the statement is computed once, and the assignments (with
+    their trip's status) and the drivers are laid out by driver bucket under
+    ``base``. Each micro-batch logs its changes by bucket, then reads only
+    the buckets it touches (partition pruning) to recompute its drivers' rows
+    from the base with every change so far applied. The touched bucket
+    numbers are the only values brought to the driver (at most ``buckets``).
+    Trip status is taken at stream start: this stream carries assignment
+    changes only.
+    """
     spark = t.assignments.sparkSession
     log_dir, report_dir = f"{base}/log", f"{base}/report"
+    rows_dir, drivers_dir = f"{base}/assignments", f"{base}/drivers"
     initial = reports.salary_statement(t)
     initial.write.mode("overwrite").parquet(f"{report_dir}/batch=-1")
-    feed_schema = feed.schema
+    rows = reports.with_trip_status(t.assignments, t.transportations)
+    rows.withColumn("driver_bucket", driver_bucket(buckets)) \
+        .write.mode("overwrite").partitionBy("driver_bucket").parquet(rows_dir)
+    t.drivers.withColumn("driver_bucket", driver_bucket(buckets)) \
+        .write.mode("overwrite").partitionBy("driver_bucket").parquet(drivers_dir)
+    rows_schema = rows.schema.add("driver_bucket", T.IntegerType())
+    drivers_schema = t.drivers.schema.add("driver_bucket", T.IntegerType())
+    log_schema = T.StructType([*feed.schema.fields, T.StructField("driver_bucket", T.IntegerType())])
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{log_dir}/batch={batch_id}")
-        log = _batches(spark, log_dir, feed_schema).where(F.col("batch") <= batch_id).drop("batch")
+        tagged = batch.withColumn("driver_bucket", driver_bucket(buckets))
+        tagged.write.mode("overwrite").partitionBy("driver_bucket").parquet(f"{log_dir}/batch={batch_id}")
+        touched_buckets = [r[0] for r in tagged.select("driver_bucket").distinct().collect()]
+        if not touched_buckets:
+            return
+        in_touched = F.col("driver_bucket").isin(touched_buckets)
         touched = batch.select("id_driver").distinct()
-        mine = t.assignments.join(touched, "id_driver", "left_semi")
-        current = changes.set_bonuses(mine, log.join(touched, "id_driver", "left_semi"))
-        rows = reports.salary_rows(t.drivers.join(touched, "id_driver", "left_semi"),
-                                   reports.driver_totals(current, t.transportations))
-        rows.write.mode("overwrite").parquet(f"{report_dir}/batch={batch_id}")
+        log = (_batches(spark, log_dir, log_schema)
+               .where((F.col("batch") <= batch_id) & in_touched)
+               .drop("batch", "driver_bucket"))
+        mine = (spark.read.schema(rows_schema).parquet(rows_dir).where(in_touched)
+                .drop("driver_bucket").join(touched, "id_driver", "left_semi"))
+        current = changes.apply_updates(mine, log.join(touched, "id_driver", "left_semi"),
+                                        ["id_driver", "id_transportation"], ["bonus_amount"])
+        drivers = (spark.read.schema(drivers_schema).parquet(drivers_dir).where(in_touched)
+                   .drop("driver_bucket").join(touched, "id_driver", "left_semi"))
+        out = reports.salary_rows(drivers, reports.totals_by_driver(current))
+        out.write.mode("overwrite").parquet(f"{report_dir}/batch={batch_id}")
 
     _run(feed.writeStream.foreachBatch(each).option("checkpointLocation", f"{base}/checkpoint"))
     versions = _batches(spark, report_dir, initial.schema)
