@@ -102,15 +102,28 @@ def transportations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = source(spark, sf_dir, "lineitem")
+    return assignments_from_lines(source(spark, sf_dir, "lineitem"))
+
+
+def assignments_from_lines(li: DataFrame) -> DataFrame:
+    """One assignment per (supplier, order) of the line items."""
     # Pay is summed as exact integer cents of the decimal(18,2) value: the
     # same total as a decimal sum, with a fixed-width (hash-aggregate) buffer.
     cents = (F.col("l_extendedprice").cast(MONEY) * 100).cast("long")
+    # The return flag is one ASCII character (its TPC-H domain): its smallest
+    # value is the smallest code point, which a hash aggregate can keep (a
+    # string minimum forces a sort-based aggregate). A value outside the
+    # domain stops the query instead of giving a wrong minimum.
+    flag = F.col("l_returnflag")
+    code = (F.when((F.length(flag) != 1) | (F.ascii(flag) > 127),
+                   F.raise_error(F.lit("l_returnflag must be one ASCII character")).cast("int"))
+            .otherwise(F.ascii(flag)))
     g = (li.groupBy("l_suppkey", "l_orderkey")
          .agg((F.sum(cents).cast("decimal(20,0)") / 100).cast(MONEY).alias("pay"),
               F.max("l_discount").cast("decimal(4,2)").alias("m"),
-              F.min("l_returnflag").alias("flag"),
-              F.min("l_linenumber").alias("seq")))
+              F.min(code).alias("flag_code"),
+              F.min("l_linenumber").alias("seq"))
+         .withColumn("flag", F.char("flag_code")))
     has_bonus = F.col("m") >= F.lit(0.05).cast("decimal(4,2)")
     return g.select((F.col("l_suppkey") + 1).alias("id_driver"),
                     (F.col("l_orderkey") + 1).alias("id_transportation"),

@@ -46,3 +46,16 @@ def test_accepted_and_rejected_partition_the_input(spark):
     assert acc.count() + rej.count() == a.count()
     assert acc.unionByName(rej).exceptAll(a).count() == 0
     assert acc.groupBy("id_transportation").count().where("count > 2").count() == 0
+
+
+def test_adapter_flag_outside_domain_fails_loudly(spark):
+    import pytest
+    from haulage.sources.testdata import SOURCE_SCHEMAS, assignments_from_lines
+    import datetime as dt
+    ok = [(1, 1, 1, 1, 1.0, 10.0, 0.07, 0.0, "R", "F", dt.datetime(2024, 1, 1)),
+          (1, 1, 1, 2, 1.0, 10.0, 0.01, 0.0, "A", "F", dt.datetime(2024, 1, 1))]
+    r = assignments_from_lines(spark.createDataFrame(ok, SOURCE_SCHEMAS["lineitem"])).first()
+    assert r.bonus_reason == "A" and r.payment == D(20) and r.bonus_amount == D(700) and r.seq == 1
+    bad = ok + [(1, 1, 1, 3, 1.0, 10.0, 0.0, 0.0, "RX", "F", dt.datetime(2024, 1, 1))]
+    with pytest.raises(Exception, match="one ASCII character"):
+        assignments_from_lines(spark.createDataFrame(bad, SOURCE_SCHEMAS["lineitem"])).collect()
