@@ -50,3 +50,30 @@ def test_crew_limit_with_hot_trip(spark):
     hot = sorted(r.seq for r in acc.where("id_transportation = 1").collect())
     assert hot == sorted(a[a.id_transportation == 1].seq)[:2]
     assert acc.count() + pay.crew_limit_reject(t.assignments).count() == len(a)
+
+
+def test_aqe_splits_the_hot_driver_in_crew_totals(spark):
+    """With broadcasts off (a large dimension), AQE's skew join splits the
+    hot driver's partition of assignments ⋈ drivers across tasks."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        t, a, _ = hot_tables(spark, 120000)
+        t = t.with_(assignments=t.assignments.repartition(8))  # several map tasks, as in any real scan
+        df = reports.crew_totals(t.assignments, t.drivers)
+        rows = df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin(skew=true)" in plan and "AQEShuffleRead skewed" in plan
+        assert sum(len(r.drivers.split(", ")) for r in rows) == len(a)
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
