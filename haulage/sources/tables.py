@@ -7,8 +7,6 @@ previous snapshot whole and a retried task rewrites only its own files.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields, replace
-
 from pyspark.sql import DataFrame, SparkSession
 
 from haulage import schemas
@@ -16,27 +14,47 @@ from haulage import schemas
 TABLE_NAMES = ("roles", "users", "user_roles", "drivers", "routes", "transportations", "assignments")
 
 
-@dataclass(frozen=True)
 class Tables:
-    roles: DataFrame
-    users: DataFrame
-    user_roles: DataFrame
-    drivers: DataFrame
-    routes: DataFrame
-    transportations: DataFrame
-    assignments: DataFrame
+    """The seven tables. Each is given as a DataFrame or as a zero-argument
+    function returning one; a function is called on first use only, so a
+    query pays (in plan building) only for the tables it touches."""
+
+    __slots__ = ("_sources", "_built")
+
+    def __init__(self, **tables):
+        unknown = set(tables) - set(TABLE_NAMES)
+        missing = set(TABLE_NAMES) - set(tables)
+        if unknown or missing:
+            raise TypeError(f"Tables needs exactly {TABLE_NAMES}; unknown {unknown}, missing {missing}")
+        object.__setattr__(self, "_sources", dict(tables))
+        object.__setattr__(self, "_built", {})
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in TABLE_NAMES:
+            raise AttributeError(name)
+        built = self._built
+        if name not in built:
+            src = self._sources[name]
+            built[name] = src if isinstance(src, DataFrame) else src()
+        return built[name]
+
+    def __setattr__(self, name, value):
+        raise AttributeError("Tables is immutable; use with_()")
 
-    def with_(self, **changed: DataFrame) -> "Tables":
-        return replace(self, **changed)
+    def with_(self, **changed) -> "Tables":
+        sources = {n: (self._built[n] if n in self._built else self._sources[n]) for n in TABLE_NAMES}
+        sources.update(changed)
+        return Tables(**sources)
 
     def items(self):
-        return [(f.name, getattr(self, f.name)) for f in fields(self)]
+        return [(n, getattr(self, n)) for n in TABLE_NAMES]
 
 
 def read_snapshot(spark: SparkSession, path: str) -> Tables:
     """Read a snapshot written by ``write_snapshot`` (fixed schemas, no inference)."""
+    base = path.rstrip("/")
     return Tables(**{
-        name: spark.read.schema(schemas.ALL[name]).parquet(f"{path.rstrip('/')}/{name}")
+        name: (lambda n=name: spark.read.schema(schemas.ALL[n]).parquet(f"{base}/{n}"))
         for name in TABLE_NAMES
     })
 

@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulage import schemas
-from haulage.schemas import MONEY
 from haulage.sources.tables import Tables
 
 
@@ -46,59 +45,58 @@ def roles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(schemas.ROLE_ROWS, schemas.ROLES)
 
 
+# The builders below use SQL expression strings (``selectExpr``/``expr``):
+# the same Catalyst plan as Column objects, with a fraction of the Python-JVM
+# round trips when the plan is built.
+
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = source(spark, sf_dir, "customer")
-    k = F.col("c_custkey")
     # One password per custkey % 5 class, covering each outcome
     # of the password policy (too short, no upper, no digit, no special, ok).
-    password = (F.when(k % 5 == 0, F.lit("Ab1#"))
-                .when(k % 5 == 1, F.lit("abcdefg#1"))
-                .when(k % 5 == 2, F.lit("Abcdefgh#"))
-                .when(k % 5 == 3, F.lit("Abcdefg12"))
-                .otherwise(F.concat(F.col("c_mktsegment"), F.lit("#"), k.cast("string"))))
-    return c.select((k + 1).alias("id_user"), F.col("c_name").alias("login"), password.alias("password"))
+    return source(spark, sf_dir, "customer").selectExpr(
+        "c_custkey + 1 AS id_user",
+        "c_name AS login",
+        """CASE c_custkey % 5 WHEN 0 THEN 'Ab1#' WHEN 1 THEN 'abcdefg#1' WHEN 2 THEN 'Abcdefgh#'
+                WHEN 3 THEN 'Abcdefg12' ELSE concat(c_mktsegment, '#', CAST(c_custkey AS STRING)) END AS password""")
 
 
 def user_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = source(spark, sf_dir, "orders")
-    digit = F.expr("try_cast(substring(o_orderpriority, 1, 1) AS BIGINT)")
-    return (o.where((F.col("o_orderkey") % 9 == 0))
-            .select((F.col("o_custkey") + 1).alias("id_user"), digit.alias("id_role"))
-            .where(F.col("id_role") < 5)
+    return (source(spark, sf_dir, "orders")
+            .where("o_orderkey % 9 = 0")
+            .selectExpr("o_custkey + 1 AS id_user",
+                        "try_cast(substring(o_orderpriority, 1, 1) AS BIGINT) AS id_role")
+            .where("id_role < 5")
             .distinct())
 
 
 def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = source(spark, sf_dir, "part")
-    return p.select((F.col("p_partkey") + 1).alias("id_route"),
-                    F.col("p_name").alias("route_name"),
-                    (F.col("p_size") * 100).cast(MONEY).alias("distance"),
-                    F.col("p_retailprice").cast(MONEY).alias("base_payment"))
+    return source(spark, sf_dir, "part").selectExpr(
+        "p_partkey + 1 AS id_route",
+        "p_name AS route_name",
+        "CAST(p_size * 100 AS DECIMAL(18,2)) AS distance",
+        "CAST(p_retailprice AS DECIMAL(18,2)) AS base_payment")
 
 
 def drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = source(spark, sf_dir, "supplier")
-    k = F.col("s_suppkey")
-    return s.select((k + 1).alias("id_driver"),
-                    F.when(k % 5 != 0, k + 1).cast("bigint").alias("id_user"),
-                    F.col("s_name").alias("last_name"),
-                    F.concat(F.lit("F"), (k % 7).cast("string")).alias("first_name"),
-                    F.when(k % 3 != 0, F.concat(F.lit("M"), (k % 4).cast("string"))).alias("middle_name"),
-                    F.col("s_nationkey").cast("int").alias("experience"))
+    return source(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey + 1 AS id_driver",
+        "CAST(CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey + 1 END AS BIGINT) AS id_user",
+        "s_name AS last_name",
+        "concat('F', CAST(s_suppkey % 7 AS STRING)) AS first_name",
+        "CASE WHEN s_suppkey % 3 <> 0 THEN concat('M', CAST(s_suppkey % 4 AS STRING)) END AS middle_name",
+        "CAST(s_nationkey AS INT) AS experience")
 
 
 def transportations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = source(spark, sf_dir, "orders")
     first_part = (source(spark, sf_dir, "lineitem")
-                  .groupBy("l_orderkey").agg(F.min("l_partkey").alias("min_part")))
-    days = (F.col("o_orderkey") % 10 + 1).cast("int")
-    arrival = F.when(F.col("o_orderstatus") == "F",
-                     F.timestamp_add("DAY", days, F.col("o_orderdate")))
+                  .groupBy("l_orderkey").agg(F.expr("min(l_partkey) AS min_part")))
+    o = source(spark, sf_dir, "orders")
     return (o.join(first_part, o.o_orderkey == first_part.l_orderkey, "left")
-            .select((F.col("o_orderkey") + 1).alias("id_transportation"),
-                    (F.col("min_part") + 1).alias("id_route"),
-                    F.col("o_orderdate").alias("departure_date"),
-                    arrival.alias("arrival_date")))
+            .selectExpr("o_orderkey + 1 AS id_transportation",
+                        "min_part + 1 AS id_route",
+                        "o_orderdate AS departure_date",
+                        """CASE WHEN o_orderstatus = 'F'
+                                THEN timestampadd(DAY, CAST(o_orderkey % 10 + 1 AS INT), o_orderdate) END
+                           AS arrival_date"""))
 
 
 def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,41 +104,41 @@ def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assignments_from_lines(li: DataFrame) -> DataFrame:
-    """One assignment per (supplier, order) of the line items."""
-    # Pay is summed as exact integer cents of the decimal(18,2) value: the
-    # same total as a decimal sum, with a fixed-width (hash-aggregate) buffer.
-    cents = (F.col("l_extendedprice").cast(MONEY) * 100).cast("long")
-    # The return flag is one ASCII character (its TPC-H domain): its smallest
-    # value is the smallest code point, which a hash aggregate can keep (a
-    # string minimum forces a sort-based aggregate). A value outside the
-    # domain stops the query instead of giving a wrong minimum.
-    flag = F.col("l_returnflag")
-    code = (F.when((F.length(flag) != 1) | (F.ascii(flag) > 127),
-                   F.raise_error(F.lit("l_returnflag must be one ASCII character")).cast("int"))
-            .otherwise(F.ascii(flag)))
-    g = (li.groupBy("l_suppkey", "l_orderkey")
-         .agg((F.sum(cents).cast("decimal(20,0)") / 100).cast(MONEY).alias("pay"),
-              F.max("l_discount").cast("decimal(4,2)").alias("m"),
-              F.min(code).alias("flag_code"),
-              F.min("l_linenumber").alias("seq"))
-         .withColumn("flag", F.char("flag_code")))
-    has_bonus = F.col("m") >= F.lit(0.05).cast("decimal(4,2)")
-    return g.select((F.col("l_suppkey") + 1).alias("id_driver"),
-                    (F.col("l_orderkey") + 1).alias("id_transportation"),
-                    F.when(F.col("l_orderkey") % 4 != 0, F.col("pay").cast(MONEY)).alias("payment"),
-                    F.when(has_bonus, (F.col("m") * 10000).cast(MONEY)).alias("bonus_amount"),
-                    F.when(has_bonus, F.col("flag")).alias("bonus_reason"),
-                    F.col("seq").cast("int").alias("seq"))
+    """One assignment per (supplier, order) of the line items.
+
+    Pay is summed as exact integer cents of the decimal(18,2) value: the
+    same total as a decimal sum, with a fixed-width (hash-aggregate) buffer.
+    The return flag is one ASCII character (its TPC-H domain): its smallest
+    value is the smallest code point, which a hash aggregate can keep (a
+    string minimum forces a sort-based aggregate). A value outside the
+    domain stops the query instead of giving a wrong minimum.
+    """
+    g = li.groupBy("l_suppkey", "l_orderkey").agg(
+        F.expr("CAST(CAST(sum(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT)) AS DECIMAL(20,0))"
+               " / 100 AS DECIMAL(18,2)) AS pay"),
+        F.expr("CAST(max(l_discount) AS DECIMAL(4,2)) AS m"),
+        F.expr("""min(CASE WHEN length(l_returnflag) <> 1 OR ascii(l_returnflag) > 127
+                           THEN CAST(raise_error('l_returnflag must be one ASCII character') AS INT)
+                           ELSE ascii(l_returnflag) END) AS flag_code"""),
+        F.expr("min(l_linenumber) AS seq"))
+    return g.selectExpr(
+        "l_suppkey + 1 AS id_driver",
+        "l_orderkey + 1 AS id_transportation",
+        "CASE WHEN l_orderkey % 4 <> 0 THEN pay END AS payment",
+        "CASE WHEN m >= 0.05 THEN CAST(m * 10000 AS DECIMAL(18,2)) END AS bonus_amount",
+        "CASE WHEN m >= 0.05 THEN char(flag_code) END AS bonus_reason",
+        "CAST(seq AS INT) AS seq")
 
 
 def load_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """All seven tables over the test data in ``sf_dir`` (lazy)."""
+    """All seven tables over the test data in ``sf_dir``; each is built on
+    first use (and all of them are lazy DataFrames)."""
     return Tables(
-        roles=roles(spark),
-        users=users(spark, sf_dir),
-        user_roles=user_roles(spark, sf_dir),
-        drivers=drivers(spark, sf_dir),
-        routes=routes(spark, sf_dir),
-        transportations=transportations(spark, sf_dir),
-        assignments=assignments(spark, sf_dir),
+        roles=lambda: roles(spark),
+        users=lambda: users(spark, sf_dir),
+        user_roles=lambda: user_roles(spark, sf_dir),
+        drivers=lambda: drivers(spark, sf_dir),
+        routes=lambda: routes(spark, sf_dir),
+        transportations=lambda: transportations(spark, sf_dir),
+        assignments=lambda: assignments(spark, sf_dir),
     )
