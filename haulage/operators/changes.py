@@ -102,26 +102,34 @@ def assign_drivers(t: Tables, batch: DataFrame, limit: int = pay.DEFAULT_CREW_LI
     """Insert (driver, trip) assignments with the server's rules.
 
     ``batch``: id_driver, id_transportation, payment (NULL or < 0: compute),
-    seq. Refused: a pair already assigned ('duplicate'), an unknown driver or
-    trip, and rows beyond the crew limit given the trip's existing crew
-    ('crew_limit', earliest ``seq`` first). Accepted rows are priced (#34).
-
-    The crew limit ranks only new rows per trip with ``row_number() <=
-    limit`` (a partial WindowGroupLimit caps every trip before the shuffle)
-    and then subtracts the existing crew size, counted by a partial
-    aggregation.
+    seq; a pair offered twice counts once (lowest ``seq``). A row is refused
+    for the first rule it breaks, in this order: the pair is already
+    assigned ('duplicate'), the driver or the trip does not exist
+    ('unknown_driver', 'unknown_trip'), the trip's crew is full given its
+    existing crew ('crew_limit', earliest ``seq`` first). Accepted rows are
+    priced (#34).
+
+    The three existence checks are left joins that attach flags, computed
+    once for both outputs. The crew limit ranks only valid new rows per
+    trip with ``row_number() <= limit`` (a partial WindowGroupLimit caps a
+    hot trip before the shuffle), then subtracts the existing crew size,
+    counted by a partial aggregation; the rows beyond it are an anti join on
+    the unique pair.
     """
     existing = t.assignments
     pairs = ["id_driver", "id_transportation"]
     b = (batch.select(*pairs, "payment", "seq")
          .groupBy(*pairs).agg(F.min_by(F.struct("payment", "seq"), F.col("seq")).alias("_b"))
          .select(*pairs, "_b.*"))
-    dup = b.join(existing.select(*pairs), pairs, "left_semi")
-    fresh = b.join(existing.select(*pairs), pairs, "left_anti")
-    no_driver = fresh.join(t.drivers.select("id_driver"), "id_driver", "left_anti")
-    no_trip = fresh.join(t.transportations.select("id_transportation"), "id_transportation", "left_anti")
-    valid = (fresh.join(t.drivers.select("id_driver"), "id_driver", "left_semi")
-             .join(t.transportations.select("id_transportation"), "id_transportation", "left_semi"))
+    flagged = (b.join(existing.select(*pairs, F.lit(True).alias("_dup")), pairs, "left")
+               .join(t.drivers.select("id_driver", F.lit(True).alias("_drv")), "id_driver", "left")
+               .join(t.transportations.select("id_transportation", F.lit(True).alias("_trip")),
+                     "id_transportation", "left")
+               .withColumn("reason", F.when(F.col("_dup").isNotNull(), F.lit("duplicate"))
+                           .when(F.col("_drv").isNull(), F.lit("unknown_driver"))
+                           .when(F.col("_trip").isNull(), F.lit("unknown_trip")))
+               .drop("_dup", "_drv", "_trip"))
+    valid = flagged.where(F.col("reason").isNull()).drop("reason")
     crew = existing.groupBy("id_transportation").agg(F.count("*").alias("_crew"))
     ranked = (valid.withColumn("_rn", F.row_number().over(pay._crew_order(("seq", "id_driver"))))
               .where(F.col("_rn") <= limit))
@@ -132,9 +140,7 @@ def assign_drivers(t: Tables, batch: DataFrame, limit: int = pay.DEFAULT_CREW_LI
     new_rows = accepted.select(*pairs, "payment", F.lit(None).cast("decimal(18,2)").alias("bonus_amount"),
                                F.lit(None).cast("string").alias("bonus_reason"), F.col("seq").cast("int"))
     priced = pay.price_assignments(t.with_(assignments=new_rows.select(*existing.columns)), bands, split=False)
-    rejected = (dup.select(*pairs, F.lit("duplicate").alias("reason"))
-                .unionByName(no_driver.select(*pairs, F.lit("unknown_driver").alias("reason")))
-                .unionByName(no_trip.select(*pairs, F.lit("unknown_trip").alias("reason")))
+    rejected = (flagged.where(F.col("reason").isNotNull()).select(*pairs, "reason")
                 .unionByName(over.select(*pairs, F.lit("crew_limit").alias("reason"))))
     return Assigned(existing.unionByName(priced), rejected)
 

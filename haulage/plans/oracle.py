@@ -570,12 +570,15 @@ def changes() -> dict[str, str]:
     q["assign_drivers"] = with_tables(
         f"SELECT * FROM existing UNION ALL SELECT * FROM ({_priced('accepted')}) p", assign_ctes)
     q["assign_drivers_rejected"] = with_tables("""
-        SELECT id_driver, id_transportation, 'duplicate' AS reason FROM batch b WHERE EXISTS (
-          SELECT 1 FROM existing e WHERE e.id_driver = b.id_driver AND e.id_transportation = b.id_transportation)
-        UNION ALL SELECT id_driver, id_transportation, 'unknown_driver' FROM fresh
-          WHERE id_driver NOT IN (SELECT id_driver FROM drivers)
-        UNION ALL SELECT id_driver, id_transportation, 'unknown_trip' FROM fresh
-          WHERE id_transportation NOT IN (SELECT id_transportation FROM transportations)
+        SELECT id_driver, id_transportation, reason FROM (
+          SELECT b.id_driver, b.id_transportation,
+                 CASE WHEN EXISTS (SELECT 1 FROM existing e WHERE e.id_driver = b.id_driver
+                                                             AND e.id_transportation = b.id_transportation)
+                        THEN 'duplicate'
+                      WHEN b.id_driver NOT IN (SELECT id_driver FROM drivers) THEN 'unknown_driver'
+                      WHEN b.id_transportation NOT IN (SELECT id_transportation FROM transportations)
+                        THEN 'unknown_trip' END AS reason
+          FROM batch b) x WHERE reason IS NOT NULL
         UNION ALL SELECT v.id_driver, v.id_transportation, 'crew_limit' FROM valid v WHERE NOT EXISTS (
           SELECT 1 FROM accepted a WHERE a.id_driver = v.id_driver AND a.id_transportation = v.id_transportation)""",
         assign_ctes)

@@ -112,3 +112,14 @@ def test_delete_trip_cascades(make_tables, spark):
     res = changes.delete_transportations(t, spark.createDataFrame([(1,)], "id_transportation long"))
     assert rows(res.transportations, "id_transportation") == [(2,)]
     assert rows(res.assignments, "id_transportation") == [(2,)]
+
+
+def test_assign_refuses_for_the_first_broken_rule_only(make_tables, spark):
+    t = make_tables(drivers=[(1, None, "А", "Б", None, 1)],
+                    transportations=[(9, 1, TS("2024-01-01 00:00:00"), None)],
+                    assignments=[(1, 9, D(1), None, None, 1)])
+    batch = spark.createDataFrame([(1, 9, None, 2), (5, 7, None, 3), (1, 7, None, 4)],
+                                  "id_driver long, id_transportation long, payment decimal(18,2), seq int")
+    res = changes.assign_drivers(t, batch)
+    assert rows(res.rejected, "id_driver", "id_transportation", "reason") == [
+        (1, 7, "unknown_trip"), (1, 9, "duplicate"), (5, 7, "unknown_driver")]
