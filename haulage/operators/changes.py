@@ -131,7 +131,7 @@ def assign_drivers(t: Tables, batch: DataFrame, limit: int = pay.DEFAULT_CREW_LI
                .drop("_dup", "_drv", "_trip"))
     valid = flagged.where(F.col("reason").isNull()).drop("reason")
     crew = existing.groupBy("id_transportation").agg(F.count("*").alias("_crew"))
-    ranked = (valid.withColumn("_rn", F.row_number().over(pay._crew_order(("seq", "id_driver"))))
+    ranked = (valid.withColumn("_rn", F.row_number().over(pay.crew_order(("seq", "id_driver"))))
               .where(F.col("_rn") <= limit))
     accepted = (ranked.join(crew, "id_transportation", "left")
                 .where(F.col("_rn") + F.coalesce("_crew", F.lit(0)) <= limit)

@@ -123,7 +123,7 @@ def price_assignments(t: Tables, bands=DEFAULT_BANDS, split: bool = True) -> Dat
 
 # --- crew limit -------------------------------------------------------------
 
-def _crew_order(order: tuple[str, ...]) -> Window:
+def crew_order(order: tuple[str, ...]) -> Window:
     return Window.partitionBy("id_transportation").orderBy(*[F.col(c).asc_nulls_last() for c in order])
 
 
@@ -135,7 +135,7 @@ def crew_limit_accept(assignments: DataFrame, limit: int = DEFAULT_CREW_LIMIT,
     the shuffle, so even a trip holding a third of all rows sends only
     ``limit`` rows per map partition to its task.
     """
-    rn = F.row_number().over(_crew_order(order))
+    rn = F.row_number().over(crew_order(order))
     return assignments.withColumn("_rn", rn).where(F.col("_rn") <= limit).drop("_rn")
 
 
