@@ -90,7 +90,11 @@ def needs_pricing(payment: Column) -> Column:
     return payment.isNull() | (payment < 0)
 
 
-def price_assignments(t: Tables, bands=DEFAULT_BANDS, split: bool = True) -> DataFrame:
+NARROW_MAX_ROWS = 1_000_000  # key sets of at most this many rows are broadcast (~tens of MB)
+
+
+def price_assignments(t: Tables, bands=DEFAULT_BANDS, split: bool = True,
+                      narrow_max_rows: int | None = None) -> DataFrame:
     """Assignments with every missing payment computed (#34).
 
     With ``split`` (for stored tables, where re-reading is a scan), only rows
@@ -99,16 +103,32 @@ def price_assignments(t: Tables, bands=DEFAULT_BANDS, split: bool = True) -> Dat
     that is itself an expensive plan, which a two-branch union would compute
     twice), every row goes through the joins once. An assignment whose
     trip, route or driver is missing keeps a NULL payment.
+
+    With ``narrow_max_rows`` (for few rows against large tables, e.g. a
+    stream micro-batch): if the rows number at most that many (checked with
+    a bounded count), each dimension is first cut to the keys the rows use
+    by a semi join against the broadcast key set, so the large tables are
+    scanned but never shuffled; the outer joins (whose small, preserved side
+    cannot be broadcast) then run between small frames. Beyond the bound
+    the plain joins are used.
     """
     a = t.assignments
     trips = t.transportations.select("id_transportation", "id_route")
     routes = t.routes.select("id_route", "base_payment")
     drivers = t.drivers.select("id_driver", "experience")
 
+    narrow = (narrow_max_rows is not None
+              and a.limit(narrow_max_rows + 1).count() <= narrow_max_rows)
+
     def priced(rows: DataFrame) -> DataFrame:
-        return (rows.join(trips, "id_transportation", "left")
-                .join(routes, "id_route", "left")
-                .join(drivers, "id_driver", "left"))
+        tr, ro, dr = trips, routes, drivers
+        if narrow:  # key sets bounded by the checked row count
+            tr = tr.join(F.broadcast(rows.select("id_transportation").distinct()), "id_transportation", "left_semi")
+            ro = ro.join(F.broadcast(tr.select("id_route").distinct()), "id_route", "left_semi")
+            dr = dr.join(F.broadcast(rows.select("id_driver").distinct()), "id_driver", "left_semi")
+        return (rows.join(tr, "id_transportation", "left")
+                .join(ro, "id_route", "left")
+                .join(dr, "id_driver", "left"))
 
     computed = computed_pay(F.col("base_payment"), F.col("experience"), bands)
     if not split:

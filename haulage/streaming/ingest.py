@@ -71,7 +71,8 @@ def _batches(spark: SparkSession, path: str, schema) -> DataFrame:
 def price_stream(t: Tables, feed: DataFrame, sink: str, checkpoint: str) -> None:
     """Price every streamed assignment; rows land in ``sink/batch=<id>``."""
     def each(batch: DataFrame, batch_id: int) -> None:
-        priced = pay.price_assignments(t.with_(assignments=batch))
+        # A micro-batch is small next to the tables: narrow them to its keys.
+        priced = pay.price_assignments(t.with_(assignments=batch), narrow_max_rows=pay.NARROW_MAX_ROWS)
         priced.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
     _run(feed.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint))
