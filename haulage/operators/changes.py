@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from haulage.operators import pay, quality
 from haulage.operators.boards import resolve_role_names
 from haulage.operators.ids import allocate_ids, max_id
+from haulage.operators.joins import NARROW_MAX_ROWS, is_small, narrow
 from haulage.schemas import ROLE_DRIVER
 from haulage.sources.tables import Tables
 
@@ -98,7 +99,7 @@ class Assigned:
 
 
 def assign_drivers(t: Tables, batch: DataFrame, limit: int = pay.DEFAULT_CREW_LIMIT,
-                   bands=pay.DEFAULT_BANDS) -> Assigned:
+                   bands=pay.DEFAULT_BANDS, narrow_max_rows: int | None = NARROW_MAX_ROWS) -> Assigned:
     """Insert (driver, trip) assignments with the server's rules.
 
     ``batch``: id_driver, id_transportation, payment (NULL or < 0: compute),
@@ -114,23 +115,35 @@ def assign_drivers(t: Tables, batch: DataFrame, limit: int = pay.DEFAULT_CREW_LI
     trip with ``row_number() <= limit`` (a partial WindowGroupLimit caps a
     hot trip before the shuffle), then subtracts the existing crew size,
     counted by a partial aggregation; the rows beyond it are an anti join on
-    the unique pair.
+    the unique pair. When the batch is proven small (at most
+    ``narrow_max_rows`` rows), the existing assignments, drivers and trips
+    are first cut to the batch's keys by broadcast semi joins, so the large
+    tables are scanned but not shuffled (and only the touched trips' crews
+    are counted).
     """
     existing = t.assignments
     pairs = ["id_driver", "id_transportation"]
     b = (batch.select(*pairs, "payment", "seq")
          .groupBy(*pairs).agg(F.min_by(F.struct("payment", "seq"), F.col("seq")).alias("_b"))
          .select(*pairs, "_b.*"))
-    flagged = (b.join(existing.select(*pairs, F.lit(True).alias("_dup")), pairs, "left")
-               .join(t.drivers.select("id_driver", F.lit(True).alias("_drv")), "id_driver", "left")
-               .join(t.transportations.select("id_transportation", F.lit(True).alias("_trip")),
-                     "id_transportation", "left")
+    old_pairs = existing.select(*pairs)
+    crew_rows = existing.select("id_transportation")
+    driver_ids = t.drivers.select("id_driver")
+    trip_ids = t.transportations.select("id_transportation")
+    if is_small(batch, narrow_max_rows):
+        old_pairs = narrow(old_pairs, batch, pairs)
+        crew_rows = narrow(crew_rows, batch, "id_transportation")
+        driver_ids = narrow(driver_ids, batch, "id_driver")
+        trip_ids = narrow(trip_ids, batch, "id_transportation")
+    flagged = (b.join(old_pairs.withColumn("_dup", F.lit(True)), pairs, "left")
+               .join(driver_ids.withColumn("_drv", F.lit(True)), "id_driver", "left")
+               .join(trip_ids.withColumn("_trip", F.lit(True)), "id_transportation", "left")
                .withColumn("reason", F.when(F.col("_dup").isNotNull(), F.lit("duplicate"))
                            .when(F.col("_drv").isNull(), F.lit("unknown_driver"))
                            .when(F.col("_trip").isNull(), F.lit("unknown_trip")))
                .drop("_dup", "_drv", "_trip"))
     valid = flagged.where(F.col("reason").isNull()).drop("reason")
-    crew = existing.groupBy("id_transportation").agg(F.count("*").alias("_crew"))
+    crew = crew_rows.groupBy("id_transportation").agg(F.count("*").alias("_crew"))
     ranked = (valid.withColumn("_rn", F.row_number().over(pay.crew_order(("seq", "id_driver"))))
               .where(F.col("_rn") <= limit))
     accepted = (ranked.join(crew, "id_transportation", "left")
@@ -247,17 +260,25 @@ class Refusable:
     refused: DataFrame
 
 
-def delete_routes(t: Tables, ids: DataFrame) -> Refusable:
-    """Delete routes no trip uses; the others are refused."""
+def delete_routes(t: Tables, ids: DataFrame, narrow_max_rows: int | None = NARROW_MAX_ROWS) -> Refusable:
+    """Delete routes no trip uses; the others are refused. A small request
+    is checked against only the trips on its routes (broadcast semi join)."""
     k = ids.select("id_route").distinct()
-    refused = k.join(t.transportations.select("id_route"), "id_route", "left_semi")
+    used = t.transportations.select("id_route")
+    if is_small(k, narrow_max_rows):
+        used = narrow(used, k, "id_route")
+    refused = k.join(used, "id_route", "left_semi")
     gone = k.join(refused, "id_route", "left_anti")
     return Refusable(t.routes.join(gone, "id_route", "left_anti"), refused)
 
 
-def delete_drivers(t: Tables, ids: DataFrame) -> Refusable:
-    """Delete drivers without assignments; assigned ones are refused."""
+def delete_drivers(t: Tables, ids: DataFrame, narrow_max_rows: int | None = NARROW_MAX_ROWS) -> Refusable:
+    """Delete drivers without assignments; assigned ones are refused. A small
+    request is checked against only its drivers' assignments."""
     k = ids.select("id_driver").distinct()
-    refused = k.join(t.assignments.select("id_driver"), "id_driver", "left_semi")
+    used = t.assignments.select("id_driver")
+    if is_small(k, narrow_max_rows):
+        used = narrow(used, k, "id_driver")
+    refused = k.join(used, "id_driver", "left_semi")
     gone = k.join(refused, "id_driver", "left_anti")
     return Refusable(t.drivers.join(gone, "id_driver", "left_anti"), refused)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from haulage.operators.joins import is_small, narrow
 from haulage.schemas import MONEY
 from haulage.sources.tables import Tables
 
@@ -90,9 +91,6 @@ def needs_pricing(payment: Column) -> Column:
     return payment.isNull() | (payment < 0)
 
 
-NARROW_MAX_ROWS = 1_000_000  # key sets of at most this many rows are broadcast (~tens of MB)
-
-
 def price_assignments(t: Tables, bands=DEFAULT_BANDS, split: bool = True,
                       narrow_max_rows: int | None = None) -> DataFrame:
     """Assignments with every missing payment computed (#34).
@@ -117,15 +115,14 @@ def price_assignments(t: Tables, bands=DEFAULT_BANDS, split: bool = True,
     routes = t.routes.select("id_route", "base_payment")
     drivers = t.drivers.select("id_driver", "experience")
 
-    narrow = (narrow_max_rows is not None
-              and a.limit(narrow_max_rows + 1).count() <= narrow_max_rows)
+    small = is_small(a, narrow_max_rows)
 
     def priced(rows: DataFrame) -> DataFrame:
         tr, ro, dr = trips, routes, drivers
-        if narrow:  # key sets bounded by the checked row count
-            tr = tr.join(F.broadcast(rows.select("id_transportation").distinct()), "id_transportation", "left_semi")
-            ro = ro.join(F.broadcast(tr.select("id_route").distinct()), "id_route", "left_semi")
-            dr = dr.join(F.broadcast(rows.select("id_driver").distinct()), "id_driver", "left_semi")
+        if small:  # key sets bounded by the checked row count
+            tr = narrow(tr, rows, "id_transportation")
+            ro = narrow(ro, tr, "id_route")
+            dr = narrow(dr, rows, "id_driver")
         return (rows.join(tr, "id_transportation", "left")
                 .join(ro, "id_route", "left")
                 .join(dr, "id_driver", "left"))
