@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from haulage.operators import pay, quality
 from haulage.operators.boards import resolve_role_names
 from haulage.operators.ids import allocate_ids, max_id
-from haulage.operators.joins import NARROW_MAX_ROWS, is_small, narrow
+from haulage.operators.joins import NARROW_MAX_ROWS, broadcast_if_small, is_small, narrow
 from haulage.schemas import ROLE_DRIVER
 from haulage.sources.tables import Tables
 
@@ -38,12 +38,18 @@ def latest_per_key(changes: DataFrame, keys: list[str], seq: str = "seq") -> Dat
 
 
 def apply_updates(table: DataFrame, changes: DataFrame, keys: list[str],
-                  columns: list[str] | None = None, seq: str = "seq") -> DataFrame:
+                  columns: list[str] | None = None, seq: str = "seq",
+                  narrow_max_rows: int | None = NARROW_MAX_ROWS) -> DataFrame:
     """UPDATE ... WHERE key = :key for a batch: ``columns`` of matched rows
-    take the latest change; keys absent from ``table`` change nothing."""
+    take the latest change; keys absent from ``table`` change nothing.
+
+    A batch proven small is broadcast, so the table streams through the
+    join without a shuffle (a map-only rewrite); a large one is joined by
+    shuffle."""
     cols = columns or [c for c in table.columns if c not in keys]
     latest = latest_per_key(changes.select(*keys, *cols, seq), keys, seq)
     upd = latest.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in cols], F.lit(True).alias("_hit"))
+    upd = broadcast_if_small(upd, changes, narrow_max_rows)
     joined = table.join(upd, keys, "left")
     return joined.select(*[
         F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c)
@@ -212,15 +218,17 @@ def replace_user_roles(user_roles: DataFrame, roles: DataFrame, batch: DataFrame
     resolved, unknown = resolve_role_names(batch, roles)
     bad = unknown.select("id_user").distinct()
     touched = batch.select("id_user").distinct().join(bad, "id_user", "left_anti")
-    kept = user_roles.join(touched, "id_user", "left_anti")
+    kept = user_roles.join(broadcast_if_small(touched, batch, NARROW_MAX_ROWS), "id_user", "left_anti")
     return RolesReplaced(kept.unionByName(resolved), unknown)
 
 
 # --- #63, #64 removals ------------------------------------------------------
 
 def remove_assignments(assignments: DataFrame, pairs: DataFrame) -> DataFrame:
-    return assignments.join(pairs.select("id_driver", "id_transportation"),
-                            ["id_driver", "id_transportation"], "left_anti")
+    """Take (driver, trip) pairs off their trips; a small request is
+    broadcast, so the assignments are rewritten without a shuffle."""
+    p = broadcast_if_small(pairs.select("id_driver", "id_transportation"), pairs, NARROW_MAX_ROWS)
+    return assignments.join(p, ["id_driver", "id_transportation"], "left_anti")
 
 
 @dataclass(frozen=True)
@@ -233,7 +241,8 @@ class UsersDeleted:
 def delete_users(t: Tables, ids: DataFrame) -> UsersDeleted:
     """Delete users; their role links go, their driver stays without an
     account (id_user NULL)."""
-    k = ids.select("id_user").distinct().withColumn("_gone", F.lit(True))
+    k = broadcast_if_small(ids.select("id_user").distinct().withColumn("_gone", F.lit(True)),
+                           ids, NARROW_MAX_ROWS)
     drivers = (t.drivers.join(k, "id_user", "left")
                .withColumn("id_user", F.when(F.col("_gone").isNull(), F.col("id_user")))
                .select(*t.drivers.columns))
@@ -249,7 +258,7 @@ class TripsDeleted:
 
 def delete_transportations(t: Tables, ids: DataFrame) -> TripsDeleted:
     """Delete trips and, by cascade, their assignments."""
-    k = ids.select("id_transportation")
+    k = broadcast_if_small(ids.select("id_transportation"), ids, NARROW_MAX_ROWS)
     return TripsDeleted(t.transportations.join(k, "id_transportation", "left_anti"),
                         t.assignments.join(k, "id_transportation", "left_anti"))
 
@@ -268,7 +277,7 @@ def delete_routes(t: Tables, ids: DataFrame, narrow_max_rows: int | None = NARRO
     if is_small(k, narrow_max_rows):
         used = narrow(used, k, "id_route")
     refused = k.join(used, "id_route", "left_semi")
-    gone = k.join(refused, "id_route", "left_anti")
+    gone = broadcast_if_small(k.join(refused, "id_route", "left_anti"), ids, narrow_max_rows)
     return Refusable(t.routes.join(gone, "id_route", "left_anti"), refused)
 
 
@@ -280,5 +289,5 @@ def delete_drivers(t: Tables, ids: DataFrame, narrow_max_rows: int | None = NARR
     if is_small(k, narrow_max_rows):
         used = narrow(used, k, "id_driver")
     refused = k.join(used, "id_driver", "left_semi")
-    gone = k.join(refused, "id_driver", "left_anti")
+    gone = broadcast_if_small(k.join(refused, "id_driver", "left_anti"), ids, narrow_max_rows)
     return Refusable(t.drivers.join(gone, "id_driver", "left_anti"), refused)

@@ -27,3 +27,12 @@ def narrow(big: DataFrame, rows: DataFrame, keys: list[str] | str) -> DataFrame:
     join. Call only after ``is_small(rows, ...)`` proved the key set small."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     return big.join(F.broadcast(rows.select(*keys).distinct()), keys, "left_semi")
+
+
+def broadcast_if_small(side: DataFrame, bounded_by: DataFrame, max_rows: int | None) -> DataFrame:
+    """``side`` with a broadcast hint if ``bounded_by`` (a frame with at least
+    as many rows as ``side``, e.g. the raw change batch ``side`` is derived
+    from) has at most ``max_rows`` rows; else ``side`` as it is, to be
+    joined by shuffle. Broadcasting the small side of a rewrite lets the
+    large table stream through the join without a shuffle."""
+    return F.broadcast(side) if is_small(bounded_by, max_rows) else side

@@ -36,3 +36,23 @@ def test_no_python_udf_in_batch_operators(spark):
                pay.price_assignments(t)):
         p = plan(df)
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
+
+
+def test_small_change_batches_rewrite_tables_without_shuffle_joins(spark):
+    """With static broadcasting off (large tables), a checked-small change
+    batch is still broadcast: the table streams through a broadcast hash
+    join, no sort-merge join."""
+    from pyspark.sql import functions as F
+    from haulage.operators import changes
+    from haulage.sources import derived
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        t = load_tables(spark, SMALL_SF)
+        for df in (changes.set_bonuses(t.assignments, derived.bonus_changes(t)),
+                   changes.remove_assignments(t.assignments, derived.removal_pairs(t)),
+                   changes.delete_transportations(t, derived.ids_every(t.transportations, "id_transportation")).assignments):
+            p = plan(df)
+            assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
