@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from haulage.operators import pay, quality
 from haulage.operators.boards import resolve_role_names
 from haulage.operators.ids import allocate_ids, max_id
-from haulage.operators.joins import NARROW_MAX_ROWS, broadcast_if_small, is_small, narrow
+from haulage.operators.joins import narrow
 from haulage.schemas import ROLE_DRIVER
 from haulage.sources.tables import Tables
 
@@ -38,18 +38,17 @@ def latest_per_key(changes: DataFrame, keys: list[str], seq: str = "seq") -> Dat
 
 
 def apply_updates(table: DataFrame, changes: DataFrame, keys: list[str],
-                  columns: list[str] | None = None, seq: str = "seq",
-                  narrow_max_rows: int | None = NARROW_MAX_ROWS) -> DataFrame:
+                  columns: list[str] | None = None, seq: str = "seq") -> DataFrame:
     """UPDATE ... WHERE key = :key for a batch: ``columns`` of matched rows
     take the latest change; keys absent from ``table`` change nothing.
 
-    A batch proven small is broadcast, so the table streams through the
-    join without a shuffle (a map-only rewrite); a large one is joined by
+    The changes are the build (right) side of the left join: a small batch
+    is broadcast by Spark's size check and the table streams through
+    without a shuffle (a map-only rewrite); a large one is joined by
     shuffle."""
     cols = columns or [c for c in table.columns if c not in keys]
     latest = latest_per_key(changes.select(*keys, *cols, seq), keys, seq)
     upd = latest.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in cols], F.lit(True).alias("_hit"))
-    upd = broadcast_if_small(upd, changes, narrow_max_rows)
     joined = table.join(upd, keys, "left")
     return joined.select(*[
         F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c)
@@ -105,7 +104,7 @@ class Assigned:
 
 
 def assign_drivers(t: Tables, batch: DataFrame, limit: int = pay.DEFAULT_CREW_LIMIT,
-                   bands=pay.DEFAULT_BANDS, narrow_max_rows: int | None = NARROW_MAX_ROWS) -> Assigned:
+                   bands=pay.DEFAULT_BANDS, narrow_tables: bool = True) -> Assigned:
     """Insert (driver, trip) assignments with the server's rules.
 
     ``batch``: id_driver, id_transportation, payment (NULL or < 0: compute),
@@ -121,11 +120,11 @@ def assign_drivers(t: Tables, batch: DataFrame, limit: int = pay.DEFAULT_CREW_LI
     trip with ``row_number() <= limit`` (a partial WindowGroupLimit caps a
     hot trip before the shuffle), then subtracts the existing crew size,
     counted by a partial aggregation; the rows beyond it are an anti join on
-    the unique pair. When the batch is proven small (at most
-    ``narrow_max_rows`` rows), the existing assignments, drivers and trips
-    are first cut to the batch's keys by broadcast semi joins, so the large
-    tables are scanned but not shuffled (and only the touched trips' crews
-    are counted).
+    the unique pair. With ``narrow_tables`` the existing assignments,
+    drivers and trips are first cut to the batch's keys by semi joins
+    (``operators/joins.py``): for a small batch Spark broadcasts the key set,
+    so the large tables are scanned but not shuffled, and only the touched
+    trips' crews are counted.
     """
     existing = t.assignments
     pairs = ["id_driver", "id_transportation"]
@@ -136,11 +135,11 @@ def assign_drivers(t: Tables, batch: DataFrame, limit: int = pay.DEFAULT_CREW_LI
     crew_rows = existing.select("id_transportation")
     driver_ids = t.drivers.select("id_driver")
     trip_ids = t.transportations.select("id_transportation")
-    if is_small(batch, narrow_max_rows):
-        old_pairs = narrow(old_pairs, batch, pairs)
-        crew_rows = narrow(crew_rows, batch, "id_transportation")
-        driver_ids = narrow(driver_ids, batch, "id_driver")
-        trip_ids = narrow(trip_ids, batch, "id_transportation")
+    if narrow_tables:
+        old_pairs = narrow(old_pairs, b, pairs)
+        crew_rows = narrow(crew_rows, b, "id_transportation")
+        driver_ids = narrow(driver_ids, b, "id_driver")
+        trip_ids = narrow(trip_ids, b, "id_transportation")
     flagged = (b.join(old_pairs.withColumn("_dup", F.lit(True)), pairs, "left")
                .join(driver_ids.withColumn("_drv", F.lit(True)), "id_driver", "left")
                .join(trip_ids.withColumn("_trip", F.lit(True)), "id_transportation", "left")
@@ -218,17 +217,17 @@ def replace_user_roles(user_roles: DataFrame, roles: DataFrame, batch: DataFrame
     resolved, unknown = resolve_role_names(batch, roles)
     bad = unknown.select("id_user").distinct()
     touched = batch.select("id_user").distinct().join(bad, "id_user", "left_anti")
-    kept = user_roles.join(broadcast_if_small(touched, batch, NARROW_MAX_ROWS), "id_user", "left_anti")
+    kept = user_roles.join(touched, "id_user", "left_anti")
     return RolesReplaced(kept.unionByName(resolved), unknown)
 
 
 # --- #63, #64 removals ------------------------------------------------------
 
 def remove_assignments(assignments: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Take (driver, trip) pairs off their trips; a small request is
-    broadcast, so the assignments are rewritten without a shuffle."""
-    p = broadcast_if_small(pairs.select("id_driver", "id_transportation"), pairs, NARROW_MAX_ROWS)
-    return assignments.join(p, ["id_driver", "id_transportation"], "left_anti")
+    """Take (driver, trip) pairs off their trips (a small request is
+    broadcast by Spark's size check; the assignments then stream through)."""
+    return assignments.join(pairs.select("id_driver", "id_transportation"),
+                            ["id_driver", "id_transportation"], "left_anti")
 
 
 @dataclass(frozen=True)
@@ -241,8 +240,7 @@ class UsersDeleted:
 def delete_users(t: Tables, ids: DataFrame) -> UsersDeleted:
     """Delete users; their role links go, their driver stays without an
     account (id_user NULL)."""
-    k = broadcast_if_small(ids.select("id_user").distinct().withColumn("_gone", F.lit(True)),
-                           ids, NARROW_MAX_ROWS)
+    k = ids.select("id_user").distinct().withColumn("_gone", F.lit(True))
     drivers = (t.drivers.join(k, "id_user", "left")
                .withColumn("id_user", F.when(F.col("_gone").isNull(), F.col("id_user")))
                .select(*t.drivers.columns))
@@ -258,7 +256,7 @@ class TripsDeleted:
 
 def delete_transportations(t: Tables, ids: DataFrame) -> TripsDeleted:
     """Delete trips and, by cascade, their assignments."""
-    k = broadcast_if_small(ids.select("id_transportation"), ids, NARROW_MAX_ROWS)
+    k = ids.select("id_transportation")
     return TripsDeleted(t.transportations.join(k, "id_transportation", "left_anti"),
                         t.assignments.join(k, "id_transportation", "left_anti"))
 
@@ -269,25 +267,20 @@ class Refusable:
     refused: DataFrame
 
 
-def delete_routes(t: Tables, ids: DataFrame, narrow_max_rows: int | None = NARROW_MAX_ROWS) -> Refusable:
-    """Delete routes no trip uses; the others are refused. A small request
-    is checked against only the trips on its routes (broadcast semi join)."""
+def delete_routes(t: Tables, ids: DataFrame) -> Refusable:
+    """Delete routes no trip uses; the others are refused. The request is
+    checked against only the trips on its routes (a semi join against the
+    request's keys)."""
     k = ids.select("id_route").distinct()
-    used = t.transportations.select("id_route")
-    if is_small(k, narrow_max_rows):
-        used = narrow(used, k, "id_route")
-    refused = k.join(used, "id_route", "left_semi")
-    gone = broadcast_if_small(k.join(refused, "id_route", "left_anti"), ids, narrow_max_rows)
+    refused = k.join(narrow(t.transportations.select("id_route"), k, "id_route"), "id_route", "left_semi")
+    gone = k.join(refused, "id_route", "left_anti")
     return Refusable(t.routes.join(gone, "id_route", "left_anti"), refused)
 
 
-def delete_drivers(t: Tables, ids: DataFrame, narrow_max_rows: int | None = NARROW_MAX_ROWS) -> Refusable:
-    """Delete drivers without assignments; assigned ones are refused. A small
+def delete_drivers(t: Tables, ids: DataFrame) -> Refusable:
+    """Delete drivers without assignments; assigned ones are refused. The
     request is checked against only its drivers' assignments."""
     k = ids.select("id_driver").distinct()
-    used = t.assignments.select("id_driver")
-    if is_small(k, narrow_max_rows):
-        used = narrow(used, k, "id_driver")
-    refused = k.join(used, "id_driver", "left_semi")
-    gone = broadcast_if_small(k.join(refused, "id_driver", "left_anti"), ids, narrow_max_rows)
+    refused = k.join(narrow(t.assignments.select("id_driver"), k, "id_driver"), "id_driver", "left_semi")
+    gone = k.join(refused, "id_driver", "left_anti")
     return Refusable(t.drivers.join(gone, "id_driver", "left_anti"), refused)

@@ -10,9 +10,9 @@ count of all earlier partitions gives its rank. The per-partition counts are
 one row per partition (bounded by the partition count), so they are
 broadcast safely.
 
-The tagged batch is checkpointed to the session's checkpoint folder before
-its two uses: a retried task then sees the same (partition, position) pairs
-and allocates the same ids.
+The tagged batch is written once to the session's shared checkpoint folder
+before its two uses (``haulage.session.materialize``): a retried task then
+reads the same (partition, position) pairs and allocates the same ids.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from haulage.session import ensure_checkpoint_dir
+from haulage.session import materialize
 
 _ROW_BITS = 33  # monotonically_increasing_id(): partition index << 33 | row number
 
@@ -38,15 +38,14 @@ def allocate_ids(batch: DataFrame, id_col: str, order: list[str], base: int,
     ``order`` must be unique within the batch (a change sequence number).
     """
     spark = batch.sparkSession
-    ensure_checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     body = batch.drop(id_col) if id_col in batch.columns else batch
-    tagged = (body.repartitionByRange(n, *order)
-              .sortWithinPartitions(*order)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_pos", F.monotonically_increasing_id()
-                          - F.shiftleft(F.col("_pid").cast("long"), _ROW_BITS))
-              .checkpoint(eager=True))
+    tagged = materialize(body.repartitionByRange(n, *order)
+                         .sortWithinPartitions(*order)
+                         .withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_pos", F.monotonically_increasing_id()
+                                     - F.shiftleft(F.col("_pid").cast("long"), _ROW_BITS)),
+                         "ids")
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (tagged.groupBy("_pid").agg(F.count("*").alias("_n"))
                .withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))

@@ -1,11 +1,15 @@
 """Joins of a few rows against large tables.
 
 A change batch or a stream micro-batch is usually tiny next to the tables it
-is checked against. Shuffling a 10^11-row table to meet a few thousand keys
-is the cost to avoid: once the batch is proven small, by a count that stops
-at the bound, its key set is broadcast and the large table is cut to
-matching rows by a broadcast semi join, so it is scanned but not shuffled.
-Beyond the bound, callers use plain joins.
+is checked against, and shuffling a 10^11-row table to meet a few thousand
+keys is the cost to avoid. The checks are therefore written as semi joins
+of the large table against the batch's key set (the build side), so the
+large table is cut to matching rows before any outer join. When the batch is
+small (a landed file of a few MB), Spark's planner broadcasts the key set by
+its own size check (``spark.sql.autoBroadcastJoinThreshold``), and the large
+table is scanned but not shuffled. When it is not, the semi join costs the
+one shuffle the plain join would have cost. No hint is given: the strategy
+stays with Spark's size checks.
 """
 
 from __future__ import annotations
@@ -13,26 +17,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NARROW_MAX_ROWS = 1_000_000  # key sets up to this many rows are broadcast (tens of MB)
 
+def narrow(big: DataFrame, rows: DataFrame, keys: list[str] | str) -> DataFrame:
+    """Rows of ``big`` whose ``keys`` occur in ``rows`` (a semi join against
+    the key set of ``rows``)."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    return big.join(rows.select(*keys).distinct(), keys, "left_semi")
 
-def is_small(df: DataFrame, max_rows: int | None) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows (reads at most
-    ``max_rows + 1``); False when no bound is given."""
-    return max_rows is not None and df.limit(max_rows + 1).count() <= max_rows
 
+def is_small(df: DataFrame, max_rows: int) -> bool:
+    """True if ``df`` has at most ``max_rows`` rows. Reads at most
+    ``max_rows + 1`` rows: a short scan for landed data (a stream
+    micro-batch's files)."""
+    return df.limit(max_rows + 1).count() <= max_rows
 
-def narrow(big: DataFrame, rows: DataFrame, keys: list[str] | str) -> DataFrame:
-    """Rows of ``big`` whose ``keys`` occur in ``rows``, by a broadcast semi
-    join. Call only after ``is_small(rows, ...)`` proved the key set small."""
+
+def narrow_broadcast(big: DataFrame, rows: DataFrame, keys: list[str] | str) -> DataFrame:
+    """``narrow`` with the key set broadcast by hint. Only for key sets
+    bounded by a row count proven with ``is_small``."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     return big.join(F.broadcast(rows.select(*keys).distinct()), keys, "left_semi")
 
 
-def broadcast_if_small(side: DataFrame, bounded_by: DataFrame, max_rows: int | None) -> DataFrame:
-    """``side`` with a broadcast hint if ``bounded_by`` (a frame with at least
-    as many rows as ``side``, e.g. the raw change batch ``side`` is derived
-    from) has at most ``max_rows`` rows; else ``side`` as it is, to be
-    joined by shuffle. Broadcasting the small side of a rewrite lets the
-    large table stream through the join without a shuffle."""
-    return F.broadcast(side) if is_small(bounded_by, max_rows) else side
+MICRO_BATCH_MAX_ROWS = 200_000  # key sets of a proven-small micro-batch (a few MB) are broadcast

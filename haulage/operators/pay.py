@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from haulage.operators.joins import is_small, narrow
+from haulage.operators.joins import narrow, narrow_broadcast
 from haulage.schemas import MONEY
 from haulage.sources.tables import Tables
 
@@ -92,7 +92,7 @@ def needs_pricing(payment: Column) -> Column:
 
 
 def price_assignments(t: Tables, bands=DEFAULT_BANDS, split: bool = True,
-                      narrow_max_rows: int | None = None) -> DataFrame:
+                      narrow_tables: bool = False, broadcast_keys: bool = False) -> DataFrame:
     """Assignments with every missing payment computed (#34).
 
     With ``split`` (for stored tables, where re-reading is a scan), only rows
@@ -102,27 +102,28 @@ def price_assignments(t: Tables, bands=DEFAULT_BANDS, split: bool = True,
     twice), every row goes through the joins once. An assignment whose
     trip, route or driver is missing keeps a NULL payment.
 
-    With ``narrow_max_rows`` (for few rows against large tables, e.g. a
-    stream micro-batch): if the rows number at most that many (checked with
-    a bounded count), each dimension is first cut to the keys the rows use
-    by a semi join against the broadcast key set, so the large tables are
-    scanned but never shuffled; the outer joins (whose small, preserved side
-    cannot be broadcast) then run between small frames. Beyond the bound
-    the plain joins are used.
+    With ``narrow_tables`` (for few rows against large tables, e.g. a
+    stream micro-batch), each dimension is first cut to the keys the rows
+    use by a semi join (``operators/joins.py``); for a small batch Spark
+    broadcasts the key set, so the large tables are scanned but not
+    shuffled, and the outer joins (whose small, preserved side cannot be
+    broadcast) then run between small frames. ``broadcast_keys`` hints the
+    broadcast of every key set, including the routes of the rows' trips
+    (whose size the planner cannot estimate); pass it only after proving the
+    rows few (``joins.is_small``), which bounds every key set.
     """
     a = t.assignments
     trips = t.transportations.select("id_transportation", "id_route")
     routes = t.routes.select("id_route", "base_payment")
     drivers = t.drivers.select("id_driver", "experience")
 
-    small = is_small(a, narrow_max_rows)
-
     def priced(rows: DataFrame) -> DataFrame:
         tr, ro, dr = trips, routes, drivers
-        if small:  # key sets bounded by the checked row count
-            tr = narrow(tr, rows, "id_transportation")
-            ro = narrow(ro, tr, "id_route")
-            dr = narrow(dr, rows, "id_driver")
+        if narrow_tables or broadcast_keys:
+            cut = narrow_broadcast if broadcast_keys else narrow
+            tr = cut(tr, rows, "id_transportation")
+            ro = cut(ro, tr, "id_route")
+            dr = cut(dr, rows, "id_driver")
         return (rows.join(tr, "id_transportation", "left")
                 .join(ro, "id_route", "left")
                 .join(dr, "id_driver", "left"))

@@ -68,3 +68,15 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
     """A fresh folder name under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/haulage-{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, purpose: str):
+    """Write ``df`` once as parquet under the shared checkpoint folder and
+    read it back: lineage is cut (a lost executor re-reads files instead of
+    recomputing), and later uses scan columnar files. Unlike
+    ``DataFrame.checkpoint()``, which recomputes the plan to write RDD
+    blocks, the frame is computed exactly once."""
+    spark = df.sparkSession
+    path = scratch_path(spark, purpose)
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

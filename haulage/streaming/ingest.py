@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from haulage.operators import changes, pay, reports
-from haulage.operators.joins import NARROW_MAX_ROWS
+from haulage.operators.joins import MICRO_BATCH_MAX_ROWS, is_small
 from haulage.session import scratch_path
 from haulage.sources.tables import Tables
 
@@ -72,8 +72,11 @@ def _batches(spark: SparkSession, path: str, schema) -> DataFrame:
 def price_stream(t: Tables, feed: DataFrame, sink: str, checkpoint: str) -> None:
     """Price every streamed assignment; rows land in ``sink/batch=<id>``."""
     def each(batch: DataFrame, batch_id: int) -> None:
-        # A micro-batch is small next to the tables: narrow them to its keys.
-        priced = pay.price_assignments(t.with_(assignments=batch), narrow_max_rows=NARROW_MAX_ROWS)
+        # A micro-batch is small next to the tables: narrow them to its keys,
+        # broadcasting the key sets once the batch is proven small (a short
+        # scan of its files).
+        small = is_small(batch, MICRO_BATCH_MAX_ROWS)
+        priced = pay.price_assignments(t.with_(assignments=batch), narrow_tables=True, broadcast_keys=small)
         priced.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
     _run(feed.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint))

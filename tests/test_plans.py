@@ -39,20 +39,27 @@ def test_no_python_udf_in_batch_operators(spark):
 
 
 def test_small_change_batches_rewrite_tables_without_shuffle_joins(spark):
-    """With static broadcasting off (large tables), a checked-small change
-    batch is still broadcast: the table streams through a broadcast hash
-    join, no sort-merge join."""
-    from pyspark.sql import functions as F
+    """A small landed change batch (here a few in-memory rows) is the build
+    side of the rewrite's join: Spark's size check broadcasts it and the
+    table streams through, with no sort-merge join. The threshold sits
+    between the landed batch files (~1 KB) and the tables (tens of KB) to
+    stand in for tables too large to broadcast."""
+    from decimal import Decimal
     from haulage.operators import changes
-    from haulage.sources import derived
+    from haulage.session import materialize
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4000")
     try:
         t = load_tables(spark, SMALL_SF)
-        for df in (changes.set_bonuses(t.assignments, derived.bonus_changes(t)),
-                   changes.remove_assignments(t.assignments, derived.removal_pairs(t)),
-                   changes.delete_transportations(t, derived.ids_every(t.transportations, "id_transportation")).assignments):
+        landed = lambda rows, schema: materialize(spark.createDataFrame(rows, schema).coalesce(1), "landed")
+        bonus = landed([(2, 1, Decimal("10.00"), "x", 1)], "id_driver long, id_transportation long, "
+                       "bonus_amount decimal(18,2), bonus_reason string, seq long")
+        pairs = landed([(2, 1)], "id_driver long, id_transportation long")
+        trips = landed([(25,)], "id_transportation long")
+        for df in (changes.set_bonuses(t.assignments, bonus),
+                   changes.remove_assignments(t.assignments, pairs),
+                   changes.delete_transportations(t, trips).assignments):
             p = plan(df)
-            assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
+            assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p, p
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

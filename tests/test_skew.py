@@ -80,21 +80,21 @@ def test_aqe_splits_the_hot_driver_in_crew_totals(spark):
 
 
 def test_narrowed_pricing_does_not_shuffle_the_large_tables(spark):
-    """Few rows to price against large tables: with the static broadcast
-    limit off (tables too big), AQE broadcasts only the small key sets and
-    the trips/drivers scans feed broadcast semi joins, not exchanges."""
+    """Few rows to price against large tables, with static broadcasting off
+    for the tables: once the rows are proven few, the key sets are
+    broadcast and the drivers/routes scans feed broadcast semi joins, not
+    exchanges."""
+    from haulage.operators.joins import is_small
     from haulage.sources.testdata import load_tables
     from conftest import SMALL_SF
     from pyspark.sql import functions as F
-    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
-            "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB"}
-    old = {k: spark.conf.get(k, None) for k in conf}
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        for k, v in conf.items():
-            spark.conf.set(k, v)
         t = load_tables(spark, SMALL_SF)
         few = t.assignments.where(F.col("id_transportation") % 500 == 1)
-        narrowed = pay.price_assignments(t.with_(assignments=few), narrow_max_rows=10_000)
+        assert is_small(few, 1000)
+        narrowed = pay.price_assignments(t.with_(assignments=few), narrow_tables=True, broadcast_keys=True)
         plain = pay.price_assignments(t.with_(assignments=few))
         assert sorted(narrowed.collect()) == sorted(plain.collect())
         p = narrowed._jdf.queryExecution().executedPlan().toString()
@@ -104,8 +104,4 @@ def test_narrowed_pricing_does_not_shuffle_the_large_tables(spark):
             above = [l for l in lines[:i] if "Exchange" in l or "BroadcastHashJoin" in l][-1]
             assert "LeftSemi" in above, above
     finally:
-        for k, v in old.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
