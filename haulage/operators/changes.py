@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from haulage.operators import pay, quality
 from haulage.operators.boards import resolve_role_names
 from haulage.operators.ids import allocate_ids, max_id
-from haulage.operators.joins import narrow
+from haulage.operators.joins import narrow, worth_narrowing
 from haulage.schemas import ROLE_DRIVER
 from haulage.sources.tables import Tables
 
@@ -104,7 +104,7 @@ class Assigned:
 
 
 def assign_drivers(t: Tables, batch: DataFrame, limit: int = pay.DEFAULT_CREW_LIMIT,
-                   bands=pay.DEFAULT_BANDS, narrow_tables: bool = True) -> Assigned:
+                   bands=pay.DEFAULT_BANDS, narrow_tables: bool | None = None) -> Assigned:
     """Insert (driver, trip) assignments with the server's rules.
 
     ``batch``: id_driver, id_transportation, payment (NULL or < 0: compute),
@@ -124,7 +124,9 @@ def assign_drivers(t: Tables, batch: DataFrame, limit: int = pay.DEFAULT_CREW_LI
     drivers and trips are first cut to the batch's keys by semi joins
     (``operators/joins.py``): for a small batch Spark broadcasts the key set,
     so the large tables are scanned but not shuffled, and only the touched
-    trips' crews are counted.
+    trips' crews are counted. By default (None) this is chosen from Spark's
+    size estimates: narrow when the batch is much smaller than the
+    assignments.
     """
     existing = t.assignments
     pairs = ["id_driver", "id_transportation"]
@@ -135,6 +137,8 @@ def assign_drivers(t: Tables, batch: DataFrame, limit: int = pay.DEFAULT_CREW_LI
     crew_rows = existing.select("id_transportation")
     driver_ids = t.drivers.select("id_driver")
     trip_ids = t.transportations.select("id_transportation")
+    if narrow_tables is None:
+        narrow_tables = worth_narrowing(batch, existing)
     if narrow_tables:
         old_pairs = narrow(old_pairs, b, pairs)
         crew_rows = narrow(crew_rows, b, "id_transportation")

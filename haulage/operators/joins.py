@@ -40,3 +40,15 @@ def narrow_broadcast(big: DataFrame, rows: DataFrame, keys: list[str] | str) ->
 
 
 MICRO_BATCH_MAX_ROWS = 200_000  # key sets of a proven-small micro-batch (a few MB) are broadcast
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's own size estimate of ``df``'s plan (no job is run)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def worth_narrowing(rows: DataFrame, big: DataFrame, ratio: float = 0.1) -> bool:
+    """Narrow ``big`` to ``rows``' keys only when ``rows`` is estimated much
+    smaller than ``big``. Both plans are correct; this only picks the
+    cheaper. When the two are of a size, narrowing would repeat the join."""
+    return estimated_bytes(rows) <= ratio * estimated_bytes(big)

@@ -131,7 +131,17 @@ def test_narrowed_and_plain_paths_agree(spark):
     from haulage.sources.testdata import load_tables
     t = load_tables(spark, SMALL_SF)
     existing, batch = derived.assign_existing(t), derived.assign_batch(t)
-    a = changes.assign_drivers(existing, batch)                          # tables narrowed to the batch
+    a = changes.assign_drivers(existing, batch, narrow_tables=True)     # tables narrowed to the batch
     b = changes.assign_drivers(existing, batch, narrow_tables=False)    # plain joins
     for x, y in ((a.assignments, b.assignments), (a.rejected, b.rejected)):
         assert x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0
+
+
+def test_narrowing_is_chosen_by_size(spark):
+    from conftest import SMALL_SF
+    from haulage.operators.joins import worth_narrowing
+    from haulage.sources.testdata import load_tables
+    t = load_tables(spark, SMALL_SF)
+    few = spark.range(3).selectExpr("id AS id_driver", "id AS id_transportation")
+    assert worth_narrowing(few, t.assignments)
+    assert not worth_narrowing(t.assignments, t.assignments)
