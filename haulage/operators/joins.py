@@ -44,7 +44,7 @@ MICRO_BATCH_MAX_ROWS = 200_000  # key sets of a proven-small micro-batch (a few
 
 def estimated_bytes(df: DataFrame) -> int:
     """Spark's own size estimate of ``df``'s plan (no job is run)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
 
 
 def worth_narrowing(rows: DataFrame, big: DataFrame, ratio: float = 0.1) -> bool:
