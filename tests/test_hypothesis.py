@@ -2,7 +2,7 @@
 import re
 
 from hypothesis import given, settings, HealthCheck, strategies as st
-from pyspark.sql import functions as F, Window
+
 
 from haulage.operators import quality
 from haulage.operators.ids import allocate_ids
