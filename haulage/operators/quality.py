@@ -61,9 +61,15 @@ def split_valid(df: DataFrame, fails: DataFrame, keys: list[str]) -> tuple[DataF
 
 # --- #44 password policy ----------------------------------------------------
 
+def utf16_length(x: Column) -> Column:
+    """Length in UTF-16 code units, as the reference's strings count it (a
+    character outside the Basic Multilingual Plane counts twice)."""
+    return F.octet_length(F.encode(x, "UTF-16LE")) / 2
+
+
 def password_outcome(password) -> Column:
     p = F.coalesce(F.col(password) if isinstance(password, str) else password, F.lit(""))
-    return (F.when(F.length(p) < PASSWORD_MIN_LENGTH, F.lit("too_short"))
+    return (F.when(utf16_length(p) < PASSWORD_MIN_LENGTH, F.lit("too_short"))
             .when(~p.rlike(PASSWORD_DIGIT), F.lit("no_digit"))
             .when(~p.rlike(PASSWORD_UPPER), F.lit("no_upper"))
             .when(~p.rlike(PASSWORD_SPECIAL), F.lit("no_special"))

@@ -357,7 +357,9 @@ def derived(*names: str) -> list[tuple[str, str]]:
 
 def password_outcome(p: str) -> str:
     x = f"coalesce({p}, '')"
-    return (f"CASE WHEN length({x}) < 8 THEN 'too_short' "
+    # UTF-16 length: characters, plus one more for each outside the BMP.
+    u16 = rf"(length({x}) + length(regexp_replace({x}, '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g')))"
+    return (f"CASE WHEN {u16} < 8 THEN 'too_short' "
             f"WHEN NOT regexp_matches({x}, '[0-9]') THEN 'no_digit' "
             f"WHEN NOT regexp_matches({x}, '[A-ZА-Я]') THEN 'no_upper' "
             rf"WHEN NOT regexp_matches({x}, '[^a-zA-Z0-9а-яА-Я\s]') THEN 'no_special' ELSE 'ok' END")

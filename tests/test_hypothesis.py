@@ -14,7 +14,7 @@ _WS = " \t\n\x0b\f\r"
 
 def brute_outcome(p):
     p = p or ""
-    if len(p) < 8:
+    if len(p.encode("utf-16-le")) // 2 < 8:  # UTF-16 code units, as the reference counts
         return "too_short"
     if not re.search(r"[0-9]", p):
         return "no_digit"
@@ -25,7 +25,7 @@ def brute_outcome(p):
     return "ok"
 
 
-ALPHABET = "aZ09#! \t ЁёЖжЯяАа_-Ω"
+ALPHABET = "aZ09#! \t ЁёЖжЯяАа_-Ω😀𝔸"
 passwords = st.lists(st.one_of(st.none(), st.text(alphabet=ALPHABET, max_size=12)), min_size=1, max_size=40)
 
 

@@ -6,10 +6,11 @@ def test_password_outcomes(spark):
     users = spark.createDataFrame([
         (1, "Ab1#"), (2, "abcdefg#1"), (3, "Abcdefgh#"), (4, "Abcdefg12"), (5, "HOUSEHOLD#4"),
         (6, "Ёабвгд1ж"), (7, "Жабвгд1Ё"), (8, None), (9, "Abcdefg 1"),
+        (10, "Ab1#😀xy"),  # 7 characters, 8 UTF-16 units: long enough for the reference
     ], "id_user long, password string")
     got = {r.id_user: r.outcome for r in quality.password_policy_audit(users).collect()}
     assert got == {1: "too_short", 2: "no_upper", 3: "no_digit", 4: "no_special", 5: "ok",
-                   6: "no_upper", 7: "ok", 8: "too_short", 9: "no_special"}
+                   6: "no_upper", 7: "ok", 8: "too_short", 9: "no_special", 10: "ok"}
     assert "password" not in quality.password_policy_audit(users).columns
 
 
