@@ -20,9 +20,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from haulage.operators.joins import estimated_bytes
 from haulage.session import materialize
 
 _ROW_BITS = 33  # monotonically_increasing_id(): partition index << 33 | row number
+_TARGET_PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def range_partitions(batch: DataFrame) -> int:
+    """Range partitions for a batch: ~128 MB each by Spark's size estimate,
+    at least 1 and at most ``spark.sql.shuffle.partitions`` (so a small
+    insert on a cluster sized for 100 TB does not write thousands of
+    files)."""
+    cap = int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    est = estimated_bytes(batch)
+    return max(1, min(cap, -(-est // _TARGET_PARTITION_BYTES)))
 
 
 def max_id(table: DataFrame, id_col: str) -> int:
@@ -37,9 +49,8 @@ def allocate_ids(batch: DataFrame, id_col: str, order: list[str], base: int,
 
     ``order`` must be unique within the batch (a change sequence number).
     """
-    spark = batch.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     body = batch.drop(id_col) if id_col in batch.columns else batch
+    n = partitions or range_partitions(body)
     tagged = materialize(body.repartitionByRange(n, *order)
                          .sortWithinPartitions(*order)
                          .withColumn("_pid", F.spark_partition_id())
