@@ -124,9 +124,9 @@ def assign_drivers(t: Tables, batch: DataFrame, limit: int = pay.DEFAULT_CREW_LI
     drivers and trips are first cut to the batch's keys by semi joins
     (``operators/joins.py``): for a small batch Spark broadcasts the key set,
     so the large tables are scanned but not shuffled, and only the touched
-    trips' crews are counted. By default (None) this is chosen from Spark's
-    size estimates: narrow when the batch is much smaller than the
-    assignments.
+    trips' crews are counted; pricing the accepted rows narrows the same
+    way. By default (None) this is chosen from Spark's size estimates:
+    narrow when the batch is much smaller than the assignments.
     """
     existing = t.assignments
     pairs = ["id_driver", "id_transportation"]
@@ -161,7 +161,8 @@ def assign_drivers(t: Tables, batch: DataFrame, limit: int = pay.DEFAULT_CREW_LI
     over = valid.join(accepted.select(*pairs), pairs, "left_anti")
     new_rows = accepted.select(*pairs, "payment", F.lit(None).cast("decimal(18,2)").alias("bonus_amount"),
                                F.lit(None).cast("string").alias("bonus_reason"), F.col("seq").cast("int"))
-    priced = pay.price_assignments(t.with_(assignments=new_rows.select(*existing.columns)), bands, split=False)
+    priced = pay.price_assignments(t.with_(assignments=new_rows.select(*existing.columns)), bands,
+                                   split=False, narrow_tables=narrow_tables)
     rejected = (flagged.where(F.col("reason").isNotNull()).select(*pairs, "reason")
                 .unionByName(over.select(*pairs, F.lit("crew_limit").alias("reason"))))
     return Assigned(existing.unionByName(priced), rejected)
