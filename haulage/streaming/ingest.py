@@ -142,10 +142,26 @@ def stream_crew_limit(t: Tables, files: int = 4) -> DataFrame:
 DRIVER_BUCKETS = 64
 
 
+BUCKET_SPREAD = 8  # tasks (and files) per bucket in the bucketed layout
+
+
 def driver_bucket(buckets: int = DRIVER_BUCKETS):
     return F.pmod(F.xxhash64("id_driver"), F.lit(buckets)).cast("int").alias("driver_bucket")
 
 
+def _by_bucket(df: DataFrame, buckets: int, spread_col: str) -> DataFrame:
+    """``df`` tagged with its driver bucket and laid out for a bucketed
+    write: each bucket spread over ``BUCKET_SPREAD`` tasks by a hash of
+    ``spread_col``, so a bucket holds a bounded number of files and a hot
+    bucket (a driver with a third of all rows) is still written by several
+    tasks. Repartitioning by columns (no count) lets AQE coalesce the
+    partitions left empty; each (bucket, spread) pair still lands in one
+    partition, so a bucket gets at most ``BUCKET_SPREAD`` files."""
+    spread = F.pmod(F.xxhash64(spread_col), F.lit(BUCKET_SPREAD))
+    return (df.withColumn("driver_bucket", driver_bucket(buckets))
+            .repartition("driver_bucket", spread))
+
+
 def refresh_reports_stream(t: Tables, feed: DataFrame, base: str,
                            buckets: int = DRIVER_BUCKETS) -> DataFrame:
     """Keep the salary statement current under a stream of bonus changes
@@ -166,9 +182,9 @@ def refresh_reports_stream(t: Tables, feed: DataFrame, base: str,
     initial = reports.salary_statement(t)
     initial.write.mode("overwrite").parquet(f"{report_dir}/batch=-1")
     rows = reports.with_trip_status(t.assignments, t.transportations)
-    rows.withColumn("driver_bucket", driver_bucket(buckets)) \
+    _by_bucket(rows, buckets, "id_transportation") \
         .write.mode("overwrite").partitionBy("driver_bucket").parquet(rows_dir)
-    t.drivers.withColumn("driver_bucket", driver_bucket(buckets)) \
+    _by_bucket(t.drivers, buckets, "id_driver") \
         .write.mode("overwrite").partitionBy("driver_bucket").parquet(drivers_dir)
     rows_schema = rows.schema.add("driver_bucket", T.IntegerType())
     drivers_schema = t.drivers.schema.add("driver_bucket", T.IntegerType())
