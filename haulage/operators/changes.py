@@ -130,9 +130,9 @@ def assign_drivers(t: Tables, batch: DataFrame, limit: int = pay.DEFAULT_CREW_LI
     """
     existing = t.assignments
     pairs = ["id_driver", "id_transportation"]
-    b = (batch.select(*pairs, "payment", "seq")
-         .groupBy(*pairs).agg(F.min_by(F.struct("payment", "seq"), F.col("seq")).alias("_b"))
-         .select(*pairs, "_b.*"))
+    # Fixed-width buffers (decimal(18,2), int): a hash aggregate.
+    b = (batch.groupBy(*pairs)
+         .agg(F.min_by("payment", "seq").alias("payment"), F.min("seq").alias("seq")))
     old_pairs = existing.select(*pairs)
     crew_rows = existing.select("id_transportation")
     driver_ids = t.drivers.select("id_driver")
