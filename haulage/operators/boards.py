@@ -15,19 +15,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulage.functions import text
+from haulage.operators.joins import lookup_table
 from haulage.schemas import ROLE_DRIVER
 from haulage.sources.tables import Tables
 
 
 def user_role_pairs(t: Tables) -> DataFrame:
-    """(id_user, role_name) of every role link (#14). ``roles`` is a small
-    table; the planner broadcasts it from its size statistics."""
-    return t.user_roles.join(t.roles, "id_role").select("id_user", "role_name")
+    """(id_user, role_name) of every role link (#14). ``roles`` is proven
+    small and broadcast: the links are never shuffled by role id, a key with
+    four values."""
+    return t.user_roles.join(lookup_table(t.roles), "id_role").select("id_user", "role_name")
 
 
 def role_lists(user_roles: DataFrame, roles: DataFrame) -> DataFrame:
     """Per user, role names joined by ', ' (#27)."""
-    return (user_roles.join(roles, "id_role").select("id_user", "role_name")
+    return (user_roles.join(lookup_table(roles), "id_role").select("id_user", "role_name")
             .groupBy("id_user").agg(text.sorted_list("role_name").alias("roles")))
 
 
@@ -52,7 +54,7 @@ def available_driver_users(t: Tables, current_id: int = 0) -> DataFrame:
     nested-loop existence join. NULL accounts of drivers are excluded from
     the "taken" set, as the reference's sub-select does.
     """
-    driver_role = t.roles.where(F.col("role_name") == ROLE_DRIVER).select("id_role")
+    driver_role = lookup_table(t.roles.where(F.col("role_name") == ROLE_DRIVER).select("id_role"))
     with_role = t.user_roles.join(driver_role, "id_role", "left_semi").select("id_user")
     candidates = t.users.join(with_role, "id_user", "left_semi").select("id_user", "login")
     taken = (t.drivers.where(F.col("id_user").isNotNull())
@@ -174,7 +176,7 @@ def resolve_role_names(requests: DataFrame, roles: DataFrame,
     user half-linked; a batch does not). ``rejected`` lists each unknown
     (id_user, role_name).
     """
-    r = roles.select(F.col("role_name").alias(name_col), "id_role")
+    r = lookup_table(roles.select(F.col("role_name").alias(name_col), "id_role"))
     unknown = requests.join(r, name_col, "left_anti").select("id_user", name_col)
     bad_users = unknown.select("id_user").distinct()
     resolved = (requests.join(bad_users, "id_user", "left_anti")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from haulage.operators import pay, quality
 from haulage.operators.boards import resolve_role_names
 from haulage.operators.ids import allocate_ids, max_id
-from haulage.operators.joins import narrow, worth_narrowing
+from haulage.operators.joins import lookup_table, narrow, worth_narrowing
 from haulage.schemas import ROLE_DRIVER
 from haulage.sources.tables import Tables
 
@@ -198,7 +198,7 @@ def register_users(t: Tables, batch: DataFrame) -> Registered:
     users_new = users_new.select("id_user", "reg_seq", "login", "password", "roles", "last_name",
                                  "first_name", "middle_name", "experience")
     links = (users_new.select("id_user", F.explode("roles").alias("role_name"))
-             .join(t.roles, "role_name").select("id_user", "id_role").distinct())
+             .join(lookup_table(t.roles), "role_name").select("id_user", "id_role").distinct())
     driver_rows = users_new.where(F.array_contains("roles", ROLE_DRIVER))
     drivers_new = allocate_ids(driver_rows, "id_driver", ["reg_seq"], max_id(t.drivers, "id_driver"))
     return Registered(

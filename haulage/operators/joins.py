@@ -52,3 +52,14 @@ def worth_narrowing(rows: DataFrame, big: DataFrame, ratio: float = 0.1) -> bool
     smaller than ``big``. Both plans are correct; this only picks the
     cheaper. When the two are of a size, narrowing would repeat the join."""
     return estimated_bytes(rows) <= ratio * estimated_bytes(big)
+
+
+LOOKUP_MAX_ROWS = 10_000
+
+
+def lookup_table(df: DataFrame, max_rows: int = LOOKUP_MAX_ROWS) -> DataFrame:
+    """A small lookup table (the roles) broadcast by hint once a bounded
+    count proves it small; otherwise returned as is. Joining on a key with a
+    handful of values (a role id) must never shuffle the large side by that
+    key, since each value's rows would land in one partition."""
+    return F.broadcast(df) if is_small(df, max_rows) else df

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulage.functions.text import unicode_trim
+from haulage.operators.joins import lookup_table
 from haulage.sources.tables import Tables
 
 # The reference's form limits.
@@ -150,7 +151,7 @@ def fk_orphans(t: Tables) -> DataFrame:
         _orphans(t.user_roles, t.users, "user_roles.id_user",
                  F.concat_ws("/", F.col("id_user").cast("string"), F.col("id_role").cast("string")),
                  "id_user", "id_user"),
-        _orphans(t.user_roles, t.roles, "user_roles.id_role",
+        _orphans(t.user_roles, lookup_table(t.roles), "user_roles.id_role",
                  F.concat_ws("/", F.col("id_user").cast("string"), F.col("id_role").cast("string")),
                  "id_role", "id_role"),
         _orphans(t.drivers, t.users, "drivers.id_user", F.col("id_driver"), "id_user", "id_user"),

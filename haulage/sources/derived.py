@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from haulage.operators.joins import lookup_table
 from haulage.schemas import MONEY
 from haulage.sources.tables import Tables
 from haulage.sources.testdata import source
@@ -49,7 +50,7 @@ def registrations(t: Tables) -> DataFrame:
     """One registration per user: login ('' if id % 50 = 0), password, the
     user's role names, and the names of the user's driver profile (the
     lowest driver id) if any."""
-    roles = (t.user_roles.join(t.roles, "id_role")
+    roles = (t.user_roles.join(lookup_table(t.roles), "id_role")
              .groupBy("id_user").agg(F.array_sort(F.collect_list("role_name")).alias("roles")))
     names = (t.drivers.where(F.col("id_user").isNotNull())
              .groupBy("id_user")
@@ -166,7 +167,7 @@ def role_changes(t: Tables) -> DataFrame:
 def registration_batch(t: Tables) -> DataFrame:
     """Users with id % 10 = 0 registered again as 'new_<login>' with their
     password and roles (plus an unknown role if id % 30 = 0)."""
-    roles = (t.user_roles.join(t.roles, "id_role")
+    roles = (t.user_roles.join(lookup_table(t.roles), "id_role")
              .groupBy("id_user").agg(F.array_sort(F.collect_list("role_name")).alias("roles")))
     k = F.col("id_user")
     base = F.coalesce(F.col("roles"), F.array().cast("array<string>"))
