@@ -16,37 +16,36 @@ def _quoted(text: str) -> str:
 def line_dedup_sql() -> str:
     """Chunks by window functions over exploded lines; copies by text."""
     d, f, m = line_dedup.DIVISOR, line_dedup._FACTOR, line_dedup._MODULUS
-    words = r"len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))"
     return rf"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i
   FROM documents WHERE text IS NOT NULL),
 facts AS (
-  SELECT doc_id, i, x, {words} AS words,
+  SELECT doc_id, i, x, length(x) AS chars,
          (('0x' || substr(md5(x), 1, 8))::BIGINT % {m}) AS h FROM lines),
 hashes AS (
   SELECT *, coalesce(lag(h, 1) OVER w, 0) AS h1, coalesce(lag(h, 2) OVER w, 0) AS h2,
-         coalesce(lead(words) OVER w, 0) AS next_words
+         coalesce(lead(chars) OVER w, 0) AS next_chars
   FROM facts WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 ends AS (
   SELECT *, ((h1 * {f} + h) % {m} % {d} = 0 AND (h2 * {f} + h1) % {m} % {d} <> 0)
-            OR words >= {line_dedup.LONG_WORDS} OR next_words >= {line_dedup.LONG_WORDS} AS cut FROM hashes),
+            OR chars >= {line_dedup.LONG_CHARS} OR next_chars >= {line_dedup.LONG_CHARS} AS cut FROM hashes),
 placed AS (
   SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
             AS pos FROM ends),
 chunks AS (
-  SELECT doc_id, pos, string_agg(x, chr(10) ORDER BY i) AS chunk, sum(words) AS words,
-         sum((words > 0)::INT) AS lines, count(*) AS n FROM placed GROUP BY ALL),
+  SELECT doc_id, pos, string_agg(x, chr(10) ORDER BY i) AS chunk, sum(chars) + count(*) - 1 AS chars,
+         sum(regexp_matches(x, '[^\x20\x09-\x0D]')::INT) AS lines, count(*) AS n FROM placed GROUP BY ALL),
 again AS (
   SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, pos) > 1 AS later FROM chunks),
 runs AS (
   SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM again WHERE later),
 sums AS (
-  SELECT *, sum(words) OVER r AS run_words, sum(lines) OVER r AS run_lines
+  SELECT *, sum(chars) OVER r AS run_chars, sum(lines) OVER r AS run_lines
   FROM runs WINDOW r AS (PARTITION BY doc_id, run)),
 gone AS (
-  SELECT doc_id, pos FROM sums WHERE (run_lines >= 2 AND run_words >= {line_dedup.RUN_WORDS})
-                                  OR run_words >= {line_dedup.LONG_WORDS}),
+  SELECT doc_id, pos FROM sums WHERE (run_lines >= 2 AND run_chars >= {line_dedup.RUN_CHARS})
+                                  OR run_chars >= {line_dedup.LONG_CHARS}),
 kept AS (
   SELECT doc_id, string_agg(chunk, chr(10) ORDER BY pos) FILTER (WHERE NOT away) AS text, sum(n) AS n,
          coalesce(sum(n) FILTER (WHERE away), 0) AS removed
@@ -93,8 +92,8 @@ places AS (
          unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS x
   FROM docs, (SELECT DISTINCT m FROM windows) WHERE len(w) >= m),
 found AS (SELECT doc_id, i, p.m, item FROM places p JOIN windows USING (m, x)),
-hits AS (SELECT doc_id, count(DISTINCT at) AS n FROM (
-  SELECT doc_id, unnest(range(i, i + m)) AS at FROM found) GROUP BY doc_id),
+hits AS (SELECT doc_id, count(DISTINCT place) AS n FROM (
+  SELECT doc_id, unnest(range(i, i + m)) AS place FROM found) GROUP BY doc_id),
 named AS (SELECT doc_id, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS ids
           FROM found GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(n.n, 0)::BIGINT AS n_items,
