@@ -42,11 +42,13 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     from haulage.plans import registry
-    from haulage.session import build_session, scratch_path
+    import tempfile
+
+    from haulage.session import build_session, release_scratch, scratch_path
     from haulage.sources.tables import read_snapshot, write_snapshot
     from haulage.sources.testdata import load_tables
 
-    spark = build_session(app_name="haulage-bench")
+    spark = build_session(app_name="haulage-bench", shared=tempfile.mkdtemp(prefix="haulage-bench-"))
 
     def timed(qs, name: str) -> float:
         t0 = time.perf_counter()
@@ -79,6 +81,7 @@ def main() -> None:
         "snapshot_queries": stored,
         "materialize_sec": materialize,
     }))
+    release_scratch(spark)
     spark.stop()
 
 

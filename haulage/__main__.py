@@ -3,6 +3,7 @@
     python -m haulage list
     python -m haulage salary_statement --sf /root/testdata/sf0.01 [--show 20]
     python -m haulage trip_board --snapshot PATH --out NEW_FOLDER
+    python -m haulage upsert_routes --shared SCRATCH_FOLDER
 
 ``--sf`` reads the TPC-H-like test data through the adapter; ``--snapshot``
 reads the seven tables from a stored snapshot. ``--out`` writes the result as
@@ -21,6 +22,7 @@ def main(argv=None) -> int:
     ap.add_argument("--sf", default="/root/testdata/sf0.01", help="test-data folder")
     ap.add_argument("--snapshot", help="stored snapshot folder (instead of --sf)")
     ap.add_argument("--out", help="write the result as parquet to this new folder")
+    ap.add_argument("--shared", help="scratch folder that all executors share, unless spark.checkpoint.dir is set")
     ap.add_argument("--show", type=int, default=20, help="rows to show when not writing")
     a = ap.parse_args(argv)
 
@@ -29,10 +31,10 @@ def main(argv=None) -> int:
     if a.query == "list":
         print("\n".join(sorted(registry.build())))
         return 0
-    from haulage.session import build_session
+    from haulage.session import build_session, release_scratch
     from haulage.sources.tables import read_snapshot
 
-    spark = build_session(app_name=f"haulage-{a.query}")
+    spark = build_session(app_name=f"haulage-{a.query}", shared=a.shared)
     loader = (lambda s, _: read_snapshot(s, a.snapshot)) if a.snapshot else registry.load_tables
     queries = registry.build(loader)
     if a.query not in queries:
@@ -43,6 +45,7 @@ def main(argv=None) -> int:
         df.write.mode("errorifexists").parquet(a.out)
     else:
         df.show(a.show, truncate=False)
+    release_scratch(spark)
     return 0
 
 

@@ -4,7 +4,12 @@ The reference writes one row per call. Here a write takes a whole change
 batch and returns the new table(s); the caller publishes them as a new
 snapshot (``haulage.sources.tables.write_snapshot``), never over the folder
 being read. Change rows carry ``seq``, a change sequence number: for one key
-the highest ``seq`` wins; inserted rows get ids in ``seq`` order.
+the highest ``seq`` wins (a NULL ``seq`` is older than any, ties go to the
+larger values); inserted rows get ids in ``seq`` order.
+
+Before a write, text is trimmed and the forms' rules are applied, as the
+client does. A change that breaks a rule is not applied; the ``*_rejects``
+functions list such changes with the rules they break.
 
 Shuffles: the latest change per key is a partial + final aggregation (a key
 changed a million times is combined map-side); applying the changes is one
@@ -15,15 +20,18 @@ has a hot key.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from haulage.functions.text import unicode_trim
 from haulage.operators import pay, quality
 from haulage.operators.boards import resolve_role_names
 from haulage.operators.ids import allocate_ids, max_id
-from haulage.operators.joins import lookup_table, narrow, worth_narrowing
+from haulage.operators.joins import join_few_valued, left_join, narrow
 from haulage.schemas import ROLE_DRIVER
+from haulage.session import materialize
 from haulage.sources.tables import Tables
 
 
@@ -31,10 +39,24 @@ from haulage.sources.tables import Tables
 
 def latest_per_key(changes: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
     """The change with the highest ``seq`` for every key."""
-    rest = [c for c in changes.columns if c not in keys]
-    return (changes.groupBy(*keys)
-            .agg(F.max_by(F.struct(*rest), F.col(seq)).alias("_c"))
-            .select(*keys, "_c.*"))
+    rest = [c for c in changes.columns if c not in keys and c != seq]
+    newest = F.max(F.struct(F.col(seq).isNotNull().alias("_known"), seq, *rest))
+    return (changes.groupBy(*keys).agg(newest.alias("_c"))
+            .select(*keys, *[F.col("_c")[c].alias(c) for c in (seq, *rest)]))
+
+
+def trimmed(changes: DataFrame, *columns: str) -> DataFrame:
+    return changes.withColumns({c: unicode_trim(c) for c in columns})
+
+
+def accepted(changes: DataFrame, rules: list) -> DataFrame:
+    """The changes that break no rule."""
+    return changes.where(F.size(quality.broken(rules)) == 0)
+
+
+def rejects(changes: DataFrame, keys: list[str], rules: list, seq: str = "seq") -> DataFrame:
+    """(keys, seq, rule) of every broken rule."""
+    return quality.failures(changes, [*keys, seq], rules)
 
 
 def apply_updates(table: DataFrame, changes: DataFrame, keys: list[str],
@@ -60,20 +82,35 @@ def upsert(table: DataFrame, changes: DataFrame, key: str, seq: str = "seq") ->
     inserted under new ids (#65)."""
     updated = apply_updates(table, changes.where(F.col(key).isNotNull()), [key], seq=seq)
     inserts = changes.where(F.col(key).isNull())
-    new_rows = allocate_ids(inserts, key, [seq], max_id(table, key))
+    rest = [c for c in table.columns if c != key]  # rows of one seq, or none, go by their values
+    new_rows = allocate_ids(inserts, key, [seq, *rest], max_id(table, key))
     return updated.unionByName(new_rows.select(*table.columns))
 
 
 # --- #55-59 -----------------------------------------------------------------
 
+def _driver_form(changes: DataFrame) -> DataFrame:
+    return trimmed(changes, "last_name", "first_name", "middle_name")
+
+
 def upsert_drivers(drivers: DataFrame, changes: DataFrame) -> DataFrame:
     """Insert/update drivers; an account id <= 0 is stored as NULL."""
-    c = changes.withColumn("id_user", F.when(F.col("id_user") > 0, F.col("id_user")).cast("bigint"))
+    c = accepted(_driver_form(changes), quality.driver_rules())
+    c = c.withColumn("id_user", F.when(F.col("id_user") > 0, F.col("id_user")).cast("bigint"))
     return upsert(drivers, c.select(*drivers.columns, "seq"), "id_driver")
 
 
+def driver_rejects(changes: DataFrame) -> DataFrame:
+    return rejects(_driver_form(changes), ["id_driver"], quality.driver_rules())
+
+
 def upsert_routes(routes: DataFrame, changes: DataFrame) -> DataFrame:
-    return upsert(routes, changes.select(*routes.columns, "seq"), "id_route")
+    c = accepted(trimmed(changes, "route_name"), quality.route_rules())
+    return upsert(routes, c.select(*routes.columns, "seq"), "id_route")
+
+
+def route_rejects(changes: DataFrame) -> DataFrame:
+    return rejects(trimmed(changes, "route_name"), ["id_route"], quality.route_rules())
 
 
 def upsert_transportations(trips: DataFrame, changes: DataFrame) -> DataFrame:
@@ -84,130 +121,164 @@ def upsert_transportations(trips: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def update_user_passwords(users: DataFrame, changes: DataFrame) -> DataFrame:
-    """New passwords by user id; other users unchanged (#58)."""
-    return apply_updates(users, changes, ["id_user"], ["password"])
+    """New passwords by user id, where the policy is met; other users
+    unchanged (#58). Passwords are not trimmed."""
+    return apply_updates(users, accepted(changes, quality.password_rules()), ["id_user"], ["password"])
+
+
+def password_rejects(changes: DataFrame) -> DataFrame:
+    """(id_user, seq, rule); no password leaves."""
+    return rejects(changes, ["id_user"], quality.password_rules())
+
+
+PAIR = ["id_driver", "id_transportation"]
+
+
+def valid_bonuses(changes: DataFrame) -> DataFrame:
+    """Bonus changes, trimmed, that the form would let through."""
+    return accepted(trimmed(changes, "bonus_reason"), quality.bonus_rules())
 
 
 def set_bonuses(assignments: DataFrame, changes: DataFrame) -> DataFrame:
     """Replace amount and reason of existing (driver, trip) pairs (#59);
     a change for an absent pair has no effect."""
-    return apply_updates(assignments, changes, ["id_driver", "id_transportation"],
-                         ["bonus_amount", "bonus_reason"])
+    return apply_updates(assignments, valid_bonuses(changes), PAIR, ["bonus_amount", "bonus_reason"])
+
+
+def bonus_rejects(changes: DataFrame) -> DataFrame:
+    return rejects(trimmed(changes, "bonus_reason"), PAIR, quality.bonus_rules())
 
 
 # --- #60 assign drivers -----------------------------------------------------
 
-@dataclass(frozen=True)
 class Assigned:
-    assignments: DataFrame
-    rejected: DataFrame
+    """The outputs of ``assign_drivers``, each built when it is asked for."""
+
+    def __init__(self, t: Tables, batch: DataFrame, limit: int, bands):
+        self._t, self._batch, self._limit, self._bands = t, batch, limit, bands
+
+    @cached_property
+    def _flagged(self) -> DataFrame:
+        """Every offered pair once, with its reason to be refused (but for
+        the crew limit) and its trip's crew so far; written once for all
+        uses. The tables are cut to the batch's keys first."""
+        t = self._t
+        b = (self._batch.groupBy(*PAIR)
+             .agg(F.min(F.struct(F.col("seq").isNull().alias("_no_seq"), "seq", "payment")).alias("_b"))
+             .select(*PAIR, "_b.payment", "_b.seq"))
+        taken = narrow(t.assignments.select(*PAIR), b, PAIR).distinct().withColumn("_dup", F.lit(True))
+        crew = narrow(t.assignments.select("id_transportation"), b, "id_transportation").groupBy(
+            "id_transportation").agg(F.count("*").alias("crew"))
+        trips = (narrow(t.transportations.select("id_transportation"), b, "id_transportation")
+                 .join(crew, "id_transportation", "left").withColumn("_trip", F.lit(True)))
+        drivers = narrow(t.drivers.select("id_driver"), b, "id_driver").withColumn("_drv", F.lit(True))
+        flagged = (b.join(taken, PAIR, "left").join(drivers, "id_driver", "left").join(trips, "id_transportation", "left")
+                   .withColumn("reason", F.when(F.col("_dup").isNotNull(), "duplicate")
+                               .when(F.col("_drv").isNull(), "unknown_driver")
+                               .when(F.col("_trip").isNull(), "unknown_trip")))
+        return materialize(flagged.select(*PAIR, "payment", "seq", F.coalesce("crew", F.lit(0)).alias("crew"), "reason"),
+                           "assign")
+
+    @cached_property
+    def _accepted(self) -> DataFrame:
+        valid = self._flagged.where(F.col("reason").isNull())
+        ranked = valid.withColumn("_rn", F.row_number().over(pay.crew_order(("seq", "id_driver"))))
+        return ranked.where(F.col("_rn") <= self._limit).where(F.col("_rn") + F.col("crew") <= self._limit)
+
+    @cached_property
+    def assignments(self) -> DataFrame:
+        existing = self._t.assignments
+        new_rows = self._accepted.select(*PAIR, "payment", F.lit(None).cast("decimal(18,2)").alias("bonus_amount"),
+                                         F.lit(None).cast("string").alias("bonus_reason"), F.col("seq").cast("int"))
+        return existing.unionByName(pay.price_assignments(
+            self._t.with_(assignments=new_rows.select(*existing.columns)), self._bands, split=False, narrow_tables=True))
+
+    @cached_property
+    def rejected(self) -> DataFrame:
+        taken = self._accepted.select(*PAIR, F.lit(True).alias("_in"))
+        reason = F.coalesce("reason", F.when(F.col("_in").isNull(), "crew_limit"))
+        return (self._flagged.join(taken, PAIR, "left").select(*PAIR, reason.alias("reason"))
+                .where(F.col("reason").isNotNull()))
 
 
 def assign_drivers(t: Tables, batch: DataFrame, limit: int = pay.DEFAULT_CREW_LIMIT,
-                   bands=pay.DEFAULT_BANDS, narrow_tables: bool | None = None) -> Assigned:
+                   bands=pay.DEFAULT_BANDS) -> Assigned:
     """Insert (driver, trip) assignments with the server's rules.
 
     ``batch``: id_driver, id_transportation, payment (NULL or < 0: compute),
-    seq; a pair offered twice counts once (lowest ``seq``). A row is refused
-    for the first rule it breaks, in this order: the pair is already
-    assigned ('duplicate'), the driver or the trip does not exist
+    seq; a pair offered twice counts once (lowest ``seq``, a NULL one last).
+    A row is refused for the first rule it breaks, in this order: the pair is
+    already assigned ('duplicate'), the driver or the trip does not exist
     ('unknown_driver', 'unknown_trip'), the trip's crew is full given its
     existing crew ('crew_limit', earliest ``seq`` first). Accepted rows are
     priced (#34).
 
-    The three existence checks are left joins that attach flags, computed
-    once for both outputs. The crew limit ranks only valid new rows per
-    trip with ``row_number() <= limit`` (a partial WindowGroupLimit caps a
-    hot trip before the shuffle), then subtracts the existing crew size,
-    counted by a partial aggregation; the rows beyond it are an anti join on
-    the unique pair. With ``narrow_tables`` the existing assignments,
-    drivers and trips are first cut to the batch's keys by semi joins
-    (``operators/joins.py``): for a small batch Spark broadcasts the key set,
-    so the large tables are scanned but not shuffled, and only the touched
-    trips' crews are counted; pricing the accepted rows narrows the same
-    way. By default (None) this is chosen from Spark's size estimates:
-    narrow when the batch is much smaller than the assignments.
+    The existence checks are left joins that attach flags, computed once for
+    both outputs. The crew limit ranks the valid new rows of a trip with
+    ``row_number() <= limit`` (a partial WindowGroupLimit caps a hot trip
+    before the shuffle). Every table is first cut to the batch's keys by a
+    semi join (``operators/joins.py``): for a small batch Spark broadcasts the
+    key set, so the large tables are scanned but not shuffled, and only the
+    touched trips' crews are counted.
     """
-    existing = t.assignments
-    pairs = ["id_driver", "id_transportation"]
-    # Fixed-width buffers (decimal(18,2), int): a hash aggregate.
-    b = (batch.groupBy(*pairs)
-         .agg(F.min_by("payment", "seq").alias("payment"), F.min("seq").alias("seq")))
-    old_pairs = existing.select(*pairs)
-    crew_rows = existing.select("id_transportation")
-    driver_ids = t.drivers.select("id_driver")
-    trip_ids = t.transportations.select("id_transportation")
-    if narrow_tables is None:
-        narrow_tables = worth_narrowing(batch, existing)
-    if narrow_tables:
-        old_pairs = narrow(old_pairs, b, pairs)
-        crew_rows = narrow(crew_rows, b, "id_transportation")
-        driver_ids = narrow(driver_ids, b, "id_driver")
-        trip_ids = narrow(trip_ids, b, "id_transportation")
-    flagged = (b.join(old_pairs.withColumn("_dup", F.lit(True)), pairs, "left")
-               .join(driver_ids.withColumn("_drv", F.lit(True)), "id_driver", "left")
-               .join(trip_ids.withColumn("_trip", F.lit(True)), "id_transportation", "left")
-               .withColumn("reason", F.when(F.col("_dup").isNotNull(), F.lit("duplicate"))
-                           .when(F.col("_drv").isNull(), F.lit("unknown_driver"))
-                           .when(F.col("_trip").isNull(), F.lit("unknown_trip")))
-               .drop("_dup", "_drv", "_trip"))
-    valid = flagged.where(F.col("reason").isNull()).drop("reason")
-    crew = crew_rows.groupBy("id_transportation").agg(F.count("*").alias("_crew"))
-    ranked = (valid.withColumn("_rn", F.row_number().over(pay.crew_order(("seq", "id_driver"))))
-              .where(F.col("_rn") <= limit))
-    accepted = (ranked.join(crew, "id_transportation", "left")
-                .where(F.col("_rn") + F.coalesce("_crew", F.lit(0)) <= limit)
-                .select(*pairs, "payment", "seq"))
-    over = valid.join(accepted.select(*pairs), pairs, "left_anti")
-    new_rows = accepted.select(*pairs, "payment", F.lit(None).cast("decimal(18,2)").alias("bonus_amount"),
-                               F.lit(None).cast("string").alias("bonus_reason"), F.col("seq").cast("int"))
-    priced = pay.price_assignments(t.with_(assignments=new_rows.select(*existing.columns)), bands,
-                                   split=False, narrow_tables=narrow_tables)
-    rejected = (flagged.where(F.col("reason").isNotNull()).select(*pairs, "reason")
-                .unionByName(over.select(*pairs, F.lit("crew_limit").alias("reason"))))
-    return Assigned(existing.unionByName(priced), rejected)
+    return Assigned(t, batch, limit, bands)
 
 
 # --- #61 register users, #62 replace roles ----------------------------------
 
-@dataclass(frozen=True)
 class Registered:
-    users: DataFrame
-    user_roles: DataFrame
-    drivers: DataFrame
-    rejected: DataFrame
+    """The outputs of ``register_users``, each built when it is asked for."""
+
+    def __init__(self, t: Tables, batch: DataFrame):
+        self._t = t
+        self._batch = trimmed(batch, "login", "last_name", "first_name", "middle_name")
+
+    @cached_property
+    def rejected(self) -> DataFrame:
+        regs = self._batch.withColumnRenamed("reg_seq", "id_user")  # the key the rules report
+        broken = quality.validate_registrations(regs).select(F.col("id_user").alias("reg_seq"), "rule")
+        requests = self._batch.select(F.col("reg_seq").alias("id_user"), F.explode("roles").alias("role_name"))
+        _, unknown = resolve_role_names(requests, self._t.roles)
+        return broken.unionByName(unknown.select(
+            F.col("id_user").alias("reg_seq"), F.concat(F.lit("unknown_role:"), F.col("role_name")).alias("rule")))
+
+    @cached_property
+    def _new(self) -> DataFrame:
+        """The accepted registrations with their user ids. Only the sequence
+        numbers are written to allocate ids: no password is."""
+        ok = self._batch.join(self.rejected.select("reg_seq").distinct(), "reg_seq", "left_anti")
+        ids = allocate_ids(ok.select("reg_seq"), "id_user", ["reg_seq"], max_id(self._t.users, "id_user"))
+        return ok.join(ids, "reg_seq")
+
+    @cached_property
+    def users(self) -> DataFrame:
+        return self._t.users.unionByName(self._new.select(*self._t.users.columns))
+
+    @cached_property
+    def user_roles(self) -> DataFrame:
+        named = self._new.select("id_user", F.explode("roles").alias("role_name"))
+        links = join_few_valued(named, self._t.roles, "role_name").select("id_user", "id_role").distinct()
+        return self._t.user_roles.unionByName(links)
+
+    @cached_property
+    def drivers(self) -> DataFrame:
+        rows = self._new.where(F.array_contains("roles", ROLE_DRIVER))
+        ids = allocate_ids(rows.select("reg_seq"), "id_driver", ["reg_seq"], max_id(self._t.drivers, "id_driver"))
+        return self._t.drivers.unionByName(rows.join(ids, "reg_seq").select(
+            "id_driver", "id_user", "last_name", "first_name", "middle_name",
+            F.coalesce("experience", F.lit(0)).cast("int").alias("experience")))
 
 
 def register_users(t: Tables, batch: DataFrame) -> Registered:
     """Register users with roles; the driver role also creates a driver.
 
-    ``batch``: reg_seq, login, password, roles (array of names), last_name,
-    first_name, middle_name, experience. A registration breaking a form rule
-    (#48) or naming an unknown role (#23) is rejected whole; the rest get new
-    user ids (and driver ids) in ``reg_seq`` order and one new snapshot.
+    ``batch``: reg_seq (unique), login, password, roles (array of names),
+    last_name, first_name, middle_name, experience. Text but the password is
+    trimmed. A registration breaking a form rule (#48) or naming an unknown
+    role (#23) is rejected whole; the rest get new user ids (and driver ids)
+    in ``reg_seq`` order and one new snapshot.
     """
-    regs = batch.withColumnRenamed("reg_seq", "id_user")  # the key the rules report
-    broken = quality.validate_registrations(regs).select(F.col("id_user").alias("reg_seq"), "rule")
-    requests = batch.select(F.col("reg_seq").alias("id_user"), F.explode("roles").alias("role_name"))
-    _, unknown = resolve_role_names(requests, t.roles)
-    unknown = unknown.select(F.col("id_user").alias("reg_seq"),
-                             F.concat(F.lit("unknown_role:"), F.col("role_name")).alias("rule"))
-    rejected = broken.unionByName(unknown)
-    ok = batch.join(rejected.select("reg_seq").distinct(), "reg_seq", "left_anti")
-    users_new = allocate_ids(ok, "id_user", ["reg_seq"], max_id(t.users, "id_user"))
-    users_new = users_new.select("id_user", "reg_seq", "login", "password", "roles", "last_name",
-                                 "first_name", "middle_name", "experience")
-    links = (users_new.select("id_user", F.explode("roles").alias("role_name"))
-             .join(lookup_table(t.roles), "role_name").select("id_user", "id_role").distinct())
-    driver_rows = users_new.where(F.array_contains("roles", ROLE_DRIVER))
-    drivers_new = allocate_ids(driver_rows, "id_driver", ["reg_seq"], max_id(t.drivers, "id_driver"))
-    return Registered(
-        users=t.users.unionByName(users_new.select(*t.users.columns)),
-        user_roles=t.user_roles.unionByName(links),
-        drivers=t.drivers.unionByName(drivers_new.select(
-            "id_driver", "id_user", "last_name", "first_name", "middle_name",
-            F.coalesce("experience", F.lit(0)).cast("int").alias("experience"))),
-        rejected=rejected)
+    return Registered(t, batch)
 
 
 @dataclass(frozen=True)
@@ -246,7 +317,7 @@ def delete_users(t: Tables, ids: DataFrame) -> UsersDeleted:
     """Delete users; their role links go, their driver stays without an
     account (id_user NULL)."""
     k = ids.select("id_user").distinct().withColumn("_gone", F.lit(True))
-    drivers = (t.drivers.join(k, "id_user", "left")
+    drivers = (left_join(t.drivers, k, "id_user", "id_driver")
                .withColumn("id_user", F.when(F.col("_gone").isNull(), F.col("id_user")))
                .select(*t.drivers.columns))
     return UsersDeleted(t.users.join(k, "id_user", "left_anti"),
@@ -273,19 +344,19 @@ class Refusable:
 
 
 def delete_routes(t: Tables, ids: DataFrame) -> Refusable:
-    """Delete routes no trip uses; the others are refused. The request is
-    checked against only the trips on its routes (a semi join against the
-    request's keys)."""
+    """Delete routes no trip uses; the others are refused. The trips on the
+    requested routes (a semi join) are reduced to one row per route on both
+    sides of the shuffle, so a route of a third of all trips is no hot key."""
     k = ids.select("id_route").distinct()
-    refused = k.join(narrow(t.transportations.select("id_route"), k, "id_route"), "id_route", "left_semi")
+    refused = narrow(t.transportations.select("id_route"), k, "id_route").distinct()
     gone = k.join(refused, "id_route", "left_anti")
     return Refusable(t.routes.join(gone, "id_route", "left_anti"), refused)
 
 
 def delete_drivers(t: Tables, ids: DataFrame) -> Refusable:
-    """Delete drivers without assignments; assigned ones are refused. The
-    request is checked against only its drivers' assignments."""
+    """Delete drivers without assignments; assigned ones are refused. Like
+    ``delete_routes``, over the requested drivers' assignments."""
     k = ids.select("id_driver").distinct()
-    refused = k.join(narrow(t.assignments.select("id_driver"), k, "id_driver"), "id_driver", "left_semi")
+    refused = narrow(t.assignments.select("id_driver"), k, "id_driver").distinct()
     gone = k.join(refused, "id_driver", "left_anti")
     return Refusable(t.drivers.join(gone, "id_driver", "left_anti"), refused)

@@ -10,9 +10,12 @@ count of all earlier partitions gives its rank. The per-partition counts are
 one row per partition (bounded by the partition count), so they are
 broadcast safely.
 
-The tagged batch is written once to the session's shared checkpoint folder
+The tagged batch is written to the session's shared checkpoint folder
 before its two uses (``haulage.session.materialize``): a retried task then
-reads the same (partition, position) pairs and allocates the same ids.
+reads the same (partition, position) pairs and allocates the same ids. (The
+range partitioner samples its input first, so the batch is read twice up to
+there.) Pass only the columns that order the rows and find them again; what
+is written lies in the folder until ``haulage.session.release_scratch``.
 """
 
 from __future__ import annotations
@@ -20,21 +23,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from haulage.operators.joins import estimated_bytes
 from haulage.session import materialize
 
 _ROW_BITS = 33  # monotonically_increasing_id(): partition index << 33 | row number
-_TARGET_PARTITION_BYTES = 128 * 1024 * 1024
-
-
-def range_partitions(batch: DataFrame) -> int:
-    """Range partitions for a batch: ~128 MB each by Spark's size estimate,
-    at least 1 and at most ``spark.sql.shuffle.partitions`` (so a small
-    insert on a cluster sized for 100 TB does not write thousands of
-    files)."""
-    cap = int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    est = estimated_bytes(batch)
-    return max(1, min(cap, -(-est // _TARGET_PARTITION_BYTES)))
 
 
 def max_id(table: DataFrame, id_col: str) -> int:
@@ -47,11 +38,13 @@ def allocate_ids(batch: DataFrame, id_col: str, order: list[str], base: int,
                  partitions: int | None = None) -> DataFrame:
     """``batch`` with ``id_col`` set to base + 1, base + 2, ... by ``order``.
 
-    ``order`` must be unique within the batch (a change sequence number).
+    ``order`` must be unique within the batch (a change sequence number);
+    NULLs come first. Without ``partitions``, the session's setting and AQE's
+    coalescing decide how many ranges there are.
     """
     body = batch.drop(id_col) if id_col in batch.columns else batch
-    n = partitions or range_partitions(body)
-    tagged = materialize(body.repartitionByRange(n, *order)
+    ranged = body.repartitionByRange(partitions, *order) if partitions else body.repartitionByRange(*order)
+    tagged = materialize(ranged
                          .sortWithinPartitions(*order)
                          .withColumn("_pid", F.spark_partition_id())
                          .withColumn("_pos", F.monotonically_increasing_id()

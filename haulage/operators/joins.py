@@ -1,15 +1,8 @@
-"""Joins of a few rows against large tables.
+"""Join shapes that stay safe at any size.
 
-A change batch or a stream micro-batch is usually tiny next to the tables it
-is checked against, and shuffling a 10^11-row table to meet a few thousand
-keys is the cost to avoid. The checks are therefore written as semi joins
-of the large table against the batch's key set (the build side), so the
-large table is cut to matching rows before any outer join. When the batch is
-small (a landed file of a few MB), Spark's planner broadcasts the key set by
-its own size check (``spark.sql.autoBroadcastJoinThreshold``), and the large
-table is scanned but not shuffled. When it is not, the semi join costs the
-one shuffle the plain join would have cost. No hint is given: the strategy
-stays with Spark's size checks.
+Nothing here counts rows or chooses between plans: each shape is one plan
+whose result and safety do not depend on how large a side is. Whether a side
+is broadcast is left to Spark's own size checks.
 """
 
 from __future__ import annotations
@@ -19,47 +12,32 @@ from pyspark.sql import functions as F
 
 
 def narrow(big: DataFrame, rows: DataFrame, keys: list[str] | str) -> DataFrame:
-    """Rows of ``big`` whose ``keys`` occur in ``rows`` (a semi join against
-    the key set of ``rows``)."""
+    """Rows of ``big`` whose ``keys`` occur in ``rows``: a semi join against
+    the de-duplicated key set of ``rows``. For a small landed batch Spark
+    broadcasts the key set, so the large table is scanned, not shuffled; for
+    a large one it costs the shuffle that the plain join would have cost."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     return big.join(rows.select(*keys).distinct(), keys, "left_semi")
 
 
-def is_small(df: DataFrame, max_rows: int) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows. Reads at most
-    ``max_rows + 1`` rows: a short scan for landed data (a stream
-    micro-batch's files)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+#: Parts that each value of a few-valued key is dealt into.
+SALTS = 64
 
 
-def narrow_broadcast(big: DataFrame, rows: DataFrame, keys: list[str] | str) -> DataFrame:
-    """``narrow`` with the key set broadcast by hint. Only for key sets
-    bounded by a row count proven with ``is_small``."""
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    return big.join(F.broadcast(rows.select(*keys).distinct()), keys, "left_semi")
-
-
-MICRO_BATCH_MAX_ROWS = 200_000  # key sets of a proven-small micro-batch (a few MB) are broadcast
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Spark's own size estimate of ``df``'s plan (no job is run)."""
-    return int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
-
-
-def worth_narrowing(rows: DataFrame, big: DataFrame, ratio: float = 0.1) -> bool:
-    """Narrow ``big`` to ``rows``' keys only when ``rows`` is estimated much
-    smaller than ``big``. Both plans are correct; this only picks the
-    cheaper. When the two are of a size, narrowing would repeat the join."""
-    return estimated_bytes(rows) <= ratio * estimated_bytes(big)
-
-
-LOOKUP_MAX_ROWS = 10_000
+def join_few_valued(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``rows`` with ``table`` on a key that may have a handful
+    of values (a role), so that one value holds a third of all rows. Each
+    value's rows are dealt into ``SALTS`` parts by a hash of the whole row,
+    and ``table`` has a copy for each part: a shuffle spreads them, and a
+    broadcast of a small ``table`` works as always."""
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    return salted.join(table.withColumn("_salt", parts), [key, "_salt"]).drop("_salt")
 
 
-def lookup_table(df: DataFrame, max_rows: int = LOOKUP_MAX_ROWS) -> DataFrame:
-    """A small lookup table (the roles) broadcast by hint once a bounded
-    count proves it small; otherwise returned as is. Joining on a key with a
-    handful of values (a role id) must never shuffle the large side by that
-    key, since each value's rows would land in one partition."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
+def left_join(rows: DataFrame, table: DataFrame, key: str, spread: str) -> DataFrame:
+    """Left join on ``key``, in which a NULL key matches nothing, without
+    gathering the NULL rows: they are shuffled by a hash of ``spread``."""
+    right = table.withColumnRenamed(key, "_key")
+    match = (F.coalesce(F.col(key), F.xxhash64(spread)) == F.col("_key")) & F.col(key).isNotNull()
+    return rows.join(right, match, "left").drop("_key")

@@ -125,13 +125,13 @@ def lookup_transportations_by_id(keys: DataFrame, trips: DataFrame,
 def assignments_for_trips(keys: DataFrame, assignments: DataFrame,
                           key_col: str = "id_transportation") -> DataFrame:
     """All assignments of the given trips (semi join: no key duplication)."""
-    k = keys.select(F.col(key_col).alias("id_transportation"))
+    k = keys.select(F.col(key_col).alias("id_transportation")).distinct()
     return assignments.join(k, "id_transportation", "left_semi").select(*assignment_cols())
 
 
 def assignments_for_drivers(keys: DataFrame, assignments: DataFrame,
                             key_col: str = "id_driver") -> DataFrame:
-    k = keys.select(F.col(key_col).alias("id_driver"))
+    k = keys.select(F.col(key_col).alias("id_driver")).distinct()
     return assignments.join(k, "id_driver", "left_semi").select(*assignment_cols())
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from haulage.operators.joins import narrow, narrow_broadcast
+from haulage.operators.joins import left_join, narrow
 from haulage.schemas import MONEY
 from haulage.sources.tables import Tables
 
@@ -26,20 +26,14 @@ DEFAULT_BANDS: tuple[tuple[int | None, int | None, str], ...] = (
     (10, None, "1.20"),
 )
 MULTIPLIER = T.DecimalType(6, 2)
-MAX_BANDS = 1000  # bands are a parameter; a bound keeps the broadcast provably small
 DEFAULT_CREW_LIMIT = 2
 
 
-def _check_bands(bands) -> None:
-    if not 0 < len(bands) <= MAX_BANDS:
-        raise ValueError(f"between 1 and {MAX_BANDS} pay bands expected, got {len(bands)}")
-
-
 def multiplier(experience: Column, bands=DEFAULT_BANDS) -> Column:
     """The band multiplier of ``experience`` as a CASE expression (no join).
-    NULL experience or a gap between bands gives NULL."""
-    _check_bands(bands)
-    expr = None
+    NULL experience or a gap between bands gives NULL. For bands kept as a
+    table, of any size, see ``band_join``."""
+    expr = F.lit(None).cast(MULTIPLIER) if not bands else None
     for lo, hi, m in bands:
         cond = F.lit(True)
         if lo is not None:
@@ -53,7 +47,6 @@ def multiplier(experience: Column, bands=DEFAULT_BANDS) -> Column:
 
 def band_table(spark: SparkSession, bands=DEFAULT_BANDS) -> DataFrame:
     """The bands as a DataFrame (lo, hi, multiplier); open ends are NULL."""
-    _check_bands(bands)
     schema = T.StructType([T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType()),
                            T.StructField("multiplier", T.StringType())])
     return (spark.createDataFrame(list(bands), schema)
@@ -63,16 +56,16 @@ def band_table(spark: SparkSession, bands=DEFAULT_BANDS) -> DataFrame:
 def band_join(df: DataFrame, bands: DataFrame, experience: str = "experience") -> DataFrame:
     """Range join of rows to their pay band (#24): lo <= experience < hi.
 
-    ``bands`` is broadcast: its size is bounded by ``MAX_BANDS``, checked
-    here. The join is a broadcast nested-loop join over a handful of rows,
-    left outer so a row outside every band is kept with a NULL multiplier.
+    The range join runs between the bands and the distinct experience
+    values only; the rows then meet their value's multiplier in an equi join
+    that preserves them. Both tables may have any size. A row outside every
+    band is kept with a NULL multiplier.
     """
-    n = bands.limit(MAX_BANDS + 1).count()
-    if n > MAX_BANDS:
-        raise ValueError(f"band table has more than {MAX_BANDS} rows")
-    b = F.broadcast(bands.select("lo", "hi", "multiplier"))
-    cond = ((b.lo.isNull() | (df[experience] >= b.lo)) & (b.hi.isNull() | (df[experience] < b.hi)))
-    return df.join(b, cond, "left").drop("lo", "hi")
+    values = df.select(F.col(experience).alias("_value")).where("_value is not null").distinct()
+    b = bands.select("lo", "hi", "multiplier")
+    inside = ((b.lo.isNull() | (F.col("_value") >= b.lo)) & (b.hi.isNull() | (F.col("_value") < b.hi)))
+    found = values.join(b, inside).select("_value", "multiplier")
+    return df.join(found, F.col(experience) == F.col("_value"), "left").drop("_value")
 
 
 def pay_bands_by_driver(t: Tables, bands=DEFAULT_BANDS) -> DataFrame:
@@ -92,7 +85,7 @@ def needs_pricing(payment: Column) -> Column:
 
 
 def price_assignments(t: Tables, bands=DEFAULT_BANDS, split: bool = True,
-                      narrow_tables: bool = False, broadcast_keys: bool = False) -> DataFrame:
+                      narrow_tables: bool = False) -> DataFrame:
     """Assignments with every missing payment computed (#34).
 
     With ``split`` (for stored tables, where re-reading is a scan), only rows
@@ -107,10 +100,7 @@ def price_assignments(t: Tables, bands=DEFAULT_BANDS, split: bool = True,
     use by a semi join (``operators/joins.py``); for a small batch Spark
     broadcasts the key set, so the large tables are scanned but not
     shuffled, and the outer joins (whose small, preserved side cannot be
-    broadcast) then run between small frames. ``broadcast_keys`` hints the
-    broadcast of every key set, including the routes of the rows' trips
-    (whose size the planner cannot estimate); pass it only after proving the
-    rows few (``joins.is_small``), which bounds every key set.
+    broadcast) then run between small frames.
     """
     a = t.assignments
     trips = t.transportations.select("id_transportation", "id_route")
@@ -119,14 +109,12 @@ def price_assignments(t: Tables, bands=DEFAULT_BANDS, split: bool = True,
 
     def priced(rows: DataFrame) -> DataFrame:
         tr, ro, dr = trips, routes, drivers
-        if narrow_tables or broadcast_keys:
-            cut = narrow_broadcast if broadcast_keys else narrow
-            tr = cut(tr, rows, "id_transportation")
-            ro = cut(ro, tr, "id_route")
-            dr = cut(dr, rows, "id_driver")
-        return (rows.join(tr, "id_transportation", "left")
-                .join(ro, "id_route", "left")
-                .join(dr, "id_driver", "left"))
+        if narrow_tables:
+            tr = narrow(tr, rows, "id_transportation")
+            ro = narrow(ro, tr, "id_route")
+            dr = narrow(dr, rows, "id_driver")
+        on_trips = rows.join(tr, "id_transportation", "left")
+        return left_join(on_trips, ro, "id_route", "id_transportation").join(dr, "id_driver", "left")
 
     computed = computed_pay(F.col("base_payment"), F.col("experience"), bands)
     if not split:
@@ -160,9 +148,12 @@ def crew_limit_accept(assignments: DataFrame, limit: int = DEFAULT_CREW_LIMIT,
 def crew_limit_reject(assignments: DataFrame, limit: int = DEFAULT_CREW_LIMIT,
                       order: tuple[str, ...] = ("seq", "id_driver")) -> DataFrame:
     """Everything ``crew_limit_accept`` refuses: an anti join on the
-    (driver, trip) pair, which is unique, so no key is hot."""
-    accepted = crew_limit_accept(assignments, limit, order).select("id_driver", "id_transportation")
-    return assignments.join(accepted, ["id_driver", "id_transportation"], "left_anti")
+    (driver, trip) pair, which is unique, so no key is hot. NULL equals NULL
+    here, so an accepted row without a driver is not refused as well."""
+    accepted = crew_limit_accept(assignments, limit, order).select(
+        F.col("id_driver").alias("_d"), F.col("id_transportation").alias("_t"))
+    same = F.col("id_driver").eqNullSafe(F.col("_d")) & F.col("id_transportation").eqNullSafe(F.col("_t"))
+    return assignments.join(accepted, same, "left_anti")
 
 
 def crew_limit_overflow(assignments: DataFrame, limit: int = DEFAULT_CREW_LIMIT) -> DataFrame:

@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulage.functions.text import unicode_trim
-from haulage.operators.joins import lookup_table
 from haulage.sources.tables import Tables
 
 # The reference's form limits.
@@ -46,11 +45,17 @@ def outside(x: str, lo, hi, lo_open: bool = False) -> Column:
     return ~F.coalesce(low & (c <= hi), F.lit(False))
 
 
-def failures(df: DataFrame, keys: list[str], rules: list) -> DataFrame:
-    """One row per key and broken rule. A rule is ``(name, condition)`` or
-    a Column that yields the rule's name when broken and NULL otherwise."""
+def broken(rules: list) -> Column:
+    """The names of the rules that a row breaks. A rule is ``(name,
+    condition)`` or a Column that yields the rule's name when broken and NULL
+    otherwise."""
     flags = F.array(*[r if isinstance(r, Column) else F.when(r[1], F.lit(r[0])) for r in rules])
-    return (df.select(*keys, F.filter(flags, lambda r: r.isNotNull()).alias("_broken"))
+    return F.filter(flags, lambda r: r.isNotNull())
+
+
+def failures(df: DataFrame, keys: list[str], rules: list) -> DataFrame:
+    """One row per key and broken rule."""
+    return (df.select(*keys, broken(rules).alias("_broken"))
             .select(*keys, F.explode("_broken").alias("rule")))
 
 
@@ -90,29 +95,41 @@ def password_policy_summary(users: DataFrame) -> DataFrame:
 
 # --- #45-48 form rules ------------------------------------------------------
 
+def driver_rules() -> list:
+    """What the driver form checks before a write."""
+    return [("last_name_empty", blank("last_name")),
+            ("first_name_empty", blank("first_name")),
+            ("experience_range", outside("experience", *EXPERIENCE_RANGE))]
+
+
+def route_rules() -> list:
+    return [("name_empty", blank("route_name")),
+            ("distance_range", outside("distance", *DISTANCE_RANGE)),
+            ("base_payment_range", outside("base_payment", *BASE_PAY_RANGE))]
+
+
+def bonus_rules() -> list:
+    return [("bonus_range", outside("bonus_amount", 0, BONUS_MAX, lo_open=True)),
+            ("reason_empty", blank("bonus_reason"))]
+
+
+def password_rules() -> list:
+    """The policy's first failing rule, as ``password_<outcome>``."""
+    outcome = password_outcome("password")
+    return [F.when(outcome != "ok", F.concat(F.lit("password_"), outcome))]
+
+
 def validate_drivers(drivers: DataFrame) -> DataFrame:
-    lo, hi = EXPERIENCE_RANGE
     return failures(drivers, ["id_driver"], [
-        ("last_name_empty", blank("last_name")),
-        ("first_name_empty", blank("first_name")),
-        ("experience_range", outside("experience", lo, hi)),
-        ("no_account", ~F.coalesce(F.col("id_user") > 0, F.lit(False))),
-    ])
+        *driver_rules(), ("no_account", ~F.coalesce(F.col("id_user") > 0, F.lit(False)))])
 
 
 def validate_routes(routes: DataFrame) -> DataFrame:
-    return failures(routes, ["id_route"], [
-        ("name_empty", blank("route_name")),
-        ("distance_range", outside("distance", *DISTANCE_RANGE)),
-        ("base_payment_range", outside("base_payment", *BASE_PAY_RANGE)),
-    ])
+    return failures(routes, ["id_route"], route_rules())
 
 
 def validate_bonuses(awards: DataFrame) -> DataFrame:
-    return failures(awards, ["id_driver", "id_transportation"], [
-        ("bonus_range", outside("bonus_amount", 0, BONUS_MAX, lo_open=True)),
-        ("reason_empty", blank("bonus_reason")),
-    ])
+    return failures(awards, ["id_driver", "id_transportation"], bonus_rules())
 
 
 def validate_registrations(regs: DataFrame, driver_role: str = "Водитель") -> DataFrame:
@@ -151,7 +168,7 @@ def fk_orphans(t: Tables) -> DataFrame:
         _orphans(t.user_roles, t.users, "user_roles.id_user",
                  F.concat_ws("/", F.col("id_user").cast("string"), F.col("id_role").cast("string")),
                  "id_user", "id_user"),
-        _orphans(t.user_roles, lookup_table(t.roles), "user_roles.id_role",
+        _orphans(t.user_roles, t.roles, "user_roles.id_role",
                  F.concat_ws("/", F.col("id_user").cast("string"), F.col("id_role").cast("string")),
                  "id_role", "id_role"),
         _orphans(t.drivers, t.users, "drivers.id_user", F.col("id_driver"), "id_user", "id_user"),

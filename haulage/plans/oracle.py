@@ -14,7 +14,9 @@ ADAPTER: dict[str, str] = {
     "roles": """
         SELECT CAST(id_role AS BIGINT) AS id_role, role_name FROM (VALUES
           (1, 'Администратор'), (2, 'Диспетчер'), (3, 'Водитель'), (4, 'Механик')
-        ) r(id_role, role_name)""",
+        ) r(id_role, role_name)
+        WHERE EXISTS (SELECT 1 FROM orders
+                      WHERE (TRY_CAST(substr(o_orderpriority, 1, 1) AS BIGINT) - 1) % 4 + 1 = r.id_role)""",
     "users": """
         SELECT c_custkey + 1 AS id_user, c_name AS login,
                CASE c_custkey % 5 WHEN 0 THEN 'Ab1#' WHEN 1 THEN 'abcdefg#1'
@@ -23,9 +25,8 @@ ADAPTER: dict[str, str] = {
         FROM customer""",
     "user_roles": """
         SELECT DISTINCT o_custkey + 1 AS id_user,
-               TRY_CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS id_role
-        FROM orders
-        WHERE o_orderkey % 9 = 0 AND TRY_CAST(substr(o_orderpriority, 1, 1) AS BIGINT) < 5""",
+               (TRY_CAST(substr(o_orderpriority, 1, 1) AS BIGINT) - 1) % 4 + 1 AS id_role
+        FROM orders WHERE TRY_CAST(substr(o_orderpriority, 1, 1) AS BIGINT) IS NOT NULL""",
     "routes": """
         SELECT p_partkey + 1 AS id_route, p_name AS route_name,
                CAST(p_size * 100 AS DECIMAL(18,2)) AS distance,
@@ -69,10 +70,17 @@ def with_tables(body: str, extra: list[tuple[str, str]] | tuple = ()) -> str:
 
 # --- shared expressions -----------------------------------------------------
 
+# White space in the Unicode sense (RE2's \\s is ASCII only).
+SPACE = r"[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def trim(x: str) -> str:
+    return f"regexp_replace({x}, '^{SPACE}+|{SPACE}+$', '', 'g')"
+
+
 def full_name(alias: str = "") -> str:
     p = f"{alias}." if alias else ""
-    return (rf"regexp_replace(concat(coalesce({p}last_name, ''), ' ', coalesce({p}first_name, ''), ' ', "
-            rf"coalesce({p}middle_name, '')), '^\s+|\s+$', '', 'g')")
+    return trim(f"concat(coalesce({p}last_name, ''), ' ', coalesce({p}first_name, ''), ' ', coalesce({p}middle_name, ''))")
 
 
 def money_text(x: str) -> str:
@@ -108,7 +116,7 @@ SALARY_BODY = f"""
 
 CREW_TOTALS = f"""
     SELECT a.id_transportation,
-           string_agg({full_name('d')}, ', ' ORDER BY {full_name('d')}) AS drivers,
+           string_agg(coalesce({full_name('d')}, ''), ', ' ORDER BY coalesce({full_name('d')}, '')) AS drivers,
            sum(coalesce(a.payment, 0)) AS pay, sum(coalesce(a.bonus_amount, 0)) AS bonus
     FROM assignments a LEFT JOIN drivers d ON a.id_driver = d.id_driver
     GROUP BY a.id_transportation"""
@@ -195,13 +203,11 @@ def lookups() -> dict[str, str]:
 # --- boards -----------------------------------------------------------------
 
 def _available(current_id: int) -> str:
-    # The reference's own statement: NOT IN with a NULL guard, OR the current id.
     return with_tables(f"""
-        SELECT DISTINCT u.id_user, u.login FROM users u
-        JOIN user_roles ur ON u.id_user = ur.id_user
-        JOIN roles r ON ur.id_role = r.id_role
-        WHERE r.role_name = 'Водитель' AND
-              (u.id_user NOT IN (SELECT id_user FROM drivers WHERE id_user IS NOT NULL) OR u.id_user = {current_id})""")
+        SELECT u.id_user, u.login FROM users u
+        WHERE EXISTS (SELECT 1 FROM user_roles ur WHERE ur.id_user = u.id_user AND EXISTS (
+                SELECT 1 FROM roles r WHERE r.id_role = ur.id_role AND r.role_name = 'Водитель'))
+          AND (NOT EXISTS (SELECT 1 FROM drivers d WHERE d.id_user = u.id_user) OR u.id_user = {current_id})""")
 
 
 def boards() -> dict[str, str]:
@@ -209,14 +215,30 @@ def boards() -> dict[str, str]:
     q: dict[str, str] = {}
     q["user_role_pairs"] = with_tables(
         "SELECT ur.id_user, r.role_name FROM user_roles ur JOIN roles r ON ur.id_role = r.id_role")
+    revoked = [("granted", "SELECT * FROM user_roles WHERE id_user % 7 <> 0 OR id_user NOT IN (SELECT id_user FROM users)")]
+    q["user_role_pairs_many"] = with_tables("""
+        SELECT id_user, 'role ' || CAST((id_user * 4 + id_role) % 20000 + 1 AS VARCHAR) AS role_name FROM user_roles""")
+    q["sign_in_check"] = with_tables(f"""
+        SELECT a.attempt, CASE WHEN a.login <> '' AND a.password <> '' THEN k.id_user END AS id_user,
+               CASE WHEN a.login = '' OR a.password = '' THEN 'empty_input' WHEN k.id_user IS NULL THEN 'unknown'
+                    WHEN NOT EXISTS (SELECT 1 FROM granted g WHERE g.id_user = k.id_user) THEN 'no_role'
+                    ELSE 'ok' END AS outcome
+        FROM (SELECT id_user AS attempt,
+                     CASE WHEN id_user % 13 = 0 THEN '' WHEN id_user % 11 = 0 THEN 'nobody' ELSE {trim('login')} END AS login,
+                     CASE WHEN id_user % 5 = 0 THEN password || ' ' ELSE password END AS password FROM users) a
+        LEFT JOIN (SELECT login, password, min(id_user) AS id_user FROM users GROUP BY login, password) k
+          ON k.login = a.login AND k.password = a.password""", revoked)
+    q["crew_rows"] = with_tables(f"""
+        SELECT a.id_transportation, a.id_driver, coalesce({full_name('d')}, '') AS driver_name
+        FROM assignments a LEFT JOIN drivers d ON a.id_driver = d.id_driver""")
     q["user_roles_list"] = with_tables("""
         SELECT u.id_user, u.login, coalesce(l.roles, '') AS roles FROM users u
         LEFT JOIN (SELECT ur.id_user, string_agg(r.role_name, ', ' ORDER BY r.role_name) AS roles
-                   FROM user_roles ur JOIN roles r ON ur.id_role = r.id_role GROUP BY ur.id_user) l
-          ON u.id_user = l.id_user""")
+                   FROM granted ur JOIN roles r ON ur.id_role = r.id_role GROUP BY ur.id_user) l
+          ON u.id_user = l.id_user""", revoked)
     q["users_without_roles"] = with_tables("""
         SELECT u.id_user, u.login FROM users u
-        WHERE NOT EXISTS (SELECT 1 FROM user_roles ur WHERE ur.id_user = u.id_user)""")
+        WHERE NOT EXISTS (SELECT 1 FROM granted ur WHERE ur.id_user = u.id_user)""", revoked)
     q["available_driver_users"] = _available(0)
     q["available_driver_users_current"] = _available(7)
     q["driver_roster"] = with_tables(f"""
@@ -244,7 +266,7 @@ def boards() -> dict[str, str]:
         LEFT JOIN routes r ON t.id_route = r.id_route""")
     q["trips_in_progress"] = with_tables(f"""
         SELECT t.id_transportation, coalesce(r.route_name, '') AS route_name,
-               {date_text('t.departure_date')} AS departure,
+               CASE WHEN t.id_transportation % 20 = 0 THEN '' ELSE coalesce({date_text('t.departure_date')}, '') END AS departure,
                coalesce(c.drivers, 'Не назначены') AS drivers
         FROM transportations t
         LEFT JOIN routes r ON t.id_route = r.id_route
@@ -299,6 +321,10 @@ def pay() -> dict[str, str]:
     q["price_assignments"] = with_tables(PRICED)
     q["pay_bands_by_driver"] = with_tables(
         f"SELECT id_driver, experience, {multiplier_sql('experience')} AS multiplier FROM drivers")
+    q["pay_bands_many"] = with_tables("""
+        SELECT d.id_driver, d.experience, CAST(1 + b.i / 1000.0 AS DECIMAL(6,2)) AS multiplier
+        FROM drivers d LEFT JOIN (SELECT range AS i FROM range(5000)) b
+          ON d.experience >= b.i - 2500 AND d.experience < b.i - 2499""")
     q["crew_limit_accept"] = with_tables(f"SELECT {cols} FROM ({CREW_RANK}) x WHERE rn <= 2")
     q["crew_limit_reject"] = with_tables(f"SELECT {cols} FROM ({CREW_RANK}) x WHERE rn > 2")
     q["crew_limit_overflow"] = with_tables("""
@@ -310,7 +336,7 @@ def pay() -> dict[str, str]:
 # --- derived inputs and quality ---------------------------------------------
 
 def blank(x: str) -> str:
-    return rf"(regexp_replace(coalesce({x}, ''), '^\s+|\s+$', '', 'g') = '')"
+    return f"({trim(f"coalesce({x}, '')")} = '')"
 
 
 DERIVED: dict[str, str] = {
@@ -323,7 +349,7 @@ DERIVED: dict[str, str] = {
     "dirty_drivers": """
         SELECT id_driver, id_user,
                CASE WHEN id_driver % 10 = 0 THEN '' ELSE last_name END AS last_name,
-               first_name, middle_name,
+               CASE WHEN id_driver % 8 = 0 THEN ' ' ELSE first_name END AS first_name, middle_name,
                CAST(CASE WHEN id_driver % 15 = 0 THEN 90 ELSE experience END AS INTEGER) AS experience
         FROM drivers""",
     "bonus_awards": """
@@ -344,6 +370,7 @@ DERIVED: dict[str, str] = {
           ON u.id_user = d.id_user""",
     "o_users": "SELECT * FROM users WHERE id_user % 9 <> 0",
     "o_transportations": "SELECT * FROM transportations WHERE id_transportation % 100 <> 0",
+    "o_roles": "SELECT * FROM roles WHERE id_role <> 4",
     "raw_assignments": """
         SELECT l_suppkey + 1 AS id_driver, l_orderkey + 1 AS id_transportation,
                CAST(l_extendedprice AS DECIMAL(18,2)) AS payment, CAST(l_linenumber AS INTEGER) AS seq
@@ -388,20 +415,12 @@ def quality() -> dict[str, str]:
     q["password_policy_audit"] = with_tables(audit)
     q["password_policy_summary"] = with_tables(f"SELECT outcome, count(*) AS users FROM ({audit}) a GROUP BY outcome")
     q["validate_drivers"] = with_tables(_rules("dirty_drivers", "id_driver", [
-        ("last_name_empty", blank("last_name")),
-        ("first_name_empty", blank("first_name")),
-        ("experience_range", "(experience IS NULL OR experience < 0 OR experience > 80)"),
+        *DRIVER_RULES,
         ("no_account", "(id_user IS NULL OR id_user <= 0)"),
     ]), derived("dirty_drivers"))
-    q["validate_routes"] = with_tables(_rules("dirty_routes", "id_route", [
-        ("name_empty", blank("route_name")),
-        ("distance_range", "(distance IS NULL OR distance < 1 OR distance > 20000)"),
-        ("base_payment_range", "(base_payment IS NULL OR base_payment < 0 OR base_payment > 1000000)"),
-    ]), derived("dirty_routes"))
-    q["validate_bonuses"] = with_tables(_rules("bonus_awards", "id_driver, id_transportation", [
-        ("bonus_range", "(bonus_amount IS NULL OR bonus_amount <= 0 OR bonus_amount > 500000)"),
-        ("reason_empty", blank("bonus_reason")),
-    ]), derived("bonus_awards"))
+    q["validate_routes"] = with_tables(_rules("dirty_routes", "id_route", ROUTE_RULES), derived("dirty_routes"))
+    q["validate_bonuses"] = with_tables(
+        _rules("bonus_awards", "id_driver, id_transportation", BONUS_RULES), derived("bonus_awards"))
     has_pw = "(password IS NOT NULL AND password <> '')"
     q["validate_registrations"] = with_tables(_rules("registrations", "id_user", [
         ("login_empty", blank("login")),
@@ -417,62 +436,72 @@ def quality() -> dict[str, str]:
     pair = "CAST(c.id_driver AS VARCHAR) || '/' || CAST(c.id_transportation AS VARCHAR)"
     q["fk_orphans"] = with_tables("\nUNION ALL\n".join([
         _orphan("user_roles", "o_users", "user_roles.id_user", ur_key, "id_user"),
-        _orphan("user_roles", "roles", "user_roles.id_role", ur_key, "id_role"),
+        _orphan("user_roles", "o_roles", "user_roles.id_role", ur_key, "id_role"),
         _orphan("drivers", "o_users", "drivers.id_user", "CAST(c.id_driver AS VARCHAR)", "id_user"),
         _orphan("o_transportations", "routes", "transportations.id_route",
                 "CAST(c.id_transportation AS VARCHAR)", "id_route"),
         _orphan("assignments", "drivers", "assignments.id_driver", pair, "id_driver"),
         _orphan("assignments", "o_transportations", "assignments.id_transportation", pair, "id_transportation"),
-    ]), derived("o_users", "o_transportations"))
+    ]), derived("o_users", "o_transportations", "o_roles"))
     q["key_duplicates"] = with_tables("\nUNION ALL\n".join([
-        _dups("roles", "roles", ["id_role"]),
-        _dups("users", "users", ["id_user"]),
-        _dups("user_roles", "user_roles", ["id_user", "id_role"]),
-        _dups("drivers", "drivers", ["id_driver"]),
-        _dups("routes", "routes", ["id_route"]),
-        _dups("transportations", "transportations", ["id_transportation"]),
+        *[_dups(f"(SELECT * FROM {t} UNION ALL SELECT * FROM {t} WHERE {keys[0]} % {n} = 0)", t, keys) for t, keys, n in (
+            ("roles", ["id_role"], 2), ("users", ["id_user"], 50), ("user_roles", ["id_user", "id_role"], 50),
+            ("drivers", ["id_driver"], 20), ("routes", ["id_route"], 50), ("transportations", ["id_transportation"], 500))],
         _dups("raw_assignments", "assignments", ["id_driver", "id_transportation"]),
     ]), derived("raw_assignments"))
-    q["normalise_names"] = with_tables(r"""
-        SELECT id_driver,
-               regexp_replace(last_name, '^\s+|\s+$', '', 'g') AS last_name,
-               regexp_replace(first_name, '^\s+|\s+$', '', 'g') AS first_name,
-               regexp_replace(middle_name, '^\s+|\s+$', '', 'g') AS middle_name
-        FROM drivers""")
+    q["normalise_names"] = with_tables(
+        "SELECT id_driver, last_name, first_name || ' x' AS first_name, middle_name FROM drivers")
     return q
 
 
 # --- change batches ---------------------------------------------------------
 
 DERIVED.update({
+    # (text is written trimmed, as it is to be stored)
     "driver_changes": """
-        SELECT id_driver, CASE WHEN id_driver % 20 = 0 THEN CAST(0 AS BIGINT) ELSE id_user END AS id_user,
-               last_name, first_name, middle_name, CAST(experience + 1 AS INTEGER) AS experience,
-               id_driver AS seq
-        FROM drivers WHERE id_driver % 10 = 0""",
+        SELECT id_driver, CASE WHEN id_driver % 20 = 0 THEN CAST(0 AS BIGINT) ELSE id_user END AS id_user, last_name,
+               CASE WHEN id_driver % 10 = 0 THEN '' ELSE first_name END AS first_name, middle_name,
+               CAST(CASE WHEN id_driver % 14 = 0 THEN 91 ELSE experience + 1 END AS INTEGER) AS experience,
+               CASE WHEN id_driver % 6 <> 0 THEN id_driver END AS seq
+        FROM drivers WHERE id_driver % 2 = 0
+        UNION ALL
+        SELECT id_driver, id_user, last_name, first_name, middle_name, 1, 0 FROM drivers WHERE id_driver % 12 = 0
+        UNION ALL
+        SELECT NULL, NULL, 'Н' || CAST(id_driver AS VARCHAR), 'Иван', NULL, 3,
+               CASE WHEN id_driver % 15 <> 0 THEN id_driver + 1000000 END
+        FROM drivers WHERE id_driver % 5 = 0""",
     "route_changes": """
-        SELECT id_route, upper(route_name) AS route_name, distance,
-               CAST(round(base_payment * CAST(1.10 AS DECIMAL(4,2)), 2) AS DECIMAL(18,2)) AS base_payment,
-               id_route * 2 AS seq
+        SELECT id_route, CASE WHEN id_route % 110 = 0 THEN '' ELSE upper(route_name) END AS route_name,
+               CASE WHEN id_route % 70 = 0 THEN 0.50 ELSE distance END AS distance,
+               CASE WHEN id_route % 90 = 0 THEN -1
+                    ELSE CAST(round(base_payment * CAST(1.10 AS DECIMAL(4,2)), 2) AS DECIMAL(18,2)) END AS base_payment,
+               CASE WHEN id_route % 30 <> 0 THEN id_route * 2 END AS seq
         FROM routes WHERE id_route % 10 = 0
         UNION ALL
-        SELECT CAST(NULL AS BIGINT), route_name || ' 2', distance, base_payment, id_route * 2 + 1
+        SELECT CAST(NULL AS BIGINT), CASE WHEN id_route % 50 = 0 THEN '' ELSE route_name || ' 2' END, distance,
+               base_payment, id_route * 2 + 1
         FROM routes WHERE id_route % 2 = 0""",
     "trip_changes": """
         SELECT id_transportation, id_route, departure_date, departure_date + to_days(2) AS arrival_date,
-               true AS completed, id_transportation AS seq
-        FROM transportations WHERE arrival_date IS NULL AND id_transportation % 3 = 0""",
+               id_transportation % 6 <> 0 AS completed, id_transportation AS seq
+        FROM transportations WHERE arrival_date IS NULL AND id_transportation % 3 = 0
+        UNION ALL
+        SELECT NULL, id_route, departure_date, departure_date + to_days(2), id_transportation % 100 = 0,
+               id_transportation + 1000000000 FROM transportations WHERE id_transportation % 50 = 0""",
     "password_changes": """
         SELECT id_user, 'Tmp#0000' AS password, id_user * 2 AS seq FROM users WHERE id_user % 10 = 0
         UNION ALL
-        SELECT id_user, 'Pw#9' || login, id_user * 2 + 1 FROM users WHERE id_user % 10 = 0""",
-    "bonus_changes": """
-        SELECT id_driver, id_transportation, CAST(1000 AS DECIMAL(18,2)) AS bonus_amount, 'рейс' AS bonus_reason,
-               CAST(seq AS BIGINT) AS seq
-        FROM assignments WHERE id_transportation % 10 = 0
+        SELECT id_user, CASE WHEN id_user % 30 = 0 THEN 'weakpass' ELSE 'Pw#9' || login END, id_user * 2 + 1
+        FROM users WHERE id_user % 10 = 0
         UNION ALL
-        SELECT id_driver + 1000000, id_transportation, CAST(5 AS DECIMAL(18,2)), 'нет', CAST(seq AS BIGINT)
-        FROM assignments WHERE id_transportation % 10 = 0""",
+        SELECT id_user, 'Null#9999', NULL FROM users WHERE id_user % 40 = 0""",
+    "bonus_changes": """
+        SELECT id_driver + n.far AS id_driver, id_transportation, CAST(n.amount AS DECIMAL(18,2)) AS bonus_amount,
+               n.reason AS bonus_reason, CAST(CASE WHEN n.later IS NOT NULL THEN seq + n.later END AS BIGINT) AS seq
+        FROM assignments JOIN (VALUES (10, 0, 1000.0, 'рейс', 0), (10, 1000000, 5.0, 'нет', 0), (30, 0, -5.0, 'x', 100),
+                                      (70, 0, 600000.0, 'x', 200), (40, 0, 7.0, '', 300), (20, 0, 3.0, 'без номера', NULL))
+                         n(every, far, amount, reason, later)
+          ON id_transportation % 10 = 0 AND id_transportation % n.every = 0""",
     "existing": "SELECT * FROM assignments WHERE id_transportation % 2 = 1",
     "role_changes": """
         SELECT id_user, 'Механик' AS role_name FROM users WHERE id_user % 10 = 0
@@ -492,20 +521,33 @@ DERIVED.update({
         WHERE u.id_user % 10 = 0""",
 })
 
+DRIVER_RULES = [("last_name_empty", blank("last_name")), ("first_name_empty", blank("first_name")),
+                ("experience_range", "(experience IS NULL OR experience < 0 OR experience > 80)")]
+ROUTE_RULES = [("name_empty", blank("route_name")),
+               ("distance_range", "(distance IS NULL OR distance < 1 OR distance > 20000)"),
+               ("base_payment_range", "(base_payment IS NULL OR base_payment < 0 OR base_payment > 1000000)")]
+BONUS_RULES = [("bonus_range", "(bonus_amount IS NULL OR bonus_amount <= 0 OR bonus_amount > 500000)"),
+               ("reason_empty", blank("bonus_reason"))]
+
+
+def _good(table: str, rules: list[tuple[str, str]]) -> str:
+    return f"SELECT * FROM {table} WHERE NOT (" + " OR ".join(cond for _, cond in rules) + ")"
+
 
 def _latest(ch: str, keys: str) -> str:
-    return f"(SELECT * FROM {ch} QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY seq DESC) = 1)"
+    return f"(SELECT * FROM {ch} QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY seq DESC NULLS LAST) = 1)"
 
 
 def _upsert(table: str, ch: str, key: str, cols: list[str]) -> str:
     upd = ", ".join(f"CASE WHEN u.{key} IS NOT NULL THEN u.{c} ELSE t.{c} END AS {c}" for c in cols)
     plain = ", ".join(cols)
+    order = ", ".join(f"{c} NULLS FIRST" for c in ["seq", *cols])
     return f"""
         SELECT t.{key}, {upd}
         FROM {table} t LEFT JOIN {_latest(f"(SELECT * FROM {ch} WHERE {key} IS NOT NULL)", key)} u
           ON t.{key} = u.{key}
         UNION ALL
-        SELECT (SELECT coalesce(max({key}), 0) FROM {table}) + row_number() OVER (ORDER BY seq) AS {key}, {plain}
+        SELECT (SELECT coalesce(max({key}), 0) FROM {table}) + row_number() OVER (ORDER BY {order}) AS {key}, {plain}
         FROM {ch} WHERE {key} IS NULL"""
 
 
@@ -514,8 +556,15 @@ def _priced(source: str) -> str:
 
 
 ASSIGN = {
-    "batch": """SELECT id_driver, id_transportation, payment, seq FROM assignments
-                QUALIFY row_number() OVER (PARTITION BY id_driver, id_transportation ORDER BY seq) = 1""",
+    "offered": """
+        SELECT id_driver, id_transportation, CASE WHEN id_transportation % 18 = 0 THEN -1 ELSE payment END AS payment, seq
+        FROM assignments
+        UNION ALL SELECT id_driver + 1000000, id_transportation, payment, seq FROM assignments WHERE id_transportation % 50 = 0
+        UNION ALL SELECT id_driver, id_transportation + 1000000000, payment, seq FROM assignments WHERE id_transportation % 70 = 0
+        UNION ALL SELECT id_driver, id_transportation, 77, NULL FROM assignments WHERE id_transportation % 22 = 0""",
+    "batch": """SELECT id_driver, id_transportation, payment, seq FROM offered
+                QUALIFY row_number() OVER (PARTITION BY id_driver, id_transportation
+                                           ORDER BY seq NULLS LAST, payment NULLS FIRST) = 1""",
     "fresh": """SELECT b.* FROM batch b WHERE NOT EXISTS (
                   SELECT 1 FROM existing e WHERE e.id_driver = b.id_driver AND e.id_transportation = b.id_transportation)""",
     "valid": """SELECT * FROM fresh WHERE id_driver IN (SELECT id_driver FROM drivers)
@@ -544,12 +593,21 @@ def changes() -> dict[str, str]:
     q: dict[str, str] = {}
     q["upsert_drivers"] = with_tables(_upsert(
         "drivers", "dch", "id_driver", ["id_user", "last_name", "first_name", "middle_name", "experience"]),
-        derived("driver_changes") + [("dch", """
+        derived("driver_changes") + [("dch", f"""
             SELECT id_driver, CASE WHEN id_user > 0 THEN id_user END AS id_user, last_name, first_name,
-                   middle_name, experience, seq FROM driver_changes""")])
+                   middle_name, experience, seq FROM ({_good("driver_changes", DRIVER_RULES)}) g""")])
+    q["upsert_drivers_rejected"] = with_tables(
+        _rules("driver_changes", "id_driver, seq", DRIVER_RULES), derived("driver_changes"))
+    q["upsert_routes_rejected"] = with_tables(
+        _rules("route_changes", "id_route, seq", ROUTE_RULES), derived("route_changes"))
+    q["set_bonuses_rejected"] = with_tables(
+        _rules("bonus_changes", "id_driver, id_transportation, seq", BONUS_RULES), derived("bonus_changes"))
+    q["update_user_passwords_rejected"] = with_tables(f"""
+        SELECT id_user, seq, 'password_' || {password_outcome('password')} AS rule FROM password_changes
+        WHERE {password_outcome('password')} <> 'ok'""", derived("password_changes"))
     q["upsert_routes"] = with_tables(_upsert(
-        "routes", "route_changes", "id_route", ["route_name", "distance", "base_payment"]),
-        derived("route_changes"))
+        "routes", "rch", "id_route", ["route_name", "distance", "base_payment"]),
+        derived("route_changes") + [("rch", _good("route_changes", ROUTE_RULES))])
     q["snapshot_sink"] = q["upsert_routes"]
     q["upsert_transportations"] = with_tables(_upsert(
         "transportations", "tch", "id_transportation", ["id_route", "departure_date", "arrival_date"]),
@@ -558,16 +616,17 @@ def changes() -> dict[str, str]:
                    CASE WHEN completed THEN arrival_date END AS arrival_date, seq FROM trip_changes""")])
     q["update_user_passwords"] = with_tables(f"""
         SELECT t.id_user, t.login, CASE WHEN u.id_user IS NOT NULL THEN u.password ELSE t.password END AS password
-        FROM users t LEFT JOIN {_latest('password_changes', 'id_user')} u ON t.id_user = u.id_user""",
-        derived("password_changes"))
+        FROM users t LEFT JOIN {_latest('pch', 'id_user')} u ON t.id_user = u.id_user""",
+        derived("password_changes") + [
+            ("pch", f"SELECT * FROM password_changes WHERE {password_outcome('password')} = 'ok'")])
     q["set_bonuses"] = with_tables(f"""
         SELECT t.id_driver, t.id_transportation, t.payment,
                CASE WHEN u.id_driver IS NOT NULL THEN u.bonus_amount ELSE t.bonus_amount END AS bonus_amount,
                CASE WHEN u.id_driver IS NOT NULL THEN u.bonus_reason ELSE t.bonus_reason END AS bonus_reason,
                t.seq
-        FROM assignments t LEFT JOIN {_latest('bonus_changes', 'id_driver, id_transportation')} u
+        FROM assignments t LEFT JOIN {_latest('bch', 'id_driver, id_transportation')} u
           ON t.id_driver = u.id_driver AND t.id_transportation = u.id_transportation""",
-        derived("bonus_changes"))
+        derived("bonus_changes") + [("bch", _good("bonus_changes", BONUS_RULES))])
     assign_ctes = derived("existing") + list(ASSIGN.items())
     q["assign_drivers"] = with_tables(
         f"SELECT * FROM existing UNION ALL SELECT * FROM ({_priced('accepted')}) p", assign_ctes)
@@ -640,7 +699,8 @@ def changes() -> dict[str, str]:
           (SELECT id_route FROM {route_req} k WHERE id_route NOT IN {route_refused})""")
     q["delete_routes_refused"] = with_tables(f"SELECT id_route FROM {route_refused} r")
     drv_req = "(SELECT id_driver FROM drivers WHERE id_driver % 25 = 0)"
-    drv_refused = f"(SELECT id_driver FROM {drv_req} k WHERE id_driver IN (SELECT id_driver FROM assignments))"
+    drv_refused = (f"(SELECT id_driver FROM {drv_req} k WHERE id_driver % 50 <> 0 "
+                   "AND id_driver IN (SELECT id_driver FROM assignments))")
     q["delete_drivers"] = with_tables(f"""
         SELECT * FROM drivers WHERE id_driver NOT IN
           (SELECT id_driver FROM {drv_req} k WHERE id_driver NOT IN {drv_refused})""")
@@ -653,19 +713,29 @@ def changes() -> dict[str, str]:
 def streams() -> dict[str, str]:
     q: dict[str, str] = {}
     q["stream_price_assignments"] = with_tables(PRICED)
-    q["stream_crew_limit"] = with_tables("""
-        SELECT id_transportation, CAST(least(count(*), 2) AS BIGINT) AS accepted_drivers
-        FROM assignments GROUP BY id_transportation""")
-    bonused = f"""
+    crew = [("stored", "SELECT * FROM assignments WHERE id_transportation % 5 = 0 AND seq = 1"),
+            ("placed", """
+        SELECT a.*, row_number() OVER (PARTITION BY a.id_transportation ORDER BY a.seq % 2 = 0, a.seq, a.id_driver)
+                    + (SELECT count(*) FROM stored s WHERE s.id_transportation = a.id_transportation) AS place
+        FROM assignments a WHERE NOT (a.id_transportation % 5 = 0 AND a.seq = 1)""")]
+    cols = "id_driver, id_transportation, payment, bonus_amount, bonus_reason, seq"
+    q["stream_crew_limit"] = with_tables(f"SELECT {cols} FROM placed WHERE place <= 2", crew)
+    q["stream_crew_limit_rejected"] = with_tables(f"SELECT {cols} FROM placed WHERE place > 2", crew)
+    after = derived("bonus_changes", "trip_changes") + [
+        ("bch", _good("bonus_changes", BONUS_RULES)),
+        ("bonused", f"""
         SELECT t.id_driver, t.id_transportation, t.payment,
-               CASE WHEN u.id_driver IS NOT NULL THEN u.bonus_amount ELSE t.bonus_amount END AS bonus_amount,
-               t.seq
-        FROM assignments t LEFT JOIN {_latest('bonus_changes', 'id_driver, id_transportation')} u
-          ON t.id_driver = u.id_driver AND t.id_transportation = u.id_transportation"""
-    q["stream_refresh_reports"] = with_tables(
-        SALARY_BODY, derived("bonus_changes") + [
-            ("bonused", bonused),
-            ("driver_totals", DRIVER_TOTALS.replace("FROM assignments a", "FROM bonused a"))])
+               CASE WHEN u.id_driver IS NOT NULL THEN u.bonus_amount ELSE t.bonus_amount END AS bonus_amount
+        FROM assignments t LEFT JOIN {_latest('bch', 'id_driver, id_transportation')} u
+          ON t.id_driver = u.id_driver AND t.id_transportation = u.id_transportation"""),
+        ("moved", """
+        SELECT t.id_transportation, t.id_route, t.departure_date,
+               CASE WHEN c.completed THEN c.arrival_date ELSE t.arrival_date END AS arrival_date
+        FROM transportations t LEFT JOIN trip_changes c ON t.id_transportation = c.id_transportation""")]
+    q["stream_refresh_reports"] = with_tables(SALARY_BODY, after + [("driver_totals", DRIVER_TOTALS.replace(
+        "FROM assignments a", "FROM bonused a").replace("JOIN transportations t", "JOIN moved t"))])
+    q["stream_refresh_summary"] = with_tables(SUMMARY_BODY.replace("FROM transportations t", "FROM moved t"), after + [
+        ("crew_totals", CREW_TOTALS.replace("FROM assignments a", "FROM bonused a"))])
     return q
 
 

@@ -56,15 +56,23 @@ def build(loader: Loader = load_tables) -> dict[str, Query]:
         q[name] = _on_tables(getattr(lookups, name + "_q"))
     q["trips_under_way"] = _on_tables(lookups.trips_under_way)
     # boards
-    for name in ("user_role_pairs", "user_roles_list", "users_without_roles", "driver_roster",
-                 "trip_board", "route_list", "driver_trips", "trips_in_progress", "crew_roster",
-                 "driver_labels", "trip_labels"):
+    for name in ("user_role_pairs", "driver_roster", "trip_board", "route_list", "driver_trips", "crew_roster",
+                 "crew_rows", "driver_labels", "trip_labels"):
         q[name] = _on_tables(getattr(boards, name))
+    for name in ("user_roles_list", "users_without_roles"):
+        q[name] = _on_tables(lambda t, op=getattr(boards, name): op(derived.with_revocations(t)))
+    q["user_role_pairs_many"] = _on_tables(lambda t: boards.user_role_pairs(derived.many_roles(t)))
+    q["trips_in_progress"] = _on_tables(lambda t: boards.trips_in_progress(derived.dateless_trips(t)))
+    q["sign_in_check"] = _on_tables(lambda t: boards.sign_in_check(
+        derived.sign_in_attempts(t), t.users, derived.with_revocations(t).user_roles))
     q["available_driver_users"] = _on_tables(lambda t: boards.available_driver_users(t, 0))
     q["available_driver_users_current"] = _on_tables(lambda t: boards.available_driver_users(t, 7))
     # pay and crew rules
-    q["price_assignments"] = _on_tables(pay.price_assignments)
+    # the adapter's assignments are an aggregation, which two branches would run twice
+    q["price_assignments"] = _on_tables(lambda t: pay.price_assignments(t, split=False))
     q["pay_bands_by_driver"] = _on_tables(pay.pay_bands_by_driver)
+    q["pay_bands_many"] = _on_tables(lambda t: pay.band_join(
+        t.drivers.select("id_driver", "experience"), derived.many_bands(t)))
     q["crew_limit_accept"] = _on_tables(lambda t: pay.crew_limit_accept(t.assignments))
     q["crew_limit_reject"] = _on_tables(lambda t: pay.crew_limit_reject(t.assignments))
     q["crew_limit_overflow"] = _on_tables(lambda t: pay.crew_limit_overflow(t.assignments))
@@ -78,14 +86,18 @@ def build(loader: Loader = load_tables) -> dict[str, Query]:
         lambda t: quality.validate_registrations(derived.registrations(t)))
     q["fk_orphans"] = _on_tables(lambda t: quality.fk_orphans(derived.orphan_tables(t)))
     q["key_duplicates"] = lambda spark, sf_dir: quality.key_duplicates(
-        loader(spark, sf_dir), derived.raw_assignments(spark, sf_dir))
-    q["normalise_names"] = _on_tables(lambda t: t.drivers.select(
+        derived.repeated_tables(loader(spark, sf_dir)), derived.raw_assignments(spark, sf_dir))
+    q["normalise_names"] = _on_tables(lambda t: derived.spaced_drivers(t).select(
         "id_driver", *[unicode_trim(c).alias(c) for c in ("last_name", "first_name", "middle_name")]))
     # change batches -> new snapshot tables
     q["upsert_drivers"] = _on_tables(lambda t: changes.upsert_drivers(t.drivers, derived.driver_changes(t)))
     q["upsert_routes"] = _on_tables(lambda t: changes.upsert_routes(t.routes, derived.route_changes(t)))
     q["upsert_transportations"] = _on_tables(
         lambda t: changes.upsert_transportations(t.transportations, derived.trip_changes(t)))
+    q["upsert_drivers_rejected"] = _on_tables(lambda t: changes.driver_rejects(derived.driver_changes(t)))
+    q["upsert_routes_rejected"] = _on_tables(lambda t: changes.route_rejects(derived.route_changes(t)))
+    q["update_user_passwords_rejected"] = _on_tables(lambda t: changes.password_rejects(derived.password_changes(t)))
+    q["set_bonuses_rejected"] = _on_tables(lambda t: changes.bonus_rejects(derived.bonus_changes(t)))
     q["update_user_passwords"] = _on_tables(
         lambda t: changes.update_user_passwords(t.users, derived.password_changes(t)))
     q["set_bonuses"] = _on_tables(lambda t: changes.set_bonuses(t.assignments, derived.bonus_changes(t)))
@@ -116,14 +128,21 @@ def build(loader: Loader = load_tables) -> dict[str, Query]:
     dr = lambda t: changes.delete_routes(t, derived.ids_every(t.routes, "id_route"))
     q["delete_routes"] = _on_tables(lambda t: dr(t).table)
     q["delete_routes_refused"] = _on_tables(lambda t: dr(t).refused)
-    dd = lambda t: changes.delete_drivers(t, derived.ids_every(t.drivers, "id_driver"))
+    dd = lambda t: changes.delete_drivers(
+        derived.without_some_crews(t), derived.ids_every(t.drivers, "id_driver"))
     q["delete_drivers"] = _on_tables(lambda t: dd(t).table)
     q["delete_drivers_refused"] = _on_tables(lambda t: dd(t).refused)
     # snapshot sink: a change batch published as a new snapshot and read back
     q["snapshot_sink"] = _on_tables(_snapshot_roundtrip)
     # streams (run to completion with availableNow; result read from the sink)
     q["stream_price_assignments"] = _on_tables(ingest.stream_price_assignments)
-    q["stream_crew_limit"] = _on_tables(ingest.stream_crew_limit)
-    q["stream_refresh_reports"] = _on_tables(
-        lambda t: ingest.stream_refresh_reports(t, derived.bonus_changes(t)))
+    def crew(verdict):
+        def run(t: Tables) -> DataFrame:
+            stored, deliveries = derived.crew_deliveries(t)
+            return ingest.stream_crew_limit(t, deliveries, stored, verdict)
+        return _on_tables(run)
+
+    q["stream_crew_limit"], q["stream_crew_limit_rejected"] = crew("accepted"), crew("rejected")
+    q["stream_refresh_reports"] = _on_tables(lambda t: ingest.stream_refresh(t, derived.report_changes(t), "salary"))
+    q["stream_refresh_summary"] = _on_tables(lambda t: ingest.stream_refresh(t, derived.report_changes(t), "summary"))
     return q

@@ -16,9 +16,10 @@ from pyspark.sql import SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "haulage") -> SparkSession:
-    """A session for local runs (tests, bench). On a cluster, use the
-    cluster's own session and its configuration instead."""
+                  app_name: str = "haulage", shared: str | None = None) -> SparkSession:
+    """A session for local runs (tests, bench); ``shared`` is its scratch
+    folder, unless the session has one. On a cluster, use the cluster's own
+    session and its configuration instead."""
     cpus = os.environ.get("BENCH_CPUS", "8")
     master = master or f"local[{cpus}]"
     parts = shuffle_partitions or int(cpus)
@@ -37,45 +38,56 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    if shared and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder of the session.
-
-    It is read from the session (``spark.checkpoint.dir`` or the context's
-    checkpoint dir). Only a local-mode session without one gets a folder of
-    our own; a cluster session without one is an error, because a
-    machine-local folder would not survive the loss of an executor.
-    """
+    """The shared checkpoint folder of the session (``spark.checkpoint.dir``
+    or the context's). The library sets none of its own: a machine-local
+    folder would not survive the loss of an executor."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError(
-                "spark.checkpoint.dir is not set; set it to a shared folder "
-                "(HDFS, S3, ...) before running snapshot or stream operators")
-        configured = os.environ.get("HAULAGE_CHECKPOINT_DIR", "/tmp/haulage-checkpoints")
+        raise RuntimeError("spark.checkpoint.dir is not set; set it to a folder that driver and executors share "
+                           "(HDFS, S3, ...) before running snapshot, id or stream operators")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+#: Scratch folders written by this process and not released yet.
+_scratch: set[str] = set()
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete the scratch folders that this process has written. Call it when
+    the results that read them have been published."""
+    from pyarrow import fs
+
+    while _scratch:
+        path = _scratch.pop()
+        system, inner = fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
+        if system.get_file_info(inner).type != fs.FileType.NotFound:
+            system.delete_dir(inner)
+
+
 def scratch_path(spark: SparkSession, purpose: str) -> str:
     """A fresh folder name under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/haulage-{purpose}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/haulage-{purpose}-{uuid.uuid4().hex[:12]}"
+    _scratch.add(path)
+    return path
 
 
 def materialize(df, purpose: str):
     """Write ``df`` once as parquet under the shared checkpoint folder and
     read it back: lineage is cut (a lost executor re-reads files instead of
-    recomputing), and later uses scan columnar files. Unlike
-    ``DataFrame.checkpoint()``, which recomputes the plan to write RDD
-    blocks, the frame is computed exactly once."""
+    recomputing), and later uses scan columnar files. The files stay until
+    ``release_scratch``."""
     spark = df.sparkSession
     path = scratch_path(spark, purpose)
     df.write.mode("errorifexists").parquet(path)

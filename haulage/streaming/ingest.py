@@ -1,54 +1,50 @@
 """Structured Streaming forms of the reference's per-insert triggers and its
 polled report refresh (SURVEY #51-53).
 
-All three read a file stream (parquet, fixed schema, ``maxFilesPerTrigger``
-bounds a micro-batch) and keep their checkpoints and sinks under the
-session's shared checkpoint folder, so a restarted query (or a lost
-executor) resumes from its offsets and state:
-
-- ``price_stream`` (#51): each micro-batch is priced by the batch operator
-  (``pay.price_assignments``) inside ``foreachBatch``; AQE plans each batch
-  like any other job. Every batch overwrites only its own ``batch=<id>``
-  folder, so a replayed batch is idempotent.
-- ``crew_limit_stream`` (#52): ``applyInPandasWithState`` keyed by trip; the
-  state is one integer (drivers accepted so far), and the group's rows are
-  consumed chunk by chunk keeping only the best ``limit`` candidates, so
-  neither state nor memory grows with a hot trip.
-- ``refresh_reports_stream`` (#53): assignment changes (bonus updates) are
-  logged per batch by driver bucket; each batch recomputes salary rows only
-  for the drivers it touches, reading only their buckets of the base (laid
-  out once at start) with every change so far applied; the report is the
-  initial statement overlaid by the latest row per driver.
+All three read a file stream (parquet, fixed schema) and keep their
+checkpoints and sinks under the session's shared checkpoint folder, so a
+restarted query (or a lost executor) resumes from its offsets. Each works in
+``foreachBatch`` with the batch operators, so AQE plans a micro-batch like any
+other job, and every micro-batch overwrites only its own folder, so a
+replayed one changes nothing:
+
+- ``price_stream`` (#51) prices a micro-batch, the tables cut to its keys.
+  Each micro-batch scans those tables: use large triggers.
+- ``crew_limit_stream`` (#52) counts the crew that a micro-batch's trips have
+  already, stored and accepted so far, and ranks the new rows after it;
+  refused rows go to a sink of their own. A hot trip is capped before the
+  shuffle (WindowGroupLimit), and no group is gathered in Python.
+- ``refresh_reports_stream`` (#53) logs changes of bonuses and of trips, and
+  recomputes both reports' rows for the drivers and trips they touch, reading
+  only those rows' buckets of the assignments.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from haulage.operators import changes, pay, reports
-from haulage.operators.joins import MICRO_BATCH_MAX_ROWS, is_small
+from haulage.operators.changes import PAIR
+from haulage.operators.joins import narrow
 from haulage.session import scratch_path
 from haulage.sources.tables import Tables
 
 
-def write_feed(df: DataFrame, path: str, files: int, by: str) -> str:
-    """Lay a change feed down as ``files`` parquet files (hash of ``by``):
-    the landing folder a file stream reads. Test and bench glue only; in
-    production the feed lands by itself."""
-    df.repartition(files, by).write.mode("errorifexists").parquet(path)
+def write_feed(df: DataFrame, path: str) -> str:
+    """Land a delivery: append ``df`` to the folder a file stream reads, with
+    the partitions it has. Test and bench glue only; in production the feed
+    lands by itself."""
+    df.write.mode("append").parquet(path)
     return path
 
 
-def read_feed(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
-    return (spark.readStream.schema(schema)
-            .option("maxFilesPerTrigger", files_per_batch)
-            .parquet(path))
+def read_feed(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
+    """A file stream; without ``files_per_batch`` a trigger takes all that
+    has landed."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
 
 
 def _run(writer) -> None:
@@ -72,154 +68,211 @@ def _batches(spark: SparkSession, path: str, schema) -> DataFrame:
 def price_stream(t: Tables, feed: DataFrame, sink: str, checkpoint: str) -> None:
     """Price every streamed assignment; rows land in ``sink/batch=<id>``."""
     def each(batch: DataFrame, batch_id: int) -> None:
-        # A micro-batch is small next to the tables: narrow them to its keys,
-        # broadcasting the key sets once the batch is proven small (a short
-        # scan of its files).
-        small = is_small(batch, MICRO_BATCH_MAX_ROWS)
-        priced = pay.price_assignments(t.with_(assignments=batch), narrow_tables=True, broadcast_keys=small)
+        priced = pay.price_assignments(t.with_(assignments=batch), split=False, narrow_tables=True)
         priced.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
     _run(feed.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint))
 
 
-def stream_price_assignments(t: Tables, files: int = 4) -> DataFrame:
+def stream_price_assignments(t: Tables, files_per_batch: int | None = None) -> DataFrame:
     spark = t.assignments.sparkSession
     base = scratch_path(spark, "price")
-    feed_dir = write_feed(t.assignments, f"{base}/feed", files, "id_transportation")
-    feed = read_feed(spark, feed_dir, t.assignments.schema)
+    feed_dir = write_feed(t.assignments, f"{base}/feed")
+    feed = read_feed(spark, feed_dir, t.assignments.schema, files_per_batch)
     price_stream(t, feed, f"{base}/sink", f"{base}/checkpoint")
     return _batches(spark, f"{base}/sink", t.assignments.schema).drop("batch")
 
 
 # --- #52 --------------------------------------------------------------------
 
-CREW_OUT = ("id_driver long, id_transportation long, payment decimal(18,2), bonus_amount decimal(18,2), "
-            "bonus_reason string, seq int")
-CREW_STATE = "accepted int"
-
-
-def _crew_limit_fn(limit: int):
-    def fn(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        taken = state.get[0] if state.exists else 0
-        room = max(limit - taken, 0)
-        best = None
-        for pdf in chunks:  # keep only the ``room`` earliest rows seen so far
-            if room == 0:
-                continue
-            cand = pdf if best is None else pd.concat([best, pdf], ignore_index=True)
-            best = cand.sort_values(["seq", "id_driver"], na_position="last", kind="mergesort").head(room)
-        if best is not None and len(best):
-            state.update((taken + len(best),))
-            yield best.reset_index(drop=True)
-        elif not state.exists:
-            state.update((taken,))
-    return fn
-
-
-def crew_limit_stream(feed: DataFrame, sink: str, checkpoint: str,
+def crew_limit_stream(existing: DataFrame, feed: DataFrame, sink: str, checkpoint: str,
                       limit: int = pay.DEFAULT_CREW_LIMIT) -> None:
-    """Accept at most ``limit`` drivers per trip over the whole stream,
-    earliest arrivals first; accepted rows are appended to ``sink``."""
-    accepted = (feed.groupBy("id_transportation")
-                .applyInPandasWithState(_crew_limit_fn(limit), CREW_OUT, CREW_STATE,
-                                        "append", GroupStateTimeout.NoTimeout))
-    _run(accepted.writeStream.format("parquet").option("path", sink)
-         .option("checkpointLocation", checkpoint).outputMode("append"))
-
-
-def stream_crew_limit(t: Tables, files: int = 4) -> DataFrame:
-    """Accepted drivers per trip after streaming every assignment."""
-    spark = t.assignments.sparkSession
-    base = scratch_path(spark, "crew")
-    feed_dir = write_feed(t.assignments, f"{base}/feed", files, "id_driver")
-    crew_limit_stream(read_feed(spark, feed_dir, t.assignments.schema), f"{base}/sink", f"{base}/checkpoint")
-    out = spark.read.schema(t.assignments.schema).parquet(f"{base}/sink")
-    return out.groupBy("id_transportation").agg(F.count("*").alias("accepted_drivers"))
+    """Accept at most ``limit`` drivers per trip over the stored assignments
+    ``existing`` and the whole stream, earlier micro-batches first and by
+    ``seq`` inside one. Rows land in ``sink/accepted/batch=<id>`` or
+    ``sink/rejected/batch=<id>``."""
+    spark = feed.sparkSession
 
+    def each(batch: DataFrame, batch_id: int) -> None:
+        taken = existing.select("id_transportation")
+        if batch_id:
+            earlier = _batches(spark, f"{sink}/accepted", feed.schema).where(F.col("batch") < batch_id)
+            taken = taken.unionByName(earlier.select("id_transportation"))
+        crew = narrow(taken, batch, "id_transportation").groupBy("id_transportation").agg(F.count("*").alias("_crew"))
+        ranked = batch.withColumn("_rn", F.row_number().over(pay.crew_order(("seq", "id_driver")))).where(
+            F.col("_rn") <= limit)
+        accepted = (ranked.join(crew, "id_transportation", "left")
+                    .where(F.col("_rn") + F.coalesce("_crew", F.lit(0)) <= limit).select(*batch.columns))
+        accepted.write.mode("overwrite").parquet(f"{sink}/accepted/batch={batch_id}")
+        mine = spark.read.schema(feed.schema).parquet(f"{sink}/accepted/batch={batch_id}").select(
+            *[F.col(c).alias(f"_{c}") for c in PAIR])
+        same = F.col(PAIR[0]).eqNullSafe(F.col(f"_{PAIR[0]}")) & F.col(PAIR[1]).eqNullSafe(F.col(f"_{PAIR[1]}"))
+        batch.join(mine, same, "left_anti").write.mode("overwrite").parquet(f"{sink}/rejected/batch={batch_id}")
 
-# --- #53 --------------------------------------------------------------------
-
-DRIVER_BUCKETS = 64
+    _run(feed.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint))
 
 
-BUCKET_SPREAD = 8  # tasks (and files) per bucket in the bucketed layout
+def stream_crew_limit(t: Tables, deliveries: list[DataFrame], existing: DataFrame, verdict: str = "accepted") -> DataFrame:
+    """The accepted (or rejected) rows after streaming each delivery; the
+    query is started anew for each, from its checkpoint."""
+    spark = t.assignments.sparkSession
+    base, schema = scratch_path(spark, "crew"), t.assignments.schema
+    for delivery in deliveries:
+        feed = read_feed(spark, write_feed(delivery, f"{base}/feed"), schema)
+        crew_limit_stream(existing, feed, f"{base}/sink", f"{base}/checkpoint")
+    return _batches(spark, f"{base}/sink/{verdict}", schema).drop("batch")
 
 
-def driver_bucket(buckets: int = DRIVER_BUCKETS):
-    return F.pmod(F.xxhash64("id_driver"), F.lit(buckets)).cast("int").alias("driver_bucket")
+# --- #53 --------------------------------------------------------------------
 
+#: Rows of the assignments that a bucket holds on average.
+BUCKET_ROWS = 2_000_000
+#: Micro-batches after which logs and report versions are merged.
+COMPACT_EVERY = 8
 
-def _by_bucket(df: DataFrame, buckets: int, spread_col: str) -> DataFrame:
-    """``df`` tagged with its driver bucket and laid out for a bucketed
-    write: each bucket spread over ``BUCKET_SPREAD`` tasks by a hash of
-    ``spread_col``, so a bucket holds a bounded number of files and a hot
-    bucket (a driver with a third of all rows) is still written by several
-    tasks. Repartitioning by columns (no count) lets AQE coalesce the
-    partitions left empty; each (bucket, spread) pair still lands in one
-    partition, so a bucket gets at most ``BUCKET_SPREAD`` files."""
-    spread = F.pmod(F.xxhash64(spread_col), F.lit(BUCKET_SPREAD))
-    return (df.withColumn("driver_bucket", driver_bucket(buckets))
-            .repartition("driver_bucket", spread))
 
+class Versions:
+    """The newest row of each key over micro-batches.
 
-def refresh_reports_stream(t: Tables, feed: DataFrame, base: str,
-                           buckets: int = DRIVER_BUCKETS) -> DataFrame:
-    """Keep the salary statement current under a stream of bonus changes
-    (id_driver, id_transportation, bonus_amount, bonus_reason, seq).
+    Micro-batch ``b`` writes ``batch=<b>``. Every ``every`` micro-batches what
+    is older is merged into ``upto=<b>``, so a read opens one merged folder
+    and fewer than ``every`` others, and older folders are no longer needed.
+    ``order`` (columns; ``batch`` is one) says which row is the newest.
+    """
 
-    At start, the statement is computed once, and the assignments (with
-    their trip's status) and the drivers are laid out by driver bucket under
-    ``base``. Each micro-batch logs its changes by bucket, then reads only
-    the buckets it touches (partition pruning) to recompute its drivers' rows
-    from the base with every change so far applied. The touched bucket
-    numbers are the only values brought to the driver (at most ``buckets``).
-    Trip status is taken at stream start: this stream carries assignment
-    changes only.
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: T.StructType, order: list,
+                 every: int = COMPACT_EVERY):
+        self.spark, self.path, self.keys, self.order, self.every = spark, path, keys, order, every
+        self.schema = _with_batch(schema)
+
+    def append(self, rows: DataFrame, batch: int) -> None:
+        if batch and batch % self.every == 0:
+            self._rows(batch - 1).write.mode("overwrite").parquet(f"{self.path}/upto={batch}")
+        rows.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+
+    def _rows(self, upto: int) -> DataFrame:
+        merged = upto // self.every * self.every
+        folders = [f"{self.path}/upto={merged}"] * bool(merged) + [f"{self.path}/batch={b}" for b in range(merged, upto + 1)]
+        # folder names look like partitions; the batch is in the rows
+        frames = [self.spark.read.schema(self.schema).option("basePath", f).parquet(f) for f in folders]
+        rows = frames[0]
+        for f in frames[1:]:
+            rows = rows.unionByName(f)
+        rest = [c for c in self.schema.fieldNames() if c not in self.keys]
+        newest = F.max(F.struct(*[o.alias(f"_{i}") for i, o in enumerate(self.order)], *rest))
+        return rows.groupBy(*self.keys).agg(newest.alias("_v")).select(
+            *[F.col(c) if c in self.keys else F.col("_v")[c].alias(c) for c in self.schema.fieldNames()])
+
+    def read(self, upto: int) -> DataFrame:
+        return self._rows(upto).drop("batch")
+
+
+def _bucket(key: str, buckets: int):
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+class Buckets:
+    """A table laid out once by a hash of a key, the number of buckets
+    following its rows. Files are cut by size (a rebalance splits a bucket
+    that a hot key fills), and reads open only the buckets asked for."""
+
+    def __init__(self, rows: DataFrame, key: str, path: str, buckets: int):
+        self.key, self.path, self.buckets = key, path, buckets
+        self.schema = rows.schema.add("bucket", T.IntegerType())
+        self.spark = rows.sparkSession
+        (rows.withColumn("bucket", _bucket(key, buckets)).hint("rebalance", "bucket")
+         .write.mode("overwrite").partitionBy("bucket").parquet(path))
+
+    def of(self, keys: DataFrame) -> DataFrame:
+        """Rows of the given keys. Only bucket numbers come to the driver."""
+        touched = [r[0] for r in keys.select(_bucket(self.key, self.buckets).alias("b")).distinct().collect()]
+        rows = self.spark.read.schema(self.schema).parquet(self.path).where(F.col("bucket").isin(touched)).drop("bucket")
+        return narrow(rows, keys, self.key)
+
+
+class ReportRefresh:
+    """Both reports kept current under a stream of changes.
+
+    The feed has id_driver, id_transportation, bonus_amount, bonus_reason,
+    arrival_date, seq. A row with a driver changes that assignment's bonus (if
+    the bonus form's rules let it); a row without one sets the trip's arrival
+    (NULL: under way). The highest ``seq`` of a key wins.
     """
-    spark = t.assignments.sparkSession
-    log_dir, report_dir = f"{base}/log", f"{base}/report"
-    rows_dir, drivers_dir = f"{base}/assignments", f"{base}/drivers"
-    initial = reports.salary_statement(t)
-    initial.write.mode("overwrite").parquet(f"{report_dir}/batch=-1")
-    rows = reports.with_trip_status(t.assignments, t.transportations)
-    _by_bucket(rows, buckets, "id_transportation") \
-        .write.mode("overwrite").partitionBy("driver_bucket").parquet(rows_dir)
-    _by_bucket(t.drivers, buckets, "id_driver") \
-        .write.mode("overwrite").partitionBy("driver_bucket").parquet(drivers_dir)
-    rows_schema = rows.schema.add("driver_bucket", T.IntegerType())
-    drivers_schema = t.drivers.schema.add("driver_bucket", T.IntegerType())
-    log_schema = T.StructType([*feed.schema.fields, T.StructField("driver_bucket", T.IntegerType())])
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        tagged = batch.withColumn("driver_bucket", driver_bucket(buckets))
-        tagged.write.mode("overwrite").partitionBy("driver_bucket").parquet(f"{log_dir}/batch={batch_id}")
-        touched_buckets = [r[0] for r in tagged.select("driver_bucket").distinct().collect()]
-        if not touched_buckets:
-            return
-        in_touched = F.col("driver_bucket").isin(touched_buckets)
-        touched = batch.select("id_driver").distinct()
-        log = (_batches(spark, log_dir, log_schema)
-               .where((F.col("batch") <= batch_id) & in_touched)
-               .drop("batch", "driver_bucket"))
-        mine = (spark.read.schema(rows_schema).parquet(rows_dir).where(in_touched)
-                .drop("driver_bucket").join(touched, "id_driver", "left_semi"))
-        current = changes.apply_updates(mine, log.join(touched, "id_driver", "left_semi"),
-                                        ["id_driver", "id_transportation"], ["bonus_amount"])
-        drivers = (spark.read.schema(drivers_schema).parquet(drivers_dir).where(in_touched)
-                   .drop("driver_bucket").join(touched, "id_driver", "left_semi"))
-        out = reports.salary_rows(drivers, reports.totals_by_driver(current))
-        out.write.mode("overwrite").parquet(f"{report_dir}/batch={batch_id}")
-
-    _run(feed.writeStream.foreachBatch(each).option("checkpointLocation", f"{base}/checkpoint"))
-    versions = _batches(spark, report_dir, initial.schema)
-    latest = (versions.groupBy("id_driver")
-              .agg(F.max_by(F.struct(*initial.columns), F.col("batch")).alias("r"))
-              .select("r.*"))
-    return latest.select(*initial.columns)
-
-
-def stream_refresh_reports(t: Tables, change_feed: DataFrame, files: int = 3) -> DataFrame:
+    def __init__(self, t: Tables, feed_schema: T.StructType, base: str, bucket_rows: int = BUCKET_ROWS,
+                 compact_every: int = COMPACT_EVERY):
+        spark = t.assignments.sparkSession
+        self.t, self.base = t, base
+        rows = t.assignments.select(*PAIR, "payment", "bonus_amount").join(
+            t.transportations.select("id_transportation", "arrival_date", F.lit(True).alias("trip")),
+            "id_transportation", "left")
+        rows.write.mode("overwrite").parquet(f"{base}/rows")
+        rows = spark.read.schema(rows.schema).parquet(f"{base}/rows")
+        n = max(1, -(-rows.count() // bucket_rows))
+        self.by_driver = Buckets(rows, "id_driver", f"{base}/by_driver", n)
+        self.by_trip = Buckets(rows, "id_transportation", f"{base}/by_trip", n)
+        self.salary, self.summary = reports.salary_statement(t), reports.transportation_summary(t)
+        for name, first in (("salary", self.salary), ("summary", self.summary)):
+            first.write.mode("overwrite").parquet(f"{base}/{name}/first")
+        seq = [F.col("seq").isNotNull(), F.col("seq"), F.col("batch")]
+
+        def versions(name, keys, schema, order):
+            return Versions(spark, f"{base}/{name}", keys, schema, order, compact_every)
+
+        pick = lambda *names: T.StructType([feed_schema[c] for c in names])
+        self.bonuses = versions("bonuses", PAIR, pick(*PAIR, "bonus_amount", "seq"), seq)
+        self.trips = versions("trips", ["id_transportation"], pick("id_transportation", "arrival_date", "seq"), seq)
+        newest = [F.col("batch")]
+        self.salaries = versions("salary", ["id_driver"], self.salary.schema, newest)
+        self.summaries = versions("summary", ["id_transportation"], self.summary.schema, newest)
+        self.last = -1
+
+    def each(self, batch: DataFrame, batch_id: int) -> None:
+        bonus = changes.valid_bonuses(batch.where(F.col("id_driver").isNotNull()))
+        moved = batch.where(F.col("id_driver").isNull())
+        self.bonuses.append(changes.latest_per_key(bonus.select(*PAIR, "bonus_amount", "seq"), PAIR), batch_id)
+        self.trips.append(changes.latest_per_key(moved.select("id_transportation", "arrival_date", "seq"),
+                                                 ["id_transportation"]), batch_id)
+        trips = bonus.select("id_transportation").unionByName(moved.select("id_transportation")).distinct()
+        drivers = bonus.select("id_driver").unionByName(
+            self.by_trip.of(moved.select("id_transportation")).select("id_driver")).distinct()
+
+        def current(rows: DataFrame) -> DataFrame:
+            """The rows with every change so far."""
+            rows = changes.apply_updates(rows, self.bonuses.read(batch_id), PAIR, ["bonus_amount"])
+            return changes.apply_updates(rows, self.trips.read(batch_id), ["id_transportation"], ["arrival_date"])
+
+        t = self.t
+        mine = current(self.by_driver.of(drivers)).withColumn(
+            "under_way", F.when(F.col("trip"), F.col("arrival_date").isNull()))
+        self.salaries.append(reports.salary_rows(narrow(t.drivers, drivers, "id_driver"), reports.totals_by_driver(mine)),
+                             batch_id)
+        crew = current(self.by_trip.of(trips))
+        touched = changes.apply_updates(narrow(t.transportations, trips, "id_transportation"), self.trips.read(batch_id),
+                                        ["id_transportation"], ["arrival_date"])
+        self.summaries.append(reports.summary_rows(
+            touched, t.routes, reports.crew_totals(crew, narrow(t.drivers, crew, "id_driver"))), batch_id)
+        self.last = max(self.last, batch_id)
+
+    def run(self, feed: DataFrame) -> None:
+        _run(feed.writeStream.foreachBatch(self.each).option("checkpointLocation", f"{self.base}/checkpoint"))
+
+    def report(self, name: str) -> DataFrame:
+        """'salary' or 'summary', as of the last micro-batch."""
+        first, versions = {"salary": (self.salary, self.salaries), "summary": (self.summary, self.summaries)}[name]
+        initial = first.sparkSession.read.schema(first.schema).parquet(f"{self.base}/{name}/first")
+        if self.last < 0:
+            return initial
+        key = versions.keys[0]
+        changed = versions.read(self.last)
+        return initial.join(changed.select(key), key, "left_anti").unionByName(changed.select(*first.columns))
+
+
+def stream_refresh(t: Tables, deliveries: list[DataFrame], name: str, **how) -> DataFrame:
+    """A report after streaming each delivery of changes."""
     spark = t.assignments.sparkSession
     base = scratch_path(spark, "reports")
-    feed_dir = write_feed(change_feed, f"{base}/feed", files, "id_transportation")
-    return refresh_reports_stream(t, read_feed(spark, feed_dir, change_feed.schema), base)
+    refresh = ReportRefresh(t, deliveries[0].schema, base, **how)
+    for delivery in deliveries:
+        refresh.run(read_feed(spark, write_feed(delivery, f"{base}/feed"), delivery.schema))
+    return refresh.report(name)

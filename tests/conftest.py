@@ -16,8 +16,9 @@ SMALL_SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = build_session(master="local[*]", shuffle_partitions=8, app_name="haulage-tests")
+def spark(tmp_path_factory):
+    s = build_session(master="local[*]", shuffle_partitions=8, app_name="haulage-tests",
+                      shared=str(tmp_path_factory.mktemp("shared")))
     yield s
     s.stop()
 

@@ -125,23 +125,69 @@ def test_assign_refuses_for_the_first_broken_rule_only(make_tables, spark):
         (1, 7, "unknown_trip"), (1, 9, "duplicate"), (5, 7, "unknown_driver")]
 
 
-def test_narrowed_and_plain_paths_agree(spark):
-    from conftest import SMALL_SF
-    from haulage.sources import derived
-    from haulage.sources.testdata import load_tables
-    t = load_tables(spark, SMALL_SF)
-    existing, batch = derived.assign_existing(t), derived.assign_batch(t)
-    a = changes.assign_drivers(existing, batch, narrow_tables=True)     # tables narrowed to the batch
-    b = changes.assign_drivers(existing, batch, narrow_tables=False)    # plain joins
-    for x, y in ((a.assignments, b.assignments), (a.rejected, b.rejected)):
-        assert x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0
+BONUS = "id_driver long, id_transportation long, bonus_amount decimal(18,2), bonus_reason string, seq long"
+
+
+def test_change_without_seq_is_the_oldest_and_erases_nothing(make_tables, spark):
+    t = make_tables(assignments=[(1, 1, D(10), D(7), "x", 1), (2, 1, D(10), D(7), "x", 1)])
+    ch = spark.createDataFrame([(1, 1, D(3), "new", None), (2, 1, D(3), "new", None), (2, 1, D(4), "newer", -5)], BONUS)
+    assert rows(changes.set_bonuses(t.assignments, ch), "id_driver", "bonus_amount", "bonus_reason") == [
+        (1, D(3), "new"), (2, D(4), "newer")]
+
+
+def test_writes_trim_and_refuse_what_the_forms_refuse(make_tables, spark):
+    t = make_tables(routes=[(1, "a", D(10), D(100))], users=[(1, "a", "Old#0000"), (2, "b", "Old#0000")],
+                    assignments=[(1, 1, D(10), D(7), "x", 1)], drivers=[(1, None, "А", "Б", None, 3)])
+    routes = spark.createDataFrame([(1, "\t b c\u00a0", D(11), D(101), 1), (1, " \u2003", D(11), D(0), 2), (None, "n", D("0.5"), D(-1), 3)],
+                                   "id_route long, route_name string, distance decimal(18,2), base_payment decimal(18,2), seq long")
+    assert rows(changes.upsert_routes(t.routes, routes), "id_route", "route_name", "distance") == [(1, "b c", D(11))]
+    assert rows(changes.route_rejects(routes), "seq", "rule") == [(2, "name_empty"), (3, "base_payment_range"), (3, "distance_range")]
+    bonus = spark.createDataFrame([(1, 1, D(-5), "", 9), (1, 1, D(5), " y ", 1)], BONUS)
+    assert rows(changes.set_bonuses(t.assignments, bonus), "bonus_amount", "bonus_reason") == [(D(5), "y")]
+    assert rows(changes.bonus_rejects(bonus), "seq", "rule") == [(9, "bonus_range"), (9, "reason_empty")]
+    words = spark.createDataFrame([(1, "weak", 2), (2, " New#0000 ", 1)], "id_user long, password string, seq long")
+    assert rows(changes.update_user_passwords(t.users, words), "id_user", "password") == [(1, "Old#0000"), (2, " New#0000 ")]
+    assert changes.password_rejects(words).columns == ["id_user", "seq", "rule"]
+    assert rows(changes.password_rejects(words), "id_user", "rule") == [(1, "password_too_short")]
+    drivers = spark.createDataFrame([(1, 0, "\tВ ", "Г", None, 4, 1), (1, 0, "В", "\u00a0", None, 99, 2)],
+                                    "id_driver long, id_user long, last_name string, first_name string, middle_name string, experience int, seq long")
+    assert rows(changes.upsert_drivers(t.drivers, drivers), "id_driver", "last_name", "experience") == [(1, "В", 4)]
+    assert rows(changes.driver_rejects(drivers), "seq", "rule") == [(2, "experience_range"), (2, "first_name_empty")]
+
+
+def test_assign_keeps_a_given_pay_without_seq(make_tables, spark):
+    t = make_tables(drivers=[(1, None, "А", "Б", None, 1)], routes=[(7, "r", D(1), D(100))],
+                    transportations=[(9, 7, TS("2024-01-01 00:00:00"), None)])
+    batch = spark.createDataFrame([(1, 9, D(77), None)], "id_driver long, id_transportation long, payment decimal(18,2), seq int")
+    assert rows(changes.assign_drivers(t, batch).assignments, "id_driver", "payment") == [(1, D(77))]
+
+
+def test_registered_values_are_trimmed_and_no_password_is_written(make_tables, spark, monkeypatch):
+    from haulage.operators import ids
+    written = []
+    monkeypatch.setattr(ids, "materialize", lambda df, purpose: written.append(df.columns) or df.cache())
+    batch = spark.createDataFrame([(10, " ok\u00a0", "Abcdefg#1", ["Водитель"], "\tИванов", " Иван", None, 3)],
+                                  "reg_seq long, login string, password string, roles array<string>, last_name string, first_name string, middle_name string, experience int")
+    res = changes.register_users(make_tables(users=[(1, "a", "x")]), batch)
+    assert not written  # nothing runs before an output is asked for
+    assert rows(res.users, "id_user", "login") == [(1, "a"), (2, "ok")]
+    assert rows(res.drivers, "last_name", "first_name") == [("Иванов", "Иван")]
+    assert written and all("password" not in c and "login" not in c for c in written)
 
 
-def test_narrowing_is_chosen_by_size(spark):
+def test_hot_driver_does_not_reach_the_delete_check_whole(spark):
+    """Below the shuffle the requested drivers' assignments are one row per
+    driver and task."""
     from conftest import SMALL_SF
-    from haulage.operators.joins import worth_narrowing
     from haulage.sources.testdata import load_tables
-    t = load_tables(spark, SMALL_SF)
-    few = spark.range(3).selectExpr("id AS id_driver", "id AS id_transportation")
-    assert worth_narrowing(few, t.assignments)
-    assert not worth_narrowing(t.assignments, t.assignments)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        t = load_tables(spark, SMALL_SF)
+        refused = changes.delete_drivers(t, t.drivers.select("id_driver")).refused
+        top = refused._jdf.queryExecution().executedPlan().toString().splitlines()
+        first = next(line for line in top if "Aggregate" in line or "Join" in line)
+        assert "HashAggregate" in first
+        assert refused.count() == t.assignments.select("id_driver").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -19,7 +19,7 @@ SCRIPT = textwrap.dedent("""
     from pyspark.sql import SparkSession, Window, functions as F
     spark = (SparkSession.builder.master("local[4,3]").config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false")
-             .config("spark.sql.shuffle.partitions", "4").getOrCreate())
+             .config("spark.checkpoint.dir", %(shared)r).config("spark.sql.shuffle.partitions", "4").getOrCreate())
     spark.sparkContext.setLogLevel("OFF")
     from haulage.operators.ids import allocate_ids
 
@@ -39,11 +39,39 @@ SCRIPT = textwrap.dedent("""
 """)
 
 
-def test_ids_survive_a_failed_task():
+def test_ids_survive_a_failed_task(tmp_path):
     env = dict(os.environ, PYTHONPATH=ROOT)
-    out = subprocess.run([sys.executable, "-c", SCRIPT % {"root": ROOT}], capture_output=True, text=True,
+    out = subprocess.run([sys.executable, "-c", SCRIPT % {"root": ROOT, "shared": str(tmp_path)}], capture_output=True, text=True,
                          timeout=600, env=env)
     line = [l for l in out.stdout.splitlines() if l.startswith("{")]
     assert line, out.stderr[-3000:]
     res = json.loads(line[-1])
     assert res == {"equal": True, "rows": 20000}
+
+
+SCRATCH = textwrap.dedent("""
+    import os, sys
+    sys.path.insert(0, %(root)r)
+    from haulage.session import build_session, release_scratch
+    from haulage.plans import registry
+    spark = build_session(master="local[4]", shuffle_partitions=4)
+    try:
+        registry.build()["upsert_routes"](spark, %(sf)r)
+    except RuntimeError as e:
+        print("RAISED", "spark.checkpoint.dir" in str(e))
+    spark.sparkContext.setCheckpointDir(%(shared)r)
+    for name in ("upsert_routes", "register_users", "assign_drivers", "stream_crew_limit"):
+        registry.build()[name](spark, %(sf)r).count()
+    base = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    print("FOLDERS", len(os.listdir(base)) > 0)
+    release_scratch(spark)
+    print("LEFT", len(os.listdir(base)))
+""")
+
+
+def test_library_raises_without_a_folder_and_leaves_none_behind(tmp_path):
+    from conftest import SMALL_SF
+    env = dict(os.environ, PYTHONPATH=ROOT)
+    out = subprocess.run([sys.executable, "-c", SCRATCH % {"root": ROOT, "shared": str(tmp_path), "sf": SMALL_SF}],
+                         capture_output=True, text=True, timeout=600, env=env)
+    assert [line.split() for line in out.stdout.splitlines()] == [["RAISED", "True"], ["FOLDERS", "True"], ["LEFT", "0"]], out.stderr[-3000:]

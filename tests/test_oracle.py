@@ -2,11 +2,12 @@
 import pytest
 
 import __spark_entry__ as entry
+from haulage.plans import oracle, registry
 from tools.check_oracle import compare, duck
 from conftest import SMALL_SF
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+QUERIES = registry.build()
+ORACLE = oracle.build()
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +17,7 @@ def con():
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
 def test_entry_smoke(spark):

@@ -48,14 +48,22 @@ def test_accepted_and_rejected_partition_the_input(spark):
     assert acc.groupBy("id_transportation").count().where("count > 2").count() == 0
 
 
-def test_adapter_flag_outside_domain_fails_loudly(spark):
-    import pytest
+def test_any_return_flag_is_taken(spark):
     from haulage.sources.testdata import SOURCE_SCHEMAS, assignments_from_lines
     import datetime as dt
-    ok = [(1, 1, 1, 1, 1.0, 10.0, 0.07, 0.0, "R", "F", dt.datetime(2024, 1, 1)),
-          (1, 1, 1, 2, 1.0, 10.0, 0.01, 0.0, "A", "F", dt.datetime(2024, 1, 1))]
-    r = assignments_from_lines(spark.createDataFrame(ok, SOURCE_SCHEMAS["lineitem"])).first()
-    assert r.bonus_reason == "A" and r.payment == D(20) and r.bonus_amount == D(700) and r.seq == 1
-    bad = ok + [(1, 1, 1, 3, 1.0, 10.0, 0.0, 0.0, "RX", "F", dt.datetime(2024, 1, 1))]
-    with pytest.raises(Exception, match="one ASCII character"):
-        assignments_from_lines(spark.createDataFrame(bad, SOURCE_SCHEMAS["lineitem"])).collect()
+    lines = [(1, 1, 1, n, 1.0, 10.0, disc, 0.0, flag, "F", dt.datetime(2024, 1, 1))
+             for n, disc, flag in ((1, 0.07, "RX"), (2, 0.01, "Я"), (3, 0.0, "RA"))]
+    r = assignments_from_lines(spark.createDataFrame(lines, SOURCE_SCHEMAS["lineitem"])).first()
+    assert r.bonus_reason == "RA" and r.payment == D(30) and r.bonus_amount == D(700) and r.seq == 1
+
+
+def test_any_number_of_bands(make_tables, spark):
+    t = make_tables(drivers=[(i, None, "А", "Б", None, e) for i, e in enumerate([0, 4, 40, 7000, None])])
+    bands = pay.band_table(spark, [(i, i + 1, f"{1 + i % 9}.00") for i in range(5000)])
+    got = {r.id_driver: r.multiplier for r in pay.band_join(t.drivers.select("id_driver", "experience"), bands).collect()}
+    assert got == {0: D(1), 1: D(5), 2: D(5), 3: None, 4: None}
+
+
+def test_accepted_row_without_driver_is_not_refused_too(make_tables):
+    t = make_tables(assignments=[(None, 9, None, None, None, 1), (2, 9, None, None, None, 2), (3, 9, None, None, None, 3)])
+    assert [r.id_driver for r in pay.crew_limit_reject(t.assignments).collect()] == [3]
