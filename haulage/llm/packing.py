@@ -24,6 +24,8 @@ table gives no pieces.
 from __future__ import annotations
 
 import re
+import struct
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -41,59 +43,92 @@ END_ID = 1
 
 # --- tokens --------------------------------------------------------------
 
-#: Parts of a chunk whose ASCII is lower case: ASCII letters and non-ASCII characters, one
-#: digit, or other ASCII characters. Where each first part is all letters the
-#: tokenizer cuts at the same places.
+#: Parts of a chunk whose ASCII letters are lower case: letters (all
+#: non-ASCII characters count as such), one digit, or other characters.
 _PARTS = re.compile(r"[a-z\x80-\U0010ffff]+|[0-9]|[^a-z0-9\x80-\U0010ffff]+")
 
 
+def _byte_level() -> dict[int, str]:
+    """The byte-level alphabet of byte-pair encodings: printable Latin-1 bytes
+    are their own character, the others follow from U+0100 on in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class Memory(dict):
+    """What a function gave, for the keys used lately: when ``most`` are
+    held, they become the old ones, and old ones not used since are dropped."""
+
+    def __init__(self, function, most: int):
+        super().__init__()
+        self.function, self.most, self.old = function, most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.function(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Encoder:
     """Token ids by ``tokenizers``, remembering what chunks encode to.
 
     The tokenizer never joins text across ASCII white space, so a text's ids
-    are those of its chunks, one after another; a chunk's are those of its
-    parts. The memories are bounded. Texts that hold a special token's string
-    are encoded whole, as those strings may span white space.
+    are those of its chunks, one after another. A chunk is cut into parts
+    where the tokenizer itself cuts, and a part goes to the tokenizer's model,
+    normalised as the tokenizer would; anything out of the ordinary is left
+    to the whole tokenizer. The memories are bounded. Texts that hold a
+    special token's string are encoded whole, as those strings may span white
+    space.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.most = most
-        self.chunks: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _cut(self, chunk: bytes) -> list[str]:
-        """The chunk's parts, or the chunk where cutting might not be safe."""
-        text = chunk.lower().decode()  # ASCII letters only; the tokenizer lower-cases the others
-        if "'" in text:
-            return [text]
-        parts = _PARTS.findall(text)
-        return parts if all(p.isascii() or p.isalpha() for p in parts) else [text]
-
-    def learn(self, words: set[bytes]) -> None:
-        """Encode the chunks that aren't remembered."""
-        if len(self.chunks) + len(words) > self.most:
-            self.chunks.clear()
-        new = {w: self._cut(w) for w in words if w not in self.chunks}
-        parts = {p for cut in new.values() for p in cut}
-        if len(self.parts) + len(parts) > self.most:
-            self.parts.clear()
-        missing = [p for p in parts if p not in self.parts]
-        found = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-        self.parts.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(missing, found, strict=True))
-        self.chunks.update((w, b"".join(map(self.parts.__getitem__, cut))) for w, cut in new.items())
+        self.alphabet = _byte_level()
+        self.chunks, self.parts = Memory(self._chunk, most), Memory(self._part, most)
+
+    def _whole(self, text: str) -> bytes:
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    @staticmethod
+    def _bytes(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _part(self, part: str) -> bytes:
+        if part.isascii():
+            return self._bytes([t.id for t in self.model.tokenize(part)])
+        # letters of the old alphabets, whose case and composition are settled
+        composed = unicodedata.normalize("NFC", part)
+        if max(composed) >= "\u0530":
+            return self._whole(part)
+        lowered = "".join(c.lower() for c in composed)
+        mapped = lowered.encode().decode("latin-1").translate(self.alphabet)
+        return self._bytes([t.id for t in self.model.tokenize(mapped)])
+
+    def _chunk(self, chunk: bytes) -> bytes:
+        lowered = chunk.lower()  # ASCII letters only
+        if lowered.isalpha():
+            return self.parts[lowered.decode()]
+        text = lowered.decode()
+        if "'" not in text and text.isprintable():
+            parts = _PARTS.findall(text)
+            if all(p.isascii() or p.isalpha() and p.lower().isalpha() for p in parts):
+                return b"".join(map(self.parts.__getitem__, parts))
+        return self._whole(chunk.decode())
 
     def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [None if any(s in t for s in self.special) else t.split() for t in texts]
-        self.learn({w for words in split if words for w in words})
-        return [np.frombuffer(self._ids(t.decode()) if words is None else b"".join(map(self.chunks.__getitem__, words)), "<u4")
-                for t, words in zip(texts, split, strict=True)]
+        chunk = self.chunks.__getitem__
+        return [np.frombuffer(self._whole(t.decode()) if any(s in t for s in self.special) else b"".join(map(chunk, t.split())),
+                              "<u4") for t in texts]
 
 
 # --- pieces --------------------------------------------------------------

@@ -20,7 +20,7 @@ def plain():
 
 
 ODD = ["", "Don't WE'LL 'sup ''s it's", "a b c d", "ΣΑΣ ὈΔΥΣΣΕΎΣ", "İstanbul K Å ﬁ ½ ²x x²", "éá ñ", "日本語 テキスト 한국어",
-       "x1y2  z3\t\n 44", "…—“quoted”.!? -- ''", "<|endoftext|> and <|startoftext|>x", "naïve café-crème l'été", "\x1c a\x85b \x0b c",
+       "x1y2  z3\t\n 44", "…—“quoted”.!? -- ''", "<|endoftext|> and <|startoftext|>x", "İ.İ x! ŉ. ΐ-", "naïve café-crème l'été", "\x1c a\x85b \x0b c",
        "🙂🙃 text🙂", "ABCdef123.456e-7", "पत्र हिन्दी", "a" * 300, "ǅ ǆ ß ẞ ſ"]
 
 
