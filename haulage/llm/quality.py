@@ -1,10 +1,12 @@
 """Quality rules by weak supervision.
 
 Rules look at counts of a document and vote good (+), bad (-) or abstain (0).
-No rule decides alone: expectation-maximisation estimates, for each rule, how
-often it votes good on good and on bad documents (its two accuracies) and how
-common good documents are, without labels; a document's verdict is the
-posterior probability that it is good, given its votes and those accuracies.
+Bad documents come in kinds, and most break few rules: there is one class of
+good documents and one bad class for each rule, which starts from the belief
+that its rule mostly votes bad there. Expectation-maximisation estimates,
+without labels, how often each rule votes good in each class (its accuracies)
+and how common the classes are; a document's verdict is the posterior
+probability that it is good, given its votes and those accuracies.
 
 The estimate needs only how many documents cast each vote pattern. With R
 rules there are at most 3**R patterns, whatever the number of documents, so
@@ -43,7 +45,7 @@ RULES = [
     ("capitals", "n_upper / if(n_upper + n_lower > 0, n_upper + n_lower, null)", 0.5, 0.2),
     ("exclaims", "n_exclaims / n_words", 0.3, 0.05),
     ("repeated_lines", "if(n_lines > 1, n_dup_lines / n_lines, null)", 0.34, 0.05),
-    ("repeated_windows", "n_repeat_words / n_words", 0.2, 0.02),
+    ("repeated_windows", "n_repeat_words / n_words", 0.3, 0.02),
     ("vocabulary", "if(n_words >= 30, n_distinct / n_words, null)", 0.3, 0.45),
     ("sentence_ends", "if(n_words >= 30, n_ends / n_words, null)", 0.01, 0.04),
     ("word_length", "abs(ln(word_chars / n_words / 5))", 0.8, 0.3),
@@ -113,32 +115,33 @@ def vote_column():
     return F.concat(*votes)
 
 
-def estimate(patterns: dict[str, int], rounds: int = 200) -> tuple[dict[str, float], np.ndarray, float]:
+def estimate(patterns: dict[str, int], rounds: int = 200) -> tuple[dict[str, float], np.ndarray, np.ndarray]:
     """EM over vote patterns: (posterior of good by pattern, P(+ | class) as
-    [rule, class] with class 0 bad and 1 good, share of good).
-
-    Abstentions say nothing. The start says only that rules are better than
-    chance, and that a bad document breaks some rules, not all of them.
+    [rule, class], share of each class); class 0 is good, class k + 1 the bad
+    one of rule k. Abstentions say nothing.
     """
-    names = sorted(patterns)
+    names, rules = sorted(patterns), len(RULES)
     weight = np.array([patterns[p] for p in names], float)
-    votes = np.array([[{"+": 1.0, "-": 0.0, "0": np.nan}[v] for v in p] for p in names]).reshape(len(names), len(RULES))
+    votes = np.array([[{"+": 1.0, "-": 0.0, "0": np.nan}[v] for v in p] for p in names]).reshape(len(names), rules)
     cast = ~np.isnan(votes)
-    plus = np.where(cast, votes, 0.0)
-    minus = np.where(cast, 1 - votes, 0.0)
-    accuracy = np.tile([[0.6, 0.97]], (len(RULES), 1))
-    share, posterior = 0.8, np.zeros(len(names))
+    plus, minus = np.where(cast, votes, 0.0), np.where(cast, 1 - votes, 0.0)
+    start = np.full((rules, rules + 1), 0.95)
+    start[:, 0] = 0.995
+    np.fill_diagonal(start[:, 1:], 0.1)
+    accuracy, share = start, np.array([0.8] + [0.2 / rules] * rules)
+    posterior = np.zeros((len(names), rules + 1))
     for _ in range(rounds):
-        log = plus @ np.log(accuracy) + minus @ np.log1p(-accuracy) + np.log([1 - share, share])
-        new = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -700, 700)))
-        mass = weight[:, None] * np.stack([1 - new, new], 1)
-        share = float(np.clip((mass[:, 1].sum() + 1) / (mass.sum() + 2), 1e-6, 1 - 1e-6))
-        # one document's weight of the starting belief smooths each rule
-        accuracy = (plus.T @ mass + [[0.6, 0.97]]) / (cast.T @ mass + 1)
+        log = plus @ np.log(accuracy) + minus @ np.log1p(-accuracy) + np.log(share)
+        new = np.exp(log - log.max(1, keepdims=True, initial=-np.inf))
+        new /= new.sum(1, keepdims=True)
+        mass = weight[:, None] * new
+        share = (mass.sum(0) + 1e-3) / (mass.sum() + 1e-3 * (rules + 1))
+        # one document's weight of the starting belief smooths each accuracy
+        accuracy = (plus.T @ mass + start) / (cast.T @ mass + 1)
         if np.abs(new - posterior).max(initial=0) < 1e-9:
             break
         posterior = new
-    return dict(zip(names, map(float, new), strict=True)) if names else {}, accuracy, share
+    return dict(zip(names, map(float, new[:, 0]), strict=True)), accuracy, share
 
 
 def judge(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 from llm_cases import HARD, make_docs, rows_of  # noqa: F401
@@ -9,7 +10,7 @@ from haulage.llm.common import WordHashes
 def brute(rows):
     """Components by comparing all pairs of sets."""
     def shingles(text):
-        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split()
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
         return {tuple(w[i:i + 2]) for i in range(len(w) - 1)} if len(w) > 1 else {tuple(w)} - {()}
 
     nodes = sorted({i for i, _ in rows if i is not None})
