@@ -71,7 +71,8 @@ SCRATCH = textwrap.dedent("""
 
 def test_library_raises_without_a_folder_and_leaves_none_behind(tmp_path):
     from conftest import SMALL_SF
-    env = dict(os.environ, PYTHONPATH=ROOT)
-    out = subprocess.run([sys.executable, "-c", SCRATCH % {"root": ROOT, "shared": str(tmp_path), "sf": SMALL_SF}],
+    (tmp_path / "conf").mkdir()
+    env = dict(os.environ, PYTHONPATH=ROOT, SPARK_CONF_DIR=str(tmp_path / "conf"))  # no defaults of the machine
+    out = subprocess.run([sys.executable, "-c", SCRATCH % {"root": ROOT, "shared": str(tmp_path / "shared"), "sf": SMALL_SF}],
                          capture_output=True, text=True, timeout=600, env=env)
     assert [line.split() for line in out.stdout.splitlines()] == [["RAISED", "True"], ["FOLDERS", "True"], ["LEFT", "0"]], out.stderr[-3000:]
