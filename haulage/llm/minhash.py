@@ -14,11 +14,11 @@ one node. A bucket gives star-shaped candidates: its smallest node with each
 other member, not all pairs. Candidates are confirmed on the full sets. Where
 the links so far leave a bucket's members in several components, the star
 around one centre may have missed links between others. The members of such
-open buckets are compared with each other, but for pairs of one component, by
-sketches of ``SKETCH_BINS`` bins in blocks of bounded size, and pairs that
-agree in enough bins are confirmed as well (a pair of similarity 0.8 fails
-that once in five million times). So no candidate that could join two
-components is left out, and pairs are written only where they are likely.
+open buckets are compared with each other, but for pairs of one component, in
+blocks of bounded size: sketches of ``SKETCH_BINS`` bins set aside pairs that
+are far from alike (a pair of similarity 0.8 fails that once in millions), and
+the others are confirmed on their full sets on the spot. So no candidate that
+could join two components is left out, and only links are written.
 
 Defined results: a null or empty text, or one without words, has the empty
 set and is linked with nothing; fewer words than a shingle are one shingle;
@@ -49,8 +49,8 @@ BANDS = BINS // ROWS
 #: must reach to be confirmed on its sets.
 SKETCH_BINS = 512
 SKETCH_SHARE = 0.71
-#: Members that a task holds of an open bucket, twice.
-BLOCK = 1024
+#: Shingles, over its members, that a block of an open bucket holds.
+BLOCK_SHINGLES = 500_000
 
 
 def shingle_set(text: bytes, hashes: WordHashes, shingle: int = SHINGLE) -> np.ndarray:
@@ -131,6 +131,14 @@ def sketches(docs: DataFrame) -> DataFrame:
         run, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"), "sketches")
 
 
+def alike(x: np.ndarray, y: np.ndarray, similarity: int) -> bool:
+    """Whether two sorted sets are similar enough, in per cent of the union."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")  # two sorted runs
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= similarity * (len(both) - common)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     both = (pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -146,9 +154,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, similarity: int = SIMILARITY)
                 for t in (a, b):
                     if t not in sets:
                         sets[t] = shingle_set(t, hashes)
-                x, y = sets[a], sets[b]
-                common = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * common >= similarity * (len(x) + len(y) - common))
+                keep.append(alike(sets[a], sets[b], similarity))
             chosen = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
             if chosen.num_rows:
                 yield chosen
@@ -202,57 +208,64 @@ def links_of(nodes: DataFrame, docs: DataFrame, similarity: int = SIMILARITY) ->
                          "candidate-texts")
     label = components(shared_write(confirmed(checked, texts, similarity), "links"))
 
-    rows = members.join(label.withColumnRenamed("component", "c"), "node", "left").select(
-        "key", "node", "n", F.coalesce("c", "node").alias("component"))
-    several = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"),
-                                      F.count("*").alias("size")).where("x < y")
-    left = shared_write(rows.join(several.select("key", "size"), "key"), "open")
-    likely = likely_pairs(left, texts, similarity)
-    more = shared_write(confirmed(likely.join(checked, ["a", "b"], "left_anti"), texts, similarity), "links")
+    more = open_links(open_members(members, label), texts, similarity)
     if more.isEmpty():
         return label
     # the components so far are stars: few links stand for all before
     return components(more.unionByName(label.select(F.col("component").alias("a"), F.col("node").alias("b"))))
 
 
-def likely_pairs(members: DataFrame, texts: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """Pairs (a, b) of members of a bucket that are in different components
-    and agree in enough bins of their sketches. members: key, node, n,
-    component, size (of the bucket). A bucket is cut into blocks; each two
-    blocks meet in a group of their own."""
+def open_members(members: DataFrame, label: DataFrame) -> DataFrame:
+    """key, node, n, component and blocks (that the bucket is cut into) of
+    the buckets whose members are in several components."""
+    rows = members.join(label.withColumnRenamed("component", "c"), "node", "left").select(
+        "key", "node", "n", F.coalesce("c", "node").alias("component"))
+    several = rows.groupBy("key").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"),
+        F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")).where("x < y")
+    return shared_write(rows.join(several.select("key", "blocks"), "key"), "open")
+
+
+def open_links(members: DataFrame, texts: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """The links (a, b) between members of a bucket that are in different
+    components, written and read back. Each two blocks of a bucket meet in a
+    group of their own."""
     wanted = texts.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in slices(batches, "text"):
-            sketches = [signature(shingle_set(t, hashes), SKETCH_BINS).astype(np.uint8).tobytes()
-                        for t in utf8_list(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sketches, pa.binary())], names=["node", "sketch"])
-
-    drawn = wanted.mapInArrow(draw, "node bigint, sketch binary")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    others = F.sequence(F.lit(0), blocks - 1)
-    rows = members.join(drawn, "node").withColumns({"block": mine, "other": F.explode(others)}).select(
+        for batch in slices(batches, "text", 2 << 20):
+            sets = [shingle_set(t, hashes) for t in utf8_list(batch.column("text"))]
+            sketches = [signature(s, SKETCH_BINS).astype(np.uint8).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(sketches, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                names=["node", "sketch", "shingles"])
+
+    drawn = wanted.mapInArrow(draw, "node bigint, sketch binary, shingles binary")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = members.withColumns({"block": mine, "other": others}).join(drawn, "node").select(
         "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "block", "node", "n", "component", "sketch")
+        "block", "node", "component", "sketch", "shingles")
 
     def meet(table: pa.Table) -> pa.Table:
-        node, n, component, block = (table.column(c).to_numpy() for c in ("node", "n", "component", "block"))
+        node, component, block = (table.column(c).to_numpy() for c in ("node", "component", "block"))
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH_BINS)
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        n = np.array([len(x) for x in sets])
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        found: list[np.ndarray] = []
+        found: list[tuple[int, int]] = []
         for x in left:
             y = right[(component[right] != component[x]) & ((node[right] > node[x]) | (i != j))]
             y = y[100 * np.minimum(n[y], n[x]) >= similarity * np.maximum(n[y], n[x])]
             if len(y):
                 y = y[(sketch[y] == sketch[x]).sum(1) >= SKETCH_SHARE * SKETCH_BINS]
-                found.append(np.stack([np.minimum(node[y], node[x]), np.maximum(node[y], node[x])], 1))
-        pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+            found += [(int(min(node[x], node[k])), int(max(node[x], node[k]))) for k in y if alike(sets[x], sets[k], similarity)]
+        return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
 
-    return rows.groupBy("key", "i", "j").applyInArrow(meet, "a bigint, b bigint").distinct()
+    links = rows.groupBy("key", "i", "j").applyInArrow(meet, "a bigint, b bigint")
+    return shared_write(links.distinct(), "links")
 
 
 def decide(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
