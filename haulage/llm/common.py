@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,26 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 8 <<
             stop = max(start + 1, int(np.searchsorted(ends, base + most_bytes, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system. Spark keeps Python workers for later
+    tasks, and what their allocators hold on to counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_libc(), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+@cache
+def _libc():
+    import ctypes
+
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library: nothing to trim
+        return None
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -57,7 +78,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, remembered up to a bounded number of words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 

@@ -75,7 +75,7 @@ class Words:
         h = near[at - 1] * np.uint32(0x9E3779B1) + code[at] * np.uint32(0x85EBCA77) + near[at + 1] * np.uint32(0xC2B2AE3D)
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
-        self.bucket = (h >> np.uint32(16)).astype(np.int64)
+        self.bucket = (h >> np.uint32(16)).astype(np.uint16)
         starts = at[~is_letter[at - 1]]
         self.first = np.searchsorted(at, starts)
         self.letters = np.diff(np.append(self.first, len(at)))
@@ -170,7 +170,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
             for lang in sorted(set(langs)):
                 words = Words([t for t, x in zip(batch.column("text").to_pylist(), langs, strict=True) if x == lang])
                 for kind, seen in (("trigram", words.bucket), ("script", words.script)):
-                    value, count = np.unique(seen, return_counts=True)
+                    value, count = np.unique(seen, return_counts=True)  # at most BUCKETS of them
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang] * len(value), pa.string()), pa.array([kind] * len(value)),
                          pa.array(value.astype(np.int64)), pa.array(count.astype(np.int64))],
@@ -216,7 +216,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFra
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("spans", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most = max(1 << 16, (4 << 20) // max(1, len(shared.value.langs) // 4))
+        most = max(1 << 16, (2 << 20) // max(1, len(shared.value.langs) // 4))
         for batch in slices(batches, "text", most):
             found = label_texts([t or "" for t in batch.column("text").to_pylist()], shared.value, penalty)
             rows = [dict(zip(("lang", "score", "spans"), x, strict=True)) for x in found]

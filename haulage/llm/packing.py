@@ -87,7 +87,7 @@ class Encoder:
     space.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 100_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -146,7 +146,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
         encoder, task = Encoder(tokenizer_path), TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)  # by length: capacity entries at most
         end = np.array([end_id], "<u4")
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             rows, ids_of = [], []
             found = encoder.encode_all([t or b"" for t in utf8_list(batch.column("text"))])
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), found, strict=True):
