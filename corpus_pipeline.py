@@ -13,6 +13,9 @@ from haulage.llm import decontaminate, language, line_dedup, minhash, packing
 from haulage.llm.common import read_table, shared_write
 from haulage.llm.queries import tokenizer_path
 
+#: Words a shingle of the near dedup; op2's contract has two.
+NEAR_SHINGLE = 5
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go, and those where no language holds
@@ -28,7 +31,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return minhash.dedup(docs)
+    return minhash.dedup(docs, shingle=NEAR_SHINGLE)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -110,7 +110,7 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, digest of the set (null for the empty set) and its
     band keys, written and read back. The sets themselves are not kept."""
 
@@ -119,7 +119,7 @@ def sketches(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, "text"):
             sizes, digests, keys = [], [], []
             for text in utf8_list(batch.column("text")):
-                s = shingle_set(text or b"", hashes)
+                s = shingle_set(text or b"", hashes, shingle)
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 keys.append(bands(signature(s)) if len(s) else None)
@@ -139,7 +139,7 @@ def alike(x: np.ndarray, y: np.ndarray, similarity: int) -> bool:
     return 100 * common >= similarity * (len(both) - common)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, similarity: int = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     both = (pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
             .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -153,7 +153,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, similarity: int = SIMILARITY)
             for a, b in zip(utf8_list(batch.column("text_a")), utf8_list(batch.column("text_b")), strict=True):
                 for t in (a, b):
                     if t not in sets:
-                        sets[t] = shingle_set(t, hashes)
+                        sets[t] = shingle_set(t, hashes, shingle)
                 keep.append(alike(sets[a], sets[b], similarity))
             chosen = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
             if chosen.num_rows:
@@ -196,7 +196,7 @@ def _possible(n: str, m: str, similarity: int):
     return 100 * F.least(n, m) >= similarity * F.greatest(n, m)
 
 
-def links_of(nodes: DataFrame, docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+def links_of(nodes: DataFrame, docs: DataFrame, similarity: int = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """(node, component) of the nodes that have links."""
     members = candidate_buckets(nodes)
     sizes = nodes.select(F.col("node").alias("centre"), F.col("n").alias("m"))
@@ -206,9 +206,9 @@ def links_of(nodes: DataFrame, docs: DataFrame, similarity: int = SIMILARITY) ->
     involved = members.select(F.col("node").alias("doc_id")).distinct()
     texts = shared_write(docs.select("doc_id", "text").where("text is not null").join(involved, "doc_id", "left_semi"),
                          "candidate-texts")
-    label = components(shared_write(confirmed(checked, texts, similarity), "links"))
+    label = components(shared_write(confirmed(checked, texts, similarity, shingle), "links"))
 
-    more = open_links(open_members(members, label), texts, similarity)
+    more = open_links(open_members(members, label), texts, similarity, shingle)
     if more.isEmpty():
         return label
     # the components so far are stars: few links stand for all before
@@ -226,7 +226,7 @@ def open_members(members: DataFrame, label: DataFrame) -> DataFrame:
     return shared_write(rows.join(several.select("key", "blocks"), "key"), "open")
 
 
-def open_links(members: DataFrame, texts: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+def open_links(members: DataFrame, texts: DataFrame, similarity: int = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """The links (a, b) between members of a bucket that are in different
     components, written and read back. Each two blocks of a bucket meet in a
     group of their own."""
@@ -235,7 +235,7 @@ def open_links(members: DataFrame, texts: DataFrame, similarity: int = SIMILARIT
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in slices(batches, "text", 2 << 20):
-            sets = [shingle_set(t, hashes) for t in utf8_list(batch.column("text"))]
+            sets = [shingle_set(t, hashes, shingle) for t in utf8_list(batch.column("text"))]
             sketches = [signature(s, SKETCH_BINS).astype(np.uint8).tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sketches, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
@@ -268,15 +268,15 @@ def open_links(members: DataFrame, texts: DataFrame, similarity: int = SIMILARIT
     return shared_write(links.distinct(), "links")
 
 
-def decide(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+def decide(docs: DataFrame, similarity: int = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id (smallest doc_id
     reachable), kept (doc_id is that one)."""
-    rows = sketches(docs)
+    rows = sketches(docs, shingle)
     known = rows.where("digest is not null and doc_id is not null")
     copies = known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"),
                                          F.first("bands").alias("bands"))
     classes = shared_write(copies, "classes")
-    label = links_of(classes.select("node", "n", "bands"), docs, similarity)
+    label = links_of(classes.select("node", "n", "bands"), docs, similarity, shingle)
     # rows of one doc_id are one document: their classes belong together
     same = known.select("doc_id", "digest").join(classes.select("digest", "node"), "digest")
     label = _joined(same, label)
@@ -295,10 +295,10 @@ def _joined(same: DataFrame, label: DataFrame) -> DataFrame:
     return components(ties.unionByName(label.select(F.col("component").alias("a"), F.col("node").alias("b"))))
 
 
-def dedup(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+def dedup(docs: DataFrame, similarity: int = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` that are kept; of rows that share a kept doc_id
     one stays."""
-    decisions = shared_write(decide(docs, similarity), "decisions")
+    decisions = shared_write(decide(docs, similarity, shingle), "decisions")
     gone = decisions.where(~F.col("kept")).select("doc_id").distinct()
     rows = docs.join(gone, "doc_id", "left_anti")
     again = decisions.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")

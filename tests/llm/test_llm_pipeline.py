@@ -32,3 +32,10 @@ def test_hard_rows_and_empty_tables_pass_all_stages(spark, make_docs, tmp_path):
         spark.createDataFrame([(1, "some benchmark passage")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
         out = corpus_pipeline.run(spark, folder)
         assert (out.count() > 0) == bool(rows)
+
+
+def test_documents_alike_at_two_words_only_both_stay(spark, make_docs):
+    words = [f"w{i}" for i in range(200)]
+    other = [f"new{i}" if i % 20 == 10 else w for i, w in enumerate(words)]  # at 2 words 0.82, at 5 0.59
+    docs = make_docs([(1, " ".join(words)), (2, " ".join(other)), (3, " ".join([*words[:-2], "x", "y"]))])
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == {1, 2}
