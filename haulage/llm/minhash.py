@@ -3,11 +3,13 @@
 A document's set is its distinct word shingles, each a 64-bit hash. One hash
 gives the whole signature: its leading bits choose one of ``BINS`` bins, and a
 bin keeps the smallest hash that falls into it. Empty bins are filled by
-optimal densification: bin b looks at bins drawn by hashes of (b, attempt)
-until it meets one that is not empty, so two sets fill a bin alike as often as
-they are alike. ``ROWS`` bins make a band; documents that share a band meet in
-its bucket. With 42 bands of 6 a pair of similarity 0.8 meets nowhere once in
-350,000 times, and nearer pairs much less often.
+optimal densification: bin b looks at bins drawn by hashes of (b, attempt),
+then at all bins in an order of its own, until it meets one that is not empty,
+so two sets fill a bin alike as often as they are alike, however small they are.
+``ROWS`` bins make a band; documents that share a band meet in its bucket. With
+42 bands of 6 a pair of similarity 0.8 meets nowhere once in 350,000 times, and
+nearer pairs much less often (sets of a few shingles: about that, as two of
+their shingles may fall into one bin).
 
 Equal sets are collapsed first (by a 128-bit digest), so a group of copies is
 one node. A bucket gives star-shaped candidates: its smallest node with each
@@ -15,10 +17,11 @@ other member, not all pairs. Candidates are confirmed on the full sets. Where
 the links so far leave a bucket's members in several components, the star
 around one centre may have missed links between others. The members of such
 open buckets are compared with each other, but for pairs of one component, in
-blocks of bounded size: sketches of ``SKETCH_BINS`` bins set aside pairs that
-are far from alike (a pair of similarity 0.8 fails that once in millions), and
-the others are confirmed on their full sets on the spot. So no candidate that
-could join two components is left out, and only links are written.
+blocks of bounded size. Each shingle flips one of a set's ``PARITY_BITS`` bits,
+so two sets differ by at least as many shingles as bits; pairs that differ by too
+many bits are set aside, which is never a link, and the others are confirmed on
+their full sets on the spot. So no candidate that could join two components is
+left out, and only links are written.
 
 Defined results: a null or empty text, or one without words, has the empty
 set and is linked with nothing; fewer words than a shingle are one shingle;
@@ -45,10 +48,8 @@ SIMILARITY = 80  # per cent
 BINS = 256
 ROWS = 6
 BANDS = BINS // ROWS
-#: Sketch that open buckets compare, and the share of equal bins that a pair
-#: must reach to be confirmed on its sets.
-SKETCH_BINS = 512
-SKETCH_SHARE = 0.71
+#: Bits that open buckets compare before sets, a power of two.
+PARITY_BITS = 4096
 #: Shingles, over its members, that a block of an open bucket holds.
 BLOCK_SHINGLES = 500_000
 
@@ -90,9 +91,10 @@ def signature(shingles: np.ndarray, bins: int = BINS) -> np.ndarray:
     while len(empty):
         if attempt < len(probes):
             probe = probes[attempt][empty]
-        else:  # very few filled bins: the drawn bin's next filled one
+        else:  # few filled bins: the first of them in the empty bin's own order of all bins
             at = np.flatnonzero(filled)
-            probe = at[np.searchsorted(at, probes[-1][empty]) % len(at)]
+            order = mix64(((empty[:, None] + 1) * bins + at[None, :] + 1).astype(np.uint64) << np.uint64(24))
+            probe = at[order.argmin(1)]
         hit = filled[probe]
         # the borrowing bin is mixed in, so that a value lent twice counts twice
         out[empty[hit]] = out[probe[hit]] + (empty[hit].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
@@ -101,6 +103,12 @@ def signature(shingles: np.ndarray, bins: int = BINS) -> np.ndarray:
     return out
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """PARITY_BITS bits, each the parity of the number of shingles on it."""
+    odd = np.bincount((shingles & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def bands(sig: np.ndarray) -> np.ndarray:
     """A 64-bit key for each band, different for different bands."""
     rows = sig[:BANDS * ROWS].reshape(BANDS, ROWS)
@@ -236,7 +244,7 @@ def open_links(members: DataFrame, texts: DataFrame, similarity: int = SIMILARIT
         hashes = WordHashes()
         for batch in slices(batches, "text", 2 << 20):
             sets = [shingle_set(t, hashes, shingle) for t in utf8_list(batch.column("text"))]
-            sketches = [signature(s, SKETCH_BINS).astype(np.uint8).tobytes() for s in sets]
+            sketches = [parity(s).tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sketches, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
                 names=["node", "sketch", "shingles"])
@@ -250,7 +258,7 @@ def open_links(members: DataFrame, texts: DataFrame, similarity: int = SIMILARIT
 
     def meet(table: pa.Table) -> pa.Table:
         node, component, block = (table.column(c).to_numpy() for c in ("node", "component", "block"))
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH_BINS)
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, PARITY_BITS // 64)
         sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
         n = np.array([len(x) for x in sets])
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
@@ -260,7 +268,8 @@ def open_links(members: DataFrame, texts: DataFrame, similarity: int = SIMILARIT
             y = right[(component[right] != component[x]) & ((node[right] > node[x]) | (i != j))]
             y = y[100 * np.minimum(n[y], n[x]) >= similarity * np.maximum(n[y], n[x])]
             if len(y):
-                y = y[(sketch[y] == sketch[x]).sum(1) >= SKETCH_SHARE * SKETCH_BINS]
+                differ = np.bitwise_count(sketch[y] ^ sketch[x]).sum(1, dtype=np.int64)
+                y = y[(100 + similarity) * differ <= (100 - similarity) * (n[y] + n[x])]
             found += [(int(min(node[x], node[k])), int(max(node[x], node[k]))) for k in y if alike(sets[x], sets[k], similarity)]
         return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
 

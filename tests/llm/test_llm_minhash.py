@@ -109,3 +109,40 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001)], "a long, b long")
     out = {r["node"]: r["component"] for r in minhash.components(links).collect()}
     assert out == {i: 0 for i in range(1, 201)} | {1001: 1000}
+
+
+def test_families_of_short_documents_equal_brute_force(make_docs):
+    rng, rows = random.Random(11), []
+    for family in range(60):
+        base = [f"f{family}w{i}" for i in range(rng.randrange(5, 16))]
+        for _ in range(25):
+            words = list(base)
+            for _ in range(rng.randrange(3)):
+                if rng.random() < 0.5:
+                    words = words[1:] if rng.random() < 0.5 else words[:-1]
+                else:
+                    words = words + [f"x{rng.randrange(4)}"]
+            rows.append(" ".join(words))
+    ids = rng.sample(range(10**6), len(rows))
+    rows = list(zip(ids, rows, strict=True))
+    component, _ = brute(rows)
+    assert {r["doc_id"]: r["component_id"] for r in minhash.decide(make_docs(rows)).collect()} == component
+
+
+def test_open_buckets_lose_no_link_of_small_sets(spark):
+    # pairs of 4 of 5 shingles, each in a bucket of its own, in different components
+    rows = [(2 * i + k, " ".join(f"p{i}w{j}" for j in range(6 - k))) for i in range(500) for k in (0, 1)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    members = spark.createDataFrame([(i // 2, i, 5 - i % 2, i, 1) for i, _ in rows],
+                                    "key long, node long, n long, component long, blocks int")
+    assert minhash.open_links(members, texts).count() == 500
+
+
+def test_bands_of_tiny_sets_meet(spark):
+    rng = np.random.default_rng(7)
+    lost = 0
+    for _ in range(4000):
+        x = np.sort(rng.integers(0, 2**64, 5, dtype=np.uint64, endpoint=False))
+        y = np.delete(x, rng.integers(5))
+        lost += not (minhash.bands(minhash.signature(x)) == minhash.bands(minhash.signature(y))).any()
+    assert lost <= 1
