@@ -28,6 +28,7 @@ like any other. Other columns are ignored. An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,6 +51,7 @@ OTHER_MARKS = ("[ROLE] ", " [TEXT] ", " [/ROLE]")
 _REST = r"/?s>|</?SYS>>|/?INST\]|/?ROLE\]|TEXT\]"
 _ESCAPE = rf"([<\[])(\\*)(?={_REST})"
 _UNESCAPE = rf"([<\[])\\(\\*)(?={_REST})"
+_UNESCAPED = re.compile(_UNESCAPE)
 
 
 def escape(text: Column) -> Column:
@@ -147,6 +149,12 @@ def write_formatted(conversations: DataFrame) -> DataFrame:
     return shared_write(numbered(render(conversations)), "chat")
 
 
+def write_examples(pieces: DataFrame) -> DataFrame:
+    """Expand the stored pieces and write the examples with their masks; the
+    stored table read back."""
+    return shared_write(examples(pieces), "chat-examples")
+
+
 _DIGEST = T.StructType([
     T.StructField("conv_id", T.LongType()), T.StructField("n_turns", T.LongType()),
     T.StructField("turns_sha256", T.StringType()), T.StructField("loss_chars", T.LongType()),
@@ -155,21 +163,31 @@ _DIGEST = T.StructType([
 ])
 
 
-def digests(pieces: DataFrame) -> DataFrame:
-    """Per conversation, read back from its stored pieces: the turns, and the
-    text under the loss masks of its examples.
+def digests(pieces: DataFrame, masks: DataFrame | None = None) -> DataFrame:
+    """Per conversation, read back from its stored pieces and examples
+    (``masks``; written here if not given): the turns, and the text that the
+    examples' loss masks cut out of the pieces.
 
-    A digest runs over a conversation in order, so its pieces go by
-    conversation to one task; that task streams them in sorted order and
-    holds one piece and two running hashes, never the conversation.
+    A digest runs over a conversation in order, so its pieces and masks go by
+    conversation to one task; that task streams them in sorted order, a target's
+    mask before its piece, and holds one piece and two running hashes, never the
+    conversation.
     """
+    if masks is None:
+        masks = write_examples(pieces)
+    masks = masks.select("conv_id", F.col("target_seq").alias("seq"), F.lit(0).alias("kind"), "loss_start", "loss_end",
+                         "example_chars")
+    rows = (pieces.select("conv_id", "seq", F.lit(1).alias("kind"), "start", "chars", "piece")
+            .unionByName(masks, allowMissingColumns=True)
+            .repartition("conv_id").sortWithinPartitions("conv_id", "seq", "kind"))
     role, text = parse(F.col("piece"))
-    rows = (pieces.select("conv_id", "seq", "start", role.alias("role"), text.alias("text"), "chars")
-            .repartition("conv_id").sortWithinPartitions("conv_id", "seq"))
+    rows = rows.select("conv_id", "seq", "start", role.alias("role"), text.alias("text"), "chars", "piece",
+                       "loss_start", "loss_end", "example_chars")
     names = _DIGEST.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state = object(), None
+        targets: list[tuple] = []
         done: list[tuple] = []
 
         def close():
@@ -178,18 +196,25 @@ def digests(pieces: DataFrame) -> DataFrame:
 
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
-                conv, _, start, role, text, chars = row
+                conv, seq, start, role, text, chars, piece, *mask = row
                 if state is None or conv != current:
                     if state is not None:
                         close()
                     current, state = conv, [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
+                    targets = []
+                if piece is None:  # an example: its target is the next piece
+                    targets.append((seq, *mask))
+                    state[6] += 1
+                    state[7] += mask[2]
+                    continue
                 state[1] += 1
                 state[2].update(f"{role}\n{text}\n".encode())
-                if role == "assistant":
-                    state[3] += len(text)
-                    state[4].update(text.encode())
-                    state[6] += 1
-                    state[7] += start + chars
+                for target, loss_start, loss_end, _ in targets:
+                    if target == seq:
+                        loss = _UNESCAPED.sub(r"\1\2", piece[max(0, loss_start - start):max(0, loss_end - start)])
+                        state[3] += len(loss)
+                        state[4].update(loss.encode())
+                targets.clear()
                 state[5] += chars
             if len(done) > 5000:
                 yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in done], _arrow())

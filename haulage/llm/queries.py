@@ -57,7 +57,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = chat.write_formatted(chat.with_probe(spark, read_table(spark, sf_dir, "conversations")))
-    return chat.digests(pieces)
+    return chat.digests(pieces, chat.write_examples(pieces))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,3 +72,32 @@ def test_every_reply_is_an_example_with_all_before_as_context(spark):
         assert text[r["context_chars"]:r["loss_start"]] == "<s> " and text[r["loss_end"]:] == " </s>"
     one = [r for r in rows if r["conv_id"] == 1]
     assert sorted(r["loss_end"] - r["loss_start"] for r in one) == [0, len("yo<\\/s>")]
+
+
+def test_loss_and_examples_come_from_the_stored_masks(spark):
+    pieces = chat.write_formatted(table(spark, ROWS))
+    masks = chat.write_examples(pieces)
+    columns = ("conv_id", "loss_chars", "loss_sha256", "n_examples", "example_chars")
+    right = rows_of(chat.digests(pieces, masks), *columns)
+    per = defaultdict(list)
+    for r in masks.collect():
+        per[r["conv_id"]].append(r["example_chars"])
+    assert {r[0]: (r[3], r[4]) for r in right} == {c: (len(per[c]), sum(per[c])) for c in {r[0] for r in ROWS}}
+    wrong = {r["conv_id"]: r for r in chat.digests(pieces, masks.withColumn("loss_end", masks["loss_end"] - 1)).collect()}
+    assert wrong[4]["loss_chars"] == len("near") + len("mid" * 3000) - 2
+    fewer = {r["conv_id"]: r for r in chat.digests(pieces, masks.where("conv_id <> 4")).collect()}
+    assert (fewer[4]["n_examples"], fewer[4]["example_chars"], fewer[4]["loss_chars"], fewer[4]["n_turns"]) == (0, 0, 0, 3)
+
+
+def test_the_query_stores_its_examples(spark, monkeypatch):
+    from haulage.llm import queries
+
+    stored = {}
+
+    def keep(df, purpose, write=chat.shared_write):
+        stored[purpose] = write(df, purpose)
+        return stored[purpose]
+
+    monkeypatch.setattr(chat, "shared_write", keep)
+    out = queries.op9_chat_format(spark, "/root/testdata/sf0.001").agg({"n_examples": "sum"}).first()[0]
+    assert stored["chat-examples"].count() == out > 0
