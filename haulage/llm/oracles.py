@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from haulage.llm import chat, licenses, line_dedup
+from haulage.llm import chat, licenses, line_dedup, variants
 
 
 def _lower(column: str) -> str:
@@ -170,6 +170,48 @@ SELECT d.doc_id, coalesce(array_to_string(r.names, ','), '') AS licenses, coales
 FROM documents d LEFT JOIN {left} r USING (doc_id)"""
 
 
+def variants_sql() -> str:
+    """CRC-32 by its table of 256 entries, over each run's UTF-8 bytes (all
+    runs are Latin-1); near words by the words with one letter left out."""
+    v = variants
+    steps, left = [], "SELECT range AS x, range AS i FROM range(256)"
+    for n in range(8):
+        steps.append(f"t{n} AS (SELECT i, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END AS x FROM ({left}))")
+        left = f"SELECT * FROM t{n}"
+    code = "CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [(192 + unicode(c) // 64)::BIGINT, (128 + unicode(c) % 64)::BIGINT] END"
+    return rf"""
+WITH RECURSIVE {", ".join(steps)},
+crcs AS (SELECT list(x ORDER BY i) AS t FROM t7),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all({_lower("text")}, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+many AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= {v.LEAST_CHARS} GROUP BY ALL),
+hashed AS (
+  SELECT run, n, xor(list_reduce(flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda c: {code})),
+         lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1]), 4294967295), 4294967295) AS h FROM many, crcs),
+spelt AS (
+  SELECT CASE WHEN h % {v.DROP} = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM hashed),
+words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM spelt WHERE length(word) >= {v.LEAST_CHARS} GROUP BY word HAVING sum(n) >= {v.LEAST_COUNT}),
+less AS (
+  SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT a.word AS a, b.word AS b FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT l.word, w.word FROM less l JOIN words w ON l.rest = w.word
+  UNION SELECT w.word, l.word FROM less l JOIN words w ON l.rest = w.word),
+best AS (
+  SELECT a AS word, count(*) AS n_near, first(w.word ORDER BY w.n DESC, w.word) AS form, max(w.n) AS form_n
+  FROM pairs JOIN words w ON pairs.b = w.word GROUP BY a),
+rows AS (
+  SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN form_n >= {v.TIMES} * n THEN form END AS form,
+         CASE WHEN form_n >= {v.TIMES} * n THEN form_n END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+path(word, root) AS (
+  SELECT word, word FROM rows UNION ALL SELECT p.word, r.form FROM path p JOIN rows r ON p.root = r.word WHERE r.form IS NOT NULL)
+SELECT r.word, r.form, p.root, r.n, r.n_near, r.form_n
+FROM rows r JOIN (SELECT p.word, p.root FROM path p JOIN rows e ON p.root = e.word WHERE e.form IS NULL) p USING (word)"""
+
+
 def build() -> dict[str, str]:
     return {
         "op1_line_dedup": line_dedup_sql(),
@@ -178,4 +220,5 @@ def build() -> dict[str, str]:
         "op8_warc": warc_sql(),
         "op9_chat_format": chat_sql(),
         "op10_license_scan": licenses_sql(),
+        "op11_spelling_variants": variants_sql(),
     }
