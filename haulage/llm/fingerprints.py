@@ -54,6 +54,7 @@ ROUNDS = 4
 
 _U64 = np.uint64
 _ODD = _U64(0x9E3779B97F4A7C15)
+_FACTOR = _U64(0xD6E8FEB86659FD93)
 
 
 def _labels(names: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -61,11 +62,12 @@ def _labels(names: np.ndarray, first: np.ndarray) -> np.ndarray:
     Neighbours within a text differ, before and after."""
     label = names
     for _ in range(ROUNDS):
-        left = np.empty_like(label)
-        left[1:], left[:1] = label[:-1], 0
-        differ = np.where(first, _U64(1), label ^ left)
-        differ &= ~differ + _U64(1)  # the lowest bit alone
-        place = np.bitwise_count(differ - _U64(1)).astype(_U64)
+        one = label.dtype.type(1)
+        differ = np.empty_like(label)
+        differ[1:] = label[1:] ^ label[:-1]
+        differ[first] = one
+        differ &= ~differ + one  # the lowest bit alone
+        place = np.bitwise_count(differ - one)  # 8 bits from here on
         label = place + place + (label & differ != 0)
     return label
 
@@ -81,8 +83,8 @@ def next_level(names: np.ndarray, text: np.ndarray, level: int) -> tuple[np.ndar
     run = np.flatnonzero(new)
     times = np.diff(run, append=n).astype(_U64)
     names, text = names[run], text[run]
-    several = times > 1
-    names = np.where(several, mix64(names + times * _ODD), names)
+    several = np.flatnonzero(times > 1)
+    names[several] = mix64(names[several] + times[several] * _ODD)
     first = np.ones(len(names), bool)
     first[1:] = text[1:] != text[:-1]
     label = _labels(names, first)
@@ -92,8 +94,9 @@ def next_level(names: np.ndarray, text: np.ndarray, level: int) -> tuple[np.ndar
     ends[:-1] = first[1:]
     start = np.flatnonzero((higher & ~ends) | first)
     within = np.arange(len(names)) - np.repeat(start, np.diff(start, append=len(names)))
-    total = np.add.reduceat(mix64(names + (within.astype(_U64) + _U64(level)) * _ODD), start)
-    return mix64(total + _U64(level)), text[start], run[start]
+    spread = (names + (within.astype(_U64) + _U64(level)) * _ODD) * _FACTOR
+    spread ^= spread >> _U64(32)
+    return mix64(np.add.reduceat(spread, start) + _U64(level)), text[start], run[start]
 
 
 def margin(level: int) -> int:
@@ -106,12 +109,14 @@ def _sample(names: np.ndarray, text: np.ndarray, texts: int, bins: int) -> np.nd
     """[text, bin]: 1 to 4095, 0 if empty."""
     out = np.zeros(texts * bins, np.uint16)
     if len(names):
-        spread = mix64(names + _ODD)
-        at = text.astype(_U64) * _U64(bins) + (spread >> _U64(65 - bins.bit_length()))
-        order = np.lexsort((spread, at))
-        at, spread = at[order], spread[order]
-        lowest = np.flatnonzero(np.diff(at, prepend=_U64(2**64 - 1)))
-        out[at[lowest].astype(np.int64)] = spread[lowest] % _U64(4095) + _U64(1)
+        spread, bits = (names + _ODD) * _FACTOR, _U64(bins.bit_length() - 1)
+        spread ^= spread >> _U64(29)
+        cell = text.astype(_U64) * _U64(bins) + (spread >> (_U64(64) - bits))
+        cell = cell << _U64(32) | spread << bits >> _U64(32)
+        cell.sort()
+        at = (cell >> _U64(32)).astype(np.int64)
+        lowest = np.flatnonzero(np.diff(at, prepend=-1))
+        out[at[lowest]] = (cell[lowest] & _U64(2**32 - 1)) % _U64(4095) + _U64(1)
     return out.reshape(texts, bins)
 
 

@@ -183,7 +183,7 @@ def variants_sql() -> str:
 WITH RECURSIVE {", ".join(steps)},
 crcs AS (SELECT list(x ORDER BY i) AS t FROM t7),
 runs AS (
-  SELECT doc_id, unnest(regexp_extract_all({_lower("text")}, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+  SELECT doc_id, unnest(regexp_extract_all({_lower("text")}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
 many AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= {v.LEAST_CHARS} GROUP BY ALL),
 hashed AS (
   SELECT run, n, xor(list_reduce(flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda c: {code})),

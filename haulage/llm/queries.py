@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haulage.llm import (chat, decontaminate, fingerprints, language, licenses, line_dedup, minhash, packing, quality,
-                         secrets, variants, warc)
+from haulage.llm import (alignment, chat, decontaminate, fingerprints, language, licenses, line_dedup, minhash, packing,
+                         quality, secrets, variants, warc)
 from haulage.llm.common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -69,6 +69,11 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group(read_table(spark, sf_dir, "documents"))
 
 
+def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"),
+                           tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(read_table(spark, sf_dir, "documents"))
 
@@ -76,4 +81,5 @@ def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_line_dedup, op2_minhash_dedup, op3_quality_rules, op4_language_id, op5_secret_scan, op6_decontaminate,
-        op7_packing, op8_warc, op9_chat_format, op10_license_scan, op11_spelling_variants, op13_fingerprints)}
+        op7_packing, op8_warc, op9_chat_format, op10_license_scan, op11_spelling_variants,
+        op12_cross_tokenizer, op13_fingerprints)}

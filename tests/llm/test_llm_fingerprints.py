@@ -34,8 +34,8 @@ def phrases(text, level):
         start = [i for i in range(len(items)) if i == 0 or (i + 1 < len(items) and label[i] > label[i - 1] and label[i] > label[i + 1])]
         names = []
         for s, e in zip(start, [*start[1:], len(items)]):
-            total = wrap(sum(one(wrap(items[i][0] + (i - s + k) * int(fp._ODD))) for i in range(s, e)))
-            names.append((one(wrap(total + k)), items[s][1], items[e - 1][2]))
+            spread = [wrap((items[i][0] + (i - s + k) * int(fp._ODD)) * int(fp._FACTOR)) for i in range(s, e)]
+            names.append((one(wrap(sum(x ^ x >> 32 for x in spread) + k)), items[s][1], items[e - 1][2]))
             assert e - s <= 13
     return names
 
