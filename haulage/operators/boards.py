@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulage.functions import text
-from haulage.operators.joins import join_few_valued, left_join
+from haulage.operators.joins import join_few_valued, left_join, narrow
 from haulage.schemas import ROLE_DRIVER
 from haulage.sources.tables import Tables
 
@@ -209,7 +209,7 @@ def sign_in_check(attempts: DataFrame, users: DataFrame, user_roles: DataFrame)
     given = attempts.select("attempt", text.unicode_trim(F.coalesce("login", F.lit(""))).alias("login"),
                             F.coalesce("password", F.lit("")).alias("password"))
     empty = (F.col("login") == "") | (F.col("password") == "")
-    known = (users.where("login is not null and password is not null")
+    known = (narrow(users, given.where(~empty), ["login", "password"])
              .groupBy("login", "password").agg(F.min("id_user").alias("id_user")))
     with_role = user_roles.select("id_user").distinct().withColumn("has_role", F.lit(True))
     found = given.join(known, ["login", "password"], "left").withColumn("id_user", F.when(~empty, F.col("id_user")))

@@ -151,6 +151,10 @@ def bonus_rejects(changes: DataFrame) -> DataFrame:
 
 # --- #60 assign drivers -----------------------------------------------------
 
+_OFFER = "struct<no_seq: boolean, seq: bigint, payment: decimal(18,2)>"
+_TRIP = "struct<known: boolean, id_route: bigint>"
+
+
 class Assigned:
     """The outputs of ``assign_drivers``, each built when it is asked for."""
 
@@ -160,24 +164,32 @@ class Assigned:
     @cached_property
     def _flagged(self) -> DataFrame:
         """Every offered pair once, with its reason to be refused (but for
-        the crew limit) and its trip's crew so far; written once for all
-        uses. The tables are cut to the batch's keys first."""
-        t = self._t
-        b = (self._batch.groupBy(*PAIR)
-             .agg(F.min(F.struct(F.col("seq").isNull().alias("_no_seq"), "seq", "payment")).alias("_b"))
-             .select(*PAIR, "_b.payment", "_b.seq"))
-        taken = narrow(t.assignments.select(*PAIR), b, PAIR).distinct().withColumn("_dup", F.lit(True))
-        crew = narrow(t.assignments.select("id_transportation"), b, "id_transportation").groupBy(
-            "id_transportation").agg(F.count("*").alias("crew"))
-        trips = (narrow(t.transportations.select("id_transportation"), b, "id_transportation")
-                 .join(crew, "id_transportation", "left").withColumn("_trip", F.lit(True)))
-        drivers = narrow(t.drivers.select("id_driver"), b, "id_driver").withColumn("_drv", F.lit(True))
-        flagged = (b.join(taken, PAIR, "left").join(drivers, "id_driver", "left").join(trips, "id_transportation", "left")
-                   .withColumn("reason", F.when(F.col("_dup").isNotNull(), "duplicate")
-                               .when(F.col("_drv").isNull(), "unknown_driver")
-                               .when(F.col("_trip").isNull(), "unknown_trip")))
-        return materialize(flagged.select(*PAIR, "payment", "seq", F.coalesce("crew", F.lit(0)).alias("crew"), "reason"),
-                           "assign")
+        the crew limit), its trip's crew so far, and what its price depends on;
+        written once for all uses. The batch is written before that, as it is
+        read three times."""
+        t, batch = self._t, materialize(self._batch.select(*PAIR, "payment", "seq"), "assign-batch")
+        trip_keys = batch.select("id_transportation").distinct()
+
+        def tagged(rows: DataFrame, offer=F.lit(None), taken: bool = False, trip=F.lit(None)) -> DataFrame:
+            """Rows of one shape; a trip's own row has no driver, is in no crew."""
+            return rows.select(*PAIR, offer.cast(_OFFER).alias("offer"), F.lit(taken).alias("taken"),
+                               trip.cast(_TRIP).alias("trip"))
+
+        trips = t.transportations.select(F.lit(None).cast("bigint").alias("id_driver"), "id_transportation", "id_route")
+        known = tagged(t.assignments.select(*PAIR), taken=True).unionByName(
+            tagged(trips, trip=F.struct(F.lit(True), "id_route"))).join(trip_keys, "id_transportation", "left_semi")
+        offered = tagged(batch, offer=F.struct(F.col("seq").isNull(), "seq", "payment"))
+        pairs = offered.unionByName(known).groupBy(*PAIR).agg(
+            F.min("offer").alias("offer"), F.count_if("taken").alias("crew"), F.max("trip").alias("trip"))
+        pairs = materialize(pairs, "assign-pairs")
+        of_trip = pairs.groupBy("id_transportation").agg(F.sum("crew").alias("crew"), F.max("trip").alias("trip"))
+        drivers = narrow(t.drivers.select("id_driver", "experience"), batch, "id_driver").withColumn("_drv", F.lit(True))
+        flagged = (pairs.where("offer is not null").select(*PAIR, "offer.payment", "offer.seq", (F.col("crew") > 0).alias("_dup"))
+                   .join(of_trip, "id_transportation", "left").join(drivers, "id_driver", "left"))
+        reason = (F.when(F.col("_dup"), "duplicate").when(F.col("_drv").isNull(), "unknown_driver")
+                  .when(F.col("trip.known").isNull(), "unknown_trip"))
+        return materialize(flagged.select(*PAIR, "payment", "seq", F.coalesce("crew", F.lit(0)).alias("crew"),
+                                          reason.alias("reason"), "trip.id_route", "experience"), "assign")
 
     @cached_property
     def _accepted(self) -> DataFrame:
@@ -188,10 +200,13 @@ class Assigned:
     @cached_property
     def assignments(self) -> DataFrame:
         existing = self._t.assignments
-        new_rows = self._accepted.select(*PAIR, "payment", F.lit(None).cast("decimal(18,2)").alias("bonus_amount"),
-                                         F.lit(None).cast("string").alias("bonus_reason"), F.col("seq").cast("int"))
-        return existing.unionByName(pay.price_assignments(
-            self._t.with_(assignments=new_rows.select(*existing.columns)), self._bands, split=False, narrow_tables=True))
+        routes = narrow(self._t.routes.select("id_route", "base_payment"), self._flagged, "id_route")
+        priced = left_join(self._accepted, routes, "id_route", "id_transportation")
+        computed = pay.computed_pay(F.col("base_payment"), F.col("experience"), self._bands)
+        payment = F.when(pay.needs_pricing(F.col("payment")), computed).otherwise(F.col("payment"))
+        new_rows = priced.select(*PAIR, payment.alias("payment"), F.lit(None).cast("decimal(18,2)").alias("bonus_amount"),
+                                 F.lit(None).cast("string").alias("bonus_reason"), F.col("seq").cast("int"))
+        return existing.unionByName(new_rows.select(*existing.columns))
 
     @cached_property
     def rejected(self) -> DataFrame:
@@ -213,13 +228,13 @@ def assign_drivers(t: Tables, batch: DataFrame, limit: int = pay.DEFAULT_CREW_LI
     existing crew ('crew_limit', earliest ``seq`` first). Accepted rows are
     priced (#34).
 
-    The existence checks are left joins that attach flags, computed once for
-    both outputs. The crew limit ranks the valid new rows of a trip with
-    ``row_number() <= limit`` (a partial WindowGroupLimit caps a hot trip
-    before the shuffle). Every table is first cut to the batch's keys by a
-    semi join (``operators/joins.py``): for a small batch Spark broadcasts the
-    key set, so the large tables are scanned but not shuffled, and only the
-    touched trips' crews are counted.
+    The batch, the crews of its trips and the trips themselves are one tagged
+    union, cut to the batch's trips by one semi join: one aggregate over (driver,
+    trip) finds repeated offers and pairs that exist, a second over trips their
+    crews. The crew limit ranks the valid new rows of a trip with
+    ``row_number() <= limit`` (a partial WindowGroupLimit caps a hot trip before
+    the shuffle). For a small batch Spark broadcasts the key sets, so the
+    large tables are scanned but not shuffled.
     """
     return Assigned(t, batch, limit, bands)
 
@@ -227,44 +242,58 @@ def assign_drivers(t: Tables, batch: DataFrame, limit: int = pay.DEFAULT_CREW_LI
 # --- #61 register users, #62 replace roles ----------------------------------
 
 class Registered:
-    """The outputs of ``register_users``, each built when it is asked for."""
+    """The outputs of ``register_users``, each built when it is asked for.
+    All read one staged table of verdicts; no password is written to it."""
 
     def __init__(self, t: Tables, batch: DataFrame):
         self._t = t
         self._batch = trimmed(batch, "login", "last_name", "first_name", "middle_name")
 
+    @cached_property
+    def _verdicts(self) -> DataFrame:
+        """reg_seq, rules (that it breaks), roles (ids) and is_driver."""
+        form = quality.broken(quality.registration_rules(ROLE_DRIVER))
+        named = self._batch.select("reg_seq", form.alias("form"), F.array_contains("roles", ROLE_DRIVER).alias("is_driver"),
+                                   F.explode_outer(F.transform("roles", lambda x: F.struct(x.alias("name")))).alias("role"))
+        asked = named.where("role is not null").select("reg_seq", F.col("role.name").alias("role_name"))
+        found = join_few_valued(asked, self._t.roles, "role_name").select("reg_seq", "role_name", "id_role")
+        rows = named.select("reg_seq", "form", "is_driver", F.col("role.name").alias("asked"), F.col("role").isNotNull().alias("asks"),
+                            F.lit(None).cast("string").alias("role_name"), F.lit(None).cast("bigint").alias("id_role")).unionByName(
+            found.select("reg_seq", F.lit(None).cast("array<string>").alias("form"), F.lit(None).cast("boolean").alias("is_driver"),
+                         F.lit(None).cast("string").alias("asked"), F.lit(False).alias("asks"), "role_name", "id_role"))
+        names = F.collect_set(F.when(F.col("asks"), F.coalesce("asked", F.lit(""))))
+        each = rows.groupBy("reg_seq").agg(
+            F.max("form").alias("form"), F.max("is_driver").alias("is_driver"), names.alias("asked"),
+            F.collect_set("role_name").alias("known"), F.collect_set("id_role").alias("roles"))
+        unknown = F.transform(F.array_except("asked", "known"), lambda x: F.concat(F.lit("unknown_role:"), x))
+        return materialize(each.select("reg_seq", F.concat("form", unknown).alias("rules"), "roles",
+                                       F.coalesce("is_driver", F.lit(False)).alias("is_driver")), "registrations")
+
     @cached_property
     def rejected(self) -> DataFrame:
-        regs = self._batch.withColumnRenamed("reg_seq", "id_user")  # the key the rules report
-        broken = quality.validate_registrations(regs).select(F.col("id_user").alias("reg_seq"), "rule")
-        requests = self._batch.select(F.col("reg_seq").alias("id_user"), F.explode("roles").alias("role_name"))
-        _, unknown = resolve_role_names(requests, self._t.roles)
-        return broken.unionByName(unknown.select(
-            F.col("id_user").alias("reg_seq"), F.concat(F.lit("unknown_role:"), F.col("role_name")).alias("rule")))
+        return self._verdicts.select("reg_seq", F.explode("rules").alias("rule"))
 
     @cached_property
-    def _new(self) -> DataFrame:
-        """The accepted registrations with their user ids. Only the sequence
-        numbers are written to allocate ids: no password is."""
-        ok = self._batch.join(self.rejected.select("reg_seq").distinct(), "reg_seq", "left_anti")
-        ids = allocate_ids(ok.select("reg_seq"), "id_user", ["reg_seq"], max_id(self._t.users, "id_user"))
-        return ok.join(ids, "reg_seq")
+    def _ids(self) -> DataFrame:
+        """reg_seq and id_user of the accepted registrations, their roles and
+        whether they are drivers."""
+        ok = self._verdicts.where(F.size("rules") == 0).drop("rules")
+        return allocate_ids(ok, "id_user", ["reg_seq"], max_id(self._t.users, "id_user"))
 
     @cached_property
     def users(self) -> DataFrame:
-        return self._t.users.unionByName(self._new.select(*self._t.users.columns))
+        new = self._batch.join(self._ids.select("reg_seq", "id_user"), "reg_seq")
+        return self._t.users.unionByName(new.select(*self._t.users.columns))
 
     @cached_property
     def user_roles(self) -> DataFrame:
-        named = self._new.select("id_user", F.explode("roles").alias("role_name"))
-        links = join_few_valued(named, self._t.roles, "role_name").select("id_user", "id_role").distinct()
-        return self._t.user_roles.unionByName(links)
+        return self._t.user_roles.unionByName(self._ids.select("id_user", F.explode("roles").alias("id_role")))
 
     @cached_property
     def drivers(self) -> DataFrame:
-        rows = self._new.where(F.array_contains("roles", ROLE_DRIVER))
-        ids = allocate_ids(rows.select("reg_seq"), "id_driver", ["reg_seq"], max_id(self._t.drivers, "id_driver"))
-        return self._t.drivers.unionByName(rows.join(ids, "reg_seq").select(
+        rows = self._ids.where("is_driver").select("reg_seq", "id_user")
+        ids = allocate_ids(rows, "id_driver", ["reg_seq"], max_id(self._t.drivers, "id_driver"))
+        return self._t.drivers.unionByName(self._batch.join(ids, "reg_seq").select(
             "id_driver", "id_user", "last_name", "first_name", "middle_name",
             F.coalesce("experience", F.lit(0)).cast("int").alias("experience")))
 

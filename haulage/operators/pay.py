@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from haulage.operators.joins import left_join, narrow
+from haulage.operators.ordered import running
 from haulage.schemas import MONEY
 from haulage.sources.tables import Tables
 
@@ -53,19 +54,50 @@ def band_table(spark: SparkSession, bands=DEFAULT_BANDS) -> DataFrame:
             .withColumn("multiplier", F.col("multiplier").cast(MULTIPLIER)))
 
 
-def band_join(df: DataFrame, bands: DataFrame, experience: str = "experience") -> DataFrame:
-    """Range join of rows to their pay band (#24): lo <= experience < hi.
+_LOWEST, _HIGHEST = -(1 << 63), (1 << 63) - 1
+
+
+def _band_ends(bands: DataFrame) -> DataFrame:
+    """The bands that hold a value, their open ends as the least and the
+    largest number; the same band twice is one."""
+    return bands.select(F.coalesce(F.col("lo").cast("bigint"), F.lit(_LOWEST)).alias("_lo"),
+                        F.coalesce(F.col("hi").cast("bigint"), F.lit(_HIGHEST)).alias("_hi"),
+                        "lo", "hi", "multiplier").where("_lo < _hi").distinct()
+
+
+def _judged_bands(bands: DataFrame) -> DataFrame:
+    """Bands by lo, then hi and multiplier, with ``overlaps``: it begins
+    before a band that comes earlier has ended."""
+    b = _band_ends(bands)
+    b = running(b, ["_lo", "_hi", "multiplier"], F.col("_hi"), "_upto", "max", before=True)
+    return b.withColumn("overlaps", F.coalesce(F.col("_lo") < F.col("_upto"), F.lit(False)))
 
-    The range join runs between the bands and the distinct experience
-    values only; the rows then meet their value's multiplier in an equi join
-    that preserves them. Both tables may have any size. A row outside every
-    band is kept with a NULL multiplier.
+
+def band_rejects(bands: DataFrame) -> DataFrame:
+    """(lo, hi, multiplier) of the bands that overlap one before them;
+    ``band_join`` leaves them out."""
+    return _judged_bands(bands).where("overlaps").select("lo", "hi", "multiplier")
+
+
+def band_join(df: DataFrame, bands: DataFrame, experience: str = "experience") -> DataFrame:
+    """Rows and their pay band (#24): lo <= experience < hi, as an as-of merge.
+
+    Bands and the distinct experience values are one sequence ordered by lo
+    and value; the last band before a value is its band, unless it has ended.
+    The rows then meet their value's multiplier in an equi join that preserves
+    them. Both tables may have any size: the sequence is range-partitioned. A
+    row outside every band is kept with a NULL multiplier; so is a row of a
+    band that is refused because it overlaps one before it (``band_rejects``).
     """
-    values = df.select(F.col(experience).alias("_value")).where("_value is not null").distinct()
-    b = bands.select("lo", "hi", "multiplier")
-    inside = ((b.lo.isNull() | (F.col("_value") >= b.lo)) & (b.hi.isNull() | (F.col("_value") < b.hi)))
-    found = values.join(b, inside).select("_value", "multiplier")
-    return df.join(found, F.col(experience) == F.col("_value"), "left").drop("_value")
+    at = F.col(experience).cast("bigint").alias("at")
+    values = df.select(at, F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("end"),
+                       F.lit(None).cast(bands.schema["multiplier"].dataType).alias("multiplier")).where("at is not null").distinct()
+    good = _judged_bands(bands).where("not overlaps").select(
+        F.col("_lo").alias("at"), F.lit(0).alias("kind"), F.col("_hi").alias("end"), "multiplier")
+    band = F.when(F.col("kind") == 0, F.struct("end", "multiplier"))
+    merged = running(values.unionByName(good), ["at", "kind"], band, "band").where("kind = 1")
+    found = merged.where(F.col("at") < F.col("band.end")).select(F.col("at").alias("_value"), F.col("band.multiplier").alias("multiplier"))
+    return df.join(found, F.col(experience).cast("bigint") == F.col("_value"), "left").drop("_value")
 
 
 def pay_bands_by_driver(t: Tables, bands=DEFAULT_BANDS) -> DataFrame:

@@ -132,53 +132,58 @@ def validate_bonuses(awards: DataFrame) -> DataFrame:
     return failures(awards, ["id_driver", "id_transportation"], bonus_rules())
 
 
-def validate_registrations(regs: DataFrame, driver_role: str = "Водитель") -> DataFrame:
-    """Login and password present; password policy; at least one role; a
-    driver needs last and first name. All broken rules are listed; the
-    policy contributes its first failing rule as ``password_<outcome>``."""
+def registration_rules(driver_role: str = "Водитель") -> list:
     outcome = password_outcome("password")
     has_pw = F.coalesce(F.col("password") != "", F.lit(False))
     is_driver = F.coalesce(F.array_contains(F.col("roles"), driver_role), F.lit(False))
-    return failures(regs, ["id_user"], [
+    return [
         ("login_empty", blank("login")),
         ("password_empty", ~has_pw),
         F.when(has_pw & (outcome != "ok"), F.concat(F.lit("password_"), outcome)),
         ("no_role", F.coalesce(F.size("roles"), F.lit(0)) <= 0),
         ("driver_last_name_empty", is_driver & blank("last_name")),
         ("driver_first_name_empty", is_driver & blank("first_name")),
-    ])
+    ]
+
+
+def validate_registrations(regs: DataFrame, driver_role: str = "Водитель") -> DataFrame:
+    """Login and password present; password policy; at least one role; a
+    driver needs last and first name. All broken rules are listed; the
+    policy contributes its first failing rule as ``password_<outcome>``."""
+    return failures(regs, ["id_user"], registration_rules(driver_role))
 
 
 # --- #49 orphans, #50 duplicate keys ----------------------------------------
 
-def _orphans(child: DataFrame, parent: DataFrame, fk: str, child_key: Column,
-             col: str, parent_col: str) -> DataFrame:
+def _children(child: DataFrame, fk: str, row_key: Column, col: str) -> DataFrame:
+    """(fk, row_key, missing_id) of the rows that point somewhere."""
+    return child.where(F.col(col).isNotNull()).select(
+        F.lit(fk).alias("fk"), row_key.cast("string").alias("row_key"), F.col(col).cast("bigint").alias("missing_id"))
+
+
+def _orphans(children: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     # An anti join needs no distinct right side: one shuffle per side.
-    p = parent.select(F.col(parent_col).alias(col))
-    return (child.where(F.col(col).isNotNull())
-            .join(p, col, "left_anti")
-            .select(F.lit(fk).alias("fk"), child_key.cast("string").alias("row_key"),
-                    F.col(col).cast("bigint").alias("missing_id")))
+    return children.join(parent.select(F.col(key).cast("bigint").alias("missing_id")), "missing_id", "left_anti")
 
 
 def fk_orphans(t: Tables) -> DataFrame:
-    """Rows whose implied foreign key points at no row, tagged by key."""
+    """Rows whose implied foreign key points at no row, tagged by key. The
+    children of one parent are one table, so that it is shuffled once; the two
+    parents of an assignment are looked up from one reading of it."""
     pair = F.concat_ws("/", F.col("id_driver").cast("string"), F.col("id_transportation").cast("string"))
+    link = F.concat_ws("/", F.col("id_user").cast("string"), F.col("id_role").cast("string"))
+    users = _children(t.user_roles, "user_roles.id_user", link, "id_user").unionByName(
+        _children(t.drivers, "drivers.id_user", F.col("id_driver"), "id_user"))
     parts = [
-        _orphans(t.user_roles, t.users, "user_roles.id_user",
-                 F.concat_ws("/", F.col("id_user").cast("string"), F.col("id_role").cast("string")),
-                 "id_user", "id_user"),
-        _orphans(t.user_roles, t.roles, "user_roles.id_role",
-                 F.concat_ws("/", F.col("id_user").cast("string"), F.col("id_role").cast("string")),
-                 "id_role", "id_role"),
-        _orphans(t.drivers, t.users, "drivers.id_user", F.col("id_driver"), "id_user", "id_user"),
-        _orphans(t.transportations, t.routes, "transportations.id_route", F.col("id_transportation"),
-                 "id_route", "id_route"),
-        _orphans(t.assignments, t.drivers, "assignments.id_driver", pair, "id_driver", "id_driver"),
-        _orphans(t.assignments, t.transportations, "assignments.id_transportation", pair,
-                 "id_transportation", "id_transportation"),
+        _orphans(users, t.users, "id_user"),
+        _orphans(_children(t.user_roles, "user_roles.id_role", link, "id_role"), t.roles, "id_role"),
+        _orphans(_children(t.transportations, "transportations.id_route", F.col("id_transportation"), "id_route"),
+                 t.routes, "id_route"),
+        _orphans(_children(t.assignments, "assignments.id_driver", pair, "id_driver"), t.drivers, "id_driver"),
+        _orphans(_children(t.assignments, "assignments.id_transportation", pair, "id_transportation"),
+                 t.transportations, "id_transportation"),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [p.select("fk", "row_key", "missing_id") for p in parts])
 
 
 def duplicate_keys(df: DataFrame, table: str, keys: list[str]) -> DataFrame:

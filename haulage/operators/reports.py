@@ -53,6 +53,10 @@ SUMMARY_CAPTIONS = {
 }
 
 
+SALARY_SUMS = ("completed_trips", "trips_in_progress", "total_payment", "total_bonuses", "total_earned")
+SUMMARY_SUMS = ("total_drivers_payment", "total_drivers_bonuses", "total_transportation_cost")
+
+
 def with_trip_status(assignments: DataFrame, transportations: DataFrame) -> DataFrame:
     """Assignments with ``under_way``: their trip's arrival is NULL; NULL
     when the trip does not exist."""
@@ -85,17 +89,21 @@ def salary_statement(t: Tables) -> DataFrame:
 
 def salary_rows(drivers: DataFrame, totals: DataFrame) -> DataFrame:
     """Join per-driver totals to the drivers and shape the report row."""
+    return with_salary(drivers.select("id_driver", full_name().alias("driver_full_name"),
+                                      F.col("experience").alias("experience_years")), totals)
+
+
+def with_salary(rows: DataFrame, totals: DataFrame) -> DataFrame:
+    """Rows of the salary statement with the counts and sums of ``totals``."""
     pay = F.coalesce("pay", _zero())
     bonus = F.coalesce("bonus", _zero())
-    return (drivers.select("id_driver", full_name().alias("driver_full_name"),
-                           F.col("experience").alias("experience_years"))
-            .join(totals, "id_driver", "left")
-            .select("id_driver", "driver_full_name", "experience_years",
-                    F.coalesce("completed_trips", F.lit(0)).cast("bigint").alias("completed_trips"),
-                    F.coalesce("trips_in_progress", F.lit(0)).cast("bigint").alias("trips_in_progress"),
-                    pay.cast("double").alias("total_payment"),
-                    bonus.cast("double").alias("total_bonuses"),
-                    (pay + bonus).cast("double").alias("total_earned")))
+    return rows.drop(*SALARY_SUMS).join(totals, "id_driver", "left").select(
+        *[c for c in rows.columns if c not in SALARY_SUMS],
+        F.coalesce("completed_trips", F.lit(0)).cast("bigint").alias("completed_trips"),
+        F.coalesce("trips_in_progress", F.lit(0)).cast("bigint").alias("trips_in_progress"),
+        pay.cast("double").alias("total_payment"),
+        bonus.cast("double").alias("total_bonuses"),
+        (pay + bonus).cast("double").alias("total_earned"))
 
 
 def crew_totals(assignments: DataFrame, drivers: DataFrame) -> DataFrame:
@@ -117,6 +125,12 @@ def crew_totals(assignments: DataFrame, drivers: DataFrame) -> DataFrame:
                  F.sum(F.coalesce("bonus_amount", _zero())).alias("bonus")))
 
 
+def totals_by_trip(rows: DataFrame) -> DataFrame:
+    """Per trip: pay and bonus sums."""
+    return rows.groupBy("id_transportation").agg(F.sum(F.coalesce("payment", _zero())).alias("pay"),
+                                                 F.sum(F.coalesce("bonus_amount", _zero())).alias("bonus"))
+
+
 def transportation_summary(t: Tables) -> DataFrame:
     """One row per trip."""
     return summary_rows(t.transportations, t.routes, crew_totals(t.assignments, t.drivers))
@@ -124,18 +138,24 @@ def transportation_summary(t: Tables) -> DataFrame:
 
 def summary_rows(transportations: DataFrame, routes: DataFrame, crew: DataFrame) -> DataFrame:
     """Join trips, routes and per-trip totals and shape the report row."""
+    route = routes.select("id_route", "route_name", "distance")
+    rows = left_join(transportations, route, "id_route", "id_transportation").select(
+        "id_transportation", "route_name", F.col("distance").cast("double").alias("distance_km"),
+        "departure_date", "arrival_date")
+    return with_costs(rows, crew)
+
+
+def with_costs(rows: DataFrame, totals: DataFrame) -> DataFrame:
+    """Rows of the trip summary with the sums of ``totals`` (and its other
+    columns)."""
     pay = F.coalesce("pay", _zero())
     bonus = F.coalesce("bonus", _zero())
-    route = routes.select("id_route", "route_name", "distance")
-    return (left_join(transportations, route, "id_route", "id_transportation")
-            .join(crew, "id_transportation", "left")
-            .select("id_transportation", "route_name",
-                    F.col("distance").cast("double").alias("distance_km"),
-                    "departure_date", "arrival_date",
-                    "drivers",
-                    pay.cast("double").alias("total_drivers_payment"),
-                    bonus.cast("double").alias("total_drivers_bonuses"),
-                    (pay + bonus).cast("double").alias("total_transportation_cost")))
+    more = [c for c in totals.columns if c not in ("id_transportation", "pay", "bonus")]
+    return rows.drop(*SUMMARY_SUMS).join(totals, "id_transportation", "left").select(
+        *[c for c in rows.columns if c not in SUMMARY_SUMS], *more,
+        pay.cast("double").alias("total_drivers_payment"),
+        bonus.cast("double").alias("total_drivers_bonuses"),
+        (pay + bonus).cast("double").alias("total_transportation_cost"))
 
 
 def captioned(df: DataFrame, captions: dict[str, str]) -> DataFrame:

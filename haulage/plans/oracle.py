@@ -325,6 +325,17 @@ def pay() -> dict[str, str]:
         SELECT d.id_driver, d.experience, CAST(1 + b.i / 1000.0 AS DECIMAL(6,2)) AS multiplier
         FROM drivers d LEFT JOIN (SELECT range AS i FROM range(5000)) b
           ON d.experience >= b.i - 2500 AND d.experience < b.i - 2499""")
+    overlapping = [("bands", """
+        SELECT i - 2500 AS lo, CASE WHEN (i - 2500) % 1000 = 999 THEN NULL WHEN (i - 2500) % 100 = 0 THEN i - 2490 ELSE i - 2499 END AS hi,
+               CAST(1 + i / 1000.0 AS DECIMAL(6,2)) AS multiplier FROM (SELECT range AS i FROM range(5000))
+        UNION SELECT i - 2500, i - 2499, CAST(1 + i / 1000.0 AS DECIMAL(6,2)) FROM (SELECT range AS i FROM range(5000))
+        WHERE (i - 2500) % 50 = 7"""),
+        ("judged", """SELECT *, coalesce(lo < max(coalesce(hi, 1000000000)) OVER (ORDER BY lo, coalesce(hi, 1000000000), multiplier
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS late FROM bands""")]
+    q["pay_bands_rejected"] = with_tables("SELECT lo, hi, multiplier FROM judged WHERE late", overlapping)
+    q["pay_bands_merged"] = with_tables("""
+        SELECT d.id_driver, d.experience, b.multiplier FROM drivers d LEFT JOIN (SELECT * FROM judged WHERE NOT late) b
+          ON d.experience >= b.lo AND (b.hi IS NULL OR d.experience < b.hi)""", overlapping)
     q["crew_limit_accept"] = with_tables(f"SELECT {cols} FROM ({CREW_RANK}) x WHERE rn <= 2")
     q["crew_limit_reject"] = with_tables(f"SELECT {cols} FROM ({CREW_RANK}) x WHERE rn > 2")
     q["crew_limit_overflow"] = with_tables("""
@@ -589,6 +600,22 @@ REGISTER = {
 }
 
 
+#: The seven tables' columns in order.
+SNAPSHOT = {
+    "roles": "id_role role_name", "users": "id_user login password", "user_roles": "id_user id_role",
+    "drivers": "id_driver id_user last_name first_name middle_name experience",
+    "routes": "id_route route_name distance base_payment",
+    "transportations": "id_transportation id_route departure_date arrival_date",
+    "assignments": "id_driver id_transportation payment bonus_amount bonus_reason seq",
+}
+
+
+def _row_text(columns: str) -> str:
+    kinds = {"distance": "DECIMAL(18,2)::VARCHAR", "base_payment": "DECIMAL(18,2)::VARCHAR",
+             "payment": "DECIMAL(18,2)::VARCHAR", "bonus_amount": "DECIMAL(18,2)::VARCHAR"}
+    return "concat_ws('|', " + ", ".join(f"coalesce({c}::{kinds.get(c, 'VARCHAR')}, '\\N')" for c in columns.split()) + ")"
+
+
 def changes() -> dict[str, str]:
     q: dict[str, str] = {}
     q["upsert_drivers"] = with_tables(_upsert(
@@ -608,7 +635,11 @@ def changes() -> dict[str, str]:
     q["upsert_routes"] = with_tables(_upsert(
         "routes", "rch", "id_route", ["route_name", "distance", "base_payment"]),
         derived("route_changes") + [("rch", _good("route_changes", ROUTE_RULES))])
-    q["snapshot_sink"] = q["upsert_routes"]
+    q["snapshot_sink"] = with_tables("\nUNION ALL\n".join(
+        f"SELECT '{name}' AS table_name, count(*) AS n_rows, coalesce(sum(('0x' || substr(md5({_row_text(cols)}), 1, 8))::BIGINT), 0)::BIGINT "
+        f"AS hash_sum FROM {'new_routes' if name == 'routes' else name}" for name, cols in SNAPSHOT.items()),
+        derived("route_changes") + [("rch", _good("route_changes", ROUTE_RULES)), ("new_routes", _upsert(
+            "routes", "rch", "id_route", ["route_name", "distance", "base_payment"]))])
     q["upsert_transportations"] = with_tables(_upsert(
         "transportations", "tch", "id_transportation", ["id_route", "departure_date", "arrival_date"]),
         derived("trip_changes") + [("tch", """

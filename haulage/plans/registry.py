@@ -15,7 +15,7 @@ from haulage.operators import boards, changes, lookups, pay, quality, reports
 from haulage.sources import derived
 from haulage.streaming import ingest
 from haulage.session import scratch_path
-from haulage.sources.tables import Tables, write_snapshot
+from haulage.sources.tables import Tables, read_snapshot, table_sums, write_snapshot
 from haulage.sources.testdata import load_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,13 +23,12 @@ Loader = Callable[[SparkSession, str], Tables]
 
 
 def _snapshot_roundtrip(t: Tables) -> DataFrame:
-    """#6: upsert routes, write the new snapshot (new folder on shared
-    storage), read it back with the fixed schemas."""
+    """#6: upsert routes, publish all seven tables as a new snapshot (new
+    folder on shared storage), and read it back: rows and hash sum of each."""
     spark = t.routes.sparkSession
     path = scratch_path(spark, "snapshot")
     new = t.with_(routes=changes.upsert_routes(t.routes, derived.route_changes(t)))
-    write_snapshot(new, path, only=("routes",))
-    return spark.read.schema(new.routes.schema).parquet(f"{path}/routes")
+    return table_sums(read_snapshot(spark, write_snapshot(new, path), verify=True))
 
 
 def build(loader: Loader = load_tables) -> dict[str, Query]:
@@ -73,6 +72,9 @@ def build(loader: Loader = load_tables) -> dict[str, Query]:
     q["pay_bands_by_driver"] = _on_tables(pay.pay_bands_by_driver)
     q["pay_bands_many"] = _on_tables(lambda t: pay.band_join(
         t.drivers.select("id_driver", "experience"), derived.many_bands(t)))
+    q["pay_bands_rejected"] = _on_tables(lambda t: pay.band_rejects(derived.overlapping_bands(t)))
+    q["pay_bands_merged"] = _on_tables(lambda t: pay.band_join(
+        t.drivers.select("id_driver", "experience"), derived.overlapping_bands(t)))
     q["crew_limit_accept"] = _on_tables(lambda t: pay.crew_limit_accept(t.assignments))
     q["crew_limit_reject"] = _on_tables(lambda t: pay.crew_limit_reject(t.assignments))
     q["crew_limit_overflow"] = _on_tables(lambda t: pay.crew_limit_overflow(t.assignments))

@@ -66,13 +66,29 @@ _scratch: set[str] = set()
 def release_scratch(spark: SparkSession) -> None:
     """Delete the scratch folders that this process has written. Call it when
     the results that read them have been published."""
+    while _scratch:
+        remove(_scratch.pop())
+
+
+def _inside(path: str):
+    """Arrow's file system of a path, and the path in it."""
     from pyarrow import fs
 
-    while _scratch:
-        path = _scratch.pop()
-        system, inner = fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
-        if system.get_file_info(inner).type != fs.FileType.NotFound:
-            system.delete_dir(inner)
+    return fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
+
+
+def exists(path: str) -> bool:
+    from pyarrow import fs
+
+    system, inner = _inside(path)
+    return system.get_file_info(inner).type != fs.FileType.NotFound
+
+
+def remove(path: str) -> None:
+    """Delete a folder, if it is there."""
+    if exists(path):
+        system, inner = _inside(path)
+        system.delete_dir(inner)
 
 
 def scratch_path(spark: SparkSession, purpose: str) -> str:

@@ -119,6 +119,14 @@ def many_bands(t: Tables, n: int = 5_000) -> DataFrame:
         (F.lit(1) + i.cast("decimal(6,0)") / 1000).cast("decimal(6,2)").alias("multiplier"))
 
 
+def overlapping_bands(t: Tables) -> DataFrame:
+    """``many_bands``, some reaching further than the next one's beginning
+    (every 100th ten years, every 1000th to the end), some twice."""
+    b, lo = many_bands(t), F.col("lo")
+    hi = F.when(lo % 1000 == 999, F.lit(None)).when(lo % 100 == 0, lo + 10).otherwise(F.col("hi")).cast("int")
+    return b.withColumn("hi", hi).unionByName(b.where(lo % 50 == 7))
+
+
 def without_some_crews(t: Tables) -> Tables:
     """Drivers with id % 50 = 0 have no assignments any more, so that some of
     the drivers asked to be deleted can be."""
@@ -255,8 +263,8 @@ def bonus_changes(t: Tables) -> DataFrame:
 
 
 def report_changes(t: Tables) -> list[DataFrame]:
-    """Two deliveries of the report feed: bonus changes and trip arrivals of
-    odd trips, then of even ones."""
+    """Two deliveries of the report feed, bonus changes and trip arrivals:
+    trips whose id // 10 is odd, then the others."""
     k = F.col("id_transportation")
     none = lambda kind: F.lit(None).cast(kind)
     bonus = bonus_changes(t).select("id_driver", k, "bonus_amount", "bonus_reason",

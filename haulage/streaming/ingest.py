@@ -2,21 +2,18 @@
 polled report refresh (SURVEY #51-53).
 
 All three read a file stream (parquet, fixed schema) and keep their
-checkpoints and sinks under the session's shared checkpoint folder, so a
-restarted query (or a lost executor) resumes from its offsets. Each works in
-``foreachBatch`` with the batch operators, so AQE plans a micro-batch like any
-other job, and every micro-batch overwrites only its own folder, so a
-replayed one changes nothing:
-
-- ``price_stream`` (#51) prices a micro-batch, the tables cut to its keys.
-  Each micro-batch scans those tables: use large triggers.
-- ``crew_limit_stream`` (#52) counts the crew that a micro-batch's trips have
-  already, stored and accepted so far, and ranks the new rows after it;
-  refused rows go to a sink of their own. A hot trip is capped before the
-  shuffle (WindowGroupLimit), and no group is gathered in Python.
-- ``refresh_reports_stream`` (#53) logs changes of bonuses and of trips, and
-  recomputes both reports' rows for the drivers and trips they touch, reading
-  only those rows' buckets of the assignments.
+checkpoints, tables and sinks under the session's shared checkpoint folder, so a
+restarted query, in the same process or a new one, goes on from there. Every
+micro-batch can be replayed without changing a result:
+
+- ``price_stream`` (#51) joins a micro-batch with the trips' and drivers'
+  prices, tables partitioned by a bucket of their key (``buckets.py``): it
+  reads the buckets that its keys are in.
+- ``crew_limit_stream`` (#52) keeps the crew of each trip as keyed state, which
+  starts from the stored crews. A micro-batch reads its own rows only.
+- ``refresh_reports`` (#53) keeps both reports as partitioned tables. A
+  micro-batch recomputes the partitions that its changes touch and overwrites
+  those alone.
 """
 
 from __future__ import annotations
@@ -27,9 +24,9 @@ from pyspark.sql import types as T
 
 from haulage.operators import changes, pay, reports
 from haulage.operators.changes import PAIR
-from haulage.operators.joins import narrow
-from haulage.session import scratch_path
+from haulage.session import exists, remove, scratch_path
 from haulage.sources.tables import Tables
+from haulage.streaming import buckets, crew
 
 
 def write_feed(df: DataFrame, path: str) -> str:
@@ -54,22 +51,40 @@ def _run(writer) -> None:
         raise q.exception()
 
 
-def _with_batch(schema: T.StructType) -> T.StructType:
-    return T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-
-
 def _batches(spark: SparkSession, path: str, schema) -> DataFrame:
     """Every ``path/batch=<id>`` folder read as one table (``batch`` kept)."""
-    return spark.read.schema(_with_batch(schema)).option("basePath", path).parquet(f"{path}/batch=*")
+    schema = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    return spark.read.schema(schema).option("basePath", path).parquet(f"{path}/batch=*")
 
 
 # --- #51 --------------------------------------------------------------------
 
-def price_stream(t: Tables, feed: DataFrame, sink: str, checkpoint: str) -> None:
-    """Price every streamed assignment; rows land in ``sink/batch=<id>``."""
+def lay_out_prices(t: Tables, base: str, bucket_rows: int = buckets.BUCKET_ROWS) -> None:
+    """What pricing needs, by bucket: each trip's base payment and each
+    driver's experience."""
+    routes = t.routes.select("id_route", "base_payment")
+    trips = changes.left_join(t.transportations.select("id_transportation", "id_route"), routes, "id_route",
+                              "id_transportation")
+    buckets.write(trips.select("id_transportation", "base_payment"), "id_transportation", f"{base}/trips", bucket_rows)
+    buckets.write(t.drivers.select("id_driver", "experience"), "id_driver", f"{base}/drivers", bucket_rows)
+
+
+def price_batch(batch: DataFrame, base: str, bands=pay.DEFAULT_BANDS) -> DataFrame:
+    """The rows of a batch with every missing payment computed (#34)."""
+    todo = batch.where(pay.needs_pricing(F.col("payment")))
+    rows = batch
+    for name, key in (("trips", "id_transportation"), ("drivers", "id_driver")):
+        rows = rows.join(buckets.of(todo, key, f"{base}/{name}").drop("bucket"), key, "left")
+    computed = pay.computed_pay(F.col("base_payment"), F.col("experience"), bands)
+    given = F.when(pay.needs_pricing(F.col("payment")), computed).otherwise(F.col("payment"))
+    return rows.withColumn("payment", given).select(*batch.columns)
+
+
+def price_stream(base: str, feed: DataFrame, sink: str, checkpoint: str) -> None:
+    """Price every streamed assignment over ``lay_out_prices``' tables; rows
+    land in ``sink/batch=<id>``."""
     def each(batch: DataFrame, batch_id: int) -> None:
-        priced = pay.price_assignments(t.with_(assignments=batch), split=False, narrow_tables=True)
-        priced.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        price_batch(batch, base).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
     _run(feed.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint))
 
@@ -77,9 +92,10 @@ def price_stream(t: Tables, feed: DataFrame, sink: str, checkpoint: str) -> None
 def stream_price_assignments(t: Tables, files_per_batch: int | None = None) -> DataFrame:
     spark = t.assignments.sparkSession
     base = scratch_path(spark, "price")
+    lay_out_prices(t, f"{base}/prices")
     feed_dir = write_feed(t.assignments, f"{base}/feed")
     feed = read_feed(spark, feed_dir, t.assignments.schema, files_per_batch)
-    price_stream(t, feed, f"{base}/sink", f"{base}/checkpoint")
+    price_stream(f"{base}/prices", feed, f"{base}/sink", f"{base}/checkpoint")
     return _batches(spark, f"{base}/sink", t.assignments.schema).drop("batch")
 
 
@@ -89,27 +105,20 @@ def crew_limit_stream(existing: DataFrame, feed: DataFrame, sink: str, checkpoin
                       limit: int = pay.DEFAULT_CREW_LIMIT) -> None:
     """Accept at most ``limit`` drivers per trip over the stored assignments
     ``existing`` and the whole stream, earlier micro-batches first and by
-    ``seq`` inside one. Rows land in ``sink/accepted/batch=<id>`` or
-    ``sink/rejected/batch=<id>``."""
-    spark = feed.sparkSession
-
+    ``seq`` and driver inside one. Rows land in ``sink/accepted/batch=<id>`` or
+    ``sink/rejected/batch=<id>``. ``existing`` is read by the first micro-batch
+    of a checkpoint alone."""
     def each(batch: DataFrame, batch_id: int) -> None:
-        taken = existing.select("id_transportation")
-        if batch_id:
-            earlier = _batches(spark, f"{sink}/accepted", feed.schema).where(F.col("batch") < batch_id)
-            taken = taken.unionByName(earlier.select("id_transportation"))
-        crew = narrow(taken, batch, "id_transportation").groupBy("id_transportation").agg(F.count("*").alias("_crew"))
-        ranked = batch.withColumn("_rn", F.row_number().over(pay.crew_order(("seq", "id_driver")))).where(
-            F.col("_rn") <= limit)
-        accepted = (ranked.join(crew, "id_transportation", "left")
-                    .where(F.col("_rn") + F.coalesce("_crew", F.lit(0)) <= limit).select(*batch.columns))
-        accepted.write.mode("overwrite").parquet(f"{sink}/accepted/batch={batch_id}")
-        mine = spark.read.schema(feed.schema).parquet(f"{sink}/accepted/batch={batch_id}").select(
-            *[F.col(c).alias(f"_{c}") for c in PAIR])
-        same = F.col(PAIR[0]).eqNullSafe(F.col(f"_{PAIR[0]}")) & F.col(PAIR[1]).eqNullSafe(F.col(f"_{PAIR[1]}"))
-        batch.join(mine, same, "left_anti").write.mode("overwrite").parquet(f"{sink}/rejected/batch={batch_id}")
+        batch.persist()  # one run of the state operator for both sinks
+        try:
+            for verdict, rows in (("accepted", batch.where("accepted")), ("rejected", batch.where("not accepted"))):
+                rows.select(*feed.columns).write.mode("overwrite").parquet(f"{sink}/{verdict}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
-    _run(feed.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint))
+    judged = crew.judge(feed, existing, limit)
+    with crew.state_store(feed.sparkSession):
+        _run(judged.writeStream.foreachBatch(each).outputMode("append").option("checkpointLocation", checkpoint))
 
 
 def stream_crew_limit(t: Tables, deliveries: list[DataFrame], existing: DataFrame, verdict: str = "accepted") -> DataFrame:
@@ -125,154 +134,115 @@ def stream_crew_limit(t: Tables, deliveries: list[DataFrame], existing: DataFram
 
 # --- #53 --------------------------------------------------------------------
 
-#: Rows of the assignments that a bucket holds on average.
-BUCKET_ROWS = 2_000_000
-#: Micro-batches after which logs and report versions are merged.
-COMPACT_EVERY = 8
-
+#: The tables of a refreshed pair of reports and the key that buckets each.
+#: ``work`` has the assignments by driver, with their trip's arrival; ``crews``
+#: by trip. The reports' rows carry the order of the last change of an arrival.
+#: Tables of one key have the same buckets, so that a report's partition needs
+#: one partition of the assignments.
+REPORT_TABLES = {"work": "id_driver", "crews": "id_transportation", "salary": "id_driver", "summary": "id_transportation"}
+_ORDER = "struct<known: boolean, seq: bigint, batch: bigint>"
+
+
+def lay_out_reports(t: Tables, base: str, bucket_rows: int = buckets.BUCKET_ROWS) -> None:
+    """Both reports of ``t`` and the assignments behind them, by bucket. Done
+    once; a stream is then continued by any process."""
+    unset = F.lit(None).cast(_ORDER)
+    rows = t.assignments.select(*PAIR, "payment", "bonus_amount", unset.alias("bonus_order"))
+    trips = t.transportations.select("id_transportation", F.lit(True).alias("trip"), "arrival_date", unset.alias("arrival_order"))
+    tables = {"work": rows.join(trips, "id_transportation", "left"), "crews": rows, "salary": reports.salary_statement(t),
+              "summary": reports.transportation_summary(t).withColumn("arrival_order", unset)}
+    n = None
+    for name, key in REPORT_TABLES.items():  # the assignments come first
+        n = buckets.write(tables[name], key, f"{base}/{name}", bucket_rows, n)
+
+
+def _newer(rows: DataFrame, latest: DataFrame, keys: list[str], column: str, order: str) -> DataFrame:
+    """``rows`` with ``column`` changed where a change is not older than the
+    last one: by seq (one without is older than any), then by micro-batch."""
+    new = latest.select(*keys, F.col(column).alias("_new"), F.col("_order"))
+    hit = F.col("_order").isNotNull() & (F.col(order).isNull() | (F.col("_order") >= F.col(order)))
+    joined = rows.join(new, keys, "left").withColumn("_hit", hit)
+    changed = {column: F.col("_new"), order: F.col("_order")}
+    return joined.select(*[F.when(F.col("_hit"), changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c)
+                           for c in rows.columns])
+
+
+def _changed_partitions(spark: SparkSession, batch: DataFrame, batch_id: int, base: str) -> dict[str, DataFrame]:
+    """Every table's touched partitions, whole, after the batch's changes."""
+    known, seq = F.col("seq").isNotNull(), F.coalesce("seq", F.lit(0)).cast("bigint")
+    order = F.struct(known.alias("known"), seq.alias("seq"), F.lit(batch_id).cast("bigint").alias("batch")).alias("_order")
+
+    def latest(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
+        return changes.latest_per_key(rows.select(*keys, column, "seq"), keys).select(*keys, column, order)
+
+    bonus = latest(changes.valid_bonuses(batch.where("id_driver is not null")), PAIR, "bonus_amount")
+    moved = latest(batch.where("id_driver is null"), ["id_transportation"], "arrival_date")
+    trips = bonus.select("id_transportation").unionByName(moved.select("id_transportation")).distinct()
+
+    def read(name: str, keys: DataFrame) -> DataFrame:
+        return buckets.of(keys, REPORT_TABLES[name], f"{base}/{name}")
+
+    crews = read("crews", trips)
+    drivers = bonus.select("id_driver").unionByName(
+        crews.join(moved, "id_transportation", "left_semi").select("id_driver")).distinct()
+    crews = _newer(crews, bonus, PAIR, "bonus_amount", "bonus_order")
+    work = _newer(_newer(read("work", drivers), bonus, PAIR, "bonus_amount", "bonus_order"),
+                  moved, ["id_transportation"], "arrival_date", "arrival_order")
+    salary, summary = read("salary", drivers), _newer(read("summary", trips), moved, ["id_transportation"], "arrival_date",
+                                                      "arrival_order")
+    totals = reports.totals_by_driver(work.withColumn("under_way", F.when(F.col("trip"), F.col("arrival_date").isNull())))
+    return {"work": work, "crews": crews,
+            "salary": reports.with_salary(salary, totals).select(*salary.columns),
+            "summary": reports.with_costs(summary, reports.totals_by_trip(crews)).select(*summary.columns)}
+
+
+def refresh_batch(spark: SparkSession, batch: DataFrame, batch_id: int, base: str) -> None:
+    """Bring the reports up to date with a micro-batch of changes.
 
-class Versions:
-    """The newest row of each key over micro-batches.
+    The feed has id_driver, id_transportation, bonus_amount, bonus_reason,
+    arrival_date, seq. A row with a driver changes that assignment's bonus (if
+    the bonus form's rules let it); a row without one sets the trip's arrival
+    (NULL: under way). The highest ``seq`` of a key wins.
 
-    Micro-batch ``b`` writes ``batch=<b>``. Every ``every`` micro-batches what
-    is older is merged into ``upto=<b>``, so a read opens one merged folder
-    and fewer than ``every`` others, and older folders are no longer needed.
-    ``order`` (columns; ``batch`` is one) says which row is the newest.
+    The touched partitions are staged first, under the batch's id, and then
+    overwrite the tables' ones (dynamic partition overwrite). A replay that
+    finds them staged publishes them again, so a run that was ended between
+    two partitions leaves nothing half done.
     """
+    stage = f"{base}/stage/{batch_id}"
+    if not exists(f"{stage}/done/_SUCCESS"):
+        batch.persist()
+        try:
+            for name, rows in _changed_partitions(spark, batch, batch_id, base).items():
+                rows.write.mode("overwrite").parquet(f"{stage}/{name}")
+        finally:
+            batch.unpersist()
+        spark.range(1).write.mode("overwrite").parquet(f"{stage}/done")
+    for name in REPORT_TABLES:
+        buckets.overwrite(spark.read.schema(buckets.schema(spark, f"{base}/{name}")).parquet(f"{stage}/{name}"), f"{base}/{name}")
+    remove(f"{base}/stage/{batch_id - 1}")
+
+
+def refresh_reports(feed: DataFrame, base: str) -> None:
+    """Run the stream of changes over the tables of ``lay_out_reports``."""
+    spark = feed.sparkSession
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: T.StructType, order: list,
-                 every: int = COMPACT_EVERY):
-        self.spark, self.path, self.keys, self.order, self.every = spark, path, keys, order, every
-        self.schema = _with_batch(schema)
-
-    def append(self, rows: DataFrame, batch: int) -> None:
-        if batch and batch % self.every == 0:
-            self._rows(batch - 1).write.mode("overwrite").parquet(f"{self.path}/upto={batch}")
-        rows.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
-
-    def _rows(self, upto: int) -> DataFrame:
-        merged = upto // self.every * self.every
-        folders = [f"{self.path}/upto={merged}"] * bool(merged) + [f"{self.path}/batch={b}" for b in range(merged, upto + 1)]
-        # folder names look like partitions; the batch is in the rows
-        frames = [self.spark.read.schema(self.schema).option("basePath", f).parquet(f) for f in folders]
-        rows = frames[0]
-        for f in frames[1:]:
-            rows = rows.unionByName(f)
-        rest = [c for c in self.schema.fieldNames() if c not in self.keys]
-        newest = F.max(F.struct(*[o.alias(f"_{i}") for i, o in enumerate(self.order)], *rest))
-        return rows.groupBy(*self.keys).agg(newest.alias("_v")).select(
-            *[F.col(c) if c in self.keys else F.col("_v")[c].alias(c) for c in self.schema.fieldNames()])
-
-    def read(self, upto: int) -> DataFrame:
-        return self._rows(upto).drop("batch")
-
-
-def _bucket(key: str, buckets: int):
-    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-
-
-class Buckets:
-    """A table laid out once by a hash of a key, the number of buckets
-    following its rows. Files are cut by size (a rebalance splits a bucket
-    that a hot key fills), and reads open only the buckets asked for."""
-
-    def __init__(self, rows: DataFrame, key: str, path: str, buckets: int):
-        self.key, self.path, self.buckets = key, path, buckets
-        self.schema = rows.schema.add("bucket", T.IntegerType())
-        self.spark = rows.sparkSession
-        (rows.withColumn("bucket", _bucket(key, buckets)).hint("rebalance", "bucket")
-         .write.mode("overwrite").partitionBy("bucket").parquet(path))
+    def each(batch: DataFrame, batch_id: int) -> None:
+        refresh_batch(spark, batch, batch_id, base)
 
-    def of(self, keys: DataFrame) -> DataFrame:
-        """Rows of the given keys. Only bucket numbers come to the driver."""
-        touched = [r[0] for r in keys.select(_bucket(self.key, self.buckets).alias("b")).distinct().collect()]
-        rows = self.spark.read.schema(self.schema).parquet(self.path).where(F.col("bucket").isin(touched)).drop("bucket")
-        return narrow(rows, keys, self.key)
+    _run(feed.writeStream.foreachBatch(each).option("checkpointLocation", f"{base}/checkpoint"))
 
 
-class ReportRefresh:
-    """Both reports kept current under a stream of changes.
+def report(spark: SparkSession, base: str, name: str) -> DataFrame:
+    """'salary' or 'summary', as of the last micro-batch."""
+    return buckets.read(spark, f"{base}/{name}").drop("bucket", "arrival_order")
 
-    The feed has id_driver, id_transportation, bonus_amount, bonus_reason,
-    arrival_date, seq. A row with a driver changes that assignment's bonus (if
-    the bonus form's rules let it); a row without one sets the trip's arrival
-    (NULL: under way). The highest ``seq`` of a key wins.
-    """
 
-    def __init__(self, t: Tables, feed_schema: T.StructType, base: str, bucket_rows: int = BUCKET_ROWS,
-                 compact_every: int = COMPACT_EVERY):
-        spark = t.assignments.sparkSession
-        self.t, self.base = t, base
-        rows = t.assignments.select(*PAIR, "payment", "bonus_amount").join(
-            t.transportations.select("id_transportation", "arrival_date", F.lit(True).alias("trip")),
-            "id_transportation", "left")
-        rows.write.mode("overwrite").parquet(f"{base}/rows")
-        rows = spark.read.schema(rows.schema).parquet(f"{base}/rows")
-        n = max(1, -(-rows.count() // bucket_rows))
-        self.by_driver = Buckets(rows, "id_driver", f"{base}/by_driver", n)
-        self.by_trip = Buckets(rows, "id_transportation", f"{base}/by_trip", n)
-        self.salary, self.summary = reports.salary_statement(t), reports.transportation_summary(t)
-        for name, first in (("salary", self.salary), ("summary", self.summary)):
-            first.write.mode("overwrite").parquet(f"{base}/{name}/first")
-        seq = [F.col("seq").isNotNull(), F.col("seq"), F.col("batch")]
-
-        def versions(name, keys, schema, order):
-            return Versions(spark, f"{base}/{name}", keys, schema, order, compact_every)
-
-        pick = lambda *names: T.StructType([feed_schema[c] for c in names])
-        self.bonuses = versions("bonuses", PAIR, pick(*PAIR, "bonus_amount", "seq"), seq)
-        self.trips = versions("trips", ["id_transportation"], pick("id_transportation", "arrival_date", "seq"), seq)
-        newest = [F.col("batch")]
-        self.salaries = versions("salary", ["id_driver"], self.salary.schema, newest)
-        self.summaries = versions("summary", ["id_transportation"], self.summary.schema, newest)
-        self.last = -1
-
-    def each(self, batch: DataFrame, batch_id: int) -> None:
-        bonus = changes.valid_bonuses(batch.where(F.col("id_driver").isNotNull()))
-        moved = batch.where(F.col("id_driver").isNull())
-        self.bonuses.append(changes.latest_per_key(bonus.select(*PAIR, "bonus_amount", "seq"), PAIR), batch_id)
-        self.trips.append(changes.latest_per_key(moved.select("id_transportation", "arrival_date", "seq"),
-                                                 ["id_transportation"]), batch_id)
-        trips = bonus.select("id_transportation").unionByName(moved.select("id_transportation")).distinct()
-        drivers = bonus.select("id_driver").unionByName(
-            self.by_trip.of(moved.select("id_transportation")).select("id_driver")).distinct()
-
-        def current(rows: DataFrame) -> DataFrame:
-            """The rows with every change so far."""
-            rows = changes.apply_updates(rows, self.bonuses.read(batch_id), PAIR, ["bonus_amount"])
-            return changes.apply_updates(rows, self.trips.read(batch_id), ["id_transportation"], ["arrival_date"])
-
-        t = self.t
-        mine = current(self.by_driver.of(drivers)).withColumn(
-            "under_way", F.when(F.col("trip"), F.col("arrival_date").isNull()))
-        self.salaries.append(reports.salary_rows(narrow(t.drivers, drivers, "id_driver"), reports.totals_by_driver(mine)),
-                             batch_id)
-        crew = current(self.by_trip.of(trips))
-        touched = changes.apply_updates(narrow(t.transportations, trips, "id_transportation"), self.trips.read(batch_id),
-                                        ["id_transportation"], ["arrival_date"])
-        self.summaries.append(reports.summary_rows(
-            touched, t.routes, reports.crew_totals(crew, narrow(t.drivers, crew, "id_driver"))), batch_id)
-        self.last = max(self.last, batch_id)
-
-    def run(self, feed: DataFrame) -> None:
-        _run(feed.writeStream.foreachBatch(self.each).option("checkpointLocation", f"{self.base}/checkpoint"))
-
-    def report(self, name: str) -> DataFrame:
-        """'salary' or 'summary', as of the last micro-batch."""
-        first, versions = {"salary": (self.salary, self.salaries), "summary": (self.summary, self.summaries)}[name]
-        initial = first.sparkSession.read.schema(first.schema).parquet(f"{self.base}/{name}/first")
-        if self.last < 0:
-            return initial
-        key = versions.keys[0]
-        changed = versions.read(self.last)
-        return initial.join(changed.select(key), key, "left_anti").unionByName(changed.select(*first.columns))
-
-
-def stream_refresh(t: Tables, deliveries: list[DataFrame], name: str, **how) -> DataFrame:
+def stream_refresh(t: Tables, deliveries: list[DataFrame], name: str, bucket_rows: int = buckets.BUCKET_ROWS) -> DataFrame:
     """A report after streaming each delivery of changes."""
     spark = t.assignments.sparkSession
     base = scratch_path(spark, "reports")
-    refresh = ReportRefresh(t, deliveries[0].schema, base, **how)
+    lay_out_reports(t, base, bucket_rows)
     for delivery in deliveries:
-        refresh.run(read_feed(spark, write_feed(delivery, f"{base}/feed"), delivery.schema))
-    return refresh.report(name)
+        refresh_reports(read_feed(spark, write_feed(delivery, f"{base}/feed"), delivery.schema), base)
+    return report(spark, base, name)
