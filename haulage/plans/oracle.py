@@ -327,8 +327,8 @@ def pay() -> dict[str, str]:
           ON d.experience >= b.i - 2500 AND d.experience < b.i - 2499""")
     overlapping = [("bands", """
         SELECT i - 2500 AS lo, CASE WHEN (i - 2500) % 1000 = 999 THEN NULL WHEN (i - 2500) % 100 = 0 THEN i - 2490 ELSE i - 2499 END AS hi,
-               CAST(1 + i / 1000.0 AS DECIMAL(6,2)) AS multiplier FROM (SELECT range AS i FROM range(5000))
-        UNION SELECT i - 2500, i - 2499, CAST(1 + i / 1000.0 AS DECIMAL(6,2)) FROM (SELECT range AS i FROM range(5000))
+               CAST(1 + (i + 5) // 10 * 0.01 AS DECIMAL(6,2)) AS multiplier FROM (SELECT range AS i FROM range(5000))
+        UNION SELECT i - 2500, i - 2499, CAST(1 + (i + 5) // 10 * 0.01 AS DECIMAL(6,2)) FROM (SELECT range AS i FROM range(5000))
         WHERE (i - 2500) % 50 = 7"""),
         ("judged", """SELECT *, coalesce(lo < max(coalesce(hi, 1000000000)) OVER (ORDER BY lo, coalesce(hi, 1000000000), multiplier
           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS late FROM bands""")]
