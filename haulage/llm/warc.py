@@ -16,7 +16,12 @@ Files are written and read through Arrow's file systems (file, hdfs, s3, gs)
 under the folder that the cluster shares. Each task attempt writes a file of
 its own name, and only files reported by attempts that succeeded are read.
 
-Defined results: a null html is an empty payload and a null url leaves out
+Payloads meet by digest and size with page numbers only; the html is joined
+to what was decided, not shuffled to find its copies. Readers follow the bytes
+of the archives, ``TASK_BYTES`` a task.
+
+Defined results: very long payloads and headers (a long url) are written and
+read whole, a record at a time; a null html is an empty payload and a null url leaves out
 the target; a null page_id is written as a record without page number and
 read back as null, and never the response that others revisit while a record
 with a number has that payload; repeated rows are records of their own, and
@@ -43,10 +48,10 @@ from haulage.llm.common import shared_write, slices, utf8_list
 MIN_REVISIT = 1000
 #: Bytes of archive that a reading task scans for records to own.
 RANGE_BYTES = 16 << 20
+#: Bytes of archive that a reading task gets, in ranges.
+TASK_BYTES = 128 << 20
 _MAGIC = b"\x1f\x8b\x08"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: A WARC header longer than this is not one of ours.
-_MOST_HEADER = 64 << 10
 
 
 # --- writing -------------------------------------------------------------
@@ -121,37 +126,39 @@ def write_warc(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT) ->
 # --- reading -------------------------------------------------------------
 
 class _Bytes:
-    """Bytes of a file from ``start`` on, read in steps and dropped behind."""
+    """Bytes of a file, read forward in steps. What lies before the offset
+    asked for goes when a step is read, so each byte is copied a few times."""
 
     def __init__(self, file, start: int, size: int, step: int = 4 << 20):
         self.file, self.size, self.step = file, size, step
         self.start, self.data = start, b""
 
-    def fill(self, upto: int) -> None:
-        """Have the bytes before the offset ``upto`` (or the file's end)."""
+    def fill(self, at: int, upto: int) -> None:
+        """Have the bytes from ``at`` to ``upto`` (or the file's end)."""
+        if at < self.start:  # back into bytes that went
+            self.start, self.data = at, b""
         end = self.start + len(self.data)
         if upto > end and end < self.size:
             self.file.seek(end)
-            self.data += self.file.read(min(self.size, max(upto, end + self.step)) - end)
-
-    def drop(self, before: int) -> None:
-        self.data = self.data[before - self.start:]
-        self.start = before
+            more = self.file.read(min(self.size, max(upto, end + self.step)) - end)
+            kept = min(at - self.start, len(self.data))
+            self.data = self.data[kept:] + more
+            self.start += kept
 
     def get(self, at: int, n: int) -> bytes:
-        self.fill(at + n)
+        self.fill(at, at + n)
         return self.data[at - self.start:at - self.start + n]
 
     def find(self, what: bytes, at: int, limit: int) -> int:
         """Offset of ``what`` that starts in [at, limit), or -1."""
+        last = limit + len(what) - 1
         while at < limit:
-            self.drop(at)
-            self.fill(min(limit + len(what) - 1, at + self.step))
-            found = self.data.find(what, 0, limit - at + len(what) - 1)
+            self.fill(at, min(last, at + len(what)))
+            found = self.data.find(what, at - self.start, last - self.start)
             if found >= 0:
-                return at + found
+                return self.start + found
             end = self.start + len(self.data)
-            if end >= min(limit + len(what) - 1, self.size):
+            if end >= min(last, self.size):
                 return -1
             at = max(at + 1, end - len(what) + 1)
         return -1
@@ -159,17 +166,19 @@ class _Bytes:
 
 def _member(source: _Bytes, at: int) -> tuple[bytes, int] | None:
     """The record of the gzip member at an offset and the member's end, or
-    None if no whole WARC record in gzip starts there."""
+    None if no whole WARC record in gzip starts there. A header may have any
+    length."""
     unpack = zlib.decompressobj(31)
-    out, pos, checked = [], at, False
+    out, pos, checked, step = [], at, False, 2 << 10
     try:
         while not unpack.eof:
-            data = source.get(pos, 64 << 10)
+            data = source.get(pos, step)
             if not data:
                 return None
             out.append(unpack.decompress(data))
             pos += len(data) - len(unpack.unused_data)
-            if not checked and sum(map(len, out[:2])) >= 5:
+            step = min(2 * step, 256 << 10)
+            if not checked and sum(map(len, out)) >= 5:
                 head = b"".join(out)
                 if not head.startswith(b"WARC/"):
                     return None
@@ -177,7 +186,7 @@ def _member(source: _Bytes, at: int) -> tuple[bytes, int] | None:
     except zlib.error:
         return None
     whole = b"".join(out)
-    return (whole, pos) if whole.startswith(b"WARC/") and b"\r\n\r\n" in whole[:_MOST_HEADER] else None
+    return (whole, pos) if whole.startswith(b"WARC/") and b"\r\n\r\n" in whole else None
 
 
 def records_in(file, size: int, start: int, end: int) -> Iterator[bytes]:
@@ -239,10 +248,10 @@ def read_warc(files: DataFrame, folder: str, range_bytes: int = RANGE_BYTES, pay
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema)
 
-    spark = files.sparkSession
     dealt = ranges(files, range_bytes)
-    # a few ranges a task: as many tasks as shuffle partitions, dealt evenly
-    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    total, n = files.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0], dealt.count()
+    least = min(n, files.sparkSession.sparkContext.defaultParallelism)
+    dealt = dealt.repartition(max(1, least, -(-total // TASK_BYTES)))
     return dealt.mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, "
                                  "refers_to bigint, url string" + ", payload binary" * payloads)
 

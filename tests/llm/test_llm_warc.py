@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import io
 import random
+import time
 
 from llm_cases import rows_of  # noqa: F401
 from haulage.llm import warc
@@ -44,6 +45,20 @@ def test_round_trip(spark):
     assert texts[7] == ROWS[9][2].encode() and texts[3] == BIG.encode()
 
 
+def test_long_headers_and_many_records(spark):
+    rows = [(0, "u", "a"), (1, "http://x/" + "y" * 70_000, BIG), (2, "u", "b"), (3, "http://x/" + "ü" * 12_000, "c"), (4, "z" * 300_000, BIG)]
+    folder = scratch_path(spark, "warc-test")
+    files = warc.write_warc(pages(spark, rows), folder)
+    for size in (5_000, 16 << 20):
+        assert rows_of(warc.read_warc(files, folder, range_bytes=size), *COLUMNS) == brute(rows)
+    rng = random.Random(2)
+    bodies = [rng.randbytes(600).hex().encode() for _ in range(8000)]
+    data = b"".join(gzip.compress(warc.record(i, "u", b, hashlib.sha1(b).hexdigest(), None), 4) for i, b in enumerate(bodies))
+    start = time.process_time()
+    found = [warc.parse(r)["page_id"] for r in warc.records_in(io.BytesIO(data), len(data), 0, len(data))]
+    assert found == list(range(8000)) and time.process_time() - start < 3  # 20 times as long when bytes are copied for each record
+
+
 def test_any_split_reads_every_record_once(spark):
     folder = scratch_path(spark, "warc-test")
     files = warc.write_warc(pages(spark, ROWS).coalesce(1), folder)
