@@ -23,12 +23,13 @@ table gives no pieces.
 
 from __future__ import annotations
 
+import json
 import re
-import struct
 import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,13 @@ END_ID = 1
 
 #: Parts of a chunk whose ASCII letters are lower case: letters (all
 #: non-ASCII characters count as such), one digit, or other characters.
-_PARTS = re.compile(r"[a-z\x80-\U0010ffff]+|[0-9]|[^a-z0-9\x80-\U0010ffff]+")
+_PARTS = re.compile(rb"[a-z\x80-\xff]+|[0-9]|[^a-z0-9\x80-\xff]+")
+_MARKS = frozenset(bytes([b]) for b in b".,;:!?")
+
+
+def _letters(part: str) -> bool:
+    """Letters only, and in lower case too."""
+    return part.isalpha() and part.lower().isalpha()
 
 
 def _byte_level() -> dict[int, str]:
@@ -56,6 +63,17 @@ def _byte_level() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+# The steps before the model that ``Encoder`` does for chunks by itself.
+_KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "behavior": "Removed", "invert": True, "pattern": {
+            "Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+
+
 class Memory(dict):
     """What a function gave, for the keys used lately: when ``most`` are
     held, they become the old ones, and old ones not used since are dropped."""
@@ -84,16 +102,19 @@ class Encoder:
     normalised as the tokenizer would; anything out of the ordinary is left
     to the whole tokenizer. The memories are bounded. Texts that hold a
     special token's string are encoded whole, as those strings may span white
-    space.
+    space; so are all texts if the file's normalizer or pre-tokenizer is another
+    one than that which this class knows.
     """
 
-    def __init__(self, path: str, most: int = 100_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.alphabet = _byte_level()
+        facts = json.loads(self.tokenizer.to_str())
+        self.whole_texts = any(facts[k] != v for k, v in _KNOWN.items())
         self.chunks, self.parts = Memory(self._chunk, most), Memory(self._part, most)
 
     def _whole(self, text: str) -> bytes:
@@ -101,15 +122,16 @@ class Encoder:
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return np.array(ids, "<u4").tobytes()
 
-    def _part(self, part: str) -> bytes:
+    def _part(self, part: bytes) -> bytes:
         if part.isascii():
-            return self._bytes([t.id for t in self.model.tokenize(part)])
+            return self._bytes([t.id for t in self.model.tokenize(part.decode())])
         # letters of the old alphabets, whose case and composition are settled
-        composed = unicodedata.normalize("NFC", part)
+        text = part.decode()
+        composed = unicodedata.normalize("NFC", text)
         if max(composed) >= "\u0530":
-            return self._whole(part)
+            return self._whole(text)
         lowered = "".join(c.lower() for c in composed)
         mapped = lowered.encode().decode("latin-1").translate(self.alphabet)
         return self._bytes([t.id for t in self.model.tokenize(mapped)])
@@ -117,18 +139,48 @@ class Encoder:
     def _chunk(self, chunk: bytes) -> bytes:
         lowered = chunk.lower()  # ASCII letters only
         if lowered.isalpha():
-            return self.parts[lowered.decode()]
-        text = lowered.decode()
-        if "'" not in text and text.isprintable():
-            parts = _PARTS.findall(text)
-            if all(p.isascii() or p.isalpha() and p.lower().isalpha() for p in parts):
+            return self.parts[lowered]
+        word, mark = lowered[:-1], lowered[-1:]
+        if word.isalpha() and mark in _MARKS:  # a word and a full stop, a comma, ...
+            return self.parts[word] + self.parts[mark]
+        if b"'" not in lowered and lowered.decode().isprintable():
+            parts = _PARTS.findall(lowered)
+            if lowered.isascii() or all(p.isascii() or _letters(p.decode()) for p in parts):
                 return b"".join(map(self.parts.__getitem__, parts))
         return self._whole(chunk.decode())
 
     def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
-        chunk = self.chunks.__getitem__
-        return [np.frombuffer(self._whole(t.decode()) if any(s in t for s in self.special) else b"".join(map(chunk, t.split())),
-                              "<u4") for t in texts]
+        """Chunks are numbered by Arrow; each different one is looked up once,
+        and numpy gathers the ids of all."""
+        if not texts:
+            return []
+        alone = [self.whole_texts or any(s in t for s in self.special) for t in texts]
+        joined = b"\n".join(b"" if a else t for t, a in zip(texts, alone, strict=True)) + b"\n"
+        space = _SPACES[np.frombuffer(joined, np.uint8)]
+        cut = np.concatenate([[0], np.flatnonzero(space[1:] != space[:-1]) + 1, [len(joined)]])
+        parts = pa.Array.from_buffers(pa.large_binary(), len(cut) - 1,
+                                      [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(joined)]).dictionary_encode()
+        found = [b"" if _SPACES[c[0]] else self.chunks[c] for c in parts.dictionary.to_pylist()]
+        flat, size = np.frombuffer(b"".join(found), "<u4"), np.array([len(f) // 4 for f in found], np.int64)
+        code = parts.indices.to_numpy()
+        first, n = (np.cumsum(size) - size)[code], size[code]
+        upto = np.cumsum(n)
+        ids = flat[np.repeat(first - (upto - n), n) + np.arange(upto[-1])]
+        ends = np.cumsum([0 if a else len(t) for t, a in zip(texts, alone, strict=True)]) + np.arange(len(texts))
+        at = np.concatenate([[0], upto])[np.searchsorted(cut, ends, side="left")]
+        at = np.concatenate([[0], at])
+        return [np.frombuffer(self._whole(t.decode()), "<u4") if a else ids[s:e]
+                for t, a, s, e in zip(texts, alone, at[:-1], at[1:], strict=True)]
+
+
+#: Whether a byte is ASCII white space.
+_SPACES = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+
+
+@cache
+def _encoder(path: str) -> Encoder:
+    """A worker's own, kept from task to task."""
+    return Encoder(path)
 
 
 # --- pieces --------------------------------------------------------------
@@ -143,10 +195,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     the pieces of one length: nth counts those before it in the same task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = Encoder(tokenizer_path), TaskContext.get().partitionId()
+        encoder, task = _encoder(tokenizer_path), TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)  # by length: capacity entries at most
         end = np.array([end_id], "<u4")
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             rows, ids_of = [], []
             found = encoder.encode_all([t or b"" for t in utf8_list(batch.column("text"))])
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), found, strict=True):

@@ -34,6 +34,17 @@ def test_encoder_equals_the_tokenizer(plain, spark):
                 assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
+def test_other_files_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    plain, encoder = Tokenizer.from_file(path), packing.Encoder(path)
+    assert encoder.whole_texts and not packing.Encoder(tokenizer_path()).whole_texts
+    for text, ids in zip(ODD, encoder.encode_all([t.encode() for t in ODD]), strict=True):
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    assert encoder.encode_all([]) == []
+
+
 def check(rows, ids_of, capacity):
     docs, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
