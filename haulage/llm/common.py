@@ -94,6 +94,56 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=_U64, count=len(words))
 
 
+#: Bits of a Bloom filter: 8 MB, whatever it is asked to hold.
+BLOOM_BITS = 1 << 26
+
+
+def _bloom_places(keys: np.ndarray) -> np.ndarray:
+    """[2, key]: the two bits that stand for each 64-bit key."""
+    h = mix64(keys.astype(np.int64).view(_U64))
+    return np.stack([h, h >> _U64(32)]) & _U64(BLOOM_BITS - 1)
+
+
+class Bloom:
+    """A Bloom filter of the values of a bigint column, built by Spark as the
+    words that have bits; at most BLOOM_BITS / 64 rows reach the driver. It
+    drops rows below an exchange that a join would drop after it: with more keys
+    than it has room for it lets more rows pass, and no result changes."""
+
+    def __init__(self, keys: DataFrame):
+        def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = _bloom_places(batch.column(0).drop_null().to_numpy()).reshape(-1)
+                word, place = np.unique(at >> _U64(6), return_inverse=True)
+                bits = np.zeros(len(word), _U64)
+                np.bitwise_or.at(bits, place, _U64(1) << (at & _U64(63)))
+                yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(bits.view(np.int64))],
+                                                 names=["word", "bits"])
+
+        found = keys.mapInArrow(words, "word int, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        table = np.zeros(BLOOM_BITS // 64, np.int64)
+        table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+        self.shared = keys.sparkSession.sparkContext.broadcast(table)
+
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each key may be one of the filter's: never no for one that is."""
+        table, at = self.shared.value.view(_U64), _bloom_places(keys)
+        return ((table[(at >> _U64(6)).astype(np.int64)] >> (at & _U64(63))) & _U64(1)).all(0)
+
+    def cut(self, df: DataFrame, column: str) -> DataFrame:
+        """The rows of ``df`` whose key the filter may hold."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                key = batch.column(column)
+                held = self.may_hold(key.fill_null(0).to_numpy())
+                chosen = batch.filter(pc.and_(pa.array(held), key.is_valid()))
+                if chosen.num_rows:
+                    yield chosen
+
+        return df.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in df.dtypes))
+
+
 def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Equi join on ``keys`` in which null equals null; the right side's keys
     are dropped."""

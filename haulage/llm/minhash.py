@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulage.llm.common import LOWER, WordHashes, mix64, shared_write, slices, utf8_list
+from haulage.llm.common import LOWER, Bloom, WordHashes, mix64, shared_write, slices, utf8_list
 
 SHINGLE = 2
 SIMILARITY = 80  # per cent
@@ -193,10 +193,26 @@ def components(links: DataFrame) -> DataFrame:
 
 def candidate_buckets(nodes: DataFrame) -> DataFrame:
     """(key, node, n) of the members of every bucket with two nodes or more,
-    written and read back. nodes: node, n (size of its set), bands."""
-    rows = nodes.select("node", "n", F.explode("bands").alias("key"))
+    written and read back. nodes: node, n (size of its set), bands. Few keys
+    have two members, so the rows are cut by a Bloom filter of those keys before
+    they are shuffled to meet them."""
+    rows = nodes.select("node", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
-    return shared_write(rows.join(shared.select("key", F.col("a").alias("centre")), "key"), "buckets")
+    shared = shared_write(shared.select("key", F.col("a").alias("centre")), "keys")
+    bloom = Bloom(shared.select("key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("bands").flatten().to_numpy()
+            of = np.repeat(np.arange(batch.num_rows), BANDS)
+            held = np.flatnonzero(bloom.may_hold(keys))
+            if len(held):
+                at = pa.array(of[held])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("node").take(at), batch.column("n").take(at), pa.array(keys[held])], names=["node", "n", "key"])
+
+    likely = nodes.select("node", "n", "bands").mapInArrow(run, "node bigint, n bigint, key bigint")
+    return shared_write(likely.join(shared, "key"), "buckets")
 
 
 def _possible(n: str, m: str, similarity: int):
@@ -211,9 +227,10 @@ def links_of(nodes: DataFrame, docs: DataFrame, similarity: int = SIMILARITY, sh
     first = (members.where("node <> centre").select("node", "n", "centre").distinct().join(sizes, "centre")
              .where(_possible("n", "m", similarity)).select(F.col("centre").alias("a"), F.col("node").alias("b")))
     checked = shared_write(first, "pairs")
-    involved = members.select(F.col("node").alias("doc_id")).distinct()
-    texts = shared_write(docs.select("doc_id", "text").where("text is not null").join(involved, "doc_id", "left_semi"),
-                         "candidate-texts")
+    # few documents have candidates: a Bloom filter keeps the others' texts from being shuffled
+    involved = shared_write(members.select(F.col("node").alias("doc_id")).distinct(), "involved")
+    texts = Bloom(involved).cut(docs.select("doc_id", "text").where("text is not null"), "doc_id")
+    texts = shared_write(texts.join(involved, "doc_id", "left_semi"), "candidate-texts")
     label = components(shared_write(confirmed(checked, texts, similarity, shingle), "links"))
 
     more = open_links(open_members(members, label), texts, similarity, shingle)

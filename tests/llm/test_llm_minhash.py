@@ -4,14 +4,14 @@ import re
 import numpy as np
 from llm_cases import HARD, make_docs, rows_of  # noqa: F401
 from haulage.llm import minhash
-from haulage.llm.common import WordHashes
+from haulage.llm.common import Bloom, WordHashes, read_table
 
 
-def brute(rows):
+def brute(rows, size=2):
     """Components by comparing all pairs of sets."""
     def shingles(text):
         w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-        return {tuple(w[i:i + 2]) for i in range(len(w) - 1)} if len(w) > 1 else {tuple(w)} - {()}
+        return {tuple(w[i:i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} - {()}
 
     nodes = sorted({i for i, _ in rows if i is not None})
     up = {i: i for i in nodes}
@@ -146,3 +146,23 @@ def test_bands_of_tiny_sets_meet(spark):
         y = np.delete(x, rng.integers(5))
         lost += not (minhash.bands(minhash.signature(x)) == minhash.bands(minhash.signature(y))).any()
     assert lost <= 1
+
+
+def test_five_word_links_of_a_whole_table_equal_brute_force(spark):
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents")
+    component, sizes = brute([tuple(r) for r in docs.select("doc_id", "text").collect()], 5)
+    out = minhash.decide(docs, shingle=5).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == component
+    assert sorted((r["doc_id"], r["n_shingles"]) for r in out) == sorted(sizes)
+    assert len(set(component.values())) < len(component)
+
+
+def test_bloom_filter_holds_all_its_keys(spark):
+    keys = [0, 1, -1, 2**63 - 1, -(2**63), *range(5, 4000, 7)]
+    df = spark.createDataFrame([(k,) for k in [*keys, None]], "k long")
+    bloom = Bloom(df)
+    assert bloom.may_hold(np.array(keys)).all()
+    assert bloom.may_hold(np.arange(10**6, 10**6 + 100_000)).mean() < 0.001
+    kept = bloom.cut(spark.range(-5, 4000).selectExpr("id as k", "'x' as other"), "k").collect()
+    assert {0, 1, -1, *range(5, 4000, 7)} <= {r["k"] for r in kept} and len(kept) < 700
+    assert Bloom(df.limit(0)).cut(df, "k").count() == 0
