@@ -242,12 +242,15 @@ def links_of(nodes: DataFrame, docs: DataFrame, similarity: int = SIMILARITY, sh
 
 def open_members(members: DataFrame, label: DataFrame) -> DataFrame:
     """key, node, n, component and blocks (that the bucket is cut into) of
-    the buckets whose members are in several components."""
+    the buckets whose members are in several components. Near documents meet in
+    many buckets: of those with the same members one is enough."""
     rows = members.join(label.withColumnRenamed("component", "c"), "node", "left").select(
         "key", "node", "n", F.coalesce("c", "node").alias("component"))
     several = rows.groupBy("key").agg(
         F.min("component").alias("x"), F.max("component").alias("y"),
-        F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")).where("x < y")
+        F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.count("*").alias("size"),
+        F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("h2")).where("x < y")
+    several = several.groupBy("size", "h1", "h2", "blocks").agg(F.min("key").alias("key"))
     return shared_write(rows.join(several.select("key", "blocks"), "key"), "open")
 
 
