@@ -14,44 +14,42 @@ def _quoted(text: str) -> str:
 
 
 def line_dedup_sql() -> str:
-    """Chunks by window functions over exploded lines; copies by text."""
-    d, f, m = line_dedup.DIVISOR, line_dedup._FACTOR, line_dedup._MODULUS
+    """Windows of two lines with words compared by text; runs by window functions."""
+    word, long, run = r"[^\x20\x09-\x0D]", line_dedup.LONG_CHARS, line_dedup.RUN_CHARS
     return rf"""
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i
-  FROM documents WHERE text IS NOT NULL),
-facts AS (
-  SELECT doc_id, i, x, length(x) AS chars,
-         (('0x' || substr(md5(x), 1, 8))::BIGINT % {m}) AS h FROM lines),
-hashes AS (
-  SELECT *, coalesce(lag(h, 1) OVER w, 0) AS h1, coalesce(lag(h, 2) OVER w, 0) AS h2,
-         coalesce(lead(chars) OVER w, 0) AS next_chars
-  FROM facts WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-ends AS (
-  SELECT *, ((h1 * {f} + h) % {m} % {d} = 0 AND (h2 * {f} + h1) % {m} % {d} <> 0)
-            OR chars >= {line_dedup.LONG_CHARS} OR next_chars >= {line_dedup.LONG_CHARS} AS cut FROM hashes),
-placed AS (
-  SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
-            AS pos FROM ends),
+WITH texts AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL),
+said AS (
+  SELECT doc_id, i AS s, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next, line FROM (
+    SELECT doc_id, unnest(x) AS line, unnest(range(len(x))) AS i FROM texts)
+  WHERE regexp_matches(line, '{word}')),
+spans AS (
+  SELECT doc_id, s, next AS e FROM said WHERE next IS NOT NULL
+  UNION ALL SELECT doc_id, s, s FROM said WHERE length(line) >= {long}),
 chunks AS (
-  SELECT doc_id, pos, string_agg(x, chr(10) ORDER BY i) AS chunk, sum(chars) + count(*) - 1 AS chars,
-         sum(regexp_matches(x, '[^\x20\x09-\x0D]')::INT) AS lines, count(*) AS n FROM placed GROUP BY ALL),
-again AS (
-  SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, pos) > 1 AS later FROM chunks),
+  SELECT doc_id, s, e, array_to_string(x[s + 1:e + 1], chr(10)) AS chunk FROM spans JOIN texts USING (doc_id)),
+places AS (
+  SELECT *, first_value(doc_id) OVER w AS d0, first_value(s) OVER w AS s0, count(*) OVER (PARTITION BY chunk) AS n
+  FROM chunks WINDOW w AS (PARTITION BY chunk ORDER BY doc_id, s)),
+begun AS (
+  SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM places WHERE n > 1),
+numbered AS (
+  SELECT *, sum((before IS NULL OR s > before)::INT) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS run
+  FROM begun),
 runs AS (
-  SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM again WHERE later),
-sums AS (
-  SELECT *, sum(chars) OVER r AS run_chars, sum(lines) OVER r AS run_lines
-  FROM runs WINDOW r AS (PARTITION BY doc_id, run)),
+  SELECT doc_id, min(s) AS s, max(e) AS e FROM numbered GROUP BY doc_id, run
+  HAVING NOT bool_or(d0 = doc_id AND s0 = s) AND min(s0 - s) = max(s0 - s) AND min(d0) = max(d0)),
 gone AS (
-  SELECT doc_id, pos FROM sums WHERE (run_lines >= 2 AND run_chars >= {line_dedup.RUN_CHARS})
-                                  OR run_chars >= {line_dedup.LONG_CHARS}),
+  SELECT doc_id, unnest(range(s, e + 1)) AS i FROM (
+    SELECT r.*, x[s + 1:e + 1] AS part FROM runs r JOIN texts USING (doc_id))
+  WHERE len(list_filter(part, lambda y: regexp_matches(y, '{word}'))) >= 2 AND length(array_to_string(part, chr(10))) >= {run}
+     OR length(array_to_string(part, chr(10))) >= {long}),
 kept AS (
-  SELECT doc_id, string_agg(chunk, chr(10) ORDER BY pos) FILTER (WHERE NOT away) AS text, sum(n) AS n,
-         coalesce(sum(n) FILTER (WHERE away), 0) AS removed
-  FROM (SELECT c.*, g.pos IS NOT NULL AS away FROM chunks c LEFT JOIN gone g USING (doc_id, pos)) GROUP BY doc_id)
-SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text,
-       coalesce(k.n, 0)::BIGINT AS n_lines, coalesce(k.removed, 0)::BIGINT AS n_removed
+  SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE g.i IS NULL), '') AS text,
+         count(*) AS n, count(g.i) AS removed
+  FROM (SELECT doc_id, unnest(x) AS line, unnest(range(len(x))) AS i FROM texts) l LEFT JOIN gone g USING (doc_id, i)
+  GROUP BY doc_id)
+SELECT d.doc_id, k.text, coalesce(k.n, 0)::BIGINT AS n_lines, coalesce(k.removed, 0)::BIGINT AS n_removed
 FROM documents d LEFT JOIN kept k USING (doc_id)"""
 
 
