@@ -26,7 +26,8 @@ left out, and only links are written.
 Defined results: a null or empty text, or one without words, has the empty
 set and is linked with nothing; fewer words than a shingle are one shingle;
 rows that share a doc_id are one document, linked by any of their texts; a
-null doc_id is linked with nothing, has a null component and stays; other
+null doc_id is linked with nothing, has a null component and stays; very
+long texts are read whole, one at a time; an empty table gives no rows; other
 columns are ignored by ``decide`` and kept by ``dedup``.
 """
 
@@ -328,7 +329,8 @@ def dedup(docs: DataFrame, similarity: int = SIMILARITY, shingle: int = SHINGLE)
     """The rows of ``docs`` that are kept; of rows that share a kept doc_id
     one stays."""
     decisions = shared_write(decide(docs, similarity, shingle), "decisions")
-    gone = decisions.where(~F.col("kept")).select("doc_id").distinct()
+    # written, so that its size is known before the join is planned: texts are shuffled for many ids alone
+    gone = shared_write(decisions.where(~F.col("kept")).select("doc_id").distinct(), "gone")
     rows = docs.join(gone, "doc_id", "left_anti")
     again = decisions.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():

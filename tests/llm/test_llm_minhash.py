@@ -166,3 +166,11 @@ def test_bloom_filter_holds_all_its_keys(spark):
     kept = bloom.cut(spark.range(-5, 4000).selectExpr("id as k", "'x' as other"), "k").collect()
     assert {0, 1, -1, *range(5, 4000, 7)} <= {r["k"] for r in kept} and len(kept) < 700
     assert Bloom(df.limit(0)).cut(df, "k").count() == 0
+
+
+def test_texts_are_not_shuffled_to_drop_a_few(make_docs):
+    text = " ".join(f"w{i}" for i in range(40))
+    out = minhash.dedup(make_docs([(1, text), (2, text), (3, "other words")]))
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan and "SortMergeJoin" not in plan
+    assert {r["doc_id"] for r in out.collect()} == {1, 3}
