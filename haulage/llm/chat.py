@@ -22,7 +22,8 @@ Defined results: a null text is empty; a null role is the role ''; roles
 other than user, assistant and system get a mark that names them. Turns are
 ordered by turn (null first), repeated (conv_id, turn) rows by role and text,
 and each repeated row is a turn of its own. A null conv_id is a conversation
-like any other. Other columns are ignored. An empty table gives no rows.
+like any other. Other columns are ignored. Very long texts are
+rendered whole, a turn at a time. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ it; they are neither shuffled nor collected.
 Defined results: a null text has no words, so it is never contaminated and
 n_hit is 0; a null ``item_id`` counts as an item named ''; repeated
 benchmark rows count once; a repeated document row gets a row of its own;
-an empty benchmark finds nothing; other columns, whatever their names, are
+an empty benchmark finds nothing, and an empty documents table gives no rows;
+a word inside several windows (ties) is hit once; very long texts are searched
+whole, one at a time; other columns, whatever their names, are
 ignored by ``scan`` and passed through by ``clean``.
 """
 

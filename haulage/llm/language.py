@@ -2,20 +2,23 @@
 
 A word (a run of letters) is scored per language by the log-likelihood of its
 letter trigrams, word ends included. The word's script, from code point
-ranges, narrows the candidates: languages that training never saw in that
-script drop out for the word. Viterbi over a document's words, with a penalty
+ranges, narrows the candidates: languages that training hardly saw in that
+script drop out for the word (all stay if none remains). Viterbi over a document's words, with a penalty
 for every change of language, labels the words; equal labels in a row are a
 span. A document's language is the one whose spans hold most letters, and its
 score is that share.
 
-The model is trained here, on at most ``PER_LANGUAGE`` labelled documents of
-each language (whole texts, chosen by a hash of doc_id). Everything else
-covers all documents.
+The model is trained here, on at most ``PER_LANGUAGE`` labelled documents (whole
+texts, chosen by a hash of doc_id) of each of the ``MOST_LANGUAGES`` languages with
+most of them: the bound of what is learned, collected and sent to the tasks, also
+if a dirty ``lang`` column holds millions of values. Everything else covers all
+documents.
 
 Defined results: ``und`` with score 0 and no spans if the text is null, has no
 letter, or nothing was learned; a null doc_id is neither held out nor learned
 from; ties go to the language first by name; a repeated row gets a row of its
-own; other columns are ignored.
+own; very long texts are read whole, one at a time; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,11 +35,11 @@ from haulage.llm.common import slices
 
 #: Bound of the training sample, in documents a language.
 PER_LANGUAGE = 600
+#: Bound of the languages learned; a language costs 256 KB of the model.
+MOST_LANGUAGES = 256
 #: Nats that a change of language costs.
 PENALTY = 9.0
 BUCKETS = 1 << 16
-#: Added to a word's score for languages that are no candidates in its script.
-_OUT = -50.0
 
 #: Script ranges: first and last code point (fixed values).
 SCRIPTS = [
@@ -93,7 +96,7 @@ class Model:
         smooth = trigrams + 0.1
         self.log = np.log(smooth / smooth.sum(0)).astype(np.float32)
         candidate = scripts > 0.001 * scripts.sum(0)
-        self.mask = np.where(candidate | ~candidate.any(1, keepdims=True), 0, _OUT).astype(np.float32)
+        self.mask = np.where(candidate | ~candidate.any(1, keepdims=True), 0, -np.inf).astype(np.float32)
 
     def word_scores(self, words: Words) -> np.ndarray:
         out = np.empty((len(words.first), len(self.langs)), np.float32)
@@ -149,12 +152,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> DataFrame:
     """(lang, text) of at most ``per_language`` labelled, not held-out
-    documents of each language."""
+    documents of each of the ``most_languages`` most frequent languages (ties:
+    first by name)."""
     rows = docs.select("doc_id", "text", "lang").where(
         "doc_id is not null and text is not null and lang is not null").where(~held_out(F.col("doc_id")))
-    sizes = rows.groupBy("lang").count()  # a row a language
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)  # so it may be broadcast
     # first thin out each language to twice the bound, so that only that much text moves
     hash_ = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     thin = rows.join(F.broadcast(sizes), "lang").where(
@@ -163,7 +167,7 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFr
             .where(F.col("rank") <= per_language).select("lang", "text"))
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
             langs = batch.column("lang").to_pylist()
@@ -176,7 +180,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
                          pa.array(value.astype(np.int64)), pa.array(count.astype(np.int64))],
                         names=["lang", "kind", "value", "n"])
 
-    counts = training_sample(docs, per_language).mapInArrow(run, "lang string, kind string, value bigint, n bigint")
+    counts = training_sample(docs, per_language, most_languages).mapInArrow(run, "lang string, kind string, value bigint, n bigint")
     rows = counts.groupBy("lang", "kind", "value").agg(F.sum("n").alias("n")).collect()  # at most BUCKETS a language
     langs = sorted({r["lang"] for r in rows})
     number = {lang: i for i, lang in enumerate(langs)}

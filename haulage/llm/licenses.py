@@ -17,7 +17,8 @@ tried by itself, so both wrapped licence texts and one-line notices are found.
 
 Defined results: a null or empty text has no licence; a document without
 known sentences has empty lists; a repeated row gets a row of its own; other
-columns are ignored; whole texts of any length are scanned.
+columns are ignored; whole texts of any length are scanned; of rules that
+want the same sentence (ties) the earlier one has it; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -17,8 +17,10 @@ plan passes through the driver, and a length shared by a third of all pieces
 is ranked by all tasks together.
 
 Defined results: a null text is an empty one, a single end id; repeated rows
-are packed as documents of their own; other columns are ignored; an empty
-table gives no pieces.
+are packed as documents of their own; pieces of equal length (ties) are
+interchangeable and dealt out by task and place; very long texts are encoded
+whole and cut into pieces; other columns are ignored; an empty table gives no
+pieces.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ on that bounded table.
 
 Defined results: a null or empty text has zero words and fails the base rule;
 a repeated row gets a row of its own (and counts in the estimate as often as
-it occurs); other columns are ignored; an empty table gives no rows.
+it occurs); a posterior equal to the bound (a tie) keeps the document; very long
+texts are read whole, one at a time; other columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ count only there. The allow-list never touches base findings.
 
 Defined results: a null text is an empty one; a document without findings has
 zero counts and the digest of the empty string; a repeated row gets a row of
-its own; other columns are ignored; texts of any length are scanned whole.
+its own; spans that start together are ordered by kind as listed; other columns
+are ignored; texts of any length are scanned whole; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -83,6 +83,30 @@ def test_scripts_narrow_candidates(make_docs):
     assert spans == "en:0:2,ru:2:3,en:3:4" and lang == "en" and score == 11 / 17
 
 
+def test_a_dirty_lang_column_is_bounded(make_docs):
+    docs = make_docs([(i, f"the cat and dog number{i}", "en") for i in range(40)] + [
+        (100 + i, f"der hund und die katze{i}", "de") for i in range(30)] + [
+        (1000 + i, "lorem ipsum", f"junk{i:03}") for i in range(600)])  # a quarter is held out
+    model = language.train(docs, most_languages=3)
+    assert len(model.langs) == 3 and {"en", "de"} < set(model.langs)
+    assert len(language.train(docs).langs) == language.MOST_LANGUAGES
+    out = rows_of(language.predict(docs), "doc_id", "lang_pred")
+    assert len(out) == 670 and {lang for _, lang in out} <= set(language.train(docs).langs)
+
+
+def test_languages_of_other_scripts_are_excluded():
+    trigrams = np.ones((language.BUCKETS, 2))
+    scripts = np.zeros((len(language.SCRIPT_NAMES), 2))
+    latin, cyrillic, thai = map(language.SCRIPT_NAMES.index, ("latin", "cyrillic", "thai"))
+    scripts[latin, 0] = scripts[cyrillic, 1] = 100
+    model = language.Model(["en", "ru"], trigrams, scripts)
+    scores = model.word_scores(language.Words(["word слово ไทย " + "б" * 500]))
+    assert np.isneginf(scores).tolist() == [[False, True], [True, False], [False, False], [True, False]]
+    assert model.mask[thai].tolist() == [0, 0]
+    (lang, score, spans), = language.label_texts(["word слово word"], model, penalty=1e6)
+    assert spans == "en:0:1,ru:1:2,en:2:3" and lang == "en" and score == 8 / 13
+
+
 def test_hard_rows(make_docs):
     out = rows_of(language.predict(make_docs(HARD)), "doc_id", "held_out", "lang_pred", "score")
     assert {r[0]: r[2] for r in out} == {r[0]: "en" if r[1] and any(map(str.isalpha, r[1])) else "und" for r in HARD}
