@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from haulage.llm.common import shared_write, slices, utf8_list
+from haulage.llm.common import give_back, shared_write, slices, utf8_list
 
 CAPACITY = 2048
 END_ID = 1
@@ -115,8 +115,8 @@ class Encoder:
         self.model = self.tokenizer.model
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.alphabet = _byte_level()
-        facts = json.loads(self.tokenizer.to_str())
-        self.whole_texts = any(facts[k] != v for k, v in _KNOWN.items())
+        steps = {k: getattr(self.tokenizer, k) for k in _KNOWN}
+        self.whole_texts = any(x is None or json.loads(x.__getstate__()) != _KNOWN[k] for k, x in steps.items())
         self.chunks, self.parts = Memory(self._chunk, most), Memory(self._part, most)
 
     def _whole(self, text: str) -> bytes:
@@ -158,19 +158,27 @@ class Encoder:
             return []
         alone = [self.whole_texts or any(s in t for s in self.special) for t in texts]
         joined = b"\n".join(b"" if a else t for t, a in zip(texts, alone, strict=True)) + b"\n"
+        kind = np.int32 if len(joined) < 1 << 29 else np.int64  # of places in the text and in its ids
         space = _SPACES[np.frombuffer(joined, np.uint8)]
-        cut = np.concatenate([[0], np.flatnonzero(space[1:] != space[:-1]) + 1, [len(joined)]])
-        parts = pa.Array.from_buffers(pa.large_binary(), len(cut) - 1,
-                                      [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(joined)]).dictionary_encode()
+        edges = np.flatnonzero(space[1:] != space[:-1])
+        cut = np.empty(len(edges) + 2, kind)
+        cut[0], cut[1:-1], cut[-1] = 0, edges + 1, len(joined)
+        del space, edges
+        parts = pa.Array.from_buffers(pa.binary() if kind is np.int32 else pa.large_binary(), len(cut) - 1,
+                                      [None, pa.py_buffer(cut), pa.py_buffer(joined)]).dictionary_encode()
         found = [b"" if _SPACES[c[0]] else self.chunks[c] for c in parts.dictionary.to_pylist()]
-        flat, size = np.frombuffer(b"".join(found), "<u4"), np.array([len(f) // 4 for f in found], np.int64)
+        flat, size = np.frombuffer(b"".join(found), "<u4"), np.array([len(f) // 4 for f in found], kind)
         code = parts.indices.to_numpy()
-        first, n = (np.cumsum(size) - size)[code], size[code]
-        upto = np.cumsum(n)
-        ids = flat[np.repeat(first - (upto - n), n) + np.arange(upto[-1])]
+        n, first = size[code], (np.cumsum(size, dtype=kind) - size)[code]
+        upto = np.cumsum(n, dtype=kind)
+        first -= upto
+        first += n
+        where = np.repeat(first, n)
+        where += np.arange(len(where), dtype=kind)
+        ids = flat[where]
         ends = np.cumsum([0 if a else len(t) for t, a in zip(texts, alone, strict=True)]) + np.arange(len(texts))
-        at = np.concatenate([[0], upto])[np.searchsorted(cut, ends, side="left")]
-        at = np.concatenate([[0], at])
+        chunks = np.searchsorted(cut, ends.astype(kind), side="left")  # before each text's end
+        at = np.concatenate([[0], np.where(chunks > 0, upto[np.maximum(chunks, 1) - 1], 0)])
         return [np.frombuffer(self._whole(t.decode()), "<u4") if a else ids[s:e]
                 for t, a, s, e in zip(texts, alone, at[:-1], at[1:], strict=True)]
 
@@ -216,6 +224,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
             if with_ids:
                 columns.append(pa.array(ids_of, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
+            found = ids_of = rows = columns = None
+            give_back()
 
     schema = _PIECES + (", ids array<int>" if with_ids else "")
     return shared_write(docs.select("doc_id", "text").mapInArrow(run, schema), "pieces")
