@@ -43,6 +43,10 @@ from haulage.llm.common import give_back, shared_write, slices, utf8_list
 
 CAPACITY = 2048
 END_ID = 1
+#: Chunks, and parts of chunks, whose ids a worker remembers, and bytes of text that
+#: it encodes at once: they cost memory and save time, and change no result.
+REMEMBERED = 200_000
+SLICE_BYTES = 4 << 20
 
 # --- tokens --------------------------------------------------------------
 
@@ -108,7 +112,7 @@ class Encoder:
     one than that which this class knows.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -188,9 +192,9 @@ _SPACES = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 
 
 @cache
-def _encoder(path: str) -> Encoder:
+def _encoder(path: str, most: int) -> Encoder:
     """A worker's own, kept from task to task."""
-    return Encoder(path)
+    return Encoder(path, most)
 
 
 # --- pieces --------------------------------------------------------------
@@ -199,16 +203,16 @@ _PIECES = ("doc_id bigint, start bigint, length int, ids_crc32 bigint, doc_token
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
-           with_ids: bool = False) -> DataFrame:
+           with_ids: bool = False, remembered: int = REMEMBERED, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """The pieces of every document, written and read back: doc_id, start,
     length, ids_crc32, doc_tokens; (ids, if asked for); task and nth number
     the pieces of one length: nth counts those before it in the same task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = _encoder(tokenizer_path), TaskContext.get().partitionId()
+        encoder, task = _encoder(tokenizer_path, remembered), TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)  # by length: capacity entries at most
         end = np.array([end_id], "<u4")
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", slice_bytes):
             rows, ids_of = [], []
             found = encoder.encode_all([t or b"" for t in utf8_list(batch.column("text"))])
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), found, strict=True):
@@ -285,10 +289,10 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
-         with_ids: bool = False) -> DataFrame:
+         with_ids: bool = False, remembered: int = REMEMBERED, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset (and ids, if asked for)."""
-    rows = pieces(docs, tokenizer_path, capacity, end_id, with_ids)
+    rows = pieces(docs, tokenizer_path, capacity, end_id, with_ids, remembered, slice_bytes)
     by_task = rows.groupBy("task", "length").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     by_task = by_task.select("task", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))

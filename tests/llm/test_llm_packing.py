@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from llm_cases import HARD, make_docs  # noqa: F401
+from llm_cases import HARD, make_docs, rows_of  # noqa: F401
 from haulage.llm import packing
 from haulage.llm.common import read_table
 from haulage.llm.queries import tokenizer_path
@@ -115,3 +115,10 @@ def test_plan_uses_every_piece_once_whatever_their_number():
         assert first == used[length]
         used[length] += k * times
     assert used == counts and len(entries) < 50_000
+
+
+def test_memory_bounds_change_no_result(spark):
+    docs = read_table(spark, "/root/testdata/sf0.001", "documents")
+    names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
+    want = rows_of(packing.pack(docs, tokenizer_path()), *names)
+    assert rows_of(packing.pack(docs, tokenizer_path(), remembered=7, slice_bytes=3000), *names) == want
