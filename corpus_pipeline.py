@@ -13,6 +13,9 @@ from haulage.llm import decontaminate, language, line_dedup, minhash, packing
 from haulage.llm.common import read_table, shared_write
 from haulage.llm.queries import tokenizer_path
 
+#: The packing stage's Python workers share their executors with what the stages
+#: before have left there, so they get less memory than ``op7`` takes.
+REMEMBERED, SLICE_BYTES = 50_000, 1 << 20
 #: Words a shingle of the near dedup; op2's contract has two.
 NEAR_SHINGLE = 5
 
@@ -41,7 +44,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, dealt out to sequences, with their ids."""
-    return packing.pack(docs, tokenizer_path(), with_ids=True)
+    return packing.pack(docs, tokenizer_path(), with_ids=True, remembered=REMEMBERED, slice_bytes=SLICE_BYTES)
 
 
 STAGES = [
