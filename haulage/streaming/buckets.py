@@ -53,14 +53,22 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema(spark, path)).parquet(path)
 
 
+def number(spark: SparkSession, path: str) -> int:
+    """How many buckets the table has."""
+    return _layout(spark, path)[0]
+
+
+def touched(keys: DataFrame, key: str, path: str) -> list[int]:
+    """The buckets that hold the keys; only their numbers come to the driver."""
+    n = number(keys.sparkSession, path)
+    if n == 1:
+        return [0]
+    return [r[0] for r in keys.select(bucket(key, n).alias("b")).distinct().collect()]
+
+
 def of(keys: DataFrame, key: str, path: str) -> DataFrame:
-    """The partitions that hold the keys, whole. Only bucket numbers come to
-    the driver."""
-    spark = keys.sparkSession
-    n, columns = _layout(spark, path)
-    touched = [r[0] for r in keys.select(bucket(key, n).alias("b")).distinct().collect()]
-    rows = spark.read.schema(columns.add("bucket", T.IntegerType())).parquet(path)
-    return rows.where(F.col("bucket").isin(touched))
+    """The partitions that hold the keys, whole."""
+    return read(keys.sparkSession, path).where(F.col("bucket").isin(touched(keys, key, path)))
 
 
 def overwrite(partitions: DataFrame, path: str) -> None:

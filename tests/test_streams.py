@@ -68,6 +68,29 @@ def test_crew_stream_of_a_hot_trip_and_null_values(spark):
     assert ingest._batches(spark, f"{base}/sink/rejected", schema).count() == len(rows) - 6
 
 
+def test_crew_batches_are_joins_and_a_replayed_one_gives_the_same_rows(spark):
+    from pyspark.sql import functions as F
+    from haulage.streaming import crew
+    base = scratch_path(spark, "judge-test")
+    schema = load_tables(spark, SMALL_SF).assignments.schema
+
+    def rows(n, seq):
+        trip = (F.col("id") / 3).cast("bigint")
+        return spark.range(n).select(F.col("id").alias("id_driver"), trip.alias("id_transportation"), *[
+            F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields[2:5]], F.lit(seq).cast("int").alias("seq"))
+
+    crew.store(rows(300, 0).where("id_driver % 3 = 0"), base, bucket_rows=20)  # one of the first 100 trips
+    assert buckets.number(spark, f"{base}/stored") == 5
+    for batch_id, part in enumerate([rows(600, 1).where("id_driver % 3 = 1"), rows(900, 2), rows(900, 3)]):
+        judged = crew.judge(part, batch_id, base, 2)
+        assert "WithState" not in judged._jdf.queryExecution().toString()
+        want = {0: [200, 0], 1: [100 + 200, 600], 2: [0, 900]}[batch_id]
+        for _ in range(2):
+            got = crew.judge(part, batch_id, base, 2)
+            assert got.where("accepted").count() == want[0] and got.where("not accepted").count() == want[1]
+            crew.add(got.where("accepted"), batch_id, base)
+
+
 def after(t):
     """The tables with every change of the feed."""
     feed = derived.report_changes(t)
