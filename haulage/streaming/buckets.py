@@ -23,14 +23,20 @@ def bucket(key: str, n: int) -> Column:
     return F.coalesce(F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(n)).cast("int"), F.lit(0))
 
 
+def count_for(rows: DataFrame, bucket_rows: int = BUCKET_ROWS) -> int:
+    """How many buckets the rows ask for."""
+    return max(1, -(-rows.count() // bucket_rows))
+
+
 def write(rows: DataFrame, key: str, path: str, bucket_rows: int = BUCKET_ROWS, n: int | None = None) -> int:
     """Write a table anew, in ``n`` buckets or as its rows ask for; returns
-    their number. The rows are written once before they are counted and dealt
-    out, as they may be the result of a long plan."""
+    their number. Without ``n`` the rows are written once before they are counted
+    and dealt out, as they may be the result of a long plan."""
     spark = rows.sparkSession
-    rows.write.mode("overwrite").parquet(f"{path}-rows")
-    rows = spark.read.schema(rows.schema).parquet(f"{path}-rows")
-    n = n or max(1, -(-rows.count() // bucket_rows))
+    if not n:
+        rows.write.mode("overwrite").parquet(f"{path}-rows")
+        rows = spark.read.schema(rows.schema).parquet(f"{path}-rows")
+        n = count_for(rows, bucket_rows)
     spark.createDataFrame([(n, rows.schema.json())], "buckets int, schema string").write.mode("overwrite").parquet(f"{path}-layout")
     by_bucket = rows.withColumn("bucket", bucket(key, n)).hint("rebalance", "bucket")
     by_bucket.write.mode("overwrite").partitionBy("bucket").parquet(path)

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from haulage.operators import changes, pay, reports
 from haulage.operators.changes import PAIR
-from haulage.session import exists, remove, scratch_path
+from haulage.session import exists, materialize, remove, scratch_path
 from haulage.sources.tables import Tables
 from haulage.streaming import buckets, crew
 
@@ -147,15 +147,18 @@ _ORDER = "struct<known: boolean, seq: bigint, batch: bigint>"
 
 def lay_out_reports(t: Tables, base: str, bucket_rows: int = buckets.BUCKET_ROWS) -> None:
     """Both reports of ``t`` and the assignments behind them, by bucket. Done
-    once; a stream is then continued by any process."""
+    once; a stream is then continued by any process. Assignments and trips are
+    written first, as all four tables are made of them."""
+    t = t.with_(assignments=materialize(t.assignments, "report-assignments"),
+                transportations=materialize(t.transportations, "report-trips"))
     unset = F.lit(None).cast(_ORDER)
     rows = t.assignments.select(*PAIR, "payment", "bonus_amount", unset.alias("bonus_order"))
     trips = t.transportations.select("id_transportation", F.lit(True).alias("trip"), "arrival_date", unset.alias("arrival_order"))
     tables = {"work": rows.join(trips, "id_transportation", "left"), "crews": rows, "salary": reports.salary_statement(t),
               "summary": reports.transportation_summary(t).withColumn("arrival_order", unset)}
-    n = None
-    for name, key in REPORT_TABLES.items():  # the assignments come first
-        n = buckets.write(tables[name], key, f"{base}/{name}", bucket_rows, n)
+    n = buckets.count_for(t.assignments, bucket_rows)
+    for name, key in REPORT_TABLES.items():
+        buckets.write(tables[name], key, f"{base}/{name}", n=n)
 
 
 def _newer(rows: DataFrame, latest: DataFrame, keys: list[str], column: str, order: str) -> DataFrame:
@@ -169,8 +172,9 @@ def _newer(rows: DataFrame, latest: DataFrame, keys: list[str], column: str, ord
                            for c in rows.columns])
 
 
-def _changed_partitions(spark: SparkSession, batch: DataFrame, batch_id: int, base: str) -> dict[str, DataFrame]:
-    """Every table's touched partitions, whole, after the batch's changes."""
+def _stage_changed(spark: SparkSession, batch: DataFrame, batch_id: int, base: str, stage: str) -> None:
+    """Write every table's touched partitions, whole, after the batch's changes.
+    The reports' sums are taken from the staged assignments."""
     known, seq = F.col("seq").isNotNull(), F.coalesce("seq", F.lit(0)).cast("bigint")
     order = F.struct(known.alias("known"), seq.alias("seq"), F.lit(batch_id).cast("bigint").alias("batch")).alias("_order")
 
@@ -192,10 +196,15 @@ def _changed_partitions(spark: SparkSession, batch: DataFrame, batch_id: int, ba
                   moved, ["id_transportation"], "arrival_date", "arrival_order")
     salary, summary = read("salary", drivers), _newer(read("summary", trips), moved, ["id_transportation"], "arrival_date",
                                                       "arrival_order")
+
+    def staged(name: str, rows: DataFrame) -> DataFrame:
+        rows.write.mode("overwrite").parquet(f"{stage}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{stage}/{name}")
+
+    work, crews = staged("work", work), staged("crews", crews)
     totals = reports.totals_by_driver(work.withColumn("under_way", F.when(F.col("trip"), F.col("arrival_date").isNull())))
-    return {"work": work, "crews": crews,
-            "salary": reports.with_salary(salary, totals).select(*salary.columns),
-            "summary": reports.with_costs(summary, reports.totals_by_trip(crews)).select(*summary.columns)}
+    staged("salary", reports.with_salary(salary, totals).select(*salary.columns))
+    staged("summary", reports.with_costs(summary, reports.totals_by_trip(crews)).select(*summary.columns))
 
 
 def refresh_batch(spark: SparkSession, batch: DataFrame, batch_id: int, base: str) -> None:
@@ -215,8 +224,7 @@ def refresh_batch(spark: SparkSession, batch: DataFrame, batch_id: int, base: st
     if not exists(f"{stage}/done/_SUCCESS"):
         batch.persist()
         try:
-            for name, rows in _changed_partitions(spark, batch, batch_id, base).items():
-                rows.write.mode("overwrite").parquet(f"{stage}/{name}")
+            _stage_changed(spark, batch, batch_id, base, stage)
         finally:
             batch.unpersist()
         spark.range(1).write.mode("overwrite").parquet(f"{stage}/done")
