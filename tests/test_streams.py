@@ -91,6 +91,23 @@ def test_crew_batches_are_joins_and_a_replayed_one_gives_the_same_rows(spark):
             crew.add(got.where("accepted"), batch_id, base)
 
 
+def test_crew_stream_judges_a_batch_once_and_caches_nothing(spark, monkeypatch):
+    """A cached table has a task for each shuffle partition, however few rows there are."""
+    from haulage.streaming import crew
+    t = load_tables(spark, SMALL_SF)
+    stored, deliveries = derived.crew_deliveries(t)
+    judged, judge = [], crew.judge
+    monkeypatch.setattr(type(t.assignments), "persist", lambda *_: 1 / 0)
+    monkeypatch.setattr(crew, "judge", lambda *args: judged.append(judge(*args)) or judged[-1])
+    base = scratch_path(spark, "crew-once")
+    for delivery in deliveries:
+        feed = ingest.read_feed(spark, ingest.write_feed(delivery, f"{base}/feed"), t.assignments.schema)
+        ingest.crew_limit_stream(stored, feed, f"{base}/sink", f"{base}/checkpoint")
+    assert len(judged) == 2 and not glob.glob(f"{base.removeprefix('file:')}/sink/judged/*")
+    out = [ingest._batches(spark, f"{base}/sink/{v}", t.assignments.schema).drop("batch") for v in ("accepted", "rejected")]
+    assert same(out[0].unionByName(out[1]).unionByName(stored), t.assignments)
+
+
 def after(t):
     """The tables with every change of the feed."""
     feed = derived.report_changes(t)
