@@ -94,11 +94,13 @@ def salary_rows(drivers: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def with_salary(rows: DataFrame, totals: DataFrame) -> DataFrame:
-    """Rows of the salary statement with the counts and sums of ``totals``."""
+    """Rows of the salary statement with the counts and sums of ``totals`` (and
+    its other columns)."""
     pay = F.coalesce("pay", _zero())
     bonus = F.coalesce("bonus", _zero())
+    more = [c for c in totals.columns if c not in ("id_driver", "completed_trips", "trips_in_progress", "pay", "bonus")]
     return rows.drop(*SALARY_SUMS).join(totals, "id_driver", "left").select(
-        *[c for c in rows.columns if c not in SALARY_SUMS],
+        *[c for c in rows.columns if c not in SALARY_SUMS], *more,
         F.coalesce("completed_trips", F.lit(0)).cast("bigint").alias("completed_trips"),
         F.coalesce("trips_in_progress", F.lit(0)).cast("bigint").alias("trips_in_progress"),
         pay.cast("double").alias("total_payment"),

@@ -137,13 +137,15 @@ def stream_crew_limit(t: Tables, deliveries: list[DataFrame], existing: DataFram
 
 # --- #53 --------------------------------------------------------------------
 
-#: The tables of a refreshed pair of reports and the key that buckets each.
-#: ``work`` has the assignments by driver, with their trip's arrival; ``crews``
-#: by trip. The reports' rows carry the order of the last change of an arrival.
+#: The tables of a refreshed pair of reports and the key that buckets each:
+#: the assignments (``crews``) and arrivals (``trips``) behind them, and the
+#: reports. Arrivals carry the order of their last change, and a driver's row the
+#: exact sums that a micro-batch adds its differences to.
 #: Tables of one key have the same buckets, so that a report's partition needs
 #: one partition of the assignments.
-REPORT_TABLES = {"work": "id_driver", "crews": "id_transportation", "salary": "id_driver", "summary": "id_transportation"}
+REPORT_TABLES = {"crews": "id_transportation", "trips": "id_transportation", "salary": "id_driver", "summary": "id_transportation"}
 _ORDER = "struct<known: boolean, seq: bigint, batch: bigint>"
+_SUMS = ("pay", "bonus")
 
 
 def lay_out_reports(t: Tables, base: str, bucket_rows: int = buckets.BUCKET_ROWS) -> None:
@@ -153,9 +155,10 @@ def lay_out_reports(t: Tables, base: str, bucket_rows: int = buckets.BUCKET_ROWS
     t = t.with_(assignments=materialize(t.assignments, "report-assignments"),
                 transportations=materialize(t.transportations, "report-trips"))
     unset = F.lit(None).cast(_ORDER)
-    rows = t.assignments.select(*PAIR, "payment", "bonus_amount", unset.alias("bonus_order"))
-    trips = t.transportations.select("id_transportation", F.lit(True).alias("trip"), "arrival_date", unset.alias("arrival_order"))
-    tables = {"work": rows.join(trips, "id_transportation", "left"), "crews": rows, "salary": reports.salary_statement(t),
+    totals = reports.driver_totals(t.assignments, t.transportations).withColumns({f"sum_{c}": F.col(c) for c in _SUMS})
+    tables = {"crews": t.assignments.select(*PAIR, "payment", "bonus_amount", unset.alias("bonus_order")),
+              "trips": t.transportations.select("id_transportation", "arrival_date", unset.alias("arrival_order")),
+              "salary": reports.salary_rows(t.drivers, totals),
               "summary": reports.transportation_summary(t).withColumn("arrival_order", unset)}
     n = buckets.count_for(t.assignments, bucket_rows)
     for name, key in REPORT_TABLES.items():
@@ -175,7 +178,8 @@ def _newer(rows: DataFrame, latest: DataFrame, keys: list[str], column: str, ord
 
 def _stage_changed(spark: SparkSession, batch: DataFrame, batch_id: int, base: str, stage: str) -> None:
     """Write every table's touched partitions, whole, after the batch's changes.
-    The reports' sums are taken from the staged assignments."""
+    A trip's sums are taken from the staged assignments; a driver's are those
+    it had and the difference that the touched trips make, in exact decimals."""
     known, seq = F.col("seq").isNotNull(), F.coalesce("seq", F.lit(0)).cast("bigint")
     order = F.struct(known.alias("known"), seq.alias("seq"), F.lit(batch_id).cast("bigint").alias("batch")).alias("_order")
 
@@ -189,24 +193,35 @@ def _stage_changed(spark: SparkSession, batch: DataFrame, batch_id: int, base: s
     def read(name: str, keys: DataFrame) -> DataFrame:
         return buckets.of(keys, REPORT_TABLES[name], f"{base}/{name}")
 
-    crews = read("crews", trips)
-    drivers = bonus.select("id_driver").unionByName(
-        crews.join(moved, "id_transportation", "left_semi").select("id_driver")).distinct()
-    crews = _newer(crews, bonus, PAIR, "bonus_amount", "bonus_order")
-    work = _newer(_newer(read("work", drivers), bonus, PAIR, "bonus_amount", "bonus_order"),
-                  moved, ["id_transportation"], "arrival_date", "arrival_order")
-    salary, summary = read("salary", drivers), _newer(read("summary", trips), moved, ["id_transportation"], "arrival_date",
-                                                      "arrival_order")
-
     def staged(name: str, rows: DataFrame) -> DataFrame:
         rows.write.mode("overwrite").parquet(f"{stage}/{name}")
         return spark.read.schema(rows.schema).parquet(f"{stage}/{name}")
 
-    work, crews = staged("work", work), staged("crews", crews)
-    totals = reports.totals_by_driver(work.withColumn("under_way", F.when(F.col("trip"), F.col("arrival_date").isNull())))
-    staged("salary", reports.with_salary(salary, totals).select(*salary.columns))
+    def changed(name: str, latest: DataFrame, keys: list[str], column: str, order: str) -> DataFrame:
+        """A table's touched partitions after the changes, and ``was``, the value before."""
+        return staged(name, _newer(read(name, trips).withColumn("was", F.col(column)), latest, keys, column, order))
+
+    crews = changed("crews", bonus, PAIR, "bonus_amount", "bonus_order")
+    arrivals = changed("trips", moved, ["id_transportation"], "arrival_date", "arrival_order")
+    summary = _newer(read("summary", trips), moved, ["id_transportation"], "arrival_date", "arrival_order")
     staged("summary", reports.with_costs(summary, reports.totals_by_trip(crews)).select(*summary.columns))
 
+    # the touched trips' assignments as they are and as they were
+    status = arrivals.join(trips, "id_transportation", "left_semi").select(
+        "id_transportation", F.col("arrival_date").isNull().alias("under_way"), F.col("was").isNull().alias("was_under_way"))
+    work = staged("work", crews.join(trips, "id_transportation", "left_semi").join(status, "id_transportation", "left").select(
+        "id_driver", "payment", "bonus_amount", "under_way", "was", "was_under_way"))
+    before = reports.totals_by_driver(work.select("id_driver", "payment", F.col("was").alias("bonus_amount"),
+                                                  F.col("was_under_way").alias("under_way")))
+    salary = read("salary", work.select("id_driver").distinct())
+    sums = ["completed_trips", "trips_in_progress", *_SUMS]
+    kept = salary.select("id_driver", *sums[:2], *[F.coalesce(f"sum_{c}", F.lit(0)).alias(c) for c in _SUMS])
+    parts = kept.dropDuplicates(["id_driver"]).unionByName(reports.totals_by_driver(work)).unionByName(
+        before.select("id_driver", *[(-F.col(c)).alias(c) for c in sums]))
+    totals = parts.groupBy("id_driver").agg(*[F.sum(c).alias(c) for c in sums])
+    totals = totals.withColumns({f"sum_{c}": F.col(c).cast(salary.schema[f"sum_{c}"].dataType) for c in _SUMS})
+    staged("salary", reports.with_salary(salary.drop(*[f"sum_{c}" for c in _SUMS]), totals).select(*salary.columns))
+
 
 def refresh_batch(spark: SparkSession, batch: DataFrame, batch_id: int, base: str) -> None:
     """Bring the reports up to date with a micro-batch of changes.
@@ -246,7 +261,7 @@ def refresh_reports(feed: DataFrame, base: str) -> None:
 
 def report(spark: SparkSession, base: str, name: str) -> DataFrame:
     """'salary' or 'summary', as of the last micro-batch."""
-    return buckets.read(spark, f"{base}/{name}").drop("bucket", "arrival_order")
+    return buckets.read(spark, f"{base}/{name}").drop("bucket", "arrival_order", *[f"sum_{c}" for c in _SUMS])
 
 
 def stream_refresh(t: Tables, deliveries: list[DataFrame], name: str, bucket_rows: int = buckets.BUCKET_ROWS) -> DataFrame:

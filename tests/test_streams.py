@@ -129,6 +129,15 @@ def test_report_streams_equal_batch(spark):
         assert not same(report(t), report(after(t)))
 
 
+def test_report_tables_hold_the_assignments_once(spark):
+    t = load_tables(spark, SMALL_SF)
+    base = scratch_path(spark, "once-test")
+    ingest.lay_out_reports(t, base, bucket_rows=800)
+    n = t.assignments.count()
+    assert [x for x in ingest.REPORT_TABLES if buckets.read(spark, f"{base}/{x}").count() >= n] == ["crews"]
+    assert same(ingest.report(spark, base, "salary"), reports.salary_statement(t))
+
+
 def test_replayed_and_half_published_batches_change_nothing(spark):
     t = load_tables(spark, SMALL_SF)
     base = scratch_path(spark, "replay-test")
