@@ -32,6 +32,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,6 @@ SLICE_BYTES = 4 << 20
 #: Parts of a chunk whose ASCII letters are lower case: letters (all
 #: non-ASCII characters count as such), one digit, or other characters.
 _PARTS = re.compile(rb"[a-z\x80-\xff]+|[0-9]|[^a-z0-9\x80-\xff]+")
-_MARKS = frozenset(bytes([b]) for b in b".,;:!?")
 
 
 def _letters(part: str) -> bool:
@@ -81,32 +81,42 @@ _KNOWN = {
 
 
 class Memory(dict):
-    """What a function gave, for the keys used lately: when ``most`` are
-    held, they become the old ones, and old ones not used since are dropped."""
+    """What a function of many keys gave, for the keys used lately: when ``most``
+    would be passed, those held become the old ones, and old ones not used since are dropped."""
 
     def __init__(self, function, most: int):
         super().__init__()
         self.function, self.most, self.old = function, most, {}
 
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.function(key)
-        if len(self) >= self.most:
+    def of(self, keys: list) -> list:
+        found = list(map(self.get, keys))
+        for step in (lambda new: list(map(self.old.get, new)), self.function):
+            at = [i for i, value in enumerate(found) if value is None]
+            if not at:
+                break
+            new = [keys[i] for i in at]
+            values = step(new)
+            for i, value in zip(at, values, strict=True):
+                found[i] = value
+            self._keep([(k, v) for k, v in zip(new, values, strict=True) if v is not None])
+        return found
+
+    def _keep(self, items: list) -> None:
+        if len(self) + len(items) > self.most:
             self.old = dict(self)
             self.clear()
-        self[key] = value
-        return value
+        self.update(items[:self.most])
 
 
 class Encoder:
-    """Token ids by ``tokenizers``, remembering what chunks encode to.
+    """Token ids by ``tokenizers``, remembering what parts of texts encode to.
 
     The tokenizer never joins text across ASCII white space, so a text's ids
     are those of its chunks, one after another. A chunk is cut into parts
     where the tokenizer itself cuts, and a part goes to the tokenizer's model,
-    normalised as the tokenizer would; anything out of the ordinary is left
-    to the whole tokenizer. The memories are bounded. Texts that hold a
+    normalised as the tokenizer would; numpy cuts the chunks whose characters are
+    all listed in ``_CLASS`` and ``_LETTERS``, ``_split`` the others. Anything out of
+    the ordinary is left to the whole tokenizer. The memories are bounded. Texts that hold a
     special token's string are encoded whole, as those strings may span white
     space; so are all texts if the file's normalizer or pre-tokenizer is another
     one than that which this class knows.
@@ -121,7 +131,7 @@ class Encoder:
         self.alphabet = _byte_level()
         steps = {k: getattr(self.tokenizer, k) for k in _KNOWN}
         self.whole_texts = any(x is None or json.loads(x.__getstate__()) != _KNOWN[k] for k, x in steps.items())
-        self.chunks, self.parts = Memory(self._chunk, most), Memory(self._part, most)
+        self.chunks, self.parts = Memory(self._chunks, most), Memory(self._parts, most)
 
     def _whole(self, text: str) -> bytes:
         return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -130,65 +140,113 @@ class Encoder:
     def _bytes(ids: list[int]) -> bytes:
         return np.array(ids, "<u4").tobytes()
 
-    def _part(self, part: bytes) -> bytes:
-        if part.isascii():
-            return self._bytes([t.id for t in self.model.tokenize(part.decode())])
-        # letters of the old alphabets, whose case and composition are settled
-        text = part.decode()
-        composed = unicodedata.normalize("NFC", text)
-        if max(composed) >= "\u0530":
-            return self._whole(text)
-        lowered = "".join(c.lower() for c in composed)
-        mapped = lowered.encode().decode("latin-1").translate(self.alphabet)
-        return self._bytes([t.id for t in self.model.tokenize(mapped)])
-
-    def _chunk(self, chunk: bytes) -> bytes:
+    def _parts(self, parts: list[bytes]) -> list[bytes]:
+        """What parts encode to, made ready for the model together, as lines of one text."""
+        text = unicodedata.normalize("NFC", b"\n".join(parts).decode())
+        # letters of the old alphabets, whose case and composition are settled; others are left to the tokenizer
+        far = {i for i, p in enumerate(text.split("\n")) if _FAR.search(p)} if _FAR.search(text) else ()
+        lowered = text.replace("\u03a3", "\u03c3").lower()  # a sigma is the same at a word's end
+        mapped = lowered.encode().decode("latin-1").translate(self.alphabet).split(self.alphabet[10])
+        tokenize, ids, ends = self.model.tokenize, [], [0]
+        for i, (part, ready) in enumerate(zip(parts, mapped, strict=True)):
+            if i in far:
+                ids += self.tokenizer.encode(part.decode(), add_special_tokens=False).ids
+            else:
+                ids += [t.id for t in tokenize(ready)]
+            ends.append(4 * len(ids))
+        held = self._bytes(ids)
+        return [held[s:e] for s, e in pairwise(ends)]
+
+    @staticmethod
+    def _split(chunk: bytes) -> list[bytes] | None:
+        """A chunk's parts; None if it is out of the ordinary."""
         lowered = chunk.lower()  # ASCII letters only
-        if lowered.isalpha():
-            return self.parts[lowered]
-        word, mark = lowered[:-1], lowered[-1:]
-        if word.isalpha() and mark in _MARKS:  # a word and a full stop, a comma, ...
-            return self.parts[word] + self.parts[mark]
         if b"'" not in lowered and lowered.decode().isprintable():
             parts = _PARTS.findall(lowered)
-            if lowered.isascii() or all(p.isascii() or _letters(p.decode()) for p in parts):
-                return b"".join(map(self.parts.__getitem__, parts))
-        return self._whole(chunk.decode())
+            if all(p.isascii() or _letters(p.decode()) for p in parts):
+                return parts
+        return None
+
+    def _chunks(self, chunks: list[bytes]) -> list[bytes]:
+        split = [self._split(c) for c in chunks]
+        parts = list({p: None for found in split for p in found or ()})
+        known = dict(zip(parts, self.parts.of(parts), strict=True))
+        return [self._whole(c.decode()) if found is None else b"".join(map(known.__getitem__, found))
+                for c, found in zip(chunks, split, strict=True)]
 
     def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Chunks are numbered by Arrow; each different one is looked up once,
-        and numpy gathers the ids of all."""
+        """Parts are cut by numpy and numbered by Arrow; each different one is looked up
+        once, and numpy gathers the ids of all."""
         if not texts:
             return []
         alone = [self.whole_texts or any(s in t for s in self.special) for t in texts]
         joined = b"\n".join(b"" if a else t for t, a in zip(texts, alone, strict=True)) + b"\n"
         kind = np.int32 if len(joined) < 1 << 29 else np.int64  # of places in the text and in its ids
-        space = _SPACES[np.frombuffer(joined, np.uint8)]
-        edges = np.flatnonzero(space[1:] != space[:-1])
-        cut = np.empty(len(edges) + 2, kind)
-        cut[0], cut[1:-1], cut[-1] = 0, edges + 1, len(joined)
-        del space, edges
-        parts = pa.Array.from_buffers(pa.binary() if kind is np.int32 else pa.large_binary(), len(cut) - 1,
-                                      [None, pa.py_buffer(cut), pa.py_buffer(joined)]).dictionary_encode()
-        found = [b"" if _SPACES[c[0]] else self.chunks[c] for c in parts.dictionary.to_pylist()]
-        flat, size = np.frombuffer(b"".join(found), "<u4"), np.array([len(f) // 4 for f in found], kind)
-        code = parts.indices.to_numpy()
+        place, cut, text, odd = _cut(np.frombuffer(joined, np.uint8), kind)
+        parts = pa.Array.from_buffers(pa.binary() if kind is np.int32 else pa.large_binary(), len(place),
+                                      [None, pa.py_buffer(cut), pa.py_buffer(text)]).dictionary_encode()
+        code, found = parts.indices.to_numpy(), parts.dictionary.to_numpy(zero_copy_only=False)
+        del cut, text
+        whole = np.zeros(len(found), bool)  # a chunk that was not cut equals no part
+        whole[code[odd]] = True
+        for memory, which in ((self.parts, ~whole), (self.chunks, whole)):
+            found[which] = memory.of(found[which].tolist())
+        flat = np.frombuffer(b"".join(found.tolist()), "<u4")
+        size = np.fromiter(map(len, found), kind, len(found)) // 4
         n, first = size[code], (np.cumsum(size, dtype=kind) - size)[code]
-        upto = np.cumsum(n, dtype=kind)
-        first -= upto
-        first += n
+        upto = np.zeros(len(n) + 1, kind)
+        np.cumsum(n, dtype=kind, out=upto[1:])
+        first -= upto[:-1]
         where = np.repeat(first, n)
         where += np.arange(len(where), dtype=kind)
         ids = flat[where]
         ends = np.cumsum([0 if a else len(t) for t, a in zip(texts, alone, strict=True)]) + np.arange(len(texts))
-        chunks = np.searchsorted(cut, ends.astype(kind), side="left")  # before each text's end
-        at = np.concatenate([[0], np.where(chunks > 0, upto[np.maximum(chunks, 1) - 1], 0)])
+        at = np.concatenate([[0], upto[np.searchsorted(place, ends.astype(kind))]])  # by parts before each text's end
         return [np.frombuffer(self._whole(t.decode()), "<u4") if a else ids[s:e]
                 for t, a, s, e in zip(texts, alone, at[:-1], at[1:], strict=True)]
 
 
-#: Whether a byte is ASCII white space.
-_SPACES = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+#: A byte by itself: a letter, a digit, another printable one, white space, or one that needs a closer look.
+_LETTER, _DIGIT, _OTHER, _SPACE, _ODD = range(5)
+_CLASS = np.array([_SPACE if b in b" \t\n\r\x0b\x0c" else _ODD if not 32 < b < 127 or b == ord("'") else
+                   _LETTER if chr(b).isalpha() else _DIGIT if chr(b).isdigit() else _OTHER for b in range(256)], np.uint8)
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+#: Whether a code point of two UTF-8 bytes is a letter, in lower case too, and composed.
+_LETTERS = np.array([128 <= c < 0x530 and _letters(chr(c)) and unicodedata.is_normalized("NFC", chr(c)) for c in range(0x800)])
+_FAR = re.compile("[\u0530-\U0010ffff]")
+
+
+def _cut(raw: np.ndarray, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The parts of a text that ends with white space: places in the text, offsets in the
+    bytes that follow, those bytes (no white space, ASCII in lower case), and which
+    parts are chunks that were not cut and are as they were."""
+    of = _CLASS[raw]
+    lead = np.flatnonzero((raw >= 0xC2) & (raw < 0xE0))
+    lead = lead[_LETTERS[(raw[lead] & 31).astype(np.int16) << 6 | raw[lead + 1] & 63]]
+    of[lead] = of[lead + 1] = _LETTER
+    text, is_space = _LOWER[raw], of == _SPACE
+    starts = of == _DIGIT
+    starts[0] = True
+    starts[1:] |= of[1:] != of[:-1]
+    odd = np.flatnonzero(starts & (of == _ODD))
+    uncut = np.zeros(len(raw), bool)
+    if len(odd):
+        space = np.flatnonzero(is_space)
+        chunk = np.searchsorted(space, odd)  # spaces before
+        chunk = chunk[np.flatnonzero(np.diff(chunk, prepend=-1))]
+        first = np.where(chunk > 0, space[chunk - 1] + 1, 0)
+        step = np.zeros(len(raw), np.int8)
+        step[first], step[space[chunk]] = 1, -1
+        uncut = np.cumsum(step, dtype=np.int8).view(bool)
+        starts &= ~uncut
+        starts[first] = True
+        text[uncut] = raw[uncut]
+    edge = np.flatnonzero(starts).astype(kind)
+    size, word = np.diff(edge, append=kind(len(raw))), ~is_space[edge]
+    place = edge[word]
+    cut = np.zeros(len(place) + 1, kind)
+    np.cumsum(size[word], dtype=kind, out=cut[1:])
+    return place, cut, text[~is_space], uncut[place]
 
 
 @cache

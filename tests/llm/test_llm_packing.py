@@ -45,6 +45,25 @@ def test_other_files_encode_whole_texts():
     assert encoder.encode_all([]) == []
 
 
+def test_words_of_any_case_and_mark_are_looked_up_once(plain):
+    words = ["caf\u00e9", "word", "stra\u00dfe", "\u0441\u043b\u043e\u0432\u043e"]
+    text = " ".join(a + w + b for w in words for a in ("", "(", "x2") for b in ("", ".", "?!", "7")) + " WORD"
+    encoder = packing.Encoder(tokenizer_path())
+    assert encoder.encode_all([text.encode()])[0].tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert {k.decode() for k in encoder.parts} == {*words, "x", "2", "7", "(", ".", "?!"} and not encoder.chunks
+
+
+def test_characters_of_all_kinds_mixed(plain):
+    rng, pool = random.Random(5), [*"aZsT'\u2019.,?-<|9 \t\n\x0b\x00\x1c\x85\xa0\xd7\xe9\xc9\xdf\xaa\xb2", *"".join(ODD)]
+    texts = ["".join(rng.choices(rng.sample(pool, rng.randrange(2, 14)), k=rng.randrange(40))) for _ in range(4000)]
+    texts += [x for c in range(1, 0x800) for x in (chr(c), f"a{chr(c)}b", f"{chr(c)}{chr(c)}\u03a3 ")]
+    for encoder in (packing.Encoder(tokenizer_path()), packing.Encoder(tokenizer_path(), 9)):
+        for a in range(0, len(texts), 500):
+            part = texts[a:a + 500]
+            for text, ids in zip(part, encoder.encode_all([t.encode() for t in part]), strict=True):
+                assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
 def check(rows, ids_of, capacity):
     docs, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
